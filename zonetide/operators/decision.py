@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from zonetide.functions.numeric import clip, col_of, round_even
 from zonetide.functions.scoring import severity
+from zonetide.operators.scoring import latest_snapshot
 from zonetide.operators.segments import run_lengths
 from zonetide.settings import Action, DecisionSettings
 
@@ -373,7 +374,7 @@ def _spend_events(pool: DataFrame, keys: list[str], zone: str, open_names: list[
 
 def decide_zones(scored: DataFrame, edges: DataFrame, now: Column, groups: list[str], cfg: DecisionSettings = DEFAULT,
                  last: DataFrame | None = None, carried: DataFrame | None = None, scope: str = "latest",
-                 order: list[str] | None = None) -> DataFrame:
+                 order: list[str] | None = None, newest: Column | None = None) -> DataFrame:
     """Persistence, surplus, cooldown, budget and choice in one go.
 
     ``scope='latest'`` decides only the newest snapshot (persistence still sees all rows);
@@ -381,7 +382,7 @@ def decide_zones(scored: DataFrame, edges: DataFrame, now: Column, groups: list[
     """
     counted = persistence_counts(scored, F.col("predicted_shortage") > cfg.monitor_max, carried=carried)
     if scope == "latest":
-        counted = counted.filter(F.col("timestamp") == scored.agg(F.max("timestamp")).scalar())
+        counted = latest_snapshot(counted, newest=newest)
     placed = with_cooldowns(with_neighbor_surplus(counted, edges, cfg.surplus_buffer), last, now, cfg)
     turns = order or ["zone_id", "timestamp"]
     funded = allocate_budget(placed, groups, turns, cfg=cfg, in_run_cooldown=scope == "all")

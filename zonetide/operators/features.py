@@ -80,7 +80,7 @@ def supply_series(df: DataFrame, more: bool = False, segment_rows: int | None =
             F.avg(COUNT).alias("_mean"), *[F.avg(n).alias(f"_mean_{n}") for n in lags])
         filled = raw.join(whole, "zone_id")
         for name, (source, p) in flags.items():
-            filled = filled.join(exact_quantiles(df, source, {name: p}, ["zone_id"]), "zone_id")
+            filled = filled.join(exact_quantiles(df, source, {name: p}, ["zone_id"], domain="narrow"), "zone_id")
     else:
         order = W.partitionBy("zone_id").orderBy("timestamp")
         zone = (order.rowsBetween(W.unboundedPreceding, -1) if trailing else W.partitionBy("zone_id"))

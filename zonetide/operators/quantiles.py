@@ -1,9 +1,10 @@
 """Exact quantiles and running totals that do not need one task to see every value.
 
-``percentile`` ships every distinct value to a single task per group. That is fine for a
-small domain (counts, four-decimal scores) and is used there. For wide domains the
-functions below narrow the search by equal-width bins, twice, so that only the distinct
-values sharing a bin with a wanted rank are ever sorted.
+``percentile`` brings every distinct value of a group to a single task. That is fine for a
+narrow domain (counts, whole minutes, four-decimal scores, prices), above all when the values
+are counted first, and is used there. For wide domains the functions below narrow the search
+by equal-width bins, twice, so that only the distinct values sharing a bin with a wanted rank
+are ever sorted.
 """
 
 from __future__ import annotations
@@ -44,11 +45,16 @@ def _narrow(counts: DataFrame, groups: list[str], bins: int) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float],
-                    groups: list[str] | None = None, bins: int = BINS) -> DataFrame:
-    """Linear-interpolated quantiles, one row per group, one column per entry of ``probs``."""
+                    groups: list[str] | None = None, bins: int = BINS, domain: str = "wide") -> DataFrame:
+    """Linear-interpolated quantiles, one row per group, one column per entry of ``probs``.
+
+    ``domain='narrow'`` promises that the distinct values of a group fit in a task.
+    """
     groups = groups or []
     counts = (df.select(*groups, F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
               .groupBy(*groups, "v").agg(F.count(F.lit(1)).alias("n")))
+    if domain == "narrow":
+        return counts.groupBy(*groups).agg(*[F.percentile("v", float(p), F.col("n")).alias(name) for name, p in probs.items()])
     sizes = counts.groupBy(*groups).agg(F.sum("n").alias("total"))
     # Two neighbouring ranks per probability; slots name them.
     slots = F.array(*[

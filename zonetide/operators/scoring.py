@@ -44,9 +44,13 @@ def score_table(features: DataFrame, risk: Column | str) -> DataFrame:
     return df.select(*[c for c in wanted if c in df.columns])
 
 
-def latest_snapshot(df: DataFrame, ts: str = "timestamp") -> DataFrame:
-    """Rows of the newest timestamp. The maximum is a scalar subquery, pushed to the scan when it can be."""
-    return df.filter(F.col(ts) == df.agg(F.max(ts)).scalar())
+def latest_snapshot(df: DataFrame, ts: str = "timestamp", newest: Column | None = None) -> DataFrame:
+    """Rows of the newest timestamp.
+
+    The maximum is a scalar subquery, pushed to the scan when ``df`` is a table. For a long derived
+    plan pass ``newest`` taken from its source, so that the plan is not run twice for it.
+    """
+    return df.filter(F.col(ts) == (df.agg(F.max(ts)).scalar() if newest is None else newest))
 
 
 def flagged(df: DataFrame, at_least: float = 0.40, score: str = RISK) -> DataFrame:
@@ -70,9 +74,11 @@ def score_sample(df: DataFrame, order: list[str], score: str = RISK, size: int =
     return df.orderBy(*order).limit(size).select(*order, round_even(score, 6).alias("score"))
 
 
-def run_kpis(df: DataFrame, score: str = RISK, high: float = 0.70, medium: float = 0.40) -> DataFrame:
-    """Run-level KPIs over all rows and over the newest snapshot, in one pass and one row."""
-    s, newest = F.col(score), F.col("timestamp") == df.agg(F.max("timestamp")).scalar()
+def run_kpis(df: DataFrame, score: str = RISK, high: float = 0.70, medium: float = 0.40,
+             latest: Column | None = None) -> DataFrame:
+    """Run-level KPIs over all rows and over the newest snapshot (``latest``), in one row."""
+    at = df.agg(F.max("timestamp")).scalar() if latest is None else latest
+    s, newest = F.col(score), F.col("timestamp") == at
     lost = F.when(s >= medium, clip("depletion_rate_1h", 0.0, 1.0))
     return df.agg(
         F.count(F.lit(1)).alias("rows_scored"),
