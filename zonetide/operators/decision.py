@@ -18,6 +18,7 @@ from zonetide.functions.numeric import clip, col_of, round_even
 from zonetide.functions.scoring import severity
 from zonetide.operators.scoring import latest_snapshot
 from zonetide.operators.segments import run_lengths
+from zonetide.session import written
 from zonetide.settings import Action, DecisionSettings
 
 DEFAULT = DecisionSettings()
@@ -273,6 +274,9 @@ def allocate_budget(df: DataFrame, groups: list[str], order: list[str], zone: st
     With ``in_run_cooldown`` a zone that took an incentive cannot take the same one again in the
     run (rows of one zone repeat, as when all history is scored); each zone then contributes at
     most one spend per incentive. No group is ever gathered in one task.
+
+    ``df`` is read a few times: give it a stored table (see ``session.written``) when it is the
+    end of a long plan.
     """
     spending = cfg.spending
     costs = {a.name: a.cost for a in spending}
@@ -318,7 +322,8 @@ def allocate_budget(df: DataFrame, groups: list[str], order: list[str], zone: st
     cols = {"remaining_budget": left}
     if in_run_cooldown:
         for n in names:
-            again = F.exists("_mine", lambda e, n=n: (e["_zone"] == F.col(zone)) & (e["_took"] == n))
+            mine = F.filter("_mine", lambda e: e["_zone"] == F.col(zone))
+            again = F.array_contains(F.transform(mine, lambda e: e["_took"]), n)
             cols[f"cooling_{n}"] = F.col(f"cooling_{n}") | F.coalesce(again, F.lit(False))
     return joined.withColumns(cols).drop("_all", "_turn", "_ledger", "_mine", *choices)
 
@@ -378,14 +383,15 @@ def decide_zones(scored: DataFrame, edges: DataFrame, now: Column, groups: list[
     """Persistence, surplus, cooldown, budget and choice in one go.
 
     ``scope='latest'`` decides only the newest snapshot (persistence still sees all rows);
-    ``scope='all'`` decides every row, as a replay.
+    ``scope='all'`` decides every row, as a replay. The rows to decide are stored in the shared
+    folder first, because the budget reads them several times.
     """
     counted = persistence_counts(scored, F.col("predicted_shortage") > cfg.monitor_max, carried=carried)
     if scope == "latest":
         counted = latest_snapshot(counted, newest=newest)
     placed = with_cooldowns(with_neighbor_surplus(counted, edges, cfg.surplus_buffer), last, now, cfg)
     turns = order or ["zone_id", "timestamp"]
-    funded = allocate_budget(placed, groups, turns, cfg=cfg, in_run_cooldown=scope == "all")
+    funded = allocate_budget(written(placed, "decision-rows"), groups, turns, cfg=cfg, in_run_cooldown=scope == "all")
     return decide(funded, cfg)
 
 

@@ -60,8 +60,8 @@ def validate(df: DataFrame, required=S.REQUIRED_COLUMNS, ranges=S.RANGE_RULES) -
 
 def reason_counts(failed: DataFrame) -> DataFrame:
     """How often each kind of failure occurs; values in brackets are cut off."""
-    kind = F.regexp_replace(F.explode(F.split(REASON, "; ")), r"\(.*\)$", "")
-    return failed.select(kind.alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("rows"))
+    each = failed.select(F.explode(F.split(REASON, "; ")).alias("reason"))
+    return each.withColumn("reason", F.regexp_replace("reason", r"\(.*\)$", "")).groupBy("reason").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def null_cells(df: DataFrame, columns) -> DataFrame:

@@ -24,24 +24,26 @@ def _bin(value: Column, low: Column, high: Column, bins: int) -> Column:
     return F.least(F.greatest(raw, F.lit(0)), F.lit(bins - 1)).cast("long")
 
 
-def _narrow(counts: DataFrame, groups: list[str], bins: int) -> DataFrame:
-    """Split each (group, rank) cell of ``counts`` into bins and keep the bin holding the rank.
+def _narrow(cells: DataFrame, keys: list[str], wants: DataFrame, groups: list[str], name: str, bins: int) -> DataFrame:
+    """Cut every cell into bins and keep the bins that hold a wanted rank.
 
-    ``counts`` has the group columns, ``want`` (the 0-based rank inside the cell), ``v`` and
-    ``n``. Returns the same shape with ``want`` made relative to the surviving bin.
+    ``cells`` has the key columns, ``base`` (how many values lie before the cell), ``v`` and ``n``;
+    the result has one more key, the bin. ``wants`` has the wanted ranks per group as an array.
     """
-    keys = [*groups, "slot"]
-    span = counts.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    binned = (counts.join(span, keys)
-              .withColumn("bin", _bin(F.col("v"), F.col("lo"), F.col("hi"), bins)).drop("lo", "hi"))
-    totals = binned.groupBy(*keys, "want", "bin").agg(F.sum("n").alias("bn"))
-    # At most ``bins`` rows per (group, slot) reach this window.
-    run = W.partitionBy(*keys).orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
-    hit = (totals.withColumn("before", F.coalesce(F.sum("bn").over(run), F.lit(0)))
-           .filter((F.col("before") <= F.col("want")) & (F.col("want") < F.col("before") + F.col("bn")))
-           .select(*keys, "bin", (F.col("want") - F.col("before")).alias("rest")))
-    return (binned.drop("want").join(hit, [*keys, "bin"])
-            .select(*keys, F.col("rest").alias("want"), "v", "n"))
+    if keys:
+        span = cells.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+        ranged = cells.join(span, keys)
+    else:
+        ranged = cells.withColumns({"lo": cells.agg(F.min("v")).scalar(), "hi": cells.agg(F.max("v")).scalar()})
+    binned = ranged.withColumn(name, _bin(F.col("v"), F.col("lo"), F.col("hi"), bins)).drop("lo", "hi")
+    totals = binned.groupBy(*keys, "base", name).agg(F.sum("n").alias("inside"))
+    # At most ``bins`` rows per cell reach this window.
+    earlier = W.partitionBy(*(keys or [F.lit(0)])).orderBy(name).rowsBetween(W.unboundedPreceding, -1)
+    placed = totals.withColumn("start", F.col("base") + F.coalesce(F.sum("inside").over(earlier), F.lit(0)))
+    asked = placed.join(wants.select(*groups, "ranks"), groups) if groups else placed.withColumn("ranks", wants.select("ranks").scalar())
+    holds = F.exists("ranks", lambda w: (w >= F.col("start")) & (w < F.col("start") + F.col("inside")))
+    kept = asked.filter(holds).select(*keys, name, F.col("start").alias("base"))
+    return binned.drop("base").join(kept, [*keys, name])
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float],
@@ -55,34 +57,28 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float],
               .groupBy(*groups, "v").agg(F.count(F.lit(1)).alias("n")))
     if domain == "narrow":
         return counts.groupBy(*groups).agg(*[F.percentile("v", float(p), F.col("n")).alias(name) for name, p in probs.items()])
+
+    def rank(p: float, up: bool) -> Column:
+        at = (F.col("total") - 1) * F.lit(float(p))
+        return (F.ceil(at) if up else F.floor(at)).cast("long")
+
     sizes = counts.groupBy(*groups).agg(F.sum("n").alias("total"))
-    # Two neighbouring ranks per probability; slots name them.
-    slots = F.array(*[
-        F.struct(F.lit(f"{name}:{side}").alias("slot"),
-                 (F.floor((F.col("total") - 1) * F.lit(float(p))) if side == "lo"
-                  else F.ceil((F.col("total") - 1) * F.lit(float(p)))).cast("long").alias("want"))
-        for name, p in probs.items() for side in ("lo", "hi")])
-    wanted = sizes.select(*groups, "total", F.explode(slots).alias("s")).select(*groups, "total", "s.*")
-    if groups:
-        cells = counts.join(wanted.drop("total"), groups)
-    else:
-        flat = sizes.select(slots.alias("s")).scalar()
-        cells = counts.select("v", "n", F.explode(flat).alias("s")).select("v", "n", "s.*")
-    cells = _narrow(_narrow(cells, groups, bins), groups, bins)
-    run = W.partitionBy(*groups, "slot").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    picked = (cells.withColumn("upto", F.sum("n").over(run)).filter(F.col("upto") > F.col("want"))
-              .groupBy(*groups, "slot").agg(F.min("v").alias("v")))
-    wide = picked.groupBy(*groups).agg(*[
-        F.max(F.when(F.col("slot") == f"{name}:{side}", F.col("v"))).alias(f"{name}_{side}")
-        for name in probs for side in ("lo", "hi")])
-    sized = wide.join(sizes, groups) if groups else wide.withColumn("total", sizes.scalar())
+    wants = sizes.withColumn("ranks", F.array(*[rank(p, up) for p in probs.values() for up in (False, True)]))
+    cells = _narrow(counts.withColumn("base", F.lit(0).cast("long")), groups, wants, groups, "_b1", bins)
+    cells = _narrow(cells, [*groups, "_b1"], wants, groups, "_b2", bins)
+    run = W.partitionBy(*groups, "_b1", "_b2").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
+    ends = cells.withColumn("end", F.col("base") + F.sum("n").over(run))
+    known = ends.join(wants, groups) if groups else ends.withColumn("total", sizes.scalar())
+    here = lambda r: F.max(F.when((r >= F.col("end") - F.col("n")) & (r < F.col("end")), F.col("v")))
+    picked = known.groupBy(*groups).agg(F.max("total").alias("total"), *[
+        here(rank(p, up)).alias(f"{name}_{up}") for name, p in probs.items() for up in (False, True)])
 
     def between(name: str, p: float) -> Column:
         at = (F.col("total") - 1) * F.lit(float(p))
-        lo, hi = F.col(f"{name}_lo"), F.col(f"{name}_hi")
+        lo, hi = F.col(f"{name}_False"), F.col(f"{name}_True")
         return (lo + (hi - lo) * (at - F.floor(at))).alias(name)
 
-    return sized.select(*groups, *[between(n, p) for n, p in probs.items()])
+    return picked.select(*groups, *[between(n, p) for n, p in probs.items()])
 
 
 def running_totals(df: DataFrame, order: str, sums: dict[str, str], descending: bool = True,
