@@ -62,7 +62,7 @@ def hours_to_peak(hour) -> Column:
 
 def is_holiday(day, holidays: Iterable[str] = S.PUBLIC_HOLIDAYS) -> Column:
     """Membership in a short calendar; longer ones join a calendar table instead."""
-    return F.to_date(col_of(day)).isin(*[F.lit(h).cast("date") for h in holidays])
+    return F.to_date(col_of(day)).isin(*holidays)
 
 
 def is_holiday_eve(day, holidays: Iterable[str] = S.PUBLIC_HOLIDAYS) -> Column:
@@ -74,7 +74,7 @@ def is_school_holiday(day, ranges: Iterable[tuple[str, str]] = S.SCHOOL_HOLIDAYS
     d = F.to_date(col_of(day))
     inside = F.lit(False)
     for first, last in ranges:
-        inside = inside | d.between(F.lit(first).cast("date"), F.lit(last).cast("date"))
+        inside = inside | d.between(first, last)
     return inside
 
 

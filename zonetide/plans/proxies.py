@@ -28,6 +28,11 @@ MONEY = "decimal(12,2)"
 NOW = "2024-01-31 00:00:00"
 
 
+def now():
+    """The moment reports look back from."""
+    return F.lit(NOW).cast("timestamp")
+
+
 def events(spark: SparkSession, folder: str) -> DataFrame:
     """Pings: an instant, a zone, a kind and a value."""
     e = table(use_utc(spark), folder, "events")

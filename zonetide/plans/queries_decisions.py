@@ -16,7 +16,6 @@ from zonetide.sources.readers import table
 
 KEY = ("zone_id", "timestamp")
 SMALL_BUDGET = DecisionSettings(daily_budget=10.0)
-NOW = F.lit(P.NOW).cast("timestamp")
 
 _RUN_SQL = """islands AS (SELECT *, CAST(predicted_shortage > 0.25 AS INTEGER) AS hit, sum(CASE WHEN predicted_shortage > 0.25 THEN 0 ELSE 1 END)
    OVER (PARTITION BY zone_id ORDER BY timestamp) AS island FROM scored),
@@ -54,7 +53,7 @@ def cooldown_flags(spark, folder):
     action = F.create_map(*[F.lit(x) for pair in _EVENT_ACTION.items() for x in pair])
     log = P.events(spark, folder).select("zone_id", action[F.col("event_type")].alias("action"), F.date_trunc("second", "ts").alias("acted_at"))
     # Whole seconds on both sides keep the comparison independent of how fractions are cut.
-    return D.with_cooldowns(P.zone_dimension(spark).select("zone_id"), D.last_actions(log), NOW)
+    return D.with_cooldowns(P.zone_dimension(spark).select("zone_id"), D.last_actions(log), P.now())
 
 
 def decision_rows(spark, folder):
@@ -218,7 +217,7 @@ _CARD_COLUMNS = ("recommendation_id", "zone_id", "zone_name", "region", "timesta
 
 
 def card_rows(spark, folder):
-    return C.cards(_decided(spark, folder), NOW)
+    return C.cards(_decided(spark, folder), P.now())
 
 
 @query("X-03 X-04 X-05 X-07 M-23 M-24 M-29", Q.with_(*_TO_CARDS) + f"SELECT {', '.join(_CARD_COLUMNS)} FROM card")
@@ -252,7 +251,7 @@ def card_search(spark, folder):
   CASE WHEN CAST('0x' || left(sha1(CAST(zone_id AS VARCHAR) || '|' || strftime(timestamp, '%Y-%m-%d %H:%M:%S')), 8) AS BIGINT) / 4294967295.0::DOUBLE < 0.1::DOUBLE
     THEN 'holdout' ELSE 'treatment' END AS evaluation_bucket FROM card""")
 def outcome_records_opened(spark, folder):
-    return C.open_outcomes(card_rows(spark, folder), NOW).select(
+    return C.open_outcomes(card_rows(spark, folder), P.now()).select(
         "recommendation_id", "zone_id", "action_type", "score_at_time", "supply_at_time", "eta_bucket", "adjacent_risk_flag", "check_after", "evaluation_bucket")
 
 

@@ -17,6 +17,8 @@ def local_session(app: str = "zonetide", cores: str | int = "*", partitions: int
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        # Call-site capture costs more than building the columns themselves.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", os.environ.get("ZONETIDE_DRIVER_MEMORY", "8g"))
     )
     for key, value in conf.items():
