@@ -23,6 +23,7 @@ from zonetide.functions.numeric import round_even
 from zonetide.learning.sampling import balanced_weights, oversample, smote, undersample
 from zonetide.learning.splits import stratified_folds, uniform
 from zonetide.operators.metrics import evaluate
+from zonetide.session import written
 
 VECTOR = "features"
 
@@ -109,7 +110,8 @@ def isotonic(scored: DataFrame, label: str = "y", score: str = "p") -> tuple:
 def cross_validated(df: DataFrame, columns: list[str], label: str, keys: list[str], estimator=None, grid=None, k: int = 5) -> DataFrame:
     """Mean AUC per parameter setting over stratified folds."""
     folded = stratified_folds(df.withColumn("label", F.col(label).cast("double")), "label", keys, k)
-    rows = balanced_weights(assembled(folded, columns), "label")
+    # Stored, because every fold and setting reads the rows again.
+    rows = written(balanced_weights(assembled(folded, columns), "label"), "folds")
     est = estimator or decision_tree()
     maps = grid or ParamGridBuilder().build()
     cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=BinaryClassificationEvaluator(labelCol="label"), foldCol="fold", numFolds=k)
@@ -160,7 +162,7 @@ def compare_strategies(df: DataFrame, columns: list[str], label: str, key: str,
     }
     parts = []
     for name, train_rows in sets.items():
-        model = (estimator or decision_tree()).fit(assembled(train_rows, columns))
+        model = (estimator or decision_tree()).fit(assembled(written(train_rows, name), columns))
         parts.append(evaluate(scores(model, held), "label").withColumn("strategy", F.lit(name)))
     out = reduce(DataFrame.unionByName, parts)
     return out.select("strategy", "f1", "precision", "recall", "roc_auc", "average_precision", "best_threshold").orderBy(F.col("f1").desc(), "strategy")

@@ -259,7 +259,8 @@ def _column_for(allowed) -> str:
 
 
 def allocate_budget(df: DataFrame, groups: list[str], order: list[str], zone: str = "zone_id",
-                    cfg: DecisionSettings = DEFAULT, in_run_cooldown: bool = False) -> DataFrame:
+                    cfg: DecisionSettings = DEFAULT, in_run_cooldown: bool = False,
+                    opening: DataFrame | None = None) -> DataFrame:
     """Add ``remaining_budget``: what is left of the group's budget when a row's turn comes.
 
     Rows take turns by ``order`` inside a budget group (say region and day). A row's choice depends
@@ -275,6 +276,7 @@ def allocate_budget(df: DataFrame, groups: list[str], order: list[str], zone: st
     run (rows of one zone repeat, as when all history is scored); each zone then contributes at
     most one spend per incentive. No group is ever gathered in one task.
 
+    ``opening`` (groups, opening_budget) replaces the full daily budget where earlier runs spent some.
     ``df`` is read a few times: give it a stored table (see ``session.written``) when it is the
     end of a long plan.
     """
@@ -288,18 +290,24 @@ def allocate_budget(df: DataFrame, groups: list[str], order: list[str], zone: st
             df = df.withColumn(f"cooling_{a.name}", F.lit(False))
     choices = {_column_for(k): v for k, v in _choices(cfg).items()}
     rows = df.withColumns({**({} if groups else {"_all": F.lit(0)}), "_turn": turn, **choices})
-    asked = rows.select(*keys, zone, "_turn", *choices)
+    full = F.lit(cfg.daily_budget).cast(MONEY)
+    if opening is None:
+        rows = rows.withColumn("_open", full)
+    else:
+        rows = rows.join(opening.select(*groups, F.col("opening_budget").cast(MONEY).alias("_given")), groups, "left") \
+            .withColumn("_open", F.coalesce("_given", full)).drop("_given")
+    asked = rows.select(*keys, zone, "_turn", "_open", *choices)
     spends = None
     for tier in range(len(names), 0, -1):
         open_names = names[:tier]
         need = costs[open_names[-1]]
         pool = asked
         if spends is None:
-            pool = pool.withColumn("_left", F.lit(cfg.daily_budget).cast(MONEY))
+            pool = pool.withColumn("_left", F.col("_open"))
         else:
             used = spends.groupBy(*keys).agg(F.sum("_cost").alias("_used"), F.max("_turn").alias("_since"))
             pool = pool.join(used, keys, "left").withColumn(
-                "_left", (F.lit(cfg.daily_budget).cast(MONEY) - F.coalesce("_used", F.lit(0).cast(MONEY))).cast(MONEY))
+                "_left", (F.col("_open") - F.coalesce("_used", F.lit(0).cast(MONEY))).cast(MONEY))
             since = F.col("_since")
             pool = pool.filter((F.col("_left") < F.lit(costs[names[tier]]).cast(MONEY))
                                & (since.isNull() | (F.col("_turn") > since)))
@@ -317,7 +325,7 @@ def allocate_budget(df: DataFrame, groups: list[str], order: list[str], zone: st
     joined = rows.join(ledger, keys, "left").withColumn(
         "_mine", F.filter("_ledger", lambda e: e["_turn"] < F.col("_turn")))
     spent = F.aggregate("_mine", F.lit(0).cast("decimal(22,4)"), lambda acc, e: (acc + e["_cost"]).cast("decimal(22,4)"))
-    left = F.greatest(F.lit(cfg.daily_budget).cast("decimal(22,4)") - F.coalesce(spent, F.lit(0).cast("decimal(22,4)")),
+    left = F.greatest(F.col("_open").cast("decimal(22,4)") - F.coalesce(spent, F.lit(0).cast("decimal(22,4)")),
                       F.lit(0).cast("decimal(22,4)")).cast("double")
     cols = {"remaining_budget": left}
     if in_run_cooldown:
@@ -325,7 +333,7 @@ def allocate_budget(df: DataFrame, groups: list[str], order: list[str], zone: st
             mine = F.filter("_mine", lambda e: e["_zone"] == F.col(zone))
             again = F.array_contains(F.transform(mine, lambda e: e["_took"]), n)
             cols[f"cooling_{n}"] = F.col(f"cooling_{n}") | F.coalesce(again, F.lit(False))
-    return joined.withColumns(cols).drop("_all", "_turn", "_ledger", "_mine", *choices)
+    return joined.withColumns(cols).drop("_all", "_turn", "_open", "_ledger", "_mine", *choices)
 
 
 def _cost_of(action: str, costs: dict[str, float]) -> Column:

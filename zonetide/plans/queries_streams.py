@@ -1 +1,110 @@
-"""placeholder"""
+"""Streams over the events, run until the source is exhausted.
+
+The watermark means that a stream emits a window only when later rows have passed it, so the SQL
+leaves out windows the stream is still holding open.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from zonetide.plans import proxies as P
+from zonetide.plans import sql as Q
+from zonetide.plans.catalogue import query
+from zonetide.session import scratch_path, use_utc
+from zonetide.sources.readers import table
+from zonetide.streaming import ingest, monitor, outcomes, state, windows
+
+_CLOSED = "(SELECT max(ts) - INTERVAL 15 MINUTE FROM events)"
+
+
+def event_stream(spark, folder):
+    """The events table as a file stream with zones and instants."""
+    schema = table(use_utc(spark), folder, "events").schema
+    # A pattern, because a stream reads folders and the table may be a single file.
+    raw = ingest.file_stream(spark, f"{folder}/events.parque[t]", schema)
+    return raw.withColumns({"timestamp": F.col("ts").cast("timestamp"), "zone_id": F.col("user_id") % P.ZONES + 1})
+
+
+@query("T-01", "SELECT event_id, user_id % 5 + 1 AS zone_id, ts AS timestamp FROM events")
+def stream_ingest(spark, folder):
+    return ingest.caught_up(event_stream(spark, folder).select("event_id", "zone_id", "timestamp"), "ingest")
+
+
+@query("T-02 T-10", f"""SELECT user_id % 5 + 1 AS zone_id, date_trunc('hour', ts) AS timestamp, CAST(count(*) AS BIGINT) AS taxi_count FROM events GROUP BY 1, 2
+  HAVING date_trunc('hour', max(ts)) + INTERVAL 1 HOUR <= {_CLOSED}""")
+def stream_tumbling(spark, folder):
+    return ingest.caught_up(windows.tumbling_counts(event_stream(spark, folder)), "tumbling")
+
+
+@query("T-02", f"""SELECT user_id % 5 + 1 AS zone_id, date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end,
+  CAST(round_even(avg(user_id), 0) AS INTEGER) AS user_id FROM events GROUP BY 1, 2, 3 HAVING date_trunc('hour', max(ts)) + INTERVAL 1 HOUR <= {_CLOSED}""")
+def stream_hourly_mean(spark, folder):
+    return ingest.caught_up(windows.tumbling_mean(event_stream(spark, folder), "user_id"), "hourly-mean")
+
+
+@query("T-03", f"""SELECT zone_id, w AS window_start, w + INTERVAL 1 HOUR AS window_end, CAST(round_even(avg(user_id), 0) AS INTEGER) AS user_id FROM (
+  SELECT user_id % 5 + 1 AS zone_id, user_id, unnest(generate_series(time_bucket(INTERVAL 5 MINUTE, ts) - INTERVAL 55 MINUTE, time_bucket(INTERVAL 5 MINUTE, ts), INTERVAL 5 MINUTE)) AS w FROM events)
+  GROUP BY 1, 2 HAVING w + INTERVAL 1 HOUR <= {_CLOSED}""")
+def stream_sliding(spark, folder):
+    return ingest.caught_up(windows.sliding_mean(event_stream(spark, folder), "user_id"), "sliding")
+
+
+@query("T-06 J-12", """SELECT recommendation_id, zone_id, scored_at, score_after, CASE WHEN ratio <= 0.70::DOUBLE THEN 'recovered' WHEN ratio <= 0.90::DOUBLE THEN 'improved'
+   WHEN ratio >= 1.10::DOUBLE THEN 'worsened' ELSE 'unchanged' END AS outcome FROM (SELECT *, CASE WHEN b > 0 THEN score / b ELSE 1.0::DOUBLE END AS ratio, """ + Q.r("score") + """ AS score_after FROM (
+  SELECT a.event_id AS recommendation_id, a.user_id AS zone_id, a.value / 100.0::DOUBLE AS b, min(c.ts) AS scored_at, arg_min(c.value / 100.0::DOUBLE, {'t': c.ts, 'v': c.value}) AS score FROM events a JOIN events c
+   ON c.user_id = a.user_id AND c.event_type = 'view' AND c.ts >= a.ts + INTERVAL 30 MINUTE AND c.ts <= a.ts + INTERVAL 24 HOUR WHERE a.event_type = 'purchase' GROUP BY 1, 2, 3))""")
+def stream_outcomes(spark, folder):
+    """Purchases as recommendations, views as later scores, users as zones."""
+    kind, zone = F.col("event_type"), F.col("user_id").alias("zone_id")
+    issued = event_stream(spark, folder).filter(kind == "purchase").select(
+        F.col("event_id").alias("recommendation_id"), zone, F.col("timestamp").alias("logged_at"), (F.col("value") / F.lit(100.0)).alias("score_at_time"))
+    scores = event_stream(spark, folder).filter(kind == "view").select(zone, F.col("timestamp").alias("scored_at"), (F.col("value") / F.lit(100.0)).alias("score"))
+    return outcomes.first_outcomes(ingest.caught_up(outcomes.matched(issued, scores), "outcomes"))
+
+
+@query("T-04 W-12", """SELECT zone_id, timestamp, CAST(sum(hit) OVER (PARTITION BY zone_id, island ORDER BY timestamp) AS INTEGER) AS persistence_count FROM (
+  SELECT *, sum(1 - hit) OVER (PARTITION BY zone_id ORDER BY timestamp) AS island FROM (SELECT user_id AS zone_id, ts AS timestamp, CAST(value / 100.0::DOUBLE > 0.25::DOUBLE AS INTEGER) AS hit FROM events))""")
+def stream_persistence(spark, folder):
+    """Run lengths per user, carried from batch to batch."""
+    rows = event_stream(spark, folder).select(F.col("user_id").alias("zone_id"), "timestamp", (F.col("value") / F.lit(100.0)).alias("predicted_shortage"))
+    at = scratch_path(spark, "persistence")
+    ingest.run_batches(rows, state.persistence_batches(spark, at), f"{at}/checkpoint")
+    return spark.read.parquet(f"{at}/rows").select("zone_id", "timestamp", "persistence_count")
+
+
+@query("T-07 A-23", f"""WITH t AS (SELECT value / 500.0::DOUBLE AS v, ts >= TIMESTAMP '2024-01-16' AS cur FROM events), s AS (SELECT min(v) AS lo, max(v) AS hi, (max(v) - min(v)) / 10.0::DOUBLE AS step FROM t),
+g AS (SELECT v, cur, lo, step, least(floor((v - lo) / step), 9) AS g FROM t, s), d AS (SELECT *, g - CASE WHEN v < lo + g * step THEN 1 ELSE 0 END AS d FROM g),
+c AS (SELECT d + CASE WHEN d < 9 AND v >= lo + (d + 1) * step THEN 1 ELSE 0 END AS bin, count(*) FILTER (WHERE NOT cur) AS c0, count(*) FILTER (WHERE cur) AS c1 FROM d GROUP BY 1)
+SELECT {Q.r('sum((a - e) * ln(a / e))')} AS psi, CAST((SELECT count(*) FROM t) AS BIGINT) AS rows_compared FROM (SELECT greatest(c0 / sum(c0) OVER (), 1e-6::DOUBLE) AS e, greatest(c1 / sum(c1) OVER (), 1e-6::DOUBLE) AS a FROM c)""")
+def stream_drift(spark, folder):
+    """Two files, two batches: the second is compared with the first (the measure is symmetric)."""
+    at = scratch_path(spark, "drift")
+    half = (F.col("ts") >= F.lit("2024-01-16").cast("timestamp")).cast("int")
+    e = P.events(spark, folder).select((F.col("value") / F.lit(500.0)).alias("delay_risk_score"), half.alias("half"))
+    e.repartition("half").write.partitionBy("half").parquet(f"{at}/files")
+    rows = ingest.file_stream(spark, f"{at}/files", e.schema, max_files=1)
+    ingest.run_batches(rows, monitor.drift_batches(spark, at), f"{at}/checkpoint")
+    reports = monitor.drift_reports(spark, at)
+    return reports.select("psi", (F.col("reference_n") + F.col("current_n")).alias("rows_compared"))
+
+
+@query("T-09 S-18", """SELECT CAST(count(DISTINCT h) AS BIGINT) AS runs, CAST(count(*) AS BIGINT) AS zone_rows, CAST(sum(v) AS BIGINT) AS events FROM (
+  SELECT date_trunc('hour', ts) AS h, user_id % 5 + 1 AS zone_id, count(*) AS v FROM events GROUP BY 1, 2
+  HAVING date_trunc('hour', max(ts)) IN (SELECT DISTINCT date_trunc('hour', ts) FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 15 MINUTE FROM events) ORDER BY 1 DESC LIMIT 336))""")
+def stream_history(spark, folder):
+    """Hourly counts appended to a day-partitioned history; the newest 336 runs are read back."""
+    hourly = windows.tumbling_counts(event_stream(spark, folder)).withColumn("delay_risk_score", F.lit(0.5))
+    at = scratch_path(spark, "history")
+    ingest.run_batches(hourly, monitor.history_batches(f"{at}/rows"), f"{at}/checkpoint")
+    kept = monitor.recent_history(spark.read.parquet(f"{at}/rows"))
+    return kept.agg(F.count_distinct("run_ts").alias("runs"), F.count(F.lit(1)).alias("zone_rows"), F.sum("taxi_count").alias("events"))
+
+
+@query("T-08", "SELECT DISTINCT user_id % 40 AS alert_number FROM events WHERE event_type = 'error'")
+def stream_alert_ids(spark, folder):
+    """Which alerts were ever emitted; each id passes at most once per day of event time."""
+    alerts = event_stream(spark, folder).filter(F.col("event_type") == "error").select(
+        F.concat(F.lit("A"), (F.col("user_id") % 40).cast("string")).alias("alert_id"), F.col("timestamp").alias("created_at"))
+    out = ingest.caught_up(monitor.first_alerts(alerts), "alerts")
+    return out.select(F.substring("alert_id", 2, 9).cast("long").alias("alert_number")).distinct()
