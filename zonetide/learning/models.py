@@ -29,11 +29,9 @@ VECTOR = "features"
 
 
 def assembled(df: DataFrame, columns: list[str], out: str = VECTOR) -> DataFrame:
-    """Feature columns as one vector; flags become 0/1."""
-    kinds = dict(df.dtypes)
-    flags = {c: F.col(c).cast("int") for c in columns if kinds[c] == "boolean"}
-    typed = df.withColumns(flags) if flags else df
-    return VectorAssembler(inputCols=columns, outputCol=out, handleInvalid="keep").transform(typed)
+    """Feature columns as one vector; flags become 0/1 and missing values 0, as in scoring."""
+    typed = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns})
+    return VectorAssembler(inputCols=columns, outputCol=out).transform(typed)
 
 
 def one_hot(columns: list[str]) -> Pipeline:
