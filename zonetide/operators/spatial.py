@@ -77,7 +77,8 @@ def _by_grid(points: DataFrame, zones: DataFrame, attributes: list[str], lat: st
         left = met.filter(~sure).select(*points.columns)
     # Whatever is further out than the widest grid is compared with every zone, folded per row.
     everything = unique.agg(F.collect_list(F.struct("_zlat", "_zlon", "z"))).scalar()
-    rest = left.withColumn("_all", everything).withColumn("_hit", F.array_min(F.transform(
+    known = F.col(lat).isNotNull() & F.col(lon).isNotNull()
+    rest = left.withColumn("_all", F.when(known, everything)).withColumn("_hit", F.array_min(F.transform(
         "_all", lambda e: F.struct(_gap2(lat, lon, e["_zlat"], e["_zlon"]).alias("d2"), e["z"].alias("z")))))
     return done.unionByName(rest.select(*points.columns, *[F.col(f"_hit.z.{a}").alias(a) for a in attributes]))
 

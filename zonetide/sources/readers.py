@@ -71,9 +71,10 @@ def read_timed_files(spark: SparkSession, path: str, tz: str = S.LOCAL_TIMEZONE,
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Log of one JSON object per line; lines that do not parse are skipped."""
-    full = f"{schema}, {BAD} string"
-    raw = spark.read.schema(full).option("columnNameOfCorruptRecord", BAD).option("mode", "PERMISSIVE").json(path)
-    return raw.filter(F.col(BAD).isNull()).drop(BAD)
+    how = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    parsed = lines.select(F.from_json("value", f"{schema}, {BAD} string", how).alias("r"))
+    return parsed.filter(F.col("r").isNotNull() & F.col(f"r.{BAD}").isNull()).select("r.*").drop(BAD)
 
 
 def newest_lines(log: DataFrame, n: int, by: str = "timestamp") -> DataFrame:
@@ -131,8 +132,8 @@ def edges(adjacency: DataFrame) -> DataFrame:
 def read_holidays(spark: SparkSession, path: str | None) -> DataFrame:
     """Holiday dates from JSON (wrapped records or a plain list); the built-in dates without a file."""
     if path is None:
-        days = F.array(*[F.lit(d) for d in S.PUBLIC_HOLIDAYS])
-        return spark.range(1).select(F.explode(days).cast("date").alias("day"))
+        days = F.array(*[F.lit(d) for d in S.PUBLIC_HOLIDAYS]).cast("array<date>")
+        return spark.range(1).select(F.explode(days).alias("day"))
     both = f"{schemas.HOLIDAY_PAYLOAD}, {schemas.HOLIDAY_ROW}"
     raw = spark.read.schema(both).option("multiLine", True).json(path)
     rows = F.when(F.col("result").isNotNull(), F.col("result.records")).otherwise(
