@@ -21,7 +21,8 @@ def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFram
     """n / (2 * class size): both classes weigh the same in total."""
     n, pos = F.count(F.lit(1)), F.count_if(F.col(label) == 1)
     one = df.agg((n / (F.lit(2.0) * F.greatest(pos, F.lit(1)))).alias("p"), (n / (F.lit(2.0) * F.greatest(n - pos, F.lit(1)))).alias("q"))
-    return df.withColumn(out, F.when(F.col(label) == 1, one.select("p").scalar()).otherwise(one.select("q").scalar()))
+    both = one.select(F.struct("p", "q")).scalar()
+    return df.withColumn(out, F.when(F.col(label) == 1, both["p"]).otherwise(both["q"]))
 
 
 def oversample(df: DataFrame, label: str, keys: list[str], seed: int = 0) -> DataFrame:

@@ -29,7 +29,7 @@ def curve(df: DataFrame, label: str = "y", score: str = "p", groups: list[str] |
     totals = counts.groupBy(*groups).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
     if groups:
         return run.join(totals, groups)
-    return run.withColumns({c: totals.select(c).scalar() for c in ("all_pos", "all_neg")})
+    return run.withColumn("_t", totals.select(F.struct("all_pos", "all_neg")).scalar()).select("*", "_t.*").drop("_t")
 
 
 def _f1(tp: Column, fp: Column, pos: Column) -> Column:
@@ -72,7 +72,7 @@ def evaluate(df: DataFrame, label: str = "y", score: str = "p", groups: list[str
     if groups:
         joined = ranked.join(spread, groups)
     else:
-        joined = ranked.withColumns({c: spread.select(c).scalar() for c in spread.columns})
+        joined = ranked.withColumn("_s", spread.select(F.struct(*spread.columns)).scalar()).select("*", "_s.*").drop("_s")
     return joined.withColumn("pct_above_threshold", round_even((F.col("tp") + F.col("fp")) / F.col("n_test"))) \
         .withColumn("best_threshold", round_even("threshold")).drop("threshold")
 

@@ -58,13 +58,17 @@ def newest_records(records: DataFrame, n: int = 1000, order: tuple[str, ...] = (
     return records.orderBy(*[F.col(c).desc() for c in order]).limit(n)
 
 
-def _mean(value: str, where: Column) -> Column:
-    """Exact mean: scores and money have few decimals, so decimals add up without rounding noise."""
-    v = F.when(where, F.col(value))
-    return F.coalesce(F.sum(v.cast("decimal(18,6)")).cast("double") / F.nullif(F.count(v), F.lit(0)), F.lit(0.0))
+_MEANS = ("delta", "supply", "cost")
+_COUNTS = ("total", "resolved", "_followed", "_known", "followed_resolved", "unfollowed_resolved",
+           *[f"_{t}_{c}" for t in "fr" for c in ("rec", "imp", *[f"{m}_n" for m in _MEANS])])
+_SUMS = tuple(f"_{t}_{m}_sum" for t in "fr" for m in _MEANS)
 
 
 def _effect_sums() -> list[Column]:
+    """Counts and sums only, so that partial results can be added up again.
+
+    Scores and money have few decimals; as decimals they add up without rounding noise.
+    """
     done = F.col("outcome").isNotNull()
     followed = F.coalesce(F.col("followed_status") == "followed", F.lit(False))
     skipped = F.coalesce(F.col("followed_status") == "not_followed", F.lit(False))
@@ -72,14 +76,21 @@ def _effect_sums() -> list[Column]:
             count_where(followed).alias("_followed"), count_where(followed | skipped).alias("_known"),
             count_where(done & followed).alias("followed_resolved"),
             count_where(done & skipped).alias("unfollowed_resolved")]
+    sources = dict(zip(_MEANS, ("_delta", "supply_delta_30m", "estimated_cost_sgd")))
     for tag, rows in (("f", done & followed), ("r", done)):
         sums += [count_where(rows & (F.col("outcome") == "recovered")).alias(f"_{tag}_rec"),
-                 count_where(rows & F.col("outcome").isin("recovered", "improved")).alias(f"_{tag}_imp"),
-                 _mean("_delta", rows).alias(f"_{tag}_delta"), _mean("supply_delta_30m", rows).alias(f"_{tag}_supply"),
-                 _mean("estimated_cost_sgd", rows).alias(f"_{tag}_cost")]
+                 count_where(rows & F.col("outcome").isin("recovered", "improved")).alias(f"_{tag}_imp")]
+        for name, source in sources.items():
+            v = F.when(rows, F.col(source))
+            sums += [F.count(v).alias(f"_{tag}_{name}_n"), F.sum(v.cast("decimal(18,6)")).alias(f"_{tag}_{name}_sum")]
     return sums
 
 
+def _added_up() -> list[Column]:
+    """Totals of partial counts and sums."""
+    return [F.sum(c).alias(c) for c in (*_COUNTS, *_SUMS)]
+
+
 def _prepared(records: DataFrame) -> DataFrame:
     cols = {"_delta": F.col("score_after").cast("decimal(18,6)") - F.col("score_at_time").cast("decimal(18,6)")}
     for missing in ("supply_delta_30m", "estimated_cost_sgd"):
@@ -101,10 +112,13 @@ def _finished(summed: DataFrame, keys: list[str]) -> DataFrame:
     def pick(name: str) -> Column:
         return F.when(use_followed, F.col(f"_f_{name}")).otherwise(F.col(f"_r_{name}"))
 
+    def mean(name: str) -> Column:
+        return F.coalesce(pick(f"{name}_sum").cast("double") / F.nullif(pick(f"{name}_n"), F.lit(0)), F.lit(0.0))
+
     n = F.when(use_followed, F.col("followed_resolved")).otherwise(F.col("resolved"))
     smooth = lambda hits: F.when(n > 0, (hits + F.lit(1)) / (n + F.lit(2))).otherwise(F.lit(0.0))
     df = summed.withColumns({"_n": n, "_rr": smooth(pick("rec")), "_ir": smooth(pick("imp")),
-                             "_d": pick("delta"), "_s": pick("supply"), "_c": pick("cost")})
+                             "_d": mean("delta"), "_s": mean("supply"), "_c": mean("cost")})
     benefit = (F.col("_rr") * F.lit(2.0) + F.col("_ir") + F.greatest(F.col("_s"), F.lit(0.0)) * F.lit(0.1)
                + F.greatest(-F.col("_d"), F.lit(0.0)) * F.lit(5.0))
     return df.withColumns({
@@ -223,12 +237,14 @@ def _rungs(df: DataFrame) -> DataFrame:
 def context_effectiveness(records: DataFrame, contexts: DataFrame, enough: int = S.MIN_EVIDENCE) -> DataFrame:
     """Effectiveness for each context from the narrowest rung with enough resolved outcomes.
 
-    All rungs are summed in one pass over the records (nine grouping sets, combined on the map side);
-    contexts then look their rungs up. Null keys match null keys of the same rung only.
+    Records are summed once per full context; those few sums are then added up along the nine rungs,
+    so the records themselves are neither copied nor read again. Contexts look their rungs up; null
+    keys match null keys of the same rung only.
     """
     wanted = contexts.select(*LADDER_KEYS).distinct()
     rung_keys = ["rung", *[f"_k_{k}" for k in LADDER_KEYS]]
-    stats = _finished(_rungs(_prepared(records)).groupBy(*rung_keys).agg(*_effect_sums()), rung_keys)
+    finest = _prepared(records).groupBy(*LADDER_KEYS).agg(*_effect_sums())
+    stats = _finished(_rungs(finest).groupBy(*rung_keys).agg(*_added_up()), rung_keys)
     asked = _rungs(wanted).alias("a")
     found = stats.alias("s")
     match = F.col("a.rung") == F.col("s.rung")

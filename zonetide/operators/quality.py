@@ -90,11 +90,13 @@ def profile(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def describe(df: DataFrame, column: str) -> DataFrame:
     """Count, mean, sample deviation, range and exact quartiles of one column."""
-    quartiles = exact_quantiles(df, column, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    names = ("p25", "p50", "p75")
+    # One subquery for all three, not one each.
+    quartiles = exact_quantiles(df, column, dict(zip(names, (0.25, 0.5, 0.75)))).select(F.struct(*names)).scalar()
     c = F.col(column).cast("double")
     stats = df.agg(F.count(c).alias("n"), F.avg(c).alias("mean_value"), F.stddev_samp(c).alias("std_value"),
                    F.min(c).alias("min_value"), F.max(c).alias("max_value"))
-    return stats.withColumns({q: quartiles.select(q).scalar() for q in ("p25", "p50", "p75")})
+    return stats.withColumn("_q", quartiles).select("*", "_q.*").drop("_q")
 
 
 def duplicates_on(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -173,7 +175,7 @@ def coverage(df: DataFrame, lag_columns: list[str], ts: str = "timestamp", min_h
                     for c in lag_columns])
     one = hours.select(F.col("n").alias("distinct_hours"), zones.scalar().alias("distinct_zones"),
                        span.alias("span_hours"), (span >= min_hours).alias("ready"))
-    return one.withColumns({f"{c}_coverage": lags.select(f"{c}_coverage").scalar() for c in lag_columns})
+    return one.withColumn("_c", lags.select(F.struct(*[f"{c}_coverage" for c in lag_columns])).scalar()).select("*", "_c.*").drop("_c")
 
 
 def leakage_audit(df: DataFrame) -> DataFrame:

@@ -137,7 +137,7 @@ def gate(candidate: DataFrame, active: DataFrame, removed: DataFrame, stability:
     f1, auc = (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("f1", "roc_auc"))
     worse = F.coalesce(compare_versions(candidate, active).agg(F.bool_or("regressed")).scalar(), F.lit(False))
     gone = F.coalesce(removed.agg(F.array_join(F.sort_array(F.collect_set("feature")), ", ")).scalar(), F.lit(""))
-    stat = {c: stability.select(c).scalar() for c in ("candidate_std", "active_std", "lowest", "highest", "n_scored", "n_rows")}
+    stat = stability.select(F.struct("candidate_std", "active_std", "lowest", "highest", "n_scored", "n_rows")).scalar()
     checked = candidate.withColumns({
         "performance_ok": (f1 >= min_f1) & (auc >= min_auc), "regression_ok": ~worse, "schema_ok": gone == "",
         "integration_ok": (stat["n_scored"] == stat["n_rows"]) & (stat["lowest"] >= 0) & (stat["highest"] <= 1),
@@ -163,7 +163,8 @@ def gate(candidate: DataFrame, active: DataFrame, removed: DataFrame, stability:
 def model_impact(drift: DataFrame, versions: DataFrame, now: Column) -> DataFrame:
     """Drift and metrics of the active model in words, with the lineage as an array, one row."""
     active = active_version(versions)
-    at = {c: active.select(c).limit(1).scalar() for c in ("version_id", "precision", "recall", "f1", "trained_at")}
+    row = active.select(F.struct("version_id", "precision", "recall", "f1", "trained_at")).limit(1).scalar()
+    at = {c: row[c] for c in ("version_id", "precision", "recall", "f1", "trained_at")}
     entry = F.struct("trained_at", "version_id", "status", "f1", "roc_auc")
     # The lineage is short by construction: active, candidate, two previous.
     tree = lineage(versions).agg(F.sort_array(F.collect_list(entry), asc=False)).scalar()
@@ -181,8 +182,8 @@ def model_impact(drift: DataFrame, versions: DataFrame, now: Column) -> DataFram
 def model_status(versions: DataFrame) -> DataFrame:
     """Active version beside the candidate under test, one row even when there is neither."""
     active, candidate = active_version(versions), versions.filter(F.col("version_id") == newest_candidate(versions))
-    a = {c: active.select(c).limit(1).scalar() for c in ("version_id", "promoted_at", "trained_at", *METRICS)}
-    c = {k: candidate.select(k).limit(1).scalar() for k in ("version_id", "f1", "roc_auc")}
+    a = active.select(F.struct("version_id", "promoted_at", "trained_at", *METRICS)).limit(1).scalar()
+    c = candidate.select(F.struct("version_id", "f1", "roc_auc")).limit(1).scalar()
     return versions.sparkSession.range(1).select(
         a["version_id"].alias("active_version"), a["promoted_at"].alias("promoted_at"),
         a["trained_at"].alias("last_retrained_at"), *[a[m].alias(m) for m in METRICS],
