@@ -130,12 +130,10 @@ def snapshot_alerts(now_rows: DataFrame, drift_flag: Column, now: Column, many:
 
 def latest_or_default(rows: DataFrame, defaults: Mapping[str, object], by: str = "timestamp") -> DataFrame:
     """The newest row, or one row of defaults when there is none."""
-    last = newest(rows, 1, by).withColumn("_k", F.lit(1))
-    blank = rows.sparkSession.range(1).select(F.lit(1).alias("_k"))
     kinds = dict(rows.dtypes)
-    return blank.join(last, "_k", "left").select(*[
-        F.when(F.col("_k").isNotNull(), F.coalesce(F.col(c), F.lit(defaults[c]).cast(kinds[c])) if c in defaults else F.col(c)).alias(c)
-        for c in rows.columns])
+    blank = rows.sparkSession.range(1).select(*[F.lit(defaults.get(c)).cast(kinds[c]).alias(c) for c in rows.columns])
+    either = newest(rows, 1, by).withColumn("_rank", F.lit(0)).unionByName(blank.withColumn("_rank", F.lit(1)))
+    return either.orderBy("_rank").limit(1).drop("_rank")
 
 
 def freshness(last_seen: DataFrame, now: Column, stale_seconds: int = 3600) -> DataFrame:

@@ -113,6 +113,32 @@ def rollback_events(versions: DataFrame, at: Column) -> DataFrame:
     return _status_events(old, "rolled_back", at, 0, False).unionByName(_status_events(target, "active", at, 1, True))
 
 
+def rollback_audit(judged: DataFrame, versions: DataFrame, now: Column) -> DataFrame:
+    """Audit rows for runs that call for a rollback: what was left, what was gone back to, and why.
+
+    ``judged`` has run_id, model_version, should_rollback and rollback_reason. Without a previous
+    version the attempt is recorded as failed.
+    """
+    target = rollback_target(versions).select("version_id").scalar()
+    # Event names and wording.
+    return judged.filter("should_rollback").select(
+        F.when(target.isNotNull(), "rollback").otherwise("rollback_failed").alias("event"),
+        F.coalesce("model_version", F.lit("unknown")).alias("from_version"), target.alias("to_version"),
+        F.when(target.isNotNull(), F.col("rollback_reason")).otherwise(
+            "rollback attempted but failed: No previous stable version to roll back to").alias("reason"),
+        "run_id", now.alias("timestamp"))
+
+
+def rollback_alerts(audit: DataFrame) -> DataFrame:
+    """The alert beside each audit row."""
+    done = F.col("event") == "rollback"
+    # Alert wording.
+    text = F.when(done, F.format_string("Model rolled back: %s → %s. Reason: %s", "from_version", "to_version", "reason")).otherwise(
+        F.format_string("Rollback failed for %s: %s", "from_version", F.regexp_replace("reason", "^rollback attempted but failed: ", "")))
+    return audit.select(F.when(done, "ROLLBACK_OCCURRED").otherwise("ROLLBACK_FAILED").alias("alert_id"), F.lit("high").alias("severity"),
+                        text.alias("message"), F.lit(None).cast("int").alias("zone_id"), F.col("timestamp").alias("created_at"))
+
+
 def compare_versions(candidate: DataFrame, active: DataFrame, metrics=METRICS, worst: float = -0.05) -> DataFrame:
     """Candidate against active per metric; a relative loss of more than 5 % is a regression."""
     tall = lambda df, name: df.select([F.coalesce(F.col(m).cast("double"), F.lit(0.0)).alias(m) for m in metrics]) \

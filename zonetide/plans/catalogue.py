@@ -43,6 +43,7 @@ def catalogue() -> dict[str, Query]:
         queries_outcomes,
         queries_quality,
         queries_reports,
+        queries_sources,
         queries_streams,
     )
 

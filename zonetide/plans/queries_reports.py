@@ -225,6 +225,16 @@ def rollback_target(spark, folder):
     return V.rollback_target(V.current_versions(P.version_events(spark, folder))).select("version_id", "status")
 
 
+_TARGET = "(SELECT version_id FROM ranked WHERE status = 'previous' ORDER BY recency DESC, version_id DESC LIMIT 1)"
+
+
+@query("G-05", Q.with_(Q.VERSIONS, Q.RUNS) + f"""SELECT 'rollback' AS event, model_version AS from_version, {_TARGET} AS to_version, run_id FROM runs
+  WHERE (rows_scored > 0 AND failed_rows / (rows_scored + failed_rows) > 0.20::DOUBLE) OR psi > 0.25 OR drift_flag""")
+def rollback_audit(spark, folder):
+    judged = DR.rollback_rule(P.runs(spark, folder))
+    return V.rollback_audit(judged, V.current_versions(P.version_events(spark, folder)), P.now()).select("event", "from_version", "to_version", "run_id")
+
+
 @query("G-02 G-09", Q.with_(Q.VERSIONS) + """SELECT a.version_id AS active_version, a.trained_at AS last_retrained_at, a.f1, u.version_id AS candidate_version FROM
   (SELECT * FROM ver WHERE status = 'active') a, undertest u""")
 def model_status(spark, folder):

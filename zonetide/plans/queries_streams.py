@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from zonetide.plans import proxies as P
 from zonetide.plans import sql as Q
 from zonetide.plans.catalogue import query
+from zonetide.plans.queries_decisions import SMALL_BUDGET, _replay_sql
 from zonetide.session import scratch_path, use_utc
 from zonetide.sources.readers import table
 from zonetide.streaming import ingest, monitor, outcomes, state, windows
@@ -101,6 +102,16 @@ def stream_history(spark, folder):
     return kept.agg(F.count_distinct("run_ts").alias("runs"), F.count(F.lit(1)).alias("zone_rows"), F.sum("taxi_count").alias("events"))
 
 
+@query("T-04 T-05 N-05", _replay_sql("CAST(d.timestamp AS DATE)", False))
+def stream_decisions(spark, folder):
+    """Scored zone-hours as a stream: run lengths, surplus, cooldown and the day's budget per batch."""
+    at = scratch_path(spark, "decide")
+    P.scored(spark, folder).write.parquet(f"{at}/scored")
+    rows = ingest.file_stream(spark, f"{at}/scored", spark.read.parquet(f"{at}/scored").schema)
+    ingest.run_batches(rows, state.decide_batches(spark, at, P.ring(spark), ["day"], SMALL_BUDGET), f"{at}/checkpoint")
+    return spark.read.parquet(f"{at}/decisions").select("zone_id", "timestamp", "remaining_budget", "recommended_action")
+
+
 @query("T-08", "SELECT DISTINCT user_id % 40 AS alert_number FROM events WHERE event_type = 'error'")
 def stream_alert_ids(spark, folder):
     """Which alerts were ever emitted; each id passes at most once per day of event time."""
