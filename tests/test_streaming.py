@@ -104,7 +104,7 @@ def test_decisions_over_batches(spark, tmp_path):
     assert [c for c, _, _ in by_hour[0]] == [1, 1, 1] and "incentive" not in [a for _, a, _ in by_hour[0]]
     assert [a for _, a, _ in by_hour[1]].count("incentive") == 2 and [b for _, _, b in by_hour[1]] == [4.0, 2.5, 1.0]
     assert [b for _, _, b in by_hour[2]] == [1.0, 1.0, 1.0] and len(by_hour[3]) == 3
-    assert spark.read.parquet(str(tmp_path / "spends")).filter("batch >= 0").count() == 2
+    assert [float(r["spent"]) for r in spark.read.parquet(str(tmp_path / "spends/batch=3")).collect()] == [3.0]
 
 
 def test_drift_and_history_batches(spark, tmp_path):

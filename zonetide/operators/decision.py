@@ -397,7 +397,10 @@ def decide_zones(scored: DataFrame, edges: DataFrame, now: Column, groups: list[
     counted = persistence_counts(scored, F.col("predicted_shortage") > cfg.monitor_max, carried=carried)
     if scope == "latest":
         counted = latest_snapshot(counted, newest=newest)
-    placed = with_cooldowns(with_neighbor_surplus(counted, edges, cfg.surplus_buffer), last, now, cfg)
+    # A neighbour's supply is its last known one, whichever rows are being decided.
+    around = neighbor_surplus(edges, zone_snapshot(scored), cfg.surplus_buffer).withColumnRenamed("zone", "zone_name")
+    near = counted.join(around, "zone_name", "left").withColumn("neighbor_surplus", F.coalesce("neighbor_surplus", F.lit(0.0)))
+    placed = with_cooldowns(near, last, now, cfg)
     turns = order or ["zone_id", "timestamp"]
     funded = allocate_budget(written(placed, "decision-rows"), groups, turns, cfg=cfg, in_run_cooldown=scope == "all")
     return decide(funded, cfg)

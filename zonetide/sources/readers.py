@@ -111,13 +111,13 @@ def read_adjacency_text(spark: SparkSession, path: str) -> DataFrame:
     """
     text = spark.read.option("wholetext", True).text(path)
     lines = F.filter(F.split("value", r"\r?\n"), lambda x: (F.trim(x) != "") & ~F.ltrim(x).startswith("#"))
-    line = text.select(F.posexplode(lines).alias("pos", "line"))
+    line = text.select(F.col("_metadata.file_path").alias("file"), F.posexplode(lines).alias("pos", "line"))
     head = F.regexp_extract("line", r"^([^\s#-][^:]*):", 1)
     inline = F.regexp_extract("line", r"^[^\s#-][^:]*:\s*\[(.*)\]", 1)
     item = F.regexp_extract("line", r"^\s*-\s*(.+?)\s*$", 1)
     from pyspark.sql import Window as W
 
-    order = W.orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    order = W.partitionBy("file").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     named = line.select(F.last(F.when(head != "", head), ignorenulls=True).over(order).alias("zone"),
                         F.when(inline != "", F.split(inline, r"\s*,\s*")).when(item != "", F.array(item)).alias("neighbors"))
     clean = lambda c: F.regexp_replace(F.trim(c), r"^[\"']|[\"']$", "")

@@ -14,12 +14,12 @@ def drift_batches(spark, folder: str, score: str = "delay_risk_score"):
     """A ``foreachBatch`` function: compare each batch's scores with the batch before it."""
 
     def step(batch: DataFrame, number: int) -> None:
-        batch.select(score).write.mode("overwrite").parquet(f"{folder}/scores/batch={number}")
-        stored = spark.read.schema(f"{score} double, batch long").parquet(f"{folder}/scores")
-        previous = stored.filter(F.col("batch") < number)
-        newest = previous.agg(F.max("batch")).scalar()
-        report = DR.score_drift(previous.filter(F.col("batch") == newest), stored.filter(F.col("batch") == number), score)
-        report.write.mode("overwrite").parquet(f"{folder}/reports/batch={number}")
+        here, before = (f"{folder}/scores/batch={n}" for n in (number, number - 1))
+        batch.select(score).write.mode("overwrite").parquet(here)
+        if number == 0:
+            return
+        stored = [spark.read.schema(f"{score} double").parquet(path) for path in (before, here)]
+        DR.score_drift(*stored, score).write.mode("overwrite").parquet(f"{folder}/reports/batch={number}")
 
     return step
 
@@ -42,7 +42,8 @@ def history_batches(folder: str, keep_days: int = S.HISTORY_DAYS, run_ts: Column
 
     def step(batch: DataFrame, number: int) -> None:
         rows = SC.history_rows(batch, "timestamp" if run_ts is None else run_ts)
-        rows.withColumn("run_day", F.to_date("run_ts")).write.mode("append").partitionBy("run_day").parquet(folder)
+        # Overwriting its own folder makes a retried batch harmless.
+        rows.withColumn("run_day", F.to_date("run_ts")).write.mode("overwrite").partitionBy("run_day").parquet(f"{folder}/batch={number}")
 
     return step
 

@@ -1,7 +1,6 @@
 """State carried from batch to batch: run lengths, last actions, the day's budget.
 
-The state is kept as small append-only tables that each micro-batch reads and adds to, and the
-batch itself is computed by the same distributed operators as a nightly run. A zone with a third
+The state is kept as small tables that each micro-batch reads and stores anew, and the batch itself is computed by the same distributed operators as a nightly run. A zone with a third
 of the rows, or a backlog of months in the first batch, is then no problem: no zone's rows have to
 meet in one task, which a per-key state function would require.
 """
@@ -16,27 +15,33 @@ from zonetide.session import written
 from zonetide.settings import DecisionSettings
 
 RUNS = "zone_id long, timestamp timestamp, carried_count int"
+ACTIONS = "zone_id long, action string, acted_at timestamp"
 
 
-def _earlier(spark: SparkSession, folder: str, name: str, schema: str, number: int) -> DataFrame:
-    """State rows written by batches before this one. A retried batch never sees its own rows."""
-    base = f"{folder}/{name}"
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{base}/batch=-1")
-    return spark.read.schema(f"{schema}, batch long").parquet(base).filter(F.col("batch") < number)
+def _state(spark: SparkSession, folder: str, name: str, schema: str, number: int) -> DataFrame:
+    """The state as the batch before left it: one folder, however long the stream has been running.
+
+    Every batch stores the whole (small) state again, so a retried batch starts from the same state
+    and replaces only its own output; folders of older batches may be deleted at any time.
+    """
+    if number == 0:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{folder}/{name}/batch={number - 1}")
 
 
 def _store(df: DataFrame, folder: str, name: str, number: int) -> None:
-    """A batch's part of a table; running the batch again replaces it, so nothing counts twice."""
     df.write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
 
 
 def _carried(runs: DataFrame) -> DataFrame:
-    return runs.groupBy("zone_id").agg(F.max_by("carried_count", F.struct("timestamp", "batch")).alias("carried_count"))
+    return runs.select("zone_id", "carried_count")
 
 
-def _run_ends(counted: DataFrame) -> DataFrame:
-    last = F.max_by("persistence_count", "timestamp").alias("carried_count")
-    return counted.groupBy("zone_id").agg(F.max("timestamp").alias("timestamp"), last).select("zone_id", "timestamp", "carried_count")
+def _next_runs(runs: DataFrame, counted: DataFrame) -> DataFrame:
+    """Last run length per zone: new where the batch has the zone, else as before."""
+    ends = counted.select(F.col("zone_id").cast("long").alias("zone_id"), "timestamp", F.col("persistence_count").alias("carried_count"))
+    last = F.max_by(F.struct("timestamp", "carried_count"), "timestamp")
+    return runs.unionByName(ends).groupBy("zone_id").agg(last.alias("r")).select("zone_id", "r.*")
 
 
 def persistence_batches(spark: SparkSession, folder: str, threshold: float = DecisionSettings().monitor_max, period: str = "day"):
@@ -47,10 +52,10 @@ def persistence_batches(spark: SparkSession, folder: str, threshold: float = Dec
 
     def step(batch: DataFrame, number: int) -> None:
         rows = written(batch.select("zone_id", "timestamp", "predicted_shortage"), "batch-rows")
-        carried = _carried(_earlier(spark, folder, "runs", RUNS, number))
-        counted = written(D.persistence_counts(rows, F.col("predicted_shortage") > threshold, carried=carried, period=period), "counted")
+        runs = _state(spark, folder, "runs", RUNS, number)
+        counted = written(D.persistence_counts(rows, F.col("predicted_shortage") > threshold, carried=_carried(runs), period=period), "counted")
         _store(counted, folder, "rows", number)
-        _store(_run_ends(counted), folder, "runs", number)
+        _store(_next_runs(runs, counted), folder, "runs", number)
 
     return step
 
@@ -58,30 +63,31 @@ def persistence_batches(spark: SparkSession, folder: str, threshold: float = Dec
 def decide_batches(spark, folder: str, edges: DataFrame, groups: list[str], cfg: DecisionSettings = DecisionSettings()):
     """A ``foreachBatch`` function: decide a batch with the state left by earlier ones.
 
-    State tables under ``folder`` are append-only and tagged with the batch number; a batch that is
-    retried after a failure overwrites only its own part, so nothing is counted twice.
     Rows need zone_id, zone_name, timestamp, predicted_shortage, taxi_count and baseline_supply.
+    State: the last run length per zone, the last time of each action per zone, and what each budget
+    group spent per day.
     """
     kinds = {g: "date" if g == "day" else "string" for g in groups}
-    spend_schema = ", ".join(f"{g} {k}" for g, k in kinds.items()) + ", cost decimal(12,4)"
-    action_schema = "zone_id long, action string, acted_at timestamp"
+    spend_schema = ", ".join(f"{g} {k}" for g, k in kinds.items()) + ", spent decimal(22,4)"
 
     def step(batch: DataFrame, number: int) -> None:
         rows = written(batch.withColumn("day", F.to_date("timestamp")), "batch-rows")
         now: Column = rows.agg(F.max("timestamp")).scalar()
-        carried = _carried(_earlier(spark, folder, "runs", RUNS, number))
-        counted = D.persistence_counts(rows, F.col("predicted_shortage") > cfg.monitor_max, carried=carried, period="day")
-        last = D.last_actions(_earlier(spark, folder, "actions", action_schema, number), cfg)
-        placed = D.with_cooldowns(D.with_neighbor_surplus(counted, edges, cfg.surplus_buffer), last, now, cfg)
-        spent = _earlier(spark, folder, "spends", spend_schema, number).groupBy(*groups).agg(F.sum("cost").alias("spent"))
+        runs = _state(spark, folder, "runs", RUNS, number)
+        acted = _state(spark, folder, "actions", ACTIONS, number)
+        spent = _state(spark, folder, "spends", spend_schema, number)
+        counted = D.persistence_counts(rows, F.col("predicted_shortage") > cfg.monitor_max, carried=_carried(runs), period="day")
+        placed = D.with_cooldowns(D.with_neighbor_surplus(counted, edges, cfg.surplus_buffer), D.last_actions(acted, cfg), now, cfg)
         left = F.greatest(F.lit(cfg.daily_budget).cast("decimal(22,4)") - F.col("spent"), F.lit(0).cast("decimal(22,4)"))
         funded = D.allocate_budget(written(placed, "decision-rows"), groups, ["zone_id", "timestamp"], cfg=cfg,
                                    opening=spent.select(*groups, left.alias("opening_budget")))
         decided = written(D.decide(funded, cfg), "decisions")
         costly = F.col("recommended_action").isin(*[a.name for a in cfg.spending])
+        new_spends = decided.filter(costly).select(*groups, F.col("estimated_action_cost").cast("decimal(22,4)").alias("spent"))
+        new_actions = decided.select("zone_id", F.col("recommended_action").alias("action"), F.col("timestamp").alias("acted_at"))
         _store(decided, folder, "decisions", number)
-        _store(decided.filter(costly).select(*groups, F.col("estimated_action_cost").cast("decimal(12,4)").alias("cost")), folder, "spends", number)
-        _store(decided.select("zone_id", F.col("recommended_action").alias("action"), F.col("timestamp").alias("acted_at")), folder, "actions", number)
-        _store(_run_ends(decided), folder, "runs", number)
+        _store(_next_runs(runs, decided), folder, "runs", number)
+        _store(acted.unionByName(new_actions).groupBy("zone_id", "action").agg(F.max("acted_at").alias("acted_at")), folder, "actions", number)
+        _store(spent.unionByName(new_spends).groupBy(*groups).agg(F.sum("spent").cast("decimal(22,4)").alias("spent")), folder, "spends", number)
 
     return step
