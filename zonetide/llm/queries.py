@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonetide.llm import packing, quality, secrets
+from zonetide.llm import decontamination, packing, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -49,3 +49,11 @@ def op9_recursive_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     number = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *[number(k) for k in secrets.KINDS], F.sha2(joined(base), 256).alias("base_sha256"),
                         joined(F.col("spans")).alias("spans"))
+
+
+@_query
+def op4_prefix_filtered_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontamination.hits(_table(spark, folder, "documents", "doc_id text"), _table(spark, folder, "benchmark", "item_id text"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
