@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonetide.llm import decontamination, packing, quality, secrets
+from zonetide.llm import decontamination, jaccard, packing, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -57,3 +57,8 @@ def op4_prefix_filtered_decontamination(spark: SparkSession, folder: str) -> Dat
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
                         (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@_query
+def op7_metric_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.join(_table(spark, folder, "documents", "doc_id text"))
