@@ -192,3 +192,19 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
                     ["doc_id", "n_words", "n_hit", "hits", "items"])
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs``, with all columns, in whose text no window occurs."""
+    shared = indexes(docs, benchmark, window)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                w = _words(part)
+                free = np.ones(w.texts, bool)
+                for s in shared:
+                    free[w.doc()[s.value.occurrences(w)[0]]] = False
+                yield part.filter(pa.array(free))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -186,3 +186,28 @@ def scan(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(spans, pa.list_(kind))], ["doc_id", "spans"])
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+
+
+def redact_text(text: str, mark: str = "[secret]") -> str:
+    """The text with every span, plain or encoded, replaced by ``mark``; spans that touch become one."""
+    out, at = [], 0
+    for _, start, end, _ in sorted(scan_text(text), key=lambda x: x[1]):
+        if start >= at:
+            out += [text[at:start], mark]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
+def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
+    """``docs`` with redacted texts (null stays null); ``n_chars``, if there, follows the new text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [None if t is None else redact_text(t, mark) for t in batch.column("text").to_pylist()]
+            columns = {n: c for n, c in zip(batch.schema.names, batch.columns, strict=True)}
+            columns["text"] = pa.array(texts, batch.schema.field("text").type)
+            if "n_chars" in columns:
+                columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], batch.schema.field("n_chars").type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    return docs.mapInArrow(run, docs.schema)
