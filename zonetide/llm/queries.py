@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonetide.llm import decontamination, jaccard, packing, quality, recompression, secrets
+from zonetide.llm import backoff, decontamination, jaccard, packing, quality, recompression, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -68,3 +68,8 @@ def op7_metric_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 def op6_recompression_dedup(spark: SparkSession, folder: str) -> DataFrame:
     left = recompression.remove_repeats(_table(spark, folder, "documents", "doc_id text"))
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@_query
+def op2_katz_backoff_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return backoff.score(_table(spark, folder, "documents", "doc_id text"))
