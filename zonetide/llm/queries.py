@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonetide.llm import backoff, decontamination, jaccard, packing, quality, recompression, secrets
+from zonetide.llm import backoff, decontamination, jaccard, language, packing, quality, recompression, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -73,3 +73,13 @@ def op6_recompression_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def op2_katz_backoff_scores(spark: SparkSession, folder: str) -> DataFrame:
     return backoff.score(_table(spark, folder, "documents", "doc_id text"))
+
+
+@_query
+def op3_counterfactual_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score(_table(spark, folder, "documents", "doc_id text"), _table(spark, folder, "labels", "doc_id toxic"))
+
+
+@_query
+def op8_output_code_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(_table(spark, folder, "documents", "doc_id text lang"))
