@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonetide.llm import backoff, decontamination, jaccard, language, packing, quality, recompression, secrets, toxicity
+from zonetide.llm import backoff, decontamination, jaccard, language, packing, quality, recompression, secrets, toxicity, wrappers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -83,3 +83,9 @@ def op3_counterfactual_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def op8_output_code_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(_table(spark, folder, "documents", "doc_id text lang"))
+
+
+@_query
+def op5_union_free_wrappers(spark: SparkSession, folder: str) -> DataFrame:
+    texts = wrappers.main_text(_table(spark, folder, "pages", "page_id url html"))
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
