@@ -8,13 +8,15 @@ link when their Jaccard similarity reaches ``percent``; the distance ``1 - simil
    hash). Linked classes share a shingle of each other's prefix, the first ``n - ceil(0.85 n) + 1`` of a set. The classes
    that have a prefix shingle in common elect the one with the fewest rarer shingles as their pivot; those that lie
    within reach of a pivot make up its region. Each linked pair shares a region.
-3. A region is split among pivots into Voronoi cells. Document ``y`` also goes to the cell of pivot ``p`` if
+3. A class's distances to 256 fixed pivots (its shingles counted by hash class) bound its distance to any other from
+   below. Members of a region that these windows part from every other member are left out before texts are fetched.
+4. A region is split among pivots into Voronoi cells. Document ``y`` also goes to the cell of pivot ``p`` if
    ``d(y, p) <= d(y, nearest) + 2 r``, ``r`` the largest linked distance: by the triangle inequality its partners at home in
    that cell are met there. Cells are split again as long as that makes them smaller.
-4. In a small cell documents outside the largest component so far are compared with all others, exactly. So a group
+5. In a small cell documents outside the largest component so far are compared with all others, exactly. So a group
    of near copies costs a comparison with a few pivots each, not all pairs.
-5. A region over ``REGION`` members is dealt out in blocks; each pair of blocks is joined as a region of its own.
-6. Links of classes are merged to components.
+6. A region over ``REGION`` members is dealt out in blocks; each pair of blocks is joined as a region of its own.
+7. Links of classes are merged to components.
 
 Hashes are 64 bits wide; similarities are counted on whole sets. Null or empty text: no shingles, linked with nothing.
 Repeated rows have equal sets. Of two rows with one ``doc_id`` each keeps its own set. Empty tables give no rows.
@@ -102,12 +104,15 @@ def shingle_table(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 owner = np.repeat(np.arange(len(size)), size)
                 ranked = tokens[np.lexsort((tokens, rank, owner))]
                 prefix = np.where(size > 0, size - (percent * size + 99) // 100 + 1, 0)
+                at = owner * 256 + (tokens >> np.uint64(20) & np.uint64(255)).astype(np.int64)
+                sketch = np.minimum(np.bincount(at, minlength=256 * len(size)), 255).astype(np.uint8).reshape(-1, 256)
                 packed = [ranked[a:a + k].tobytes() for a, k in zip(bounds[:-1].tolist(), prefix.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").cast(pa.int64()), pa.array(size), pa.array(signed(_codes(tokens, bounds))), pa.array(packed, pa.binary())],
-                    ["doc_id", "n", "c", "prefix"])
+                    [part.column("doc_id").cast(pa.int64()), pa.array(size), pa.array(signed(_codes(tokens, bounds))), pa.array(packed, pa.binary()),
+                     pa.array([x.tobytes() for x in sketch], pa.binary())],
+                    ["doc_id", "n", "c", "prefix", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, c long, prefix binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, c long, prefix binary, sketch binary")
 
 
 def _places(classes: DataFrame) -> DataFrame:
@@ -238,6 +243,20 @@ def _members_links(table: pa.Table, n: int, percent: int) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def _with_partner(key, table, percent: int):
+    """Members of a region that the windows leave at least one possible partner."""
+    n, c = table.column("n").to_numpy(), table.column("c")
+    counts = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, 256).astype(np.int16)
+    kept = np.zeros(len(n), bool)
+    for at in range(0, len(n), 16):
+        apart = np.abs(counts[at:at + 16, None, :] - counts[None, :, :]).sum(2, dtype=np.int64)
+        may = (100 + percent) * apart <= (100 - percent) * (n[at:at + 16, None] + n[None, :])
+        may[np.arange(len(may)), at + np.arange(len(may))] = False
+        kept[at:at + 16] = may.any(1)
+    rows = int(kept.sum())
+    return pa.table({**{k: pa.array([v.as_py()] * rows, pa.int64() if k == "p" else pa.int32()) for k, v in zip("pbo", key, strict=True)}, "c": c.filter(pa.array(kept))})
+
+
 def class_links(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
     """Links between classes of equal sets: enough of them to join every component."""
     classes = sets.filter("n > 0").groupBy("c", "n").agg(F.min("doc_id").alias("doc_id"), F.first("prefix").alias("prefix"))
@@ -247,7 +266,11 @@ def class_links(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataF
     block = F.pmod(F.xxhash64("c"), F.col("g")).cast("int")
     dealt = held.select("p", "c", block.alias("b"), F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("o"))
     dealt = dealt.select("p", "c", F.least("b", "o").alias("b"), F.greatest("b", "o").alias("o"))
-    wanted = regions.select("c").distinct().join(sets.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("doc_id")), "c")
+    known = sets.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    windows = lambda key, table: _with_partner(key, table, percent)
+    dealt = dealt.join(known.select("c", "n", "sketch"), "c").groupBy("p", "b", "o").applyInArrow(windows, "p long, b int, o int, c long")
+    dealt = written(dealt, "members")
+    wanted = dealt.select("c").distinct().join(known.select("c", "doc_id"), "c")
     texts = docs.select(F.col("doc_id").alias("_id"), "text").join(wanted, F.col("_id") == F.col("doc_id")).select("c", "text")
     join = lambda table: _members_links(table, n, percent)
     return dealt.join(texts, "c").select("p", "b", "o", "c", "text").groupBy("p", "b", "o").applyInArrow(join, "a long, b long")
