@@ -17,8 +17,9 @@ from zonetide.session import written
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the counts and the likelihood ratio."""
-    judged = quality.judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
-    return judged.filter("kept").select(*docs.columns)
+    whole = docs.select("doc_id", "text", F.struct("*").alias("_row"))  # columns of docs may have the names of added ones
+    judged = quality.judge(whole, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
+    return judged.filter("kept").select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
