@@ -261,7 +261,7 @@ def class_links(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataF
     """Links between classes of equal sets: enough of them to join every component."""
     classes = sets.filter("n > 0").groupBy("c", "n").agg(F.min("doc_id").alias("doc_id"), F.first("prefix").alias("prefix"))
     regions = written(_regions(_places(classes), percent), "regions")
-    size = regions.groupBy("p").agg(F.count("*").alias("m"))
+    size = written(regions.groupBy("p").agg(F.count("*").alias("m")), "sizes")  # so that the join may split a hot pivot
     held = regions.join(size, "p").withColumn("g", F.ceil(F.col("m") / REGION).cast("int"))
     block = F.pmod(F.xxhash64("c"), F.col("g")).cast("int")
     dealt = held.select("p", "c", block.alias("b"), F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("o"))

@@ -203,15 +203,16 @@ def _window_hashes(docs: DataFrame, lists: DataFrame, window: int) -> DataFrame:
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(row, p, m): windows p ... p + m - 1 of a row whose words also start somewhere else."""
     found = written(anchor_table(docs, window), "anchors")
-    again = found.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key")
+    # Key lists are written before they are joined: a join of two plain shuffles may split a hot key's rows.
+    again = written(found.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key"), "keys")
     again = written(found.join(again, "key"), "repeats")
     kinds = again.groupBy("key", "seg").agg(F.count("*").alias("k"), F.min(F.struct("row", "p", "m")).alias("one"))
     kinds = written(kinds, "kinds")
-    alike = again.join(kinds.filter("k > 1").select("key", "seg"), ["key", "seg"]).select("row", "p", "m")
-    differ = kinds.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    alike = again.join(written(kinds.filter("k > 1").select("key", "seg"), "alike"), ["key", "seg"]).select("row", "p", "m")
+    differ = written(kinds.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "differ")
     ones = kinds.join(differ, "key").select("one.*")
     hashes = written(_window_hashes(docs, _lists(ones), window).distinct(), "windows")
-    twice = hashes.groupBy("x", "y").agg(F.count("*").alias("k")).filter("k > 1").select("x", "y")
+    twice = written(hashes.groupBy("x", "y").agg(F.count("*").alias("k")).filter("k > 1").select("x", "y"), "twice")
     single = hashes.join(twice, ["x", "y"]).select("row", "p", F.lit(1).alias("m"))
     return alike.union(single)
 
