@@ -12,7 +12,7 @@ link when their Jaccard similarity reaches ``percent``; the distance ``1 - simil
    below. Members of a region that these windows part from every other member are left out before texts are fetched.
 4. A region is split among pivots into Voronoi cells. Document ``y`` also goes to the cell of pivot ``p`` if
    ``d(y, p) <= d(y, nearest) + 2 r``, ``r`` the largest linked distance: by the triangle inequality its partners at home in
-   that cell are met there. Cells are split again as long as that makes them smaller.
+   that cell are met there. Cells are split again as long as that makes them clearly smaller.
 5. In a small cell documents outside the largest component so far are compared with all others, exactly. So a group
    of near copies costs a comparison with a few pivots each, not all pairs.
 6. A region over ``REGION`` members is dealt out in blocks; each pair of blocks is joined as a region of its own.
@@ -221,7 +221,8 @@ class Region:
             nearest = np.minimum(nearest, table[-1])
         home = np.argmin(table, axis=0)
         cells = [members[d <= nearest + 2 * self.reach + 1e-9] for k, d in enumerate(table) if (home == k).any()]
-        if max(map(len, cells)) == len(members):
+        # Cells that hardly shrink, or overlap much, would be worked on again and again.
+        if max(map(len, cells)) > 0.75 * len(members) or sum(map(len, cells)) > 1.25 * len(members):
             return self.leaf(members)
         for cell in cells:
             self.join(cell)
