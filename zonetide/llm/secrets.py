@@ -199,7 +199,7 @@ def redact_text(text: str, mark: str = "[secret]") -> str:
 
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """``docs`` with redacted texts (null stays null); ``n_chars``, if there, follows the new text."""
+    """``docs`` with redacted texts (null stays null); ``n_chars``, if there, follows a text that is not null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,7 +207,8 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
             columns = {n: c for n, c in zip(batch.schema.names, batch.columns, strict=True)}
             columns["text"] = pa.array(texts, batch.schema.field("text").type)
             if "n_chars" in columns:
-                columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], batch.schema.field("n_chars").type)
+                was = batch.column("n_chars").to_pylist()
+                columns["n_chars"] = pa.array([n if t is None else len(t) for t, n in zip(texts, was, strict=True)], batch.schema.field("n_chars").type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return docs.mapInArrow(run, docs.schema)
