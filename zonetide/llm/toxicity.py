@@ -41,7 +41,8 @@ IDENTITY = (
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers and the text of each, with repetitions."""
     w = words_of(texts, lower=True, breaks=NOT_WORD)
-    length, doc = w.end - w.start, w.doc()
+    # Identity terms have no beginnings: a swap then changes all that they stand for.
+    length, doc = np.where(np.isin(w.hash & np.uint64((1 << BITS) - 1), identity_numbers()[0].astype(np.uint64)), 0, w.end - w.start), w.doc()
     out, owner = [w.hash], [doc]
     for k in BEGINNINGS:
         at = np.flatnonzero(length > k)
