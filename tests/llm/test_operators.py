@@ -127,6 +127,8 @@ def test_jaccard(docs, empty, texts):
     kept = jaccard.first_of_each(docs)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root.values())) and kept.columns == docs.columns
     assert jaccard.join(empty).count() == 0
+    nameless = docs.union(docs.limit(1).select(F.lit(None).cast("long"), "text", "kept", "row"))
+    assert jaccard.first_of_each(nameless).filter("doc_id is null").count() == 1
 
 
 def test_jaccard_region_recursion():

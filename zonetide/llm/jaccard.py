@@ -290,7 +290,10 @@ def join(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame
 
 
 def first_of_each(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One document of each group of linked ones, the one with the smallest doc_id; all columns of ``docs``."""
+    """One document of each group of linked ones, the one with the smallest doc_id; all columns of ``docs``.
+
+    Of several rows with one doc_id one stays. Rows without a doc_id can't be told apart and all stay.
+    """
     first = join(docs, n, percent).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_first")).distinct()
     kept = docs.join(first, F.col("doc_id") == F.col("_first"), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    return kept.dropDuplicates(["doc_id"]).unionByName(docs.filter(F.col("doc_id").isNull()))
