@@ -38,6 +38,15 @@ def test_psi_of_equal_and_constant_samples_is_zero(spark):
     assert DR.psi(flat, flat).first()["psi"] == 0.0
 
 
+def test_psi_of_stored_counts_equals_psi_of_rows(spark):
+    rng = np.random.default_rng(6)
+    ref, cur = (spark.createDataFrame([(float(x),) for x in rng.beta(2, b, 3000).round(3)], "taxi_count double") for b in (5, 4))
+    counts = [DR.feature_counts(d, ["taxi_count"]) for d in (ref, cur)]
+    assert counts[0].count() < 1000
+    a, b = DR.psi(*counts).first(), DR.psi(*[DR.stacked(d, ["taxi_count"]) for d in (ref, cur)]).first()
+    assert a["psi"] == pytest.approx(b["psi"], rel=1e-9) and a["n_ref"] == b["n_ref"] == 3000
+
+
 def test_drift_alert_names_features(spark):
     rng = np.random.default_rng(0)
     ref = spark.createDataFrame([(float(x), float(y)) for x, y in zip(rng.uniform(0, 0.4, 300), rng.uniform(0, 1, 300))], "delay_risk_score double, taxi_count double")
@@ -89,7 +98,7 @@ def test_zone_performance_and_window(spark):
     assert out[1]["trend"] == "improving" and out[1]["trend_delta"] == -0.7 and out[2]["trend"] == "stable" and 3 not in out
     lists = RP.performance_lists(RP.zone_performance(hist, now, 7)).collect()
     assert [r["zone_id"] for r in lists if r["list_name"] == "chronic_high_risk"] == [2, 1]
-    assert RP.window_days(30)[0] == 14 and "only the most recent 14 days" in RP.window_days(30)[1] and RP.window_days(0) == (1, None)
+    assert RP.window_days(30) == (30, None) and "only the most recent 14 days" in RP.window_days(30, 14)[1] and RP.window_days(0) == (1, None)
 
 
 def test_trend_fallbacks(spark):

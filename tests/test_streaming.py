@@ -107,6 +107,20 @@ def test_decisions_over_batches(spark, tmp_path):
     assert [float(r["spent"]) for r in spark.read.parquet(str(tmp_path / "spends/batch=3")).collect()] == [3.0]
 
 
+def test_neighbours_of_earlier_batches_count(spark, tmp_path):
+    """A neighbour's last supply is known however the rows are dealt to batches."""
+    edges = spark.createDataFrame([("Zone1", "Zone2")], "zone string, neighbor string")
+    rows = [(1, "Zone1", 0.9, 1, 10.0), (2, "Zone2", 0.1, 100, 10.0)]
+    df = spark.createDataFrame(rows, "zone_id long, zone_name string, predicted_shortage double, taxi_count int, baseline_supply double").withColumn(
+        "timestamp", F.lit("2024-01-01").cast("timestamp"))
+    together, apart = (state.decide_batches(spark, str(tmp_path / n), edges, ["day"]) for n in "ab")
+    together(df, 0)
+    apart(df.filter("zone_id = 2"), 0)
+    apart(df.filter("zone_id = 1"), 1)
+    seen = [spark.read.parquet(str(tmp_path / n / "decisions")).filter("zone_id = 1").first()["neighbor_surplus"] for n in "ab"]
+    assert seen[0] == seen[1] > 0
+
+
 def test_drift_and_history_batches(spark, tmp_path):
     a = spark.range(200).select((F.col("id") / 1000.0).alias("delay_risk_score"))
     step = monitor.drift_batches(spark, str(tmp_path / "d"))

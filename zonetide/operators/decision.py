@@ -83,8 +83,10 @@ def neighbor_surplus(edges: DataFrame, snapshot: DataFrame, buffer: float = DEFA
 
 
 def with_neighbor_surplus(df: DataFrame, edges: DataFrame, buffer: float = DEFAULT.surplus_buffer,
-                          key: str = "zone_name") -> DataFrame:
-    around = neighbor_surplus(edges, zone_snapshot(df, key=key), buffer).withColumnRenamed("zone", key)
+                          key: str = "zone_name", snapshot: DataFrame | None = None) -> DataFrame:
+    """``snapshot`` (neighbor, taxi_count, baseline_supply) if it is known already; else the last rows of ``df``."""
+    last = zone_snapshot(df, key=key) if snapshot is None else snapshot
+    around = neighbor_surplus(edges, last, buffer).withColumnRenamed("zone", key)
     return df.join(around, key, "left").withColumn(
         "neighbor_surplus", F.coalesce("neighbor_surplus", F.lit(0.0)))
 

@@ -30,19 +30,25 @@ def _bin(v: Column, low: Column, high: Column, buckets: int) -> Column:
 
 
 def psi(reference: DataFrame, current: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """PSI per feature of two (feature, value) frames.
+    """PSI per feature of two (feature, value) frames, or (feature, value, n) frames of stored counts.
 
     The shared range and both histograms come from two small aggregations; what is shuffled is at
     most features x 2 x buckets rows per task. Bins empty on both sides add nothing.
     """
-    both = reference.select("feature", "value", F.lit(0).alias("side")).unionByName(
-        current.select("feature", "value", F.lit(1).alias("side")))
+    def rows(df: DataFrame, side: int) -> DataFrame:
+        times = F.col("n") if "n" in df.columns else F.lit(1)
+        return df.select("feature", "value", times.cast("long").alias("n"), F.lit(side).alias("side"))
+
+    def times(side: int) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("side") == side, F.col("n"))), F.lit(0))
+
+    both = rows(reference, 0).unionByName(rows(current, 1))
     span = both.groupBy("feature").agg(
-        F.min("value").alias("lo"), F.max("value").alias("hi"), F.count_if(F.col("side") == 0).alias("n_ref"),
-        F.count_if(F.col("side") == 1).alias("n_cur")).filter("n_ref > 0 and n_cur > 0")
+        F.min("value").alias("lo"), F.max("value").alias("hi"), times(0).alias("n_ref"),
+        times(1).alias("n_cur")).filter("n_ref > 0 and n_cur > 0")
     cells = (both.join(span.select("feature", "lo", "hi"), "feature").filter(F.col("hi") > F.col("lo"))
              .groupBy("feature", _bin(F.col("value"), F.col("lo"), F.col("hi"), buckets).alias("bin"))
-             .agg(F.count_if(F.col("side") == 0).alias("ref"), F.count_if(F.col("side") == 1).alias("cur")))
+             .agg(times(0).alias("ref"), times(1).alias("cur")))
     part = lambda n, total: F.greatest(F.col(n) / F.col(total), F.lit(1e-6))
     shares = cells.join(span.select("feature", "n_ref", "n_cur"), "feature").select(
         "feature", part("ref", "n_ref").alias("e"), part("cur", "n_cur").alias("a"))
@@ -103,18 +109,10 @@ def feature_snapshot(df: DataFrame, features=S.DRIFT_FEATURES) -> DataFrame:
         F.count("value").alias("n"))
 
 
-def feature_sample(df: DataFrame, order: list[str], features=S.DRIFT_FEATURES, size: int = S.SCORE_SAMPLE) -> DataFrame:
-    """The first ``size`` values of each feature in order, as the stored sample (a limit by design).
-
-    One distributed top-k per feature, so no feature's column passes through a single task.
-    """
-    present = [f for f in features if f in df.columns]
-    out = None
-    for f in present:
-        part = (df.filter(F.col(f).isNotNull()).orderBy(*order).limit(size)
-                .select(F.lit(f).alias("feature"), round_even(F.col(f).cast("double"), 6).alias("value")))
-        out = part if out is None else out.unionByName(part)
-    return out
+def feature_counts(df: DataFrame, features=S.DRIFT_FEATURES) -> DataFrame:
+    """How often each value (six decimals) of each feature occurs: what a later PSI needs of this run, every row counted."""
+    return (stacked(df, features).groupBy("feature", round_even(F.col("value"), 6).alias("value"))
+            .agg(F.count(F.lit(1)).alias("n")))
 
 
 def rollback_rule(runs: DataFrame, failed_above: float = 0.20, psi_above: float = 0.25) -> DataFrame:

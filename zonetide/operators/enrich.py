@@ -30,9 +30,10 @@ def with_defaults(df: DataFrame, defaults: Mapping[str, object], fill: bool = Tr
 
 
 def with_weather(facts: DataFrame, weather: DataFrame, ts: str = "timestamp") -> DataFrame:
-    """Hourly weather onto facts by hour; hours without weather take neutral values."""
+    """Hourly weather onto facts by hour, the newest known value of the hour; hours without weather take neutral values."""
+    newest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("timestamp", c)))
     hourly = (weather.groupBy(hour_floor("timestamp").alias("_hour"))
-              .agg(*[F.first(c, ignorenulls=True).alias(c) for c in S.WEATHER_DEFAULTS if c in weather.columns]))
+              .agg(*[newest(c).alias(c) for c in S.WEATHER_DEFAULTS if c in weather.columns]))
     joined = facts.drop(*[c for c in S.WEATHER_DEFAULTS if c in weather.columns and c in facts.columns]) \
         .withColumn("_hour", hour_floor(ts)).join(hourly, "_hour", "left").drop("_hour")
     out = with_defaults(joined, S.WEATHER_DEFAULTS)

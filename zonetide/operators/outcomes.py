@@ -53,9 +53,11 @@ def with_feedback(records: DataFrame, feedback: DataFrame) -> DataFrame:
         latest_feedback(feedback), "recommendation_id", "left")
 
 
-def newest_records(records: DataFrame, n: int = 1000, order: tuple[str, ...] = ("logged_at", "recommendation_id")) -> DataFrame:
-    """The report window: the newest n records (a limit by design)."""
-    return records.orderBy(*[F.col(c).desc() for c in order]).limit(n)
+def recent_records(records: DataFrame, days: int | None = None, ts: str = "logged_at") -> DataFrame:
+    """The report window: records less than ``days`` older than the newest one; all records without ``days``."""
+    if days is None:
+        return records
+    return records.filter(F.col(ts) > records.agg(F.max(ts)).scalar() - F.make_interval(days=F.lit(days)))
 
 
 _MEANS = ("delta", "supply", "cost")
@@ -179,10 +181,10 @@ def outcome_rates(records: DataFrame) -> DataFrame:
                           share("_bad", "total_resolved").alias("worsened_rate"))
 
 
-def outcome_counts(records: DataFrame, newest: int | None = None,
+def outcome_counts(records: DataFrame, days: int | None = None,
                    outcomes=("recovered", "improved", "unchanged", "worsened")) -> DataFrame:
-    """Resolved outcomes per action as columns; ``newest`` restricts to the last log lines first."""
-    window = newest_records(records, newest) if newest else records
+    """Resolved outcomes per action as columns, of all records or of the last ``days``."""
+    window = recent_records(records, days)
     done = window.filter(F.col("outcome").isNotNull()).withColumn("action_type", F.coalesce("action_type", F.lit("unknown")))
     return done.groupBy("action_type").pivot("outcome", list(outcomes)).agg(F.count(F.lit(1))).fillna(0, list(outcomes))
 

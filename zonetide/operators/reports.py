@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from zonetide import settings as S
 from zonetide.functions.numeric import count_where, label_of, round_even
 from zonetide.operators.enrich import with_defaults
 
@@ -75,13 +74,11 @@ def trend(runs: DataFrame, field: str, fallback: str | None = None) -> DataFrame
 
 
 def recent_points(points: DataFrame, hours: int, ts: str = "timestamp") -> DataFrame:
-    """Points within ``hours`` of the newest one; if no time can be read, the last ``hours`` rows."""
+    """Points within ``hours`` of the newest one; if no time can be read, all points."""
     parsed = points.withColumn("_at", F.col(ts).cast("string").try_cast("timestamp"))
     newest = parsed.agg(F.max("_at")).scalar()
     inside = F.col("_at") >= newest - F.make_interval(hours=F.lit(hours))
-    last = points.orderBy(F.col(ts).desc()).limit(hours)
-    nothing = parsed.agg(F.max("_at").isNull()).scalar()
-    return parsed.filter(inside).drop("_at").unionByName(last.filter(nothing))
+    return parsed.filter(inside | newest.isNull()).drop("_at")
 
 
 def newest(df: DataFrame, n: int, by: str = "timestamp", ties: tuple[str, ...] = ()) -> DataFrame:
@@ -148,13 +145,13 @@ def freshness(last_seen: DataFrame, now: Column, stale_seconds: int = 3600) -> D
     return last_seen.select("service", status.alias("status"), detail.alias("detail"), "last_updated")
 
 
-def window_days(days: int, most: int = S.HISTORY_DAYS) -> tuple[int, str | None]:
-    """Requested days within 1..most, and a note when they were cut."""
+def window_days(days: int, kept: int | None = None) -> tuple[int, str | None]:
+    """Requested days, one at least, and a note where the history keeps fewer (``kept``). The request is never cut."""
     asked = max(int(days), 1)
-    if asked <= most:
+    if kept is None or asked <= kept:
         return asked, None
     # Note wording.
-    return most, (f"Requested {asked} days, but zone score history currently retains only the most recent {most} days.")
+    return asked, (f"Requested {asked} days, but zone score history currently retains only the most recent {kept} days.")
 
 
 def zone_performance(history: DataFrame, now: Column, days: int = 7, zones: DataFrame | None = None) -> DataFrame:

@@ -69,9 +69,9 @@ def score_stats(df: DataFrame, score: str = RISK, high: float = 0.70) -> DataFra
                   F.count(score).alias("n_scored"))
 
 
-def score_sample(df: DataFrame, order: list[str], score: str = RISK, size: int = S.SCORE_SAMPLE) -> DataFrame:
-    """The first ``size`` scores in order: the stored drift reference is a sample by design."""
-    return df.orderBy(*order).limit(size).select(*order, round_even(score, 6).alias("score"))
+def score_counts(df: DataFrame, score: str = RISK) -> DataFrame:
+    """How often each score (six decimals) occurs: the stored drift reference, in which every row counts."""
+    return df.groupBy(round_even(score, 6).alias("score")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def run_kpis(df: DataFrame, score: str = RISK, high: float = 0.70, medium: float = 0.40,
@@ -131,14 +131,19 @@ def history_maps(history: DataFrame) -> DataFrame:
                     F.map_from_entries(F.transform("p", lambda e: F.struct(e["k"], e["taxi_count"]))).alias("taxi_counts")))
 
 
-def newest_runs(history: DataFrame, keep: int = S.HISTORY_RUNS, run: str = "run_ts") -> DataFrame:
-    """Rows of the ``keep`` newest runs. The runs are found first, by a distributed top-k."""
-    wanted = history.select(run).distinct().orderBy(F.col(run).desc()).limit(keep)
-    return history.join(wanted, run, "left_semi")
+def recent_runs(history: DataFrame, hours: int | None = None, newest: Column | None = None, run: str = "run_ts") -> DataFrame:
+    """Rows of the runs less than ``hours`` older than the newest one; all rows without ``hours``.
+
+    As with ``latest_snapshot``, pass ``newest`` where ``history`` is a long derived plan.
+    """
+    if hours is None:
+        return history
+    last = history.agg(F.max(run)).scalar() if newest is None else newest
+    return history.filter(F.col(run) > last - F.make_interval(hours=F.lit(hours)))
 
 
-def zone_history(maps: DataFrame, zone_id: int, field: str = "zones", runs: int = 48) -> DataFrame:
-    """A zone's values over the newest runs, from the map form; runs without the zone are skipped."""
-    return (newest_runs(maps, runs).select(F.col("run_ts").alias("timestamp"),
+def zone_history(maps: DataFrame, zone_id: int, field: str = "zones", hours: int | None = None, newest: Column | None = None) -> DataFrame:
+    """A zone's values over the runs of a time range (all by default), from the map form; runs without the zone are skipped."""
+    return (recent_runs(maps, hours, newest).select(F.col("run_ts").alias("timestamp"),
                                            F.col(field).getItem(str(zone_id)).alias("value"))
             .filter(F.col("value").isNotNull()))

@@ -36,7 +36,7 @@ def _inline(points: DataFrame, rows: list, attributes: list[str], types: dict, l
     at = None
     for i, n in enumerate(names, start=1):
         at = F.when(F.col(n) == F.col("_best"), i) if at is None else at.when(F.col(n) == F.col("_best"), i)
-    placed = gaps.withColumn("_best", best).withColumn("_at", at)
+    placed = gaps.withColumn("_best", best).withColumn("_at", F.when(~F.isnan("_best"), at))
     looked_up = {a: F.get(F.array(*[F.lit(r[a]).cast(types[a]) for r in rows]), F.col("_at") - 1)
                  for a in attributes}
     return placed.withColumns(looked_up).drop(*names, "_best", "_at")
@@ -77,7 +77,7 @@ def _by_grid(points: DataFrame, zones: DataFrame, attributes: list[str], lat: st
         left = met.filter(~sure).select(*points.columns)
     # Whatever is further out than the widest grid is compared with every zone, folded per row.
     everything = unique.agg(F.collect_list(F.struct("_zlat", "_zlon", "z"))).scalar()
-    known = F.col(lat).isNotNull() & F.col(lon).isNotNull()
+    known = F.col(lat).isNotNull() & F.col(lon).isNotNull() & ~F.isnan(lat) & ~F.isnan(lon)
     rest = left.withColumn("_all", F.when(known, everything)).withColumn("_hit", F.array_min(F.transform(
         "_all", lambda e: F.struct(_gap2(lat, lon, e["_zlat"], e["_zlon"]).alias("d2"), e["z"].alias("z")))))
     return done.unionByName(rest.select(*points.columns, *[F.col(f"_hit.z.{a}").alias(a) for a in attributes]))
@@ -89,7 +89,7 @@ def nearest_zone(points: DataFrame, zones: DataFrame, lat: str = "lat", lon: str
     """Add the nearest zone's attributes (``zone_id`` first) to every point.
 
     The zone table's size is checked first: up to ``inline_limit`` rows are inlined into the
-    plan, more go through the grid. Rows without coordinates get no zone.
+    plan, more go through the grid. Rows without coordinates (null or NaN) get no zone.
     """
     attributes = attributes or [c for c in ("zone_id", "zone_name", "region", "zone_type") if c in zones.columns]
     slim = zones.select(F.col("lat").cast("double").alias("_zlat"), F.col("lon").cast("double").alias("_zlon"),

@@ -82,12 +82,13 @@ def score_run(hours: DataFrame, edges: DataFrame, now: Column, model=None, risk:
 
 
 def store_run(tables: ScoringTables, folder: str, run_id: str) -> None:
-    """Append a run to the tables of a folder."""
+    """Store a run in the tables of a folder. Each table has a partition per run, so a retried run replaces its own rows."""
+    part = f"run_id={run_id}"
     WR.write_predictions(tables.predictions, f"{folder}/predictions", run_id)
-    WR.write_failed_rows(tables.failed, f"{folder}/failed_rows")
-    WR.write_table(tables.cards.withColumn("run_id", F.lit(run_id)), f"{folder}/cards", "append")
-    WR.write_table(tables.opened, f"{folder}/issued", "append")
-    WR.append_log(tables.kpis.withColumn("run_id", F.lit(run_id)), f"{folder}/runs")
+    WR.write_failed_rows(tables.failed, f"{folder}/failed_rows/{part}")
+    WR.write_table(tables.cards, f"{folder}/cards/{part}")
+    WR.write_table(tables.opened, f"{folder}/issued/{part}")
+    WR.append_log(tables.kpis, f"{folder}/runs/{part}", mode="overwrite")
 
 
 def train_run(hours: DataFrame, estimator=None):
@@ -112,9 +113,9 @@ def monitor_run(previous: DataFrame, current: DataFrame, runs: DataFrame, now: C
     return {"report": report, "features": per_feature, "alerts": DR.drift_alerts(report, per_feature, now), "verdict": judged}
 
 
-def outcome_report(records: DataFrame, newest: int | None = 1000) -> dict[str, DataFrame]:
-    """All parts of the outcome report over the newest records (or all of them)."""
-    window = written(O.newest_records(records, newest) if newest else records, "outcome-window")
+def outcome_report(records: DataFrame, days: int | None = None) -> dict[str, DataFrame]:
+    """All parts of the outcome report over all records, or over those of the last ``days``."""
+    window = written(O.recent_records(records, days), "outcome-window")
     return {"rates": O.outcome_rates(window), "by_action": O.effectiveness_by_action(window),
             "by_follow_status": O.effectiveness_by_follow_status(window), "by_zone": O.zone_interventions(window),
             "top_contexts": O.top_contexts(window), "recent": O.recent_outcomes(window)}

@@ -122,11 +122,11 @@ def outcome_pivot(spark, folder):
     return O.outcome_counts(P.outcome_log(spark, folder))
 
 
-@query("A-20", Q.with_(Q.OUTCOME_LOG) + f"""SELECT action_type, {_PIVOT} FROM (SELECT * FROM olog ORDER BY logged_at DESC, recommendation_id DESC LIMIT 500)
+@query("A-20", Q.with_(Q.OUTCOME_LOG) + f"""SELECT action_type, {_PIVOT} FROM (SELECT * FROM olog WHERE logged_at > (SELECT max(logged_at) FROM olog) - INTERVAL 365 DAY)
   WHERE outcome IS NOT NULL GROUP BY 1""")
 def outcome_summary(spark, folder):
-    """The summary of the newest 500 log lines, which is how it is defined."""
-    return O.outcome_counts(P.outcome_log(spark, folder), newest=500)
+    """The summary of the last year."""
+    return O.outcome_counts(P.outcome_log(spark, folder), days=365)
 
 
 _BUCKET = "CASE WHEN CAST('0x' || left(sha1(CAST(zone_id AS VARCHAR) || '|' || strftime(logged_at, '%Y-%m-%d %H:%M:%S')), 8) AS BIGINT) / 4294967295.0::DOUBLE < 0.1::DOUBLE THEN 'holdout' ELSE 'treatment' END"
@@ -245,10 +245,10 @@ def feature_snapshot(spark, folder):
     return snap.withColumns({c: round_even(c, 2) for c in ("mean_value", "std_value")})
 
 
-@query("A-25", " UNION ALL ".join(f"""(SELECT '{c}' AS feature, {c} AS value FROM (SELECT * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice LIMIT 2000))""" for c in ("l_quantity", "l_discount")))
+@query("A-25", " UNION ALL ".join(f"""SELECT '{c}' AS feature, {Q.r(f'CAST({c} AS DOUBLE)', 6)} AS value, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY 2""" for c in ("l_quantity", "l_discount")))
 def feature_sample(spark, folder):
-    """The stored sample of 2,000 values per feature is the feature itself."""
-    return DR.feature_sample(table(spark, folder, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], ("l_quantity", "l_discount"))
+    """What is stored of each feature for the next PSI: its values and how often they occur."""
+    return DR.feature_counts(table(spark, folder, "lineitem"), ("l_quantity", "l_discount"))
 
 
 @query("A-07", Q.with_(*Q.TO_SCORED) + f"""SELECT {Q.r('avg(delay_risk_score)')} AS score_mean, {Q.r('stddev_pop(delay_risk_score)')} AS score_std, {Q.r('quantile_cont(delay_risk_score, 0.5)')} AS score_p50,
@@ -258,10 +258,10 @@ def score_stats(spark, folder):
     return SC.score_stats(P.scored(spark, folder))
 
 
-@query("A-07", Q.with_(*Q.TO_SCORED) + "SELECT zone_id, timestamp, delay_risk_score AS score FROM scored ORDER BY zone_id, timestamp LIMIT 2000")
+@query("A-07", Q.with_(*Q.TO_SCORED) + f"SELECT {Q.r('delay_risk_score', 6)} AS score, CAST(count(*) AS BIGINT) AS n FROM scored GROUP BY 1")
 def score_sample(spark, folder):
-    """The drift reference keeps the first 2,000 scores; the size is part of its definition."""
-    return SC.score_sample(P.scored(spark, folder), ["zone_id", "timestamp"])
+    """The drift reference: all scores and how often they occur."""
+    return SC.score_counts(P.scored(spark, folder))
 
 
 @query("M-28 A-41", Q.with_(Q.RUNS) + f"""SELECT run_id, coalesce(rate > 0.20::DOUBLE, false) OR psi > 0.25 OR drift_flag AS should_rollback,

@@ -26,6 +26,17 @@ def _now_rows(spark, folder):
     return SC.latest_snapshot(P.scored(spark, folder), newest=P.newest_hour(spark, folder))
 
 
+def _event_drift(spark, folder):
+    """Drift of the events' values between the halves of the month."""
+    e = P.events(spark, folder).select("ts", "value")
+    mid = F.lit("2024-01-16").cast("timestamp")
+    return DR.score_drift(e.filter(F.col("ts") < mid), e.filter(F.col("ts") >= mid), "value")
+
+
+_DRIFT = """et AS (SELECT value AS v, ts >= TIMESTAMP '2024-01-16' AS cur FROM events WHERE value IS NOT NULL), es AS (SELECT min(v) AS lo, (max(v) - min(v)) / 10.0::DOUBLE AS step FROM et),
+eg AS (SELECT v, cur, lo, step, least(floor((v - lo) / step), 9) AS g FROM et, es), ed AS (SELECT *, g - CASE WHEN v < lo + g * step THEN 1 ELSE 0 END AS d FROM eg),
+ec AS (SELECT d + CASE WHEN d < 9 AND v >= lo + (d + 1) * step THEN 1 ELSE 0 END AS bin, count(*) FILTER (WHERE NOT cur) AS c0, count(*) FILTER (WHERE cur) AS c1 FROM ed GROUP BY 1),
+drift AS (SELECT greatest(sum((a - e) * ln(a / e)), 0.0::DOUBLE) AS psi FROM (SELECT greatest(c0 / sum(c0) OVER (), 1e-6::DOUBLE) AS e, greatest(c1 / sum(c1) OVER (), 1e-6::DOUBLE) AS a FROM ec))"""
 _LATEST = "now_rows AS (SELECT * FROM scored WHERE timestamp = (SELECT max(timestamp) FROM scored))"
 
 
@@ -38,13 +49,13 @@ def run_kpis(spark, folder):
     return SC.run_kpis(P.scored(spark, folder), latest=P.newest_hour(spark, folder))
 
 
-@query("A-09 D-09", Q.with_(*_TO_CARDS, _LATEST) + f"""SELECT {Q.count_if("risk_level = 'high'")} AS high_risk_zone_count, {Q.count_if("risk_level = 'medium'")} AS medium_risk_zone_count,
+@query("A-09 D-09", Q.with_(*_TO_CARDS, _LATEST, _DRIFT) + f"""SELECT {Q.count_if("risk_level = 'high'")} AS high_risk_zone_count, {Q.count_if("risk_level = 'medium'")} AS medium_risk_zone_count,
   CAST(sum(taxi_count) AS BIGINT) AS total_taxi_supply, {Q.count_if('depletion_rate_1h > 0.3')} AS rapid_depletion_zones,
-  (SELECT {Q.count_if("priority IN ('critical', 'high')")} FROM card) AS critical_actions_count, 0.1234::DOUBLE AS model_psi,
+  (SELECT {Q.count_if("priority IN ('critical', 'high')")} FROM card) AS critical_actions_count, (SELECT {Q.r('psi')} FROM drift) AS model_psi,
   (SELECT CAST(date_diff('minute', date_trunc('minute', max(ts)), {Q.NOW_SQL}) AS BIGINT) FROM events) AS minutes_since_last_run FROM now_rows""")
 def overview_kpis(spark, folder):
     last = F.date_trunc("minute", P.events(spark, folder).agg(F.max("ts")).scalar())
-    return SC.overview_kpis(_now_rows(spark, folder), card_rows(spark, folder), F.lit(0.1234), clock.minutes_since(last, P.now()))
+    return SC.overview_kpis(_now_rows(spark, folder), card_rows(spark, folder), _event_drift(spark, folder).select("psi").scalar(), clock.minutes_since(last, P.now()))
 
 
 @query("A-10", Q.with_(*Q.TO_SCORED, _LATEST) + f"""SELECT *, {Q.r(f"{Q.r('high / zones', 6)} * 100.0::DOUBLE", 1)} AS high_pct, {Q.r(f"{Q.r('medium / zones', 6)} * 100.0::DOUBLE", 1)} AS medium_pct,
@@ -153,10 +164,12 @@ def merged_alerts(spark, folder):
     return RP.all_alerts(_logged_alerts(spark, folder), derived, P.now()).select("alert_id", "message", "created_at")
 
 
-@query("X-16", Q.with_(*Q.TO_SCORED) + """SELECT * FROM (SELECT 'HIGH_RISK_ZONES' AS alert_id, CAST(n AS VARCHAR) || ' zones currently at high depletion risk' AS message FROM (
-  SELECT count(*) FILTER (WHERE risk_level = 'high') AS n FROM scored) WHERE n >= 5 UNION ALL SELECT 'DRIFT_DETECTED', 'Model prediction drift detected — review recommended')""")
+@query("X-16", Q.with_(*Q.TO_SCORED, _LATEST, _DRIFT) + """SELECT * FROM (SELECT 'HIGH_RISK_ZONES' AS alert_id, CAST(n AS VARCHAR) || ' zones currently at high depletion risk' AS message FROM (
+  SELECT count(*) FILTER (WHERE risk_level = 'high') AS n FROM now_rows) WHERE n >= 1 UNION ALL SELECT 'DRIFT_DETECTED', 'Model prediction drift detected — review recommended' FROM drift WHERE round_even(psi, 4) > 0.0001)""")
 def active_alerts(spark, folder):
-    return RP.snapshot_alerts(P.scored(spark, folder), F.lit(True), P.now()).select("alert_id", "message")
+    """Thresholds are low because there are five zones and the two halves of the month differ little."""
+    drifted = (_event_drift(spark, folder).select("psi").scalar() > 0.0001)
+    return RP.snapshot_alerts(_now_rows(spark, folder), drifted, P.now(), many=1).select("alert_id", "message")
 
 
 @query("G-07", f"""SELECT service, CASE WHEN age > 3600 THEN 'degraded' ELSE 'ok' END AS status FROM (SELECT event_type AS service,
@@ -174,15 +187,16 @@ def latest_run(spark, folder):
 # --- history ----------------------------------------------------------------
 
 @query("S-18 T-09", Q.with_(*Q.TO_SCORED) + f"""SELECT timestamp AS run_ts, zone_id, delay_risk_score AS score, taxi_count FROM scored
-  WHERE timestamp IN (SELECT DISTINCT timestamp FROM scored ORDER BY timestamp DESC LIMIT {S.HISTORY_RUNS})""")
+  WHERE timestamp > (SELECT max(timestamp) FROM scored) - INTERVAL {S.HISTORY_DAYS} DAY""")
 def bounded_history(spark, folder):
-    return SC.newest_runs(SC.history_rows(P.scored(spark, folder))).select("run_ts", "zone_id", "score", "taxi_count")
+    kept = SC.recent_runs(SC.history_rows(P.scored(spark, folder)), 24 * S.HISTORY_DAYS, P.newest_hour(spark, folder))
+    return kept.select("run_ts", "zone_id", "score", "taxi_count")
 
 
-@query("X-08", Q.with_(*Q.TO_SCORED) + """SELECT timestamp, delay_risk_score AS value FROM scored WHERE zone_id = 2 AND timestamp IN
-  (SELECT DISTINCT timestamp FROM scored ORDER BY timestamp DESC LIMIT 48)""")
+@query("X-08", Q.with_(*Q.TO_SCORED) + """SELECT timestamp, delay_risk_score AS value FROM scored WHERE zone_id = 2
+  AND timestamp > (SELECT max(timestamp) FROM scored) - INTERVAL 48 HOUR""")
 def zone_score_history(spark, folder):
-    return SC.zone_history(SC.history_maps(SC.history_rows(P.scored(spark, folder))), 2)
+    return SC.zone_history(SC.history_maps(SC.history_rows(P.scored(spark, folder))), 2, hours=48, newest=P.newest_hour(spark, folder))
 
 
 @query("X-08 S-06", """SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), -1) AS zone_key FROM events""")

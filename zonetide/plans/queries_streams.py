@@ -90,15 +90,15 @@ def stream_drift(spark, folder):
     return reports.select("psi", (F.col("reference_n") + F.col("current_n")).alias("rows_compared"))
 
 
-@query("T-09 S-18", """SELECT CAST(count(DISTINCT h) AS BIGINT) AS runs, CAST(count(*) AS BIGINT) AS zone_rows, CAST(sum(v) AS BIGINT) AS events FROM (
-  SELECT date_trunc('hour', ts) AS h, user_id % 5 + 1 AS zone_id, count(*) AS v FROM events GROUP BY 1, 2
-  HAVING date_trunc('hour', max(ts)) IN (SELECT DISTINCT date_trunc('hour', ts) FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 15 MINUTE FROM events) ORDER BY 1 DESC LIMIT 336))""")
+@query("T-09 S-18", f"""WITH hourly AS (SELECT date_trunc('hour', ts) AS h, user_id % 5 + 1 AS zone_id, count(*) AS v FROM events GROUP BY 1, 2
+  HAVING date_trunc('hour', max(ts)) + INTERVAL 1 HOUR <= {_CLOSED}) SELECT CAST(count(DISTINCT h) AS BIGINT) AS runs, CAST(count(*) AS BIGINT) AS zone_rows, CAST(sum(v) AS BIGINT) AS events
+  FROM hourly WHERE h > (SELECT max(h) FROM hourly) - INTERVAL 14 DAY""")
 def stream_history(spark, folder):
-    """Hourly counts appended to a day-partitioned history; the newest 336 runs are read back."""
+    """Hourly counts appended to a day-partitioned history; the last 14 days are read back."""
     hourly = windows.tumbling_counts(event_stream(spark, folder)).withColumn("delay_risk_score", F.lit(0.5))
     at = scratch_path(spark, "history")
     ingest.run_batches(hourly, monitor.history_batches(f"{at}/rows"), f"{at}/checkpoint")
-    kept = monitor.recent_history(spark.read.parquet(f"{at}/rows"))
+    kept = monitor.recent_history(spark.read.parquet(f"{at}/rows"), 14)
     return kept.agg(F.count_distinct("run_ts").alias("runs"), F.count(F.lit(1)).alias("zone_rows"), F.sum("taxi_count").alias("events"))
 
 

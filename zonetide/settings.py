@@ -118,9 +118,7 @@ DRIFT_FEATURES = (
 )
 
 LABEL_DROP_FACTOR = 0.6
-HISTORY_RUNS = 336
 HISTORY_DAYS = 14
-SCORE_SAMPLE = 2000
 OUTCOME_WINDOW_MINUTES = 30
 MIN_EVIDENCE = 3
 PRIORITY_ORDER = {"critical": 0, "high": 1, "medium": 2, "low": 3}

@@ -16,9 +16,9 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by:
 
 
 def write_predictions(df: DataFrame, path: str, run_id: str) -> None:
-    """Prediction rows of a run, partitioned by day so that a reader of recent runs skips the rest."""
-    out = df.withColumns({"run_id": F.lit(run_id), "run_date": F.to_date("timestamp")})
-    out.write.mode("append").partitionBy("run_date").parquet(path)
+    """Prediction rows of a run, partitioned by run and day; a retry replaces the run, a reader of recent days skips the rest."""
+    out = df.withColumn("run_date", F.to_date("timestamp"))
+    out.write.mode("overwrite").partitionBy("run_date").parquet(f"{path}/run_id={run_id}")
 
 
 def write_csv(df: DataFrame, path: str, quote_all: bool = False) -> None:
@@ -36,10 +36,10 @@ def write_failed_rows(failed: DataFrame, path: str) -> None:
     keep.write.mode("overwrite").option("header", True).csv(path)
 
 
-def append_log(rows: DataFrame, path: str, now: Column | None = None) -> None:
+def append_log(rows: DataFrame, path: str, now: Column | None = None, mode: str = "append") -> None:
     """Append log rows as JSON lines, stamped when ``now`` is given."""
     out = rows if now is None else rows.withColumn("logged_at", F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'"))
-    out.write.mode("append").option("ignoreNullFields", False).json(path)
+    out.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
 def audit_event(spark, event: str, from_version: str, to_version: str | None, reason: str, run_id: str, at: str) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from zonetide import settings as S
 from zonetide.operators import drift as DR
 from zonetide.operators import scoring as SC
 
@@ -33,10 +32,10 @@ def first_alerts(alerts: DataFrame, life: str = "24 hours", ts: str = "created_a
     return alerts.withWatermark(ts, life).dropDuplicatesWithinWatermark(["alert_id"])
 
 
-def history_batches(folder: str, keep_days: int = S.HISTORY_DAYS, run_ts: Column | None = None):
+def history_batches(folder: str, run_ts: Column | None = None):
     """A ``foreachBatch`` function: append score history, partitioned by day.
 
-    Keeping the newest runs is a matter of reading recent days only (see ``recent_history``); old
+    Recent runs are read from their days' folders only (see ``recent_history``); old
     days can be dropped as whole folders, so nothing is ever rewritten.
     """
 
@@ -48,6 +47,9 @@ def history_batches(folder: str, keep_days: int = S.HISTORY_DAYS, run_ts: Column
     return step
 
 
-def recent_history(history: DataFrame, runs: int = S.HISTORY_RUNS) -> DataFrame:
-    """Rows of the newest runs."""
-    return SC.newest_runs(history, runs)
+def recent_history(history: DataFrame, days: int | None = None) -> DataFrame:
+    """Rows of runs less than ``days`` older than the newest one (all by default); folders of earlier days are not read."""
+    if days is None:
+        return history
+    near = history.filter(F.col("run_day") >= F.date_sub(history.agg(F.max("run_day")).scalar(), days))
+    return SC.recent_runs(near, 24 * days)

@@ -7,7 +7,7 @@ meet in one task, which a per-key state function would require.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonetide.operators import decision as D
@@ -16,6 +16,7 @@ from zonetide.settings import DecisionSettings
 
 RUNS = "zone_id long, timestamp timestamp, carried_count int"
 ACTIONS = "zone_id long, action string, acted_at timestamp"
+SUPPLY = "zone_name string, taxi_count double, baseline_supply double, seen_at timestamp"
 
 
 def _state(spark: SparkSession, folder: str, name: str, schema: str, number: int) -> DataFrame:
@@ -44,6 +45,14 @@ def _next_runs(runs: DataFrame, counted: DataFrame) -> DataFrame:
     return runs.unionByName(ends).groupBy("zone_id").agg(last.alias("r")).select("zone_id", "r.*")
 
 
+def _last_supply(known: DataFrame, rows: DataFrame) -> DataFrame:
+    """Last reported supply per zone name, of this batch or an earlier one."""
+    here = rows.select("zone_name", F.col("taxi_count").cast("double").alias("taxi_count"),
+                       F.col("baseline_supply").cast("double").alias("baseline_supply"), F.col("timestamp").alias("seen_at"))
+    last = F.max_by(F.struct("taxi_count", "baseline_supply", "seen_at"), F.struct("seen_at", "taxi_count"))
+    return known.unionByName(here).groupBy("zone_name").agg(last.alias("s")).select("zone_name", "s.*")
+
+
 def persistence_batches(spark: SparkSession, folder: str, threshold: float = DecisionSettings().monitor_max, period: str = "day"):
     """A ``foreachBatch`` function: run lengths of (zone_id, timestamp, predicted_shortage) rows.
 
@@ -64,20 +73,23 @@ def decide_batches(spark, folder: str, edges: DataFrame, groups: list[str], cfg:
     """A ``foreachBatch`` function: decide a batch with the state left by earlier ones.
 
     Rows need zone_id, zone_name, timestamp, predicted_shortage, taxi_count and baseline_supply.
-    State: the last run length per zone, the last time of each action per zone, and what each budget
-    group spent per day.
+    State: the last run length per zone, the last time of each action per zone, the last supply of
+    each zone (for its neighbours), and what each budget group spent per day. A row's cooldown counts
+    from actions of earlier batches to the row's own time.
     """
     kinds = {g: "date" if g == "day" else "string" for g in groups}
     spend_schema = ", ".join(f"{g} {k}" for g, k in kinds.items()) + ", spent decimal(22,4)"
 
     def step(batch: DataFrame, number: int) -> None:
         rows = written(batch.withColumn("day", F.to_date("timestamp")), "batch-rows")
-        now: Column = rows.agg(F.max("timestamp")).scalar()
         runs = _state(spark, folder, "runs", RUNS, number)
         acted = _state(spark, folder, "actions", ACTIONS, number)
         spent = _state(spark, folder, "spends", spend_schema, number)
         counted = D.persistence_counts(rows, F.col("predicted_shortage") > cfg.monitor_max, carried=_carried(runs), period="day")
-        placed = D.with_cooldowns(D.with_neighbor_surplus(counted, edges, cfg.surplus_buffer), D.last_actions(acted, cfg), now, cfg)
+        _store(_last_supply(_state(spark, folder, "supply", SUPPLY, number), rows), folder, "supply", number)
+        supply = _state(spark, folder, "supply", SUPPLY, number + 1).withColumnRenamed("zone_name", "neighbor")
+        around = D.with_neighbor_surplus(counted, edges, cfg.surplus_buffer, snapshot=supply)
+        placed = D.with_cooldowns(around, D.last_actions(acted, cfg), F.col("timestamp"), cfg)
         left = F.greatest(F.lit(cfg.daily_budget).cast("decimal(22,4)") - F.col("spent"), F.lit(0).cast("decimal(22,4)"))
         funded = D.allocate_budget(written(placed, "decision-rows"), groups, ["zone_id", "timestamp"], cfg=cfg,
                                    opening=spent.select(*groups, left.alias("opening_budget")))
