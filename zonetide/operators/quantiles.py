@@ -2,9 +2,10 @@
 
 ``percentile`` brings every distinct value of a group to a single task. That is fine for a
 narrow domain (counts, whole minutes, four-decimal scores, prices), above all when the values
-are counted first, and is used there. For wide domains the functions below narrow the search
-by equal-width bins, twice, so that only the distinct values sharing a bin with a wanted rank
-are ever sorted.
+are counted first, and is used there. For wide domains the functions below narrow the search by
+bins, twice, so that only the distinct values sharing a bin with a wanted rank are ever sorted.
+Bins are cut at approximate quantiles of the values, so they hold about equally many however
+the values are spread.
 """
 
 from __future__ import annotations
@@ -15,13 +16,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BINS = 4096
+BINS = 256
 
 
-def _bin(value: Column, low: Column, high: Column, bins: int) -> Column:
-    width = (high - low) / F.lit(float(bins))
-    raw = F.when(width > 0, F.floor((value - low) / width)).otherwise(F.lit(0))
-    return F.least(F.greatest(raw, F.lit(0)), F.lit(bins - 1)).cast("long")
+def _cuts(value: Column, bins: int) -> Column:
+    """``bins - 1`` values in order that cut the rows into runs of about equal number."""
+    return F.percentile_approx(value, [i / bins for i in range(1, bins)], 10_000)
+
+
+def _bin(value: Column, cuts: Column, bins: int) -> Column:
+    """Number of cuts below the value. Every ``step``-th cut is looked at first, then those of one step."""
+    step = max(2, round(bins ** 0.5))
+    below = lambda a: F.coalesce(F.size(F.filter(a, lambda c: c < value)), F.lit(0))
+    coarse = [F.get(cuts, F.lit(i)) for i in range(step - 1, bins - 1, step)]
+    at = (below(F.array(*coarse)) if coarse else F.lit(0)) * F.lit(step)
+    return (at + below(F.slice(cuts, at + F.lit(1), F.lit(step)))).cast("long")
 
 
 def _narrow(cells: DataFrame, keys: list[str], wants: DataFrame, groups: list[str], name: str, bins: int) -> DataFrame:
@@ -31,11 +40,11 @@ def _narrow(cells: DataFrame, keys: list[str], wants: DataFrame, groups: list[st
     the result has one more key, the bin. ``wants`` has the wanted ranks per group as an array.
     """
     if keys:
-        span = cells.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+        span = cells.groupBy(*keys).agg(_cuts(F.col("v"), bins).alias("cuts"))
         ranged = cells.join(span, keys)
     else:
-        ranged = cells.withColumns({"lo": cells.agg(F.min("v")).scalar(), "hi": cells.agg(F.max("v")).scalar()})
-    binned = ranged.withColumn(name, _bin(F.col("v"), F.col("lo"), F.col("hi"), bins)).drop("lo", "hi")
+        ranged = cells.withColumn("cuts", cells.agg(_cuts(F.col("v"), bins)).scalar())
+    binned = ranged.withColumn(name, _bin(F.col("v"), F.col("cuts"), bins)).drop("cuts")
     totals = binned.groupBy(*keys, "base", name).agg(F.sum("n").alias("inside"))
     # At most ``bins`` rows per cell reach this window.
     earlier = W.partitionBy(*(keys or [F.lit(0)])).orderBy(name).rowsBetween(W.unboundedPreceding, -1)
@@ -85,17 +94,17 @@ def running_totals(df: DataFrame, order: str, sums: dict[str, str], descending:
                    groups: list[str] | None = None, bins: int = BINS) -> DataFrame:
     """Cumulative sums over a numeric order within groups, without a one-task sort.
 
-    ``df`` holds one row per (group, order) value. Rows are cut into equal-width bins of the order
+    ``df`` holds one row per (group, order) value. Rows are cut into bins of about equal number by the order
     column; the running total is the total of earlier bins plus the running total inside the bin.
     """
     groups = groups or []
     o = F.col(order).cast("double")
     if groups:
-        span = df.groupBy(*groups).agg(F.min(o).alias("_lo"), F.max(o).alias("_hi"))
+        span = df.groupBy(*groups).agg(_cuts(o, bins).alias("_cuts"))
         ranged = df.join(span, groups)
     else:
-        ranged = df.withColumns({"_lo": df.agg(F.min(o)).scalar(), "_hi": df.agg(F.max(o)).scalar()})
-    binned = ranged.withColumn("_bin", _bin(o, F.col("_lo"), F.col("_hi"), bins)).drop("_lo", "_hi")
+        ranged = df.withColumn("_cuts", df.agg(_cuts(o, bins)).scalar())
+    binned = ranged.withColumn("_bin", _bin(o, F.col("_cuts"), bins)).drop("_cuts")
     totals = binned.groupBy(*groups, "_bin").agg(*[F.sum(c).alias(f"_t_{out}") for out, c in sums.items()])
     bin_order = F.col("_bin").desc() if descending else F.col("_bin").asc()
     row_order = F.col(order).desc() if descending else F.col(order).asc()

@@ -40,6 +40,17 @@ def zero_filled(zones: DataFrame, facts: DataFrame, on: list[str], fill: dict) -
     return zones.join(facts, on, "left").fillna(fill)
 
 
+def every_zone_hour(zones: DataFrame, facts: DataFrame, span: DataFrame, fill: dict, ts: str = "timestamp") -> DataFrame:
+    """A row for every zone and every hour from ``span.first`` to ``span.last`` (one row); missing facts take the fill values.
+
+    Zones are gathered into each hour's row and unfolded again, so nothing is joined on all pairs.
+    """
+    hours = span.select(F.explode(F.sequence("first", "last", F.expr("interval 1 hour"))).alias(ts))
+    listed = zones.agg(F.collect_list(F.struct(*zones.columns))).scalar()
+    grid = hours.select(ts, F.inline(listed))
+    return grid.join(facts, ["zone_id", ts], "left").fillna(fill)
+
+
 def hourly_mean(snapshots: DataFrame, ts: str = "timestamp", value: str = "taxi_count",
                 keys=ZONE_KEYS) -> DataFrame:
     """Mean of the snapshots in each hour, rounded half to even."""

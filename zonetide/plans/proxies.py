@@ -12,6 +12,7 @@ from zonetide.functions.numeric import clip, round_even
 from zonetide.operators import features as FT
 from zonetide.operators import scoring as SC
 from zonetide.operators.quantiles import exact_quantiles
+from zonetide.operators.rollup import every_zone_hour
 from zonetide.session import use_utc
 from zonetide.sources.readers import table
 
@@ -64,7 +65,7 @@ def zone_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def zone_hours(spark: SparkSession, folder: str, congestion: bool = False) -> DataFrame:
-    """Zone-hour rows with weather and external columns, all from one aggregation of the events."""
+    """A row for every zone and hour of the events' span, with weather and external columns; hours without events count 0."""
     e = events(spark, folder)
     money = F.col("value").cast(MONEY)
     rain = F.coalesce(F.sum(F.when(F.col("event_type") == "error", money)).cast("double"), F.lit(0.0)) / F.lit(20.0)
@@ -72,11 +73,14 @@ def zone_hours(spark: SparkSession, folder: str, congestion: bool = False) -> Da
         F.count(F.lit(1)).alias("taxi_count"), round_even(rain, 2).alias("rainfall_mm"),
         F.count_if(F.col("event_type") == "view").alias("carpark_available_lots"),
         (F.sum(money).cast("double") / F.count("value")).alias("_mean_value"))
-    out = rolled.withColumns({"is_raining": F.col("rainfall_mm") > 0.1, "train_disruption_flag": F.lit(0)})
+    hour = F.date_trunc("hour", "ts")
+    span = e.agg(F.min(hour).alias("first"), F.max(hour).alias("last"))
+    filled = every_zone_hour(zone_dimension(spark), rolled, span, {"taxi_count": 0, "rainfall_mm": 0.0, "carpark_available_lots": 0})
+    out = filled.withColumns({"is_raining": F.col("rainfall_mm") > 0.1, "train_disruption_flag": F.lit(0)})
     if congestion:
         mid = exact_quantiles(e, "value", {"mid": 0.5}, domain="narrow").select("mid").scalar()
-        out = out.withColumn("congestion_ratio", round_even(F.col("_mean_value") / mid))
-    return out.drop("_mean_value").join(zone_dimension(spark), "zone_id")
+        out = out.withColumn("congestion_ratio", F.coalesce(round_even(F.col("_mean_value") / mid), F.lit(1.0)))
+    return out.drop("_mean_value")
 
 
 def newest_hour(spark: SparkSession, folder: str):

@@ -266,23 +266,34 @@ def version_compare(spark, folder):
     return V.compare_versions(*_cut(V.current_versions(P.version_events(spark, folder))))
 
 
-def _feature_names(spark, folder, low, high):
-    p = table(use_utc(spark), folder, "part").filter(F.col("p_size").between(low, high))
-    return p.select(F.concat_ws("|", "p_brand", "p_type").alias("feature"))
+def _feature_names(spark, folder, sizes):
+    """Names from all parts; fewer size classes give fewer names."""
+    return table(use_utc(spark), folder, "part").select(F.concat_ws("|", "p_brand", (F.col("p_size") % sizes).cast("string")).alias("feature"))
 
 
-@query("J-15 U-03", "SELECT DISTINCT p_brand || '|' || p_type AS feature FROM part WHERE p_size BETWEEN 1 AND 10 AND p_brand || '|' || p_type NOT IN (SELECT p_brand || '|' || p_type FROM part WHERE p_size BETWEEN 11 AND 12)")
-def removed_features(spark, folder):
-    return V.removed_features(_feature_names(spark, folder, 1, 10), _feature_names(spark, folder, 11, 12))
+_GONE = """gone AS (SELECT DISTINCT p_brand || '|' || CAST(p_size % 25 AS VARCHAR) AS feature FROM part
+  WHERE p_brand || '|' || CAST(p_size % 25 AS VARCHAR) NOT IN (SELECT p_brand || '|' || CAST(p_size % 23 AS VARCHAR) FROM part))"""
 
 
-_GATE_REASON = f"""concat_ws('; ', CASE WHEN NOT (f1 >= 0.5 AND roc_auc >= 0.65) THEN 'performance below threshold (F1=' || printf('%.3f', {Q.r('f1', 3)}) || ' min=0.5, AUC=' || printf('%.3f', {Q.r('roc_auc', 3)}) || ' min=0.65)' END,
-  CASE WHEN NOT regression_ok THEN 'metric regression > 5% vs active model' END)"""
+@query("J-15 U-03", Q.with_(_GONE) + "SELECT feature FROM gone")
+def removed_features(spark, folder):
+    return V.removed_features(_feature_names(spark, folder, 25), _feature_names(spark, folder, 23))
 
 
-@query("M-32 Q-11", Q.with_(Q.VERSIONS) + f"""SELECT version_id, f1 >= 0.5 AND roc_auc >= 0.65 AS performance_ok, regression_ok, true AS schema_ok, true AS integration_ok, true AS stability_ok,
-  f1 >= 0.5 AND roc_auc >= 0.65 AND regression_ok AS passed, CASE WHEN {_GATE_REASON} = '' THEN 'all checks passed' ELSE {_GATE_REASON} END AS reason FROM (
-  SELECT c.*, NOT (""" + " OR ".join(f'(a."{m}" > 0 AND (c."{m}" - a."{m}") / a."{m}" < -0.05::DOUBLE)' for m in V.METRICS) + """) AS regression_ok
+_GATE_REASON = f"""concat_ws('; ', CASE WHEN NOT (f1 >= 0.5 AND roc_auc >= 0.65) THEN 'performance below threshold (F1=' || printf('%.3f', {Q.r('f1', 3)}) || ' min=0.5, AUC=' || printf('%.3f', {Q.r('roc_auc', 3)}) || ' min=0.65)' END,
+  CASE WHEN NOT regression_ok THEN 'metric regression > 5% vs active model' END,
+  CASE WHEN NOT schema_ok THEN 'schema regression: features removed=' || (SELECT string_agg(feature, ', ' ORDER BY feature) FROM gone) END,
+  CASE WHEN NOT integration_ok THEN 'integration test failed: predictions outside [0, 1] or missing' END,
+  CASE WHEN NOT stability_ok THEN 'stability check failed: variance ratio > 3.0' END)"""
+_STABLE = """stable AS (SELECT count(p) = count(*) AND min(p) >= 0 AND max(p) <= 1 AS integration_ok,
+  coalesce(stddev_pop(other) = 0 OR stddev_pop(p) / nullif(stddev_pop(other), 0) <= 3.0::DOUBLE, true) AS stability_ok
+  FROM (SELECT p, least(n_chars / 15000.0::DOUBLE, 1.0::DOUBLE) AS other FROM lab))"""
+
+
+@query("M-32 Q-11", Q.with_(Q.VERSIONS, _GONE, Q.LABELLED, _STABLE) + f"""SELECT version_id, f1 >= 0.5 AND roc_auc >= 0.65 AS performance_ok, regression_ok, schema_ok, integration_ok, stability_ok,
+  f1 >= 0.5 AND roc_auc >= 0.65 AND regression_ok AND schema_ok AND integration_ok AND stability_ok AS passed, CASE WHEN {_GATE_REASON} = '' THEN 'all checks passed' ELSE {_GATE_REASON} END AS reason FROM (
+  SELECT c.*, NOT (""" + " OR ".join(f'(a."{m}" > 0 AND (c."{m}" - a."{m}") / a."{m}" < -0.05::DOUBLE)' for m in V.METRICS) + """) AS regression_ok,
+   NOT EXISTS (SELECT 1 FROM gone) AS schema_ok, (SELECT integration_ok FROM stable) AS integration_ok, (SELECT stability_ok FROM stable) AS stability_ok
    FROM ver c JOIN undertest USING (version_id), (SELECT * FROM ver WHERE status = 'active') a)""")
 def promotion_gate(spark, folder):
     candidate, active = _cut(V.current_versions(P.version_events(spark, folder)))
@@ -291,7 +302,7 @@ def promotion_gate(spark, folder):
     other = F.least(F.col("n_chars") / F.lit(15000.0), F.lit(1.0))
     stability = lab.agg(F.stddev_pop("p").alias("candidate_std"), F.stddev_pop(other).alias("active_std"), F.min("p").alias("lowest"),
                         F.max("p").alias("highest"), F.count("p").alias("n_scored"), F.count(F.lit(1)).alias("n_rows"))
-    removed = V.removed_features(_feature_names(spark, folder, 1, 50), _feature_names(spark, folder, 1, 50))
+    removed = V.removed_features(_feature_names(spark, folder, 25), _feature_names(spark, folder, 23))
     return V.gate(candidate, active, removed, stability)
 
 

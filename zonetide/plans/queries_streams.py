@@ -67,10 +67,13 @@ def stream_outcomes(spark, folder):
 @query("T-04 W-12", """SELECT zone_id, timestamp, CAST(sum(hit) OVER (PARTITION BY zone_id, island ORDER BY timestamp) AS INTEGER) AS persistence_count FROM (
   SELECT *, sum(1 - hit) OVER (PARTITION BY zone_id ORDER BY timestamp) AS island FROM (SELECT user_id AS zone_id, ts AS timestamp, CAST(value / 100.0::DOUBLE > 0.25::DOUBLE AS INTEGER) AS hit FROM events))""")
 def stream_persistence(spark, folder):
-    """Run lengths per user, carried from batch to batch."""
-    rows = event_stream(spark, folder).select(F.col("user_id").alias("zone_id"), "timestamp", (F.col("value") / F.lit(100.0)).alias("predicted_shortage"))
+    """Run lengths per user, carried from batch to batch: the month's weeks arrive one after the other, each as a batch."""
+    rows = P.events(spark, folder).select(F.col("user_id").alias("zone_id"), F.col("ts").alias("timestamp"), (F.col("value") / F.lit(100.0)).alias("predicted_shortage"))
     at = scratch_path(spark, "persistence")
-    ingest.run_batches(rows, state.persistence_batches(spark, at), f"{at}/checkpoint")
+    week = F.floor((F.dayofmonth("timestamp") - 1) / 7)
+    for number in range(5):
+        rows.filter(week == number).write.mode("append").parquet(f"{at}/files")
+        ingest.run_batches(ingest.file_stream(spark, f"{at}/files", rows.schema), state.persistence_batches(spark, at), f"{at}/checkpoint")
     return spark.read.parquet(f"{at}/rows").select("zone_id", "timestamp", "persistence_count")
 
 

@@ -45,13 +45,16 @@ RING = """ring AS (SELECT 'Zone' || a.zone_id AS zone, 'Zone' || b.zone_id AS ne
   ON b.zone_id = (a.zone_id + 3) % 5 + 1 OR b.zone_id = a.zone_id % 5 + 1)"""
 
 HOURS = f"""mid AS (SELECT quantile_cont(value, 0.5) AS m FROM events),
-zh AS (SELECT e.*, d.zone_name, d.region, d.zone_type, e.rainfall_mm > 0.1 AS is_raining,
-   {r('mean_value / (SELECT m FROM mid)')} AS congestion_ratio
-  FROM (SELECT user_id % 5 + 1 AS zone_id, date_trunc('hour', ts) AS timestamp, CAST(count(*) AS BIGINT) AS taxi_count,
+span AS (SELECT date_trunc('hour', min(ts)) AS a, date_trunc('hour', max(ts)) AS b FROM events),
+spine AS (SELECT dim.*, unnest(generate_series(a, b, INTERVAL 1 HOUR)) AS timestamp FROM dim, span),
+zh AS (SELECT s.zone_id, s.timestamp, coalesce(e.taxi_count, 0) AS taxi_count, coalesce(e.rainfall_mm, 0.0::DOUBLE) AS rainfall_mm,
+   coalesce(e.carpark_available_lots, 0) AS carpark_available_lots, s.zone_name, s.region, s.zone_type,
+   coalesce(e.rainfall_mm, 0.0::DOUBLE) > 0.1 AS is_raining, coalesce({r('mean_value / (SELECT m FROM mid)')}, 1.0::DOUBLE) AS congestion_ratio
+  FROM spine s LEFT JOIN (SELECT user_id % 5 + 1 AS zone_id, date_trunc('hour', ts) AS timestamp, CAST(count(*) AS BIGINT) AS taxi_count,
      {r("CAST(coalesce(sum(CASE WHEN event_type = 'error' THEN CAST(value AS DECIMAL(12,2)) END), 0) AS DOUBLE) / 20.0", 2)} AS rainfall_mm,
      CAST(count(*) FILTER (WHERE event_type = 'view') AS BIGINT) AS carpark_available_lots,
      CAST(sum(CAST(value AS DECIMAL(12,2))) AS DOUBLE) / count(value) AS mean_value
-   FROM events GROUP BY 1, 2) e JOIN dim d ON d.zone_id = e.zone_id)"""
+   FROM events GROUP BY 1, 2) e ON s.zone_id = e.zone_id AND s.timestamp = e.timestamp)"""
 
 _LAGS = (1, 2, 3, 24, 48, 168)
 
