@@ -43,3 +43,19 @@ def test_outcome_report_parts(spark, small):
     log = P.outcome_log(spark, small)
     parts = jobs.outcome_report(log)
     assert parts["rates"].first()["total_logged"] == log.count() and parts["by_action"].count() == 5 and parts["recent"].count() == 20
+
+
+def test_every_zone_has_every_hour(spark):
+    from pyspark.sql import functions as F
+
+    from zonetide.operators.rollup import every_zone_hour
+
+    zones = spark.createDataFrame([(1, "A"), (2, "B")], "zone_id long, zone_name string")
+    facts = spark.createDataFrame([(1, "2024-01-01 00:00:00", 4), (1, "2024-01-01 02:00:00", 7)], "zone_id long, t string, n long")
+    facts = facts.select("zone_id", F.col("t").cast("timestamp").alias("timestamp"), "n")
+    span = facts.agg(F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
+    out = every_zone_hour(zones, facts, span, {"n": 0}).orderBy("zone_id", "timestamp").collect()
+    assert [(r["zone_name"], r["n"]) for r in out] == [("A", 4), ("A", 0), ("A", 7), ("B", 0), ("B", 0), ("B", 0)]
+    none = facts.filter("n < 0")
+    empty = none.agg(F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
+    assert every_zone_hour(zones, none, empty, {"n": 0}).count() == 0

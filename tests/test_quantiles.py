@@ -3,6 +3,8 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from zonetide.operators.quantiles import exact_quantiles, running_totals
 
 
@@ -35,6 +37,15 @@ def test_grouped_quantiles(spark):
         assert got[g] == pytest.approx(np.quantile([x for k, x in rows if k == g], 0.25), rel=1e-12)
 
 
+def test_bins_hold_about_equally_many_values_beside_an_outlier(spark):
+    from zonetide.operators.quantiles import _bin, _cuts
+
+    df = spark.range(20_000).select((F.col("id") / 20_000.0).alias("v")).unionByName(spark.range(1).select(F.lit(1e12).alias("v")))
+    binned = df.withColumn("c", df.agg(_cuts(F.col("v"), 32)).scalar()).groupBy(_bin(F.col("v"), F.col("c"), 32).alias("b")).count()
+    sizes = {r["b"]: r["count"] for r in binned.collect()}
+    assert sorted(sizes) == list(range(32)) and max(sizes.values()) < 1.2 * 20_001 / 32
+
+
 def test_running_totals_match_a_plain_cumulative_sum(spark):
     rng = np.random.default_rng(7)
     scores = np.unique(np.concatenate([rng.uniform(0, 1e-6, 300), rng.uniform(0, 1, 300)]))
@@ -45,3 +56,11 @@ def test_running_totals_match_a_plain_cumulative_sum(spark):
     for s, n in sorted(rows, reverse=True):
         total += n
         assert got[s] == total
+
+
+def test_running_totals_of_a_heavy_tail_with_an_outlier(spark):
+    rng = np.random.default_rng(8)
+    values = np.unique(np.concatenate([rng.pareto(0.5, 3000), [1e15]]))
+    df = spark.createDataFrame([(float(v), 1) for v in values], "s double, n long")
+    got = sorted((r["s"], r["t"]) for r in running_totals(df, "s", {"t": "n"}, descending=False).collect())
+    assert [t for _, t in got] == list(range(1, len(values) + 1))

@@ -43,11 +43,11 @@ def zero_filled(zones: DataFrame, facts: DataFrame, on: list[str], fill: dict) -
 def every_zone_hour(zones: DataFrame, facts: DataFrame, span: DataFrame, fill: dict, ts: str = "timestamp") -> DataFrame:
     """A row for every zone and every hour from ``span.first`` to ``span.last`` (one row); missing facts take the fill values.
 
-    Zones are gathered into each hour's row and unfolded again, so nothing is joined on all pairs.
+    Each zone's row unfolds to its hours, so nothing is gathered or joined on all pairs. An empty span has no rows.
     """
-    hours = span.select(F.explode(F.sequence("first", "last", F.expr("interval 1 hour"))).alias(ts))
-    listed = zones.agg(F.collect_list(F.struct(*zones.columns))).scalar()
-    grid = hours.select(ts, F.inline(listed))
+    ends = zones.withColumn("_span", span.select(F.struct("first", "last")).scalar())
+    hours = F.sequence("_span.first", "_span.last", F.expr("interval 1 hour"))
+    grid = ends.select(*zones.columns, F.explode(hours).alias(ts))
     return grid.join(facts, ["zone_id", ts], "left").fillna(fill)
 
 

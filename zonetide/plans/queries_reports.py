@@ -306,12 +306,14 @@ def promotion_gate(spark, folder):
     return V.gate(candidate, active, removed, stability)
 
 
-@query("G-06 X-13", Q.with_(Q.VERSIONS) + f"""SELECT version_id AS active_version, 0.1834::DOUBLE AS psi, 'moderate' AS psi_level,
-  'PSI=0.183 indicates moderate drift — early warning signal. Model performance may be degrading; monitor closely and consider retraining soon. Current precision: ' || printf('%.1f', {Q.r('"precision" * 100.0::DOUBLE', 1)}) || '%.' AS psi_business_impact,
-  CAST((SELECT count(*) FROM judged WHERE NOT removable) AS INTEGER) AS lineage_size FROM ver WHERE status = 'active'""")
+@query("G-06 X-13", Q.with_(Q.VERSIONS, _DRIFT) + f"""SELECT version_id AS active_version, {Q.r('psi')} AS psi,
+  CASE WHEN {Q.r('psi')} >= 0.25 THEN 'significant' WHEN {Q.r('psi')} >= 0.10 THEN 'moderate' ELSE 'stable' END AS psi_level,
+  'PSI=' || printf('%.3f', {Q.r('psi')}) || CASE WHEN {Q.r('psi')} >= 0.25 THEN ' indicates significant data drift — the live distribution differs materially from training data. Model predictions are less reliable; expect more false positives and missed depletion-risk alerts.'
+    WHEN {Q.r('psi')} >= 0.10 THEN ' indicates moderate drift — early warning signal. Model performance may be degrading; monitor closely and consider retraining soon.'
+    ELSE ' — distribution is stable. Model is operating within expected parameters.' END || ' Current precision: ' || printf('%.1f', {Q.r('"precision" * 100.0::DOUBLE', 1)}) || '%.' AS psi_business_impact,
+  CAST((SELECT count(*) FROM judged WHERE NOT removable) AS INTEGER) AS lineage_size FROM ver, drift WHERE status = 'active'""")
 def model_impact(spark, folder):
-    drift = P.events(spark, folder).agg((F.max("value") * 0 + 0.1834).alias("psi"))
-    m = V.model_impact(drift, V.current_versions(P.version_events(spark, folder)), P.now())
+    m = V.model_impact(_event_drift(spark, folder), V.current_versions(P.version_events(spark, folder)), P.now())
     return m.select("active_version", "psi", "psi_level", "psi_business_impact", F.size("version_lineage").alias("lineage_size"))
 
 
