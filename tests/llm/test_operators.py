@@ -203,6 +203,60 @@ def test_backoff(docs, empty):
     assert backoff.score(empty).count() == 0
 
 
+def brute_katz(rows):
+    """Scores of (doc_id, tokens): one Katz model with exact word shares and Good-Turing discounts of all bigrams."""
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows}
+    c = collections.Counter(w for i, t in rows if not held[i] for w in t)
+    pairs = collections.Counter(x for i, t in rows if not held[i] for x in zip(["<s>", *t], t))
+    n = sum(c.values())
+    unseen = min(max(sum(k == 1 for k in c.values()), 1) / n, 0.5)
+    p1 = lambda w: c[w] * (1 - unseen) / n if w in c else unseen / 65536
+    d = backoff.ratios(np.bincount(np.minimum(list(pairs.values()), 7), minlength=8))
+    total, kept, mass = collections.Counter(), collections.Counter(), collections.Counter()
+    for (h, w), k in pairs.items():
+        total[h] += k
+        kept[h] += d[min(k, 6)] * k
+        mass[h] += p1(w)
+
+    def p(h, w):
+        if not total[h]:
+            return p1(w)
+        left, scale = 1 - kept[h] / total[h], 1
+        if left < 1e-9:
+            left, scale = 1 / (total[h] + 1), total[h] / (total[h] + 1)
+        return d[min(pairs[h, w], 6)] * pairs[h, w] * scale / total[h] if (h, w) in pairs else left / max(1 - mass[h], 1e-12) * p1(w)
+
+    return {i: sum(np.log10(p(*x)) for x in zip(["<s>", *t], t)) for i, t in rows}
+
+
+def test_backoff_is_one_model_for_any_number_of_tasks(docs):
+    tokens = [(r.doc_id, [*low(r.text).encode().split(), "</s>"]) for r in docs.collect()]
+    want = brute_katz(tokens)
+    for buckets in (1, 7, 400):  # at 400 the common words are split
+        got = {r.doc_id: r.score for r in backoff.score(docs, buckets=buckets).collect()}
+        assert got == pytest.approx(want, rel=1e-9)
+
+
+def test_backoff_keeps_the_counts_of_all_words(spark):
+    """Over 200,000 words: each has its own share, however rare."""
+    many = [f"w{k}" for k in range(205_000)]
+    rows = [(1, " ".join(many * 3)), (2, " ".join([*["rare"] * 2, "once"])), (3, "never once rare w7 often"), (4, "w5 rare once w9")]
+    tokens = [(i, [*t.split(), "</s>"]) for i, t in rows]
+    assert zlib.crc32(b"1") % 10 and zlib.crc32(b"2") % 10
+    got = {r.doc_id: r.score for r in backoff.score(spark.createDataFrame(rows, "doc_id long, text string"), buckets=4).collect()}
+    assert got == pytest.approx(brute_katz(tokens), rel=1e-9)
+
+
+def test_backoff_sends_counts_not_occurrences(spark, monkeypatch):
+    """However often a word and a pair occur, their bucket gets one entry a part."""
+    monkeypatch.setattr(backoff, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("P", (), {"partitionId": lambda self: 0})())}))
+    parts = backoff.Parts(3)
+    batch = pa.record_batch([pa.array([1, 2]), pa.array(["the " * 5000, "the a"])], ["doc_id", "text"])
+    (out,) = [*parts.add(batch), *parts.flush()]
+    dealt = [backoff._unpack(d) for b, d in zip(out.column("bucket").to_pylist(), out.column("data").to_pylist(), strict=True) if b >= 0]
+    assert sorted(k for x in dealt for k in x[2].tolist()) == [1, 2, 5001]
+
+
 def test_backoff_is_normalised():
     """Seen words, and unseen ones added without training counts, sum to one."""
     rng = np.random.default_rng(0)

@@ -3,21 +3,20 @@
 Training documents are those whose ``crc32(doc_id as text) mod 10`` is not 0; all documents are scored. A text's tokens are
 its words (A-Z lowered) and one end; the first token's history is a start mark.
 
-Three tables are counted, each dealt out by hash:
+Counts are taken per part of the input first and summed by key, so a common word or bigram is one entry per part:
 
-* words: counts of training tokens, exact, written to the shared folder;
-* lower order: ``P1``, from the words. The ``HEAD`` commonest words have their own discounted share. All others, unseen ones
-  too, fall into ``TAILS`` classes by hash; a class shares its mass, and its part of the Good-Turing mass of unseen
-  words, equally among its known words and one unseen word;
-* bigrams by history: a seen bigram has ``d(c) c / c(h)``, ``d`` the Good-Turing discounts of its hash part for counts up to
-  ``LEVELS``; an unseen one backs off to ``a(h) P1(w)``, where ``a(h)`` is what the seen ones leave over, divided by the ``P1`` mass of
-  the words not seen after ``h``. A history that training never saw backs off to ``P1`` wholly.
+* words: counts of all training words, exact. ``P1`` of a known word is its share less a Good-Turing part; that part, the
+  mass of words without training tokens, goes equally to ``UNSEEN`` places, one for each of them;
+* bigrams by history: a seen bigram has ``d(c) c / c(h)``, ``d`` the Good-Turing discounts for counts up to ``LEVELS``, from the
+  counts of counts of all bigrams; an unseen one backs off to ``a(h) P1(w)``, where ``a(h)`` is what the seen ones leave
+  over, divided by the ``P1`` mass of the words not seen after ``h``. A history that training never saw backs off to ``P1`` wholly.
 
-A history with more than its share of all tokens is split: next words fall into classes by hash, ``P(w | h) =
-P(class | h) P(w | h, class)``, and each class has its own Katz distribution, so no task holds a hot history alone.
+What a history needs (its total, how many bigrams have counts 1 ... ``LEVELS``, the training tokens of its seen words) are sums of
+whole numbers. A history with more than its share of all tokens is dealt out by classes of next words and its sums are added
+up, so no task holds a hot history alone and the scores depend neither on that split nor on the number of tasks.
 
-Tokens travel as packed arrays: for each part of the input and each bucket one row with the distinct words (or
-bigrams) and, for each, the numbers of the documents that hold it. Words are told apart by 48 bits of their hash.
+A part's tokens stay with the part, as numbers of its distinct words; the counts of its words and bigrams come back to it.
+Words are told apart by 48 bits of their hash.
 
 Null or empty text: the end token alone. Repeated rows count and score each for itself. Without training rows every
 word is unknown. An empty table gives no rows; other columns are ignored.
@@ -38,8 +37,8 @@ from pyspark.sql import functions as F
 from zonetide.llm.words import mix, slices, words_of
 from zonetide.session import written
 
-HEAD = 200_000
-TAILS = 1 << 16
+#: Words without training tokens that the lower order makes room for.
+UNSEEN = 1 << 16
 LEVELS = 5
 #: Tokens and documents packed together on the map side, and classes of a split history.
 PART_TOKENS, PART_DOCS, SPLIT = 3_500_000, 30_000, 64
@@ -52,21 +51,15 @@ def held_out(ids: pa.Array, modulus: int = 10) -> np.ndarray:
     return np.array([zlib.crc32(str(x).encode()) % modulus == 0 for x in ids.to_pylist()], bool)
 
 
-def _tokens(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """48-bit codes of the tokens of all texts, their histories, and tokens per text."""
+def _tokens(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """48-bit codes of the tokens of all texts, and tokens per text."""
     w = words_of(part.column("text"), lower=True)
-    count = np.diff(w.first)
-    code = np.insert((w.hash & _WIDE) | np.uint64(4), w.first[1:], END)
-    before = np.empty_like(code)
-    before[1:] = code[:-1]
-    first = np.cumsum(count + 1) - (count + 1)
-    before[first] = START
-    return code, before, count + 1
+    return np.insert((w.hash & _WIDE) | np.uint64(4), w.first[1:], END), np.diff(w.first) + 1
 
 
 def split_class(w: np.ndarray) -> np.ndarray:
-    """Class of a next word after a split history; whole tail classes fall together, so its P1 mass is known exactly."""
-    return (mix(w % np.uint64(TAILS)) % np.uint64(SPLIT)).astype(np.int64)
+    """Class of a next word after a split history."""
+    return (mix(w) % np.uint64(SPLIT)).astype(np.int64)
 
 
 def _pack(arrays: list[np.ndarray]) -> bytes:
@@ -103,11 +96,22 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(head)
 
 
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Like ``np.unique`` with the inverse, in less memory."""
+    order = np.argsort(key)
+    key = key[order]
+    head = np.ones(len(key), bool)
+    head[1:] = key[1:] != key[:-1]
+    number = np.empty(len(key), np.uint32)
+    number[order] = np.cumsum(head, dtype=np.uint32) - np.uint32(1)
+    return key[head], number
+
+
 class Parts:
-    """Collects texts of a task and hands them over as parts: rows of (bucket, part, data)."""
+    """Collects texts of a task and hands them over as parts: rows of (bucket, part, data), the tokens themselves in bucket -1."""
 
-    def __init__(self, buckets: int, bigrams: bool, hot: np.ndarray):
-        self.buckets, self.bigrams, self.hot = buckets, bigrams, hot
+    def __init__(self, buckets: int):
+        self.buckets = buckets
         self.number = TaskContext.get().partitionId() << 24
         self._clear()
 
@@ -118,103 +122,65 @@ class Parts:
     def add(self, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for at in range(0, part.num_rows, PART_DOCS // 2):
             piece = part.slice(at, PART_DOCS // 2)
-            code, before, count = _tokens(piece)
+            code, count = _tokens(piece)
             if self.docs + len(count) > PART_DOCS or self.tokens + len(code) > PART_TOKENS:
                 yield from self.flush()
-            self.held.append((code, before, count, held_out(piece.column("doc_id")), piece.column("row").to_numpy(), piece.column("doc_id")))
+            self.held.append((code, count, held_out(piece.column("doc_id")), piece.column("doc_id").cast(pa.int64()).fill_null(0).to_numpy()))
             self.tokens, self.docs = self.tokens + len(code), self.docs + len(count)
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.held:
             return
-        code, before, count, held, row = (np.concatenate([x[k] for x in self.held]) for k in range(5))
-        ids = np.concatenate([x[5].cast(pa.int64()).fill_null(0).to_numpy() for x in self.held])
-        doc = np.repeat((np.arange(len(count)) << 1 | ~held).astype(np.uint16), count)
-        # Where a text stands and what it is: sent beside the tokens, under a negative number.
-        info = _pack([row.view(np.uint64), ids.view(np.uint64), held.view(np.uint8), count.astype(np.uint32)])
-        rows = [(-1 - self.number % self.buckets, info)]
-        if self.bigrams:
-            split = np.isin(before, self.hot)
-            sub = np.where(split, split_class(code), 0).astype(np.uint64)
-            bucket = (mix(before * np.uint64(SPLIT + 1) + sub) % np.uint64(self.buckets)).astype(np.int64)
-            order = np.lexsort((doc, code, before, bucket))
-        else:
-            bucket = (mix(code) % np.uint64(self.buckets)).astype(np.int64)
-            order = np.lexsort((doc, code, bucket))
-        bucket, code, before, doc = bucket[order], code[order], before[order], doc[order]
-        edges = np.searchsorted(bucket, np.arange(self.buckets + 1))
-        for b in range(self.buckets):
-            a, z = edges[b], edges[b + 1]
-            if a == z:
-                continue
-            c, h = code[a:z], before[a:z]
-            if self.bigrams:
-                first, pair = _runs(h), _runs(h, c)
-                number = np.diff(np.searchsorted(pair, np.append(first, len(c))))
-                data = [*_short(h[first]), number.astype(np.uint32), *_short(c[pair]), np.diff(np.append(pair, len(c))).astype(np.uint32), doc[a:z]]
-            else:
-                first = _runs(c)
-                data = [*_short(c[first]), np.diff(np.append(first, len(c))).astype(np.uint32), doc[a:z]]
-            rows.append((b, _pack(data)))
+        code, count, held, ids = (np.concatenate([x[k] for x in self.held]) for k in range(4))
+        self.held.clear()
+        words, number = _distinct(code)
+        times = np.bincount(number[np.repeat(~held, count)], minlength=len(words))
+        rows = [(-1, _pack([ids.view(np.uint64), held.view(np.uint8), count.astype(np.uint32), *_short(words), number]))]
+        order, edges = _by_bucket(mix(words), self.buckets)
+        for b in np.flatnonzero(np.diff(edges)):
+            some = order[edges[b]:edges[b + 1]]
+            rows.append((b, _pack([*_short(words[some]), times[some].astype(np.uint32)])))
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([self.number] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "part", "data"])
         self.number += 1
         self._clear()
 
 
-def _dealt(docs: DataFrame, buckets: int, bigrams: bool, hot: np.ndarray) -> DataFrame:
+def _by_bucket(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings values of one bucket together and keeps it otherwise, and where each bucket starts in it."""
+    bucket = (h % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return order, np.append(0, np.cumsum(np.bincount(bucket, minlength=buckets)))
+
+
+def _dealt(docs: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = Parts(buckets, bigrams, hot)
+        parts = Parts(buckets)
         for batch in batches:
             for part in slices(batch, "text"):
                 yield from parts.add(part)
         yield from parts.flush()
 
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
-    return rows.mapInArrow(run, "bucket int, part long, data binary")
-
-
-def _read(table: pa.Table, bigrams: bool) -> tuple[np.ndarray, ...]:
-    """All tokens of a bucket: history (or None), word, part number, document, is training."""
-    h, w, part, doc = [], [], [], []
-    for k, raw in enumerate(table.column("data").to_pylist()):
-        x = _unpack(raw)
-        if bigrams:
-            times = x[5].astype(np.int64)
-            h.append(np.repeat(np.repeat(_long(x[0], x[1]), x[2]), times))
-            w.append(np.repeat(_long(x[3], x[4]), times))
-        else:
-            w.append(np.repeat(_long(x[0], x[1]), x[2]))
-        doc.append(x[-1])
-        part.append(np.full(len(x[-1]), k, np.int32))
-    docs = np.concatenate(doc)
-    return np.concatenate(h) if bigrams else None, np.concatenate(w), np.concatenate(part), docs >> 1, (docs & 1).astype(bool)
-
-
-def _sums(table: pa.Table, part: np.ndarray, doc: np.ndarray, values: list[np.ndarray]) -> tuple[list, list]:
-    """Sums of values for each document, packed for each part."""
-    names = table.column("part").to_pylist()
-    flat = part.astype(np.int64) * 32768 + doc
-    keys, back = np.unique(flat, return_inverse=True)
-    totals = [np.bincount(back, weights=v, minlength=len(keys)) for v in values]
-    edges = np.searchsorted(keys, np.arange(len(names) + 1) * 32768)
-    out = [_pack([(keys[a:z] % 32768).astype(np.uint16), *[t[a:z].view(np.uint64) for t in totals]]) for a, z in zip(edges[:-1], edges[1:], strict=True)]
-    return names, out
+    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, part long, data binary")
 
 
-def _word_bucket(key, table):
-    if key[0].as_py() < 0:
-        return _table("info", table.column("part").to_pylist(), table.column("data").to_pylist())
-    _, w, part, doc, train = _read(table, False)
-    words, back = np.unique(w, return_inverse=True)
-    count = np.bincount(back[train], minlength=len(words))
-    c = count[back]
-    names, sums = _sums(table, part, doc, [(c > 0).astype(float), np.log10(c + ADD)])
-    known = count > 0
-    return pa.concat_tables([_table("sums", names, sums), _table("words", [-1], [_pack([words[known], count[known].astype(np.uint64)])])])
+_SCHEMA = "kind string, bucket int, part long, data binary"
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    kind, bucket, part, data = zip(*rows, strict=True) if rows else ((), (), (), ())
+    return pa.table({"kind": pa.array(kind, pa.string()), "bucket": pa.array(bucket, pa.int32()), "part": pa.array(part, pa.int64()), "data": pa.array(data, pa.binary())})
 
 
-def _table(kind: str, part: list, data: list) -> pa.Table:
-    return pa.table({"kind": pa.array([kind] * len(part), pa.string()), "part": pa.array(part, pa.int64()), "data": pa.array(data, pa.binary())})
+def _word_bucket(key, table):
+    """Counts of the bucket's words, as a table and for each part in the order of its words."""
+    found = [_unpack(raw) for raw in table.column("data").to_pylist()]
+    words, back = np.unique(np.concatenate([_long(x[0], x[1]) for x in found]), return_inverse=True)
+    count = np.bincount(back, weights=np.concatenate([x[2] for x in found]), minlength=len(words)).astype(np.uint64)
+    edges = np.append(0, np.cumsum([len(x[2]) for x in found]))
+    known = count > 0
+    b = key[0].as_py()
+    rows = [("counts", b, p, _pack([count[back[a:z]]])) for p, a, z in zip(table.column("part").to_pylist(), edges[:-1], edges[1:], strict=True)]
+    return _table([*rows, ("words", b, -1, _pack([words[known], count[known]]))])
 
 
 def _word_rows(packed: DataFrame) -> DataFrame:
@@ -228,46 +194,18 @@ def _word_rows(packed: DataFrame) -> DataFrame:
 
 
 class Lower:
-    """P1: the head's own shares and the tail classes'. Bounded by ``HEAD`` and ``TAILS``."""
-
-    def __init__(self, words: DataFrame):
-        total = words.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum((F.col("c") == 1).cast("long")).alias("one")).first()
-        self.n, self.v = int(total["n"] or 0), int(total["v"])
-        head = words.orderBy(F.desc("c"), "w").limit(HEAD).toArrow()
-        codes, counts = head.column("w").to_numpy().view(np.uint64), head.column("c").to_numpy()
-        order = np.argsort(codes)
-        self.codes, self.counts = codes[order], counts[order]
-        least = int(counts.min()) if len(counts) else 0
-        last = int(codes[counts == least].max()) if len(counts) else 0
-        tail = words.filter((F.col("c") < least) | ((F.col("c") == least) & (F.col("w") > last)))
-        by_class = tail.groupBy(F.pmod("w", F.lit(TAILS)).alias("t")).agg(F.sum("c").alias("m"), F.count("*").alias("k")).toArrow()
-        mass, kinds = np.zeros(TAILS), np.zeros(TAILS)
-        t = by_class.column("t").to_numpy()
-        mass[t], kinds[t] = by_class.column("m").to_numpy(), by_class.column("k").to_numpy()
-        n = max(self.n, 1)
-        unseen = min(max(int(total["one"] or 0), 1) / n, 0.5) if self.n else 1.0
-        self.head = self.counts * (1 - unseen) / n
-        self.tail = (mass * (1 - unseen) / n + unseen / TAILS) / (kinds + 1)
-        # P1 mass of each class of a split history.
-        every = np.arange(TAILS, dtype=np.uint64)
-        self.class_mass = np.bincount(split_class(self.codes), weights=self.head, minlength=SPLIT)
-        self.class_mass += np.bincount(split_class(every), weights=self.tail * (kinds + 1), minlength=SPLIT)
-
-    def of(self, w: np.ndarray) -> np.ndarray:
-        out = self.tail[(w % np.uint64(TAILS)).astype(np.int64)]
-        if len(self.codes):
-            k = np.minimum(np.searchsorted(self.codes, w), len(self.codes) - 1)
-            out = np.where(self.codes[k] == w, self.head[k], out)
-        return out
-
-    def count(self, w: int) -> int:
-        k = int(np.searchsorted(self.codes, np.uint64(w)))
-        return int(self.counts[k]) if k < len(self.codes) and self.codes[k] == np.uint64(w) else 0
-
-
-def discounts(count: np.ndarray, levels: int = LEVELS) -> np.ndarray:
-    """Good-Turing ratios d[0 ... levels + 1] from bigram counts; 1 beyond ``levels``. Where the counts of counts give none: 1 - 1 / (2 r)."""
-    n = np.bincount(np.minimum(count, levels + 2), minlength=levels + 3).astype(float)
+    """P1 from the count of a word: known words have their own shares, ``UNSEEN`` others the same one each."""
+
+    def __init__(self, n: int, one: int):
+        self.unseen = min(max(one, 1) / n, 0.5) if n else 1.0
+        self.known = (1 - self.unseen) / max(n, 1)
+
+    def of(self, count: np.ndarray) -> np.ndarray:
+        return np.where(count > 0, count * self.known, self.unseen / UNSEEN)
+
+
+def ratios(n: np.ndarray, levels: int = LEVELS) -> np.ndarray:
+    """Good-Turing ratios d[0 ... levels + 1] from counts of counts; 1 beyond ``levels``. Where those give none: 1 - 1 / (2 r)."""
     d = np.ones(levels + 2)
     common = (levels + 1) * n[levels + 1] / n[1] if n[1] else 1.0
     for r in range(1, levels + 1):
@@ -277,92 +215,176 @@ def discounts(count: np.ndarray, levels: int = LEVELS) -> np.ndarray:
     return d
 
 
+def counts_of_counts(count: np.ndarray, levels: int = LEVELS) -> np.ndarray:
+    return np.bincount(np.minimum(count, levels + 2).astype(np.int64), minlength=levels + 3)
+
+
+def katz(c: np.ndarray, lower: np.ndarray, history: np.ndarray, sums: np.ndarray, mass: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """log10 P(w | h) of bigrams with counts ``c`` and P1 ``lower``. A row of ``sums`` for each history: its total and its bigrams with
+    counts 1 ... LEVELS; ``mass``: P1 of its seen words."""
+    total = sums[:, 0]
+    left = sums[:, 1:] @ ((1 - d[1:LEVELS + 1]) * np.arange(1, LEVELS + 1)) / np.maximum(total, 1)
+    scale = np.where(left < 1e-9, total / (total + 1), 1.0)  # nothing was discounted: one more event makes room
+    left = np.where(left < 1e-9, 1 / (total + 1), left)
+    alpha = np.where(total > 0, left / np.maximum(1 - mass, 1e-12), 1.0)
+    star = d[np.minimum(c, len(d) - 1)] * c
+    return np.log10(np.where(c > 0, star * (scale / np.maximum(total, 1))[history], alpha[history] * lower))
+
+
+def _history_sums(c: np.ndarray, head: np.ndarray) -> np.ndarray:
+    return np.stack([np.add.reduceat(x.astype(np.int64), head) for x in (c, *[c == r for r in range(1, LEVELS + 1)])], 1)
+
+
 def group_scores(g: np.ndarray, w: np.ndarray, train: np.ndarray, p1: np.ndarray) -> np.ndarray:
-    """log10 P(w | g) of every token; ``g`` numbers the histories 0, 1, ..., ``p1`` is the lower order within the history's class.
+    """log10 P(w | g) of every token when these are all; ``g`` numbers the histories 0, 1, ..., ``p1`` is the lower order.
 
     Tokens are in order of (g, w).
     """
-    head = _runs(g, w)
-    size = np.diff(np.append(head, len(g)))
-    c = np.add.reduceat(train.astype(np.int64), head)
-    history, lower, seen = g[head], p1[head], c > 0
-    groups = int(g[-1]) + 1
-    d = discounts(c[seen])
-    star = d[np.minimum(c, len(d) - 1)] * c
-    total = np.bincount(history, weights=c, minlength=groups)
-    left = 1 - np.bincount(history, weights=star, minlength=groups) / np.maximum(total, 1)
-    scale = np.where(left < 1e-9, total / (total + 1), 1.0)  # nothing was discounted: one more event makes room
-    left = np.where(left < 1e-9, 1 / (total + 1), left)
-    free = np.maximum(1 - np.bincount(history, weights=np.where(seen, lower, 0), minlength=groups), 1e-12)
-    alpha = np.where(total > 0, left / free, 1.0)
-    p = np.where(seen, star * scale[history] / np.maximum(total[history], 1), alpha[history] * lower)
-    return np.repeat(np.log10(p), size)
+    first = _runs(g, w)
+    c = np.add.reduceat(train.astype(np.int64), first)
+    head = _runs(g[first])
+    mass = np.add.reduceat(np.where(c > 0, p1[first], 0), head)
+    logs = katz(c, p1[first], g[first], _history_sums(c, head), mass, ratios(counts_of_counts(c[c > 0])))
+    return np.repeat(logs, np.diff(np.append(first, len(g))))
+
+
+class Tokens:
+    """Tokens of a part with the training counts of its words, and its distinct bigrams: by bucket, history and word."""
+
+    def __init__(self, table: pa.Table, buckets: int, hot: np.ndarray):
+        kind, bucket, data = table.column("kind").to_pylist(), table.column("bucket").to_pylist(), table.column("data")
+        rows = sorted(range(len(kind)), key=lambda k: (kind[k], bucket[k]))
+        #: What came back for the bigrams: (bucket, packed).
+        self.back = [(bucket[k], data[k]) for k in rows if kind[k] == "bigrams"]
+        ids, held, count, low, high, number = _unpack(data[kind.index("info")].as_py())
+        words = _long(low, high)
+        self.ids, self.held, self.count, self.number = ids.view(np.int64), held.view(bool), count.astype(np.int64), number
+        self.first = np.cumsum(self.count) - self.count
+        self.word_count = np.empty(len(words), np.uint64)
+        self.word_count[_by_bucket(mix(words), buckets)[0]] = np.concatenate([_unpack(data[k].as_py())[0] for k in rows if kind[k] == "counts"])
+        key = np.empty(len(number), np.int64)
+        key[1:] = number[:-1]
+        key[self.first] = len(words)
+        key *= len(words) + 1
+        key += number
+        pair, self.pair = _distinct(key)
+        del key
+        h, w = np.append(words, START)[pair // (len(words) + 1)], (pair % (len(words) + 1)).astype(np.uint32)
+        sub = np.where(np.isin(h, hot), split_class(words[w]), 0).astype(np.uint64)
+        order, self.edges = _by_bucket(mix(h * np.uint64(SPLIT + 1) + sub), buckets)
+        place = np.empty(len(order), np.uint32)
+        place[order] = np.arange(len(order), dtype=np.uint32)
+        self.pair = place[self.pair]
+        self.h, self.w, self.words = h[order], w[order], words
+
+
+def _bigrams(buckets: int, hot: np.ndarray):
+    """The distinct bigrams of a part, dealt to buckets."""
+
+    def run(key, table):
+        x = Tokens(table, buckets, hot)
+        times = np.bincount(x.pair[np.repeat(~x.held, x.count)], minlength=len(x.h))
+        rows = []
+        for b in np.flatnonzero(np.diff(x.edges)):
+            a, z = x.edges[b], x.edges[b + 1]
+            first = _runs(x.h[a:z])
+            number = np.diff(np.append(first, z - a))
+            w = x.w[a:z]
+            rows.append(("", b, key[0].as_py(), _pack([*_short(x.h[a:z][first]), number.astype(np.uint32), *_short(x.words[w]), times[a:z].astype(np.uint32), x.word_count[w]])))
+        return _table(rows)
+
+    return run
 
 
-def _bigram_bucket(shared, hot: dict[int, int]):
+def _bigram_bucket(hot: np.ndarray):
+    """Counts and sums of histories for each part; once for the bucket: counts of counts, and the sums of its hot histories."""
+
     def run(key, table):
-        if key[0].as_py() < 0:
-            return _table("info", table.column("part").to_pylist(), table.column("data").to_pylist())
-        lower: Lower = shared.value
-        h, w, part, doc, train = _read(table, True)
-        is_hot = np.isin(h, np.array(list(hot), np.uint64))
-        sub = np.where(is_hot, split_class(w), 0)
-        order = np.lexsort((w, sub, h))
-        h, w, sub, part, doc, train, is_hot = (x[order] for x in (h, w, sub, part, doc, train, is_hot))
-        head = _runs(h, sub)
-        g = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(h))))
-        p1 = lower.of(w)
-        score = np.zeros(len(h))
-        if is_hot.any():
-            mass = lower.class_mass[sub]
-            p1 = np.where(is_hot, p1 / mass, p1)
-            there = np.add.reduceat(train.astype(np.int64), head)[g]
-            whole = np.zeros(len(h))
-            for code, count in hot.items():
-                whole[h == np.uint64(code)] = count
-            score = np.where(is_hot, np.log10((there + mass) / (whole + 1)), 0.0)
-        score = score + group_scores(g, w, train, p1)
-        names, sums = _sums(table, part, doc, [score])
-        return _table("sums", names, sums)
+        b = key[0].as_py()
+        found = [_unpack(raw) for raw in table.column("data").to_pylist()]
+        mine = [_long(x[0], x[1]) for x in found]
+        h = np.concatenate([np.repeat(m, x[2]) for m, x in zip(mine, found, strict=True)])
+        w = np.concatenate([_long(x[3], x[4]) for x in found])
+        order = np.lexsort((w, h))
+        first = _runs(h[order], w[order])
+        c = np.add.reduceat(np.concatenate([x[5] for x in found])[order].astype(np.int64), first)
+        known = np.concatenate([x[6] for x in found])[order][first].astype(np.int64)
+        back = np.empty(len(h), np.int64)
+        back[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
+        every = h[order][first]
+        head = _runs(every)
+        every = every[head]
+        sums = np.column_stack([_history_sums(c, head), np.add.reduceat(np.where(c > 0, known, 0), head)]).astype(np.uint64)
+        rows, at = [], 0
+        for p, x, m in zip(table.column("part").to_pylist(), found, mine, strict=True):
+            rows.append(("bigrams", b, p, _pack([c[back[at:at + len(x[5])]].view(np.uint64), *np.ascontiguousarray(sums[np.searchsorted(every, m)].T)])))
+            at += len(x[5])
+        is_hot = np.isin(every, hot)
+        rows.append(("levels", b, -1, _pack([counts_of_counts(c[c > 0]).view(np.uint64)])))
+        rows.append(("hot", b, -1, _pack([every[is_hot], *np.ascontiguousarray(sums[is_hot].T)])))
+        return _table(rows)
 
     return run
 
 
-def _per_text(packed: DataFrame, width: int) -> DataFrame:
-    """Sum up a part's packed sums: a row for each text."""
-    fields = ", ".join(f"x{k} double" for k in range(width))
+def _totals(packed: DataFrame, kind: str, keyed: bool) -> np.ndarray:
+    """Sums of the rows of one kind over all buckets, in columns; ``keyed``: by the first one."""
+    width = LEVELS + 3
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column("data"):
+                columns = [x.view(np.int64) for x in _unpack(raw.as_py())]
+                columns = columns if keyed else list(columns[0].reshape(-1, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], [f"x{k}" for k in range(width)])
 
-    def run(table):
-        kinds, data = table.column("kind").to_pylist(), table.column("data").to_pylist()
-        row, ids, held, count = _unpack(next(d for k, d in zip(kinds, data, strict=True) if k == "info"))
-        totals = np.zeros((width, len(row)))
-        for kind, raw in zip(kinds, data, strict=True):
-            if kind == "sums":
-                doc, *values = _unpack(raw)
-                for k, v in enumerate(values):
-                    totals[k, doc] += v.view(np.float64)
-        return pa.table({"row": row.view(np.int64), "doc_id": ids.view(np.int64), "held_out": pa.array(held.view(bool)), "n_tokens": count.astype(np.int64),
-                         **{f"x{k}": totals[k] for k in range(width)}})
+    rows = packed.filter(F.col("kind") == kind).select("data").mapInArrow(run, ", ".join(f"x{k} long" for k in range(width)))
+    rows = rows.groupBy("x0").agg(*[F.sum(f"x{k}").alias(f"x{k}") for k in range(1, width)]) if keyed else rows.agg(*[F.sum(f"x{k}").alias(f"x{k}") for k in range(width)])
+    return np.stack([rows_.fill_null(0).to_numpy() for rows_ in rows.toArrow().columns], 1)
 
-    return packed.filter("kind <> 'words'").groupBy("part").applyInArrow(run, f"row long, doc_id long, held_out boolean, n_tokens long, {fields}")
+
+def _scores(buckets: int, n: int, v: int, lower: Lower, hot: np.ndarray, hot_sums: np.ndarray, d: np.ndarray):
+    def run(key, table):
+        x = Tokens(table, buckets, hot)
+        logs = np.empty(len(x.h))
+        for b, raw in x.back:
+            a, z = x.edges[b], x.edges[b + 1]
+            c, *sums = (y.view(np.int64) for y in _unpack(raw.as_py()))
+            sums, head = np.stack(sums, 1), _runs(x.h[a:z])
+            history = np.repeat(np.arange(len(head)), np.diff(np.append(head, z - a)))
+            if len(hot):
+                mine = x.h[a:z][head]
+                place = np.minimum(np.searchsorted(hot, mine), len(hot) - 1)
+                whole = hot[place] == mine
+                sums[whole] = hot_sums[place[whole]]
+            logs[a:z] = katz(c, lower.of(x.word_count[x.w[a:z]]), history, sums[:, :-1], sums[:, -1] * lower.known, d)
+        base = np.log10((x.word_count + ADD) / (n + ADD * (v + 1)))
+        by_doc = lambda values: np.add.reduceat(values, x.first)
+        return pa.table({"doc_id": x.ids, "held_out": pa.array(x.held), "n_tokens": x.count, "n_known": by_doc((x.word_count > 0).astype(np.int64)[x.number]),
+                         "train_tokens": np.full(len(x.count), n, np.int64), "base_score": by_doc(base[x.number]), "score": by_doc(logs[x.pair])})
+
+    return run
 
 
 def score(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
     spark = docs.sparkSession
     buckets = buckets or max(36, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    schema = "kind string, part long, data binary"
-    packed = written(_dealt(docs, buckets, False, np.zeros(0, np.uint64)).groupBy("bucket").applyInArrow(_word_bucket, schema), "words")
-    lower = Lower(_word_rows(packed))
-    limit = max(lower.n // (2 * buckets), 1)
-    hot = {int(c): int(n) for c, n in zip(lower.codes, lower.counts, strict=True) if n > limit and c != END}
-    if lower.count(int(END)) > limit:  # so often does a text start
-        hot[int(START)] = lower.count(int(END))
-    shared = spark.sparkContext.broadcast(lower)
-    dealt = _dealt(docs, buckets, True, np.array(list(hot), np.uint64))
-    bigrams = written(dealt.groupBy("bucket").applyInArrow(_bigram_bucket(shared, hot), schema), "bigrams")
-    scores = _per_text(bigrams, 1).groupBy("row").agg(F.min("x0").alias("score"))
-    base = _per_text(packed, 2).join(scores, "row")
-    constant = float(np.log10(lower.n + ADD * (lower.v + 1)))
-    return base.select("doc_id", "held_out", "n_tokens", F.col("x0").cast("long").alias("n_known"), F.lit(lower.n).cast("long").alias("train_tokens"),
-                       (F.col("x1") - F.col("n_tokens") * F.lit(constant)).alias("base_score"), "score")
+    dealt = written(_dealt(docs, buckets), "tokens")
+    info = dealt.filter("bucket < 0").select(F.lit("info").alias("kind"), "bucket", "part", "data")
+    packed = written(dealt.filter("bucket >= 0").groupBy("bucket").applyInArrow(_word_bucket, _SCHEMA), "words")
+    words = _word_rows(packed)
+    total = words.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum((F.col("c") == 1).cast("long")).alias("one")).first()
+    n, v = int(total["n"] or 0), int(total["v"])
+    # So often does a word come before another; the start comes before as many as there are ends.
+    often = words.filter(F.col("c") > max(n // (2 * buckets), 1)).toArrow().column("w").to_numpy().view(np.uint64)
+    hot = np.unique(np.where(often == END, START, often))
+    parts = info.unionByName(packed.filter("kind = 'counts'"))
+    pairs = parts.groupBy("part").applyInArrow(_bigrams(buckets, hot), _SCHEMA)
+    bigrams = written(pairs.groupBy("bucket").applyInArrow(_bigram_bucket(hot), _SCHEMA), "bigrams")
+    levels = _totals(bigrams, "levels", False)[0]
+    by_history = _totals(bigrams, "hot", True)
+    by_history = by_history[np.argsort(by_history[:, 0])]
+    scored = _scores(buckets, n, v, Lower(n, int(total["one"] or 0)), by_history[:, 0].astype(np.uint64), by_history[:, 1:], ratios(levels))
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return parts.unionByName(bigrams.filter("kind = 'bigrams'")).groupBy("part").applyInArrow(scored, schema)
