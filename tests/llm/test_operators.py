@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import base64
+import bz2
 import collections
 import gzip
+import lzma
 import random
 import re
+import urllib.parse
 import zlib
 
 import numpy as np
@@ -203,6 +206,34 @@ def test_backoff(docs, empty):
     assert backoff.score(empty).count() == 0
 
 
+def test_secrets_behind_long_and_nested_streams():
+    plain = b"password=hunter2hunter2"
+    log = "é line of a log, again\n".encode() * 800_000  # 19 MB, and no chunk ends where a character does
+    b64 = lambda data: base64.b64encode(data).decode()
+    cases = {"behind 16 MB": b64(gzip.compress(log + plain, 1)), "bz2": b64(bz2.compress(log + plain, 1)), "xz": b64(lzma.compress(log + plain, preset=0)),
+             "gzip in gzip": b64(gzip.compress(gzip.compress(plain))), "gzip in xz in bz2": b64(bz2.compress(lzma.compress(gzip.compress(plain)))),
+             "second member": b64(gzip.compress(b"nothing here\n") + gzip.compress(plain)), "second bz2": b64(bz2.compress(b"nothing\n") + bz2.compress(plain)),
+             "percent-encoded": "".join(f"%{x:02x}" for x in gzip.compress(plain)), "quoted": urllib.parse.quote(zlib.compress(plain)),
+             "base64 behind 16 MB": b64(gzip.compress(log + b64(plain).encode() + b"\n" + log, 1))}
+    for name, text in cases.items():
+        found = secrets.scan_text(f"see {text} !")
+        assert ("assign", 4, 4 + len(text)) in [x[:3] for x in found], name
+        assert secrets.redact_text(f"see {text} !") == "see [secret] !", name
+    damaged = gzip.compress(b"x" * 99 + plain)
+    assert secrets.scan_text(b64(damaged[:30] + b"\xff" * 20)) == []
+
+
+def test_secrets_of_pieces_are_those_of_the_whole(monkeypatch):
+    rng = random.Random(5)
+    bits = ["password", "=", " ", "hunter2hunter2", "AKIA" + "Q7" * 8, "0a" * 16, ",", "\n", "é", "%70%61ssword%3d", base64.b64encode(b"secret: abcdefgh12").decode(), "\\u0041KIA"]
+    texts = ["".join(rng.choice(bits) for _ in range(60)) for _ in range(40)]
+    texts = [base64.b64encode(gzip.compress(t.encode())).decode() + rng.choice([" ", "", "ssword=abcdefgh"]) + t for t in texts]
+    whole = [secrets.scan_text(t) for t in texts]
+    monkeypatch.setattr(secrets, "PIECE", 20)
+    monkeypatch.setattr(secrets, "CHUNK", 7)
+    assert [secrets.scan_text(t) for t in texts] == whole
+
+
 def brute_katz(rows):
     """Scores of (doc_id, tokens): one Katz model with exact word shares and Good-Turing discounts of all bigrams."""
     held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows}

@@ -1,7 +1,9 @@
 """Secret scans through nested encodings.
 
 A worklist holds layers of a text. Each layer is searched; then its URL escapes, its character escapes and its base64
-runs (with a compressed content, if it is one) are decoded, each into a layer of its own that goes on the list. A layer
+runs are decoded, each into a layer of its own that goes on the list. Decoded bytes that are a compressed stream are unfolded,
+all members and again what is compressed inside, in bounded chunks to the end. A layer that gets long is cut, only after
+characters that no secret and no encoding contains, so its pieces are searched one by one and nothing is missed. A layer
 whose text was seen before is not taken up again, so the work ends, also when a layer decodes to itself. Every
 character of a layer knows the range of the source it comes from, so a find is reported at its place in the document.
 
@@ -14,17 +16,25 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
+import hashlib
+import itertools
 import lzma
 import re
+import urllib.parse
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: A compressed layer may unfold to this many bytes; a larger one (a decompression bomb) is searched up to there.
-UNFOLDED = 16 << 20
+#: Bytes unfolded at a time, and characters from which on a layer is cut into pieces.
+CHUNK, PIECE = 1 << 20, 4 << 20
+#: Streams inside one another, so that one that unfolds to ever larger ones comes to an end.
+NESTED = 64
+#: Characters that secrets and encodings are made of: a layer is cut only after another one.
+_JOINED = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-\"' :%\\{}&#;~"
 KINDS = ("assign", "access", "hex")
 SCHEMA = "doc_id long, spans array<struct<kind: string, start: long, end: long, depth: int>>"
 
@@ -33,6 +43,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")  # the same as runs of hex digits with those under 32 dropped
 _HINT = re.compile(r"passw|secret|token|api_?key", re.I | re.A)
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+_URL_MIXED = re.compile(r"[A-Za-z0-9_.~/+-]*(?:%[0-9A-Fa-f]{2}[A-Za-z0-9_.~/+-]*)+")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{12,}={0,2}")
 
@@ -68,31 +79,132 @@ def _characters(data: bytes, low: np.ndarray, high: np.ndarray) -> tuple[str, np
     return text, np.minimum.reduceat(low, heads), np.maximum.reduceat(high, heads)
 
 
-def _unfold(data: bytes) -> bytes | None:
-    """The content of a gzip, zlib, bzip2 or xz stream; None if it isn't one."""
-    for magic, make in ((b"\x1f\x8b", lambda: zlib.decompressobj(47)), (b"\x78", lambda: zlib.decompressobj(47)),
-                        (b"BZh", bz2.BZ2Decompressor), (b"\xfd7zXZ\x00", lambda: lzma.LZMADecompressor(memlimit=1 << 28))):
-        if data.startswith(magic):
-            try:
-                return make().decompress(data, UNFOLDED)
-            except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
+_STREAMS = ((b"\x1f\x8b", lambda: zlib.decompressobj(47)), (b"\x78", lambda: zlib.decompressobj(15)), (b"BZh", bz2.BZ2Decompressor),
+            (b"\xfd7zXZ\x00", lambda: lzma.LZMADecompressor(memlimit=1 << 28)))
+_ERRORS = (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError)
+Bytes = Callable[[], Iterator[bytes]]
+
+
+def _head(source: Iterator[bytes], size: int = 6) -> tuple[bytes, Iterator[bytes]]:
+    """The first bytes, and an iterator over all."""
+    start = b""
+    for chunk in source:
+        start += chunk
+        if len(start) >= size:
+            break
+    return start[:size], itertools.chain([start] if start else [], source)
+
+
+def _members(source: Iterator[bytes], magic: bytes, make: Callable) -> Iterator[bytes]:
+    """The content of a stream and of the members that follow it, in chunks. A damaged first member raises; bytes after the last are ignored."""
+    first = True
+    while True:
+        start, source = _head(source)
+        if not start.startswith(magic):
+            return
+        stream, rest = make(), b""
+        try:
+            for data in source:
+                while not stream.eof:
+                    if isinstance(stream, bz2.BZ2Decompressor | lzma.LZMADecompressor):
+                        out = stream.decompress(data, CHUNK)
+                        data, more = b"", not stream.needs_input
+                    else:
+                        out = stream.decompress(data, CHUNK)
+                        data, more = stream.unconsumed_tail, len(out) == CHUNK or bool(stream.unconsumed_tail)
+                    if out:
+                        yield out
+                    if not more:
+                        break
+                if stream.eof:
+                    rest = stream.unused_data
+                    break
+        except _ERRORS:
+            if first:
+                raise
+            return
+        if not stream.eof:
+            return
+        first, source = False, itertools.chain([rest] if rest else [], source)
+
+
+def _text(source: Bytes) -> Iterator[str]:
+    decoder = codecs.getincrementaldecoder("utf-8")()
+    for chunk in source():
+        if text := decoder.decode(chunk):
+            yield text
+    decoder.decode(b"", True)
+
+
+def _unfold(data: bytes) -> Bytes | None:
+    """The text inside a gzip, zlib, bzip2 or xz stream, or inside streams in one another; None if there is none."""
+    source: Bytes = lambda: iter([data])
+    seen = {hashlib.sha256(data).digest()}
+    for _ in range(NESTED):
+        try:
+            start, _ = _head(source())
+            known = [x for x in _STREAMS if start.startswith(x[0])]
+            inner = None
+            for magic, make in known:
+                inner = lambda s=source, m=magic, k=make: _members(s(), m, k)
+                content = hashlib.sha256()
+                for chunk in inner():
+                    content.update(chunk)
+            if inner is None or content.digest() in seen:
+                break
+            seen.add(content.digest())
+            source = inner
+        except _ERRORS:
+            break  # this only looked like a stream
+    if len(seen) == 1:
+        return None
+    try:
+        some = False
+        for text in _text(source):
+            if not _readable(text):
                 return None
-    return None
+            some = True
+    except _ERRORS:
+        return None
+    return source if some else None
 
 
 def _readable(text: str) -> bool:
-    return bool(text) and all(c.isprintable() or c in "\t\n\r" for c in text)
+    return bool(text) and text.replace("\t", "").replace("\n", "").replace("\r", "").isprintable()
+
+
+#: Start and end in the layer, and what comes instead: texts with the ranges of their characters.
+Chunks = Callable[[], Iterator[tuple[str, np.ndarray, np.ndarray]]]
+Part = tuple[int, int, Chunks]
 
 
-Part = tuple[int, int, str, np.ndarray, np.ndarray]
+def _one(start: int, end: int, got: tuple[str, np.ndarray, np.ndarray]) -> Part:
+    return start, end, lambda: iter([got])
+
+
+def _unfolded(start: int, end: int, data: bytes) -> Part | None:
+    """A compressed stream as a part: each of its characters comes from the whole range."""
+    if (source := _unfold(data)) is None:
+        return None
+    return start, end, lambda: ((text, np.full(len(text), start), np.full(len(text), end)) for text in _text(source))
 
 
 def _url(text: str) -> Iterator[Part]:
-    for m in _URL.finditer(text):
-        data = bytes.fromhex(m[0].replace("%", ""))
-        at = m.start() + 3 * np.arange(len(data))
-        if (got := _characters(data, at, at + 3)) is not None:
-            yield m.start(), m.end(), *got
+    for m in _URL_MIXED.finditer(text):
+        for plus in (m[0], m[0].replace("+", " ")):
+            data = urllib.parse.unquote_to_bytes(plus)
+            if (part := _unfolded(m.start(), m.end(), data)) is not None:
+                break
+        if part is not None:
+            yield part
+            continue
+        for n in _URL.finditer(text, m.start(), m.end()):
+            data = bytes.fromhex(n[0].replace("%", ""))
+            at = n.start() + 3 * np.arange(len(data))
+            if (part := _unfolded(n.start(), n.end(), data)) is not None:
+                yield part
+            elif (got := _characters(data, at, at + 3)) is not None:
+                yield _one(n.start(), n.end(), got)
 
 
 def _escapes(text: str) -> Iterator[Part]:
@@ -107,7 +219,7 @@ def _escapes(text: str) -> Iterator[Part]:
             low, high = (np.array([u[k] for u in units]) for k in (0, 1))
         else:
             low, high = np.full(len(got), units[0][0]), np.full(len(got), units[-1][1])
-        yield units[0][0], units[-1][1], got, low, high
+        yield _one(units[0][0], units[-1][1], (got, low, high))
         units.clear()
 
     for m in _ESCAPE.finditer(text):
@@ -128,50 +240,75 @@ def _base64(text: str) -> Iterator[Part]:
             data = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4), validate=True)
         except (binascii.Error, ValueError):
             continue
-        inner = _unfold(data)
-        if inner:
-            low, high = np.full(len(inner), m.start()), np.full(len(inner), m.end())
-        else:
-            bits = 8 * np.arange(len(data))
-            low, high = m.start() + bits // 6, m.start() + (bits + 13) // 6
-            inner = data
-            if low.size:
-                high[-1] = m.end()
-        if inner and (got := _characters(inner, low, high)) is not None and _readable(got[0]):
-            yield m.start(), m.end(), *got
+        if (part := _unfolded(m.start(), m.end(), data)) is not None:
+            yield part
+            continue
+        bits = 8 * np.arange(len(data))
+        low, high = m.start() + bits // 6, m.start() + (bits + 13) // 6
+        if low.size:
+            high[-1] = m.end()
+        if data and (got := _characters(data, low, high)) is not None and _readable(got[0]):
+            yield _one(m.start(), m.end(), got)
 
 
-def _child(layer: Layer, parts: list[Part]) -> Layer:
-    """The layer with decoded parts put in place of what they were."""
+def _children(layer: Layer, parts: list[Part]) -> Iterator[Layer]:
+    """The layer with decoded parts put in place of what they were; in several pieces if it is long."""
     base_low = layer.low if layer.low is not None else np.arange(len(layer.text))
     base_high = layer.high if layer.high is not None else np.arange(1, len(layer.text) + 1)
-    texts, low, high, at = [], [], [], 0
-    for start, end, got, part_low, part_high in parts:
-        texts += [layer.text[at:start], got]
-        low += [base_low[at:start], base_low[part_low]]
-        high += [base_high[at:start], base_high[part_high - 1]]
-        at = end
-    texts.append(layer.text[at:])
-    return Layer("".join(texts), np.concatenate([*low, base_low[at:]]), np.concatenate([*high, base_high[at:]]), layer.depth + 1)
-
 
-def scan_text(text: str) -> list[tuple[str, int, int, int]]:
-    """All spans of a text with the number of decodings at which each was first found, 0 for plain ones."""
-    found: dict[tuple[str, int, int], int] = {}
-    seen, work = {text}, [Layer(text, None, None, 0)]
+    def segments() -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+        at = 0
+        for start, end, chunks in parts:
+            yield layer.text[at:start], base_low[at:start], base_high[at:start]
+            for got, low, high in chunks():
+                yield got, base_low[low], base_high[high - 1]
+            at = end
+        yield layer.text[at:], base_low[at:], base_high[at:]
+
+    held: list[tuple[str, np.ndarray, np.ndarray]] = []
+    size, limit = 0, PIECE
+    for segment in segments():
+        held.append(segment)
+        size += len(segment[0])
+        if size > limit:
+            text, low, high = "".join(x[0] for x in held), np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held])
+            if cut := len(text.rstrip(_JOINED)):
+                yield Layer(text[:cut], low[:cut], high[:cut], layer.depth + 1)
+            held, size = [(text[cut:], low[cut:], high[cut:])], len(text) - cut
+            limit = max(PIECE, 2 * size)
+    yield Layer("".join(x[0] for x in held), np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held]), layer.depth + 1)
+
+
+def _search(first: Layer, known: set[str], found: dict[tuple[str, int, int], int]) -> None:
+    """Put the spans of a layer and of all that is decoded from it in ``found``, each with its least depth."""
+    seen, work = known | {first.text}, [first]
     while work:
         layer = work.pop(0)
         for kind, start, end in find(layer.text):
-            found.setdefault((kind, *layer.source(start, end)), layer.depth)
+            key = (kind, *layer.source(start, end))
+            found[key] = min(found.get(key, layer.depth), layer.depth)
         for hint, decode in (("%", _url), ("\\&", _escapes), ("", _base64)):
             if hint and not any(c in layer.text for c in hint):
                 continue
             parts = list(decode(layer.text))
-            if parts:
-                child = _child(layer, parts)
+            if not parts:
+                continue
+            children = _children(layer, parts)
+            child, more = next(children), next(children, None)
+            if more is None:
                 if child.text not in seen:
                     seen.add(child.text)
                     work.append(child)
+                continue
+            for piece in itertools.chain([child, more], children):  # not on the list, so only one is held
+                if piece.text not in seen:
+                    _search(piece, seen, found)
+
+
+def scan_text(text: str) -> list[tuple[str, int, int, int]]:
+    """All spans of a text with the number of decodings at which each was first found, 0 for plain ones."""
+    found: dict[tuple[str, int, int], int] = {}
+    _search(Layer(text, None, None, 0), set(), found)
     order = sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
     return [(*x, found[x]) for x in order]
 
