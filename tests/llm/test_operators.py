@@ -234,6 +234,14 @@ def test_secrets_of_pieces_are_those_of_the_whole(monkeypatch):
     assert [secrets.scan_text(t) for t in texts] == whole
 
 
+def test_quality_counts_all_trusted_documents(docs, monkeypatch):
+    """However few ids are held at a time."""
+    labels = docs.select("doc_id", F.lit(1).alias("quality")).filter("doc_id % 2 = 0")
+    whole = quality.weights(docs, labels, 64).first()["w"]
+    monkeypatch.setattr(quality, "TRUSTED", 15)
+    assert quality.weights(docs, labels, 64).first()["w"] == whole
+
+
 def brute_katz(rows):
     """Scores of (doc_id, tokens): one Katz model with exact word shares and Good-Turing discounts of all bigrams."""
     held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows}
