@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonetide.llm import backoff, decontamination, jaccard, language, packing, quality, recompression, secrets, toxicity, wrappers
+from zonetide.llm import (
+    backoff, decontamination, divergence, interactions, jaccard, language, packing, quality, recompression, secrets, sql, toxicity,
+    url_filter, wrappers,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -89,3 +92,23 @@ def op8_output_code_language(spark: SparkSession, folder: str) -> DataFrame:
 def op5_union_free_wrappers(spark: SparkSession, folder: str) -> DataFrame:
     texts = wrappers.main_text(_table(spark, folder, "pages", "page_id url html"))
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@_query
+def op11_iceberg_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(_table(spark, folder, "documents", "text lang source"))
+
+
+@_query
+def op12_trie_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.createDataFrame(sql.URL_RULES, "verdict string, host string, path string")
+    return url_filter.judge(_table(spark, folder, "pages", "page_id url"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+@_query
+def op13_diagram_filter_interactions(spark: SparkSession, folder: str) -> DataFrame:
+    return interactions.audit(_table(spark, folder, "documents", "doc_id text lang"), _table(spark, folder, "labels", "doc_id quality toxic"))
+
+
+SQL |= {"op11_iceberg_source_divergence": sql.SOURCE_DIVERGENCE, "op12_trie_url_filter": sql.URL_FILTER,
+        "op13_diagram_filter_interactions": sql.FILTER_INTERACTIONS}
