@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from zonetide.llm.words import ragged, mix, signed, slices, text_bytes, words_of, _BASE, _BYTE, _powers
+from zonetide.llm.words import _BASE, _BYTE, _powers, mix, ragged, signed, slices, text_bytes, words_of
 from zonetide.session import written
 
 LEAST = 10
@@ -79,15 +79,13 @@ def _binary(data: np.ndarray, length: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def _cut(terms: Coded, which: np.ndarray, width: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The first ``width`` bytes (None: all) of terms and end mark: bytes, lengths, complete or not. The mark is a zero byte."""
-    whole = terms.length[which] + 1
+def _cut(terms: Coded, width: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``width`` bytes (None: all) of every coded term and its end mark, a zero byte: bytes and lengths."""
+    whole = terms.length + 1
     length = whole if width is None else np.minimum(whole, width)
-    complete = length == whole
-    padded = np.append(terms.data, np.uint8(0))
-    data = padded[ragged(terms.offset[which], length)]
-    data[np.cumsum(length)[complete] - 1] = 0
-    return data, length, complete
+    data = np.append(terms.data, np.uint8(0))[ragged(terms.offset, length)]
+    data[np.cumsum(length)[length == whole] - 1] = 0
+    return data, length
 
 
 def _hash(data: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -102,8 +100,7 @@ def _hash(data: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 
 def _lang_hash(langs: Coded) -> np.ndarray:
-    data, length, _ = _cut(langs, np.arange(len(langs)), None)
-    return _hash(data, length)
+    return _hash(*_cut(langs, None))
 
 
 def _slots(lang: np.ndarray, term: np.ndarray) -> np.ndarray:
@@ -123,41 +120,61 @@ class Bits:
 
 
 class Words:
-    """The terms of a slice of documents: the document and the coded term of each, the coded language and source of each document."""
+    """The terms of a slice of documents: place and document of each; the coded language and source of each document."""
 
     def __init__(self, batch: pa.RecordBatch):
-        found = words_of(batch.column("text"), lower=True, breaks=NOT_TERM)
-        self.doc = found.doc()
-        self.terms = Coded(_binary(found.data[~NOT_TERM[found.data]], found.end - found.start))
+        found = words_of(batch.column("text"), lower=True, breaks=NOT_TERM, hashed=False)
+        self.data, self.start, self.length, self.doc = found.data, found.start, found.end - found.start, found.doc()
         self.lang = Coded(pc.fill_null(batch.column("lang").cast(pa.large_string()), ""))
-        self.source = Coded(pc.fill_null(batch.column("source").cast(pa.large_string()), "")) if "source" in batch.schema.names else None
         self.langs = _lang_hash(self.lang)
 
+    def prefixes(self, which: np.ndarray, width: int) -> Coded:
+        """The coded prefixes, end mark included, of the terms ``which``."""
+        start, length = self.start[which], self.length[which]
+        if width > 8:
+            terms = Coded(_binary(self.data[ragged(start, length)], length))
+            out = Coded(_binary(*_cut(terms, width)))
+            out.code = out.code[terms.code]
+            return out
+        # Up to eight bytes fit a number; what lies behind a term's end is zero.
+        eight = np.ndarray((len(self.data) + 1,), "<u8", np.concatenate((self.data, np.zeros(8, np.uint8))), strides=(1,))
+        code, numbers = pd.factorize(eight[start] & _FIRST[np.minimum(length, width)])
+        rows = numbers.astype("<u8").view(np.uint8).reshape(-1, 8)
+        size = np.minimum((rows[:, :width] != 0).sum(1) + 1, width)
+        out = Coded(_binary(rows[np.arange(8) < size[:, None]], size))
+        out.code = code  # the prefixes differ, so coding them once more has numbered them in their order
+        return out
+
+
+#: Masks of a number's first bytes.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    ordered = np.sort(values)
+    return ordered[np.concatenate(([True], ordered[1:] != ordered[:-1]))] if len(ordered) else ordered
+
 
 def _slice_prefixes(w: Words, before: int, width: int, left: Bits | None) -> pa.RecordBatch:
     """Documents by language and prefix in one slice. ``before``: width of the level before, whose survivors are ``left``."""
-    open_ = np.flatnonzero(w.terms.length >= before)  # else the term was complete before
-    data, length, complete = _cut(w.terms, open_, width)
-    prefixes = Coded(_binary(data, length))
-    of_term = np.full(len(w.terms), -1, np.int64)
-    of_term[open_] = prefixes.code
-    is_complete = np.zeros(len(prefixes), bool)
-    is_complete[prefixes.code] = complete
-    prefix = of_term[w.terms.code]
-    here = prefix >= 0
+    open_ = np.flatnonzero(w.length >= before)  # the others were complete before
+    prefixes = w.prefixes(open_, width)
     size = max(1, len(prefixes))
-    once = np.unique(w.doc[here] * size + prefix[here])  # a prefix counts once in a document
+    once = _distinct(w.doc[open_] * size + prefixes.code)  # a prefix counts once in a document
     pair, docs = np.unique(w.lang.code[once // size] * size + once % size, return_counts=True)
     lang, prefix = pair // size, pair % size
     if left is not None and len(pair):
-        parents = _hash(prefixes.data[ragged(prefixes.offset, np.full(len(prefixes), before))], np.full(len(prefixes), before))
+        parent = np.full(len(prefixes), before)
+        parents = _hash(prefixes.data[ragged(prefixes.offset, parent)], parent)
         keep = left.has(_slots(w.langs[lang], parents[prefix]))
         lang, prefix, docs = lang[keep], prefix[keep], docs[keep]
     own = _hash(prefixes.data, prefixes.length)
+    ends = prefixes.offset + prefixes.length - 1
+    complete = prefixes.data[ends] == 0 if len(ends) else np.zeros(0, bool)
     slots = _slots(w.langs[lang], own[prefix]) if len(lang) else np.zeros(0, np.uint64)
     return pa.RecordBatch.from_arrays([
         w.lang.values.take(pa.array(lang)).cast(pa.string()), prefixes.values.take(pa.array(prefix)).cast(pa.binary()),
-        pa.array(is_complete[prefix]), pa.array(signed(slots)), pa.array(docs.astype(np.int64))],
+        pa.array(complete[prefix]), pa.array(signed(slots)), pa.array(docs.astype(np.int64))],
         names=["lang", "prefix", "complete", "slot", "docs"])
 
 
@@ -203,19 +220,20 @@ def kept_terms(docs: DataFrame, least: int = LEAST, width: int = WIDTH) -> DataF
     return every.select("lang", F.expr("substring(prefix, 1, length(prefix) - 1)").cast("string").alias("term"), "slot")
 
 
-def _slice_counts(w: Words, kept: Bits) -> pa.RecordBatch:
-    group_of = w.lang.code * len(w.source) + w.source.code
-    groups, group = np.unique(group_of, return_inverse=True)
-    size = max(1, len(w.terms))
-    pair, n = np.unique(group[w.doc] * size + w.terms.code, return_counts=True)
-    lang, source, term = groups[pair // size] // len(w.source), groups[pair // size] % len(w.source), pair % size
+def _slice_counts(batch: pa.RecordBatch, kept: Bits) -> pa.RecordBatch:
+    w = Words(batch)
+    terms = Coded(_binary(w.data[~NOT_TERM[w.data]], w.length))
+    sources = Coded(pc.fill_null(batch.column("source").cast(pa.large_string()), ""))
+    groups, group = np.unique(w.lang.code * len(sources) + sources.code, return_inverse=True)
+    size = max(1, len(terms))
+    pair, n = np.unique(group[w.doc] * size + terms.code, return_counts=True)
+    lang, source, term = groups[pair // size] // max(1, len(sources)), groups[pair // size] % max(1, len(sources)), pair % size
     if len(pair):
-        data, length, _ = _cut(w.terms, np.arange(len(w.terms)), None)
-        keep = kept.has(_slots(w.langs[lang], _hash(data, length)[term]))
+        keep = kept.has(_slots(w.langs[lang], _hash(*_cut(terms, None))[term]))
         lang, source, term, n = lang[keep], source[keep], term[keep], n[keep]
     return pa.RecordBatch.from_arrays([
-        w.lang.values.take(pa.array(lang)).cast(pa.string()), w.source.values.take(pa.array(source)).cast(pa.string()),
-        w.terms.values.take(pa.array(term)).cast(pa.binary()).cast(pa.string()), pa.array(n.astype(np.int64))], names=["lang", "source", "term", "n"])
+        w.lang.values.take(pa.array(lang)).cast(pa.string()), sources.values.take(pa.array(source)).cast(pa.string()),
+        terms.values.take(pa.array(term)).cast(pa.binary()).cast(pa.string()), pa.array(n.astype(np.int64))], names=["lang", "source", "term", "n"])
 
 
 def source_counts(docs: DataFrame, kept: DataFrame) -> DataFrame:
@@ -225,7 +243,7 @@ def source_counts(docs: DataFrame, kept: DataFrame) -> DataFrame:
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                yield _slice_counts(Words(part), table.value)
+                yield _slice_counts(part, table.value)
 
     found = docs.select("lang", "source", "text").mapInArrow(counts, COUNTS).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
     return found.join(kept.select("lang", "term"), ["lang", "term"], "left_semi").select("lang", "source", "term", "n")

@@ -72,8 +72,8 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def words_of(texts: pa.Array, lower: bool = False, breaks: np.ndarray = SPACES) -> Words:
-    """Split texts at the bytes in ``breaks``; ``lower`` lowers A-Z first."""
+def words_of(texts: pa.Array, lower: bool = False, breaks: np.ndarray = SPACES, hashed: bool = True) -> Words:
+    """Split texts at the bytes in ``breaks``; ``lower`` lowers A-Z first; without ``hashed`` the words get no hashes."""
     data, offsets = text_bytes(texts)
     if lower:
         data = _LOWER[data]
@@ -90,7 +90,7 @@ def words_of(texts: pa.Array, lower: bool = False, breaks: np.ndarray = SPACES)
     end = np.flatnonzero(inside & ~after[1:]) + 1
     first = np.searchsorted(start, offsets)
     h = np.zeros(0, np.uint64)
-    if len(start):
+    if hashed and len(start):
         length = end - start
         longest = int(length.max())
         # Only bytes of words are gathered; the power of a byte is its place in the word.
