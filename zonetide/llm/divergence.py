@@ -2,7 +2,7 @@
 
 Which terms a language keeps is found by iceberg prefix refinement. A term is its bytes and an end mark. A level counts, for
 every language, the distinct documents that hold a prefix of ``width`` bytes, and discards prefixes in fewer than
-``least`` documents; the next level, of twice the width, extends only what is left. A prefix that reaches the end mark is a
+``least`` documents; the next level, of four times the width, extends only what is left. A prefix that reaches the end mark is a
 complete term. Levels go on until no open prefix is left, so their number is the logarithm of the longest kept term, and a
 rare term is never shuffled beyond the prefix that is rare. Every level reads the documents anew and counts within a task
 before it shuffles; nothing but the surviving prefixes is stored.
@@ -31,24 +31,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from zonetide.llm.words import _BASE, _BYTE, _powers, mix, ragged, signed, slices, text_bytes, words_of
+from zonetide.llm.words import _BASE, _BYTE, _STEP, _powers, mix, ragged, signed, slices, text_bytes, words_of
 from zonetide.session import written
 
 LEAST = 10
-#: Bytes of the first level's prefixes; each further level doubles them.
-WIDTH = 4
+#: Bytes of the first level's prefixes; each further level has four times as many.
+WIDTH = 8
 #: Bits of the table of survivors: 32 for each, but no fewer and no more than these.
 FEWEST_BITS, MOST_BITS = 1 << 15, 1 << 26
 SCALE = 1_000_000_000
 TOP = 10
 #: Rows of (source, term) in one group of the last step, on average.
 BLOCK = 200_000
+#: Bytes of text looked at together.
+_SLICE = 12 << 20
 #: Shares held at a time by a task, terms times sources.
 _CELLS = 2_000_000
 NOT_TERM = np.ones(256, bool)
 NOT_TERM[0x41:0x5B] = NOT_TERM[0x61:0x7B] = NOT_TERM[0x80:] = False
-FOUND = "lang string, prefix binary, complete boolean, slot long, docs long"
-COUNTS = "lang string, source string, term string, n long"
+FOUND = "lang string, prefix binary, complete boolean, slot long, twin long, docs long"
+COUNTS = "slot long, twin long, source string, n long"
 PARTS = "lang string, source string, part string, item string, value long"
 
 
@@ -89,23 +91,25 @@ def _cut(terms: Coded, width: int | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _hash(data: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """A number for each string of bytes, none of them empty."""
+    """Two numbers of 64 bits for each string of bytes, none of them empty."""
     if not len(length):
-        return np.zeros(0, np.uint64)
+        return np.zeros((2, 0), np.uint64)
     skip = np.cumsum(length) - length
     at = np.arange(len(data), dtype=np.int64) - np.repeat(skip, length)
+    size = length.astype(np.uint64)
     with np.errstate(over="ignore"):
-        values = (_BYTE[data] ^ np.uint64(1)) * _powers(_BASE, int(length.max()))[at]
-        return mix(np.add.reduceat(values, skip) + length.astype(np.uint64))
+        both = [np.add.reduceat((_BYTE[data] ^ np.uint64(salt)) * _powers(base, int(length.max()))[at], skip) + size for salt, base in ((1, _BASE), (2, _STEP))]
+        return np.stack([mix(h) for h in both])
 
 
 def _lang_hash(langs: Coded) -> np.ndarray:
     return _hash(*_cut(langs, None))
 
 
-def _slots(lang: np.ndarray, term: np.ndarray) -> np.ndarray:
+def _slots(langs: np.ndarray, lang: np.ndarray, terms: np.ndarray, term: np.ndarray) -> np.ndarray:
+    """Two numbers for each pair of a language and a term (or prefix), which stand for them: 128 bits in all."""
     with np.errstate(over="ignore"):
-        return mix(lang * np.uint64(3) ^ term)
+        return mix(langs[:, lang] * np.uint64(3) ^ terms[:, term])
 
 
 class Bits:
@@ -166,16 +170,15 @@ def _slice_prefixes(w: Words, before: int, width: int, left: Bits | None) -> pa.
     if left is not None and len(pair):
         parent = np.full(len(prefixes), before)
         parents = _hash(prefixes.data[ragged(prefixes.offset, parent)], parent)
-        keep = left.has(_slots(w.langs[lang], parents[prefix]))
+        keep = left.has(_slots(w.langs, lang, parents, prefix)[0])
         lang, prefix, docs = lang[keep], prefix[keep], docs[keep]
-    own = _hash(prefixes.data, prefixes.length)
     ends = prefixes.offset + prefixes.length - 1
     complete = prefixes.data[ends] == 0 if len(ends) else np.zeros(0, bool)
-    slots = _slots(w.langs[lang], own[prefix]) if len(lang) else np.zeros(0, np.uint64)
+    slot, twin = _slots(w.langs, lang, _hash(prefixes.data, prefixes.length), prefix)
     return pa.RecordBatch.from_arrays([
         w.lang.values.take(pa.array(lang)).cast(pa.string()), prefixes.values.take(pa.array(prefix)).cast(pa.binary()),
-        pa.array(complete[prefix]), pa.array(signed(slots)), pa.array(docs.astype(np.int64))],
-        names=["lang", "prefix", "complete", "slot", "docs"])
+        pa.array(complete[prefix]), pa.array(signed(slot)), pa.array(signed(twin)), pa.array(docs.astype(np.int64))],
+        names=["lang", "prefix", "complete", "slot", "twin", "docs"])
 
 
 def level(docs: DataFrame, before: int, width: int, left, least: int) -> DataFrame:
@@ -183,11 +186,12 @@ def level(docs: DataFrame, before: int, width: int, left, least: int) -> DataFra
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", _SLICE):
                 yield _slice_prefixes(Words(part), before, width, left.value if left else None)
 
     counted = docs.select("lang", "text").mapInArrow(prefixes, FOUND)
-    return (counted.groupBy("lang", "prefix").agg(F.first("complete").alias("complete"), F.first("slot").alias("slot"), F.sum("docs").alias("docs"))
+    same = [F.first(c).alias(c) for c in ("complete", "slot", "twin")]
+    return (counted.groupBy("lang", "prefix").agg(*same, F.sum("docs").alias("docs"))
             .filter(F.col("docs") >= least))
 
 
@@ -207,7 +211,7 @@ def bits_of(slots: DataFrame):
 
 
 def kept_terms(docs: DataFrame, least: int = LEAST, width: int = WIDTH) -> DataFrame:
-    """(lang, term, slot) of the terms in at least ``least`` documents of their language."""
+    """(lang, term, slot, twin) of the terms in at least ``least`` documents of their language."""
     complete, left, before = [], None, 0
     while True:
         found = written(level(docs, before, width, left, least), "prefixes")
@@ -215,9 +219,9 @@ def kept_terms(docs: DataFrame, least: int = LEAST, width: int = WIDTH) -> DataF
         left, open_ = bits_of(found.filter("not complete"))
         if not open_:
             break
-        before, width = width, 2 * width
+        before, width = width, 4 * width
     every = reduce(DataFrame.unionByName, complete)
-    return every.select("lang", F.expr("substring(prefix, 1, length(prefix) - 1)").cast("string").alias("term"), "slot")
+    return every.select("lang", F.expr("substring(prefix, 1, length(prefix) - 1)").cast("string").alias("term"), "slot", "twin")
 
 
 def _slice_counts(batch: pa.RecordBatch, kept: Bits) -> pa.RecordBatch:
@@ -227,13 +231,12 @@ def _slice_counts(batch: pa.RecordBatch, kept: Bits) -> pa.RecordBatch:
     groups, group = np.unique(w.lang.code * len(sources) + sources.code, return_inverse=True)
     size = max(1, len(terms))
     pair, n = np.unique(group[w.doc] * size + terms.code, return_counts=True)
-    lang, source, term = groups[pair // size] // max(1, len(sources)), groups[pair // size] % max(1, len(sources)), pair % size
-    if len(pair):
-        keep = kept.has(_slots(w.langs[lang], _hash(*_cut(terms, None))[term]))
-        lang, source, term, n = lang[keep], source[keep], term[keep], n[keep]
+    lang, source = np.divmod(groups[pair // size], max(1, len(sources)))
+    slot, twin = _slots(w.langs, lang, _hash(*_cut(terms, None)), pair % size)
+    keep = kept.has(slot)
     return pa.RecordBatch.from_arrays([
-        w.lang.values.take(pa.array(lang)).cast(pa.string()), sources.values.take(pa.array(source)).cast(pa.string()),
-        terms.values.take(pa.array(term)).cast(pa.binary()).cast(pa.string()), pa.array(n.astype(np.int64))], names=["lang", "source", "term", "n"])
+        pa.array(signed(slot[keep])), pa.array(signed(twin[keep])), sources.values.take(pa.array(source[keep])).cast(pa.string()),
+        pa.array(n[keep].astype(np.int64))], names=["slot", "twin", "source", "n"])
 
 
 def source_counts(docs: DataFrame, kept: DataFrame) -> DataFrame:
@@ -242,11 +245,11 @@ def source_counts(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", _SLICE):
                 yield _slice_counts(part, table.value)
 
-    found = docs.select("lang", "source", "text").mapInArrow(counts, COUNTS).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
-    return found.join(kept.select("lang", "term"), ["lang", "term"], "left_semi").select("lang", "source", "term", "n")
+    found = docs.select("lang", "source", "text").mapInArrow(counts, COUNTS).groupBy("slot", "twin", "source").agg(F.sum("n").alias("n"))
+    return found.join(kept, ["slot", "twin"]).select("lang", "source", "term", "n")
 
 
 def shares(count: np.ndarray, total: np.ndarray | int, terms: int) -> np.ndarray:
@@ -319,7 +322,7 @@ def audit(docs: DataFrame, least: int = LEAST, width: int = WIDTH) -> DataFrame:
     stats = groups.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("source", "n"))).alias("sources"))  # one entry a source
     stats = written(stats.join(kept.groupBy("lang").agg(F.count("*").alias("terms")), "lang", "left").withColumn("terms", F.coalesce("terms", F.lit(0))), "stats")
     # A language's terms are dealt out over so many groups, also where it has nearly all of them.
-    parts = max(64, -(-counts.count() // BLOCK))
+    parts = max(16, -(-counts.count() // BLOCK))
     dealt = counts.withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(parts)))
     copies = stats.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
     blocks = written(dealt.groupBy("lang", "salt").cogroup(copies.groupBy("lang", "salt"))
