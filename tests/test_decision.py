@@ -104,8 +104,8 @@ def test_persistence_resets_and_carries(spark):
     df = _frame(spark, rows).drop("persistence_count")
     carried = spark.createDataFrame([(1, 3)], "zone_id long, carried_count int")
     over = F.col("predicted_shortage") > 0.25
-    for period in (None, "hour"):
-        out = D.persistence_counts(df, over, carried=carried, period=period).orderBy("n").collect()
+    for rows in (None, 1, 3):
+        out = D.persistence_counts(df, over, carried=carried, range_rows=rows).orderBy("n").collect()
         assert [r["persistence_count"] for r in out] == [4, 5, 0, 1]
 
 

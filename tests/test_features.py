@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from zonetide.operators import enrich as E
 from zonetide.operators import features as FT
 from zonetide.operators import rollup as R
-from zonetide.operators.segments import run_lengths
+from zonetide.operators.segments import numbered, ranged, run_lengths
 from zonetide.settings import EXTERNAL_DEFAULTS
 
 
@@ -111,14 +113,38 @@ def test_weather_defaults_and_rain_lookup(spark):
     assert got == {1: (0.1, False), 2: (3.0, True)}
 
 
-def test_run_lengths_cut_by_period(spark):
+def _runs(flags):
+    run, out = 0, []
+    for f in flags:
+        run = run + 1 if f else 0
+        out.append(run)
+    return out
+
+
+def test_run_lengths_over_ranges(spark):
     rng = np.random.default_rng(2)
     flags = {z: [int(x) for x in (rng.random(200) < p)] for z, p in ((1, 0.9), (2, 0.5), (3, 1.1))}
     df = hours(spark, flags, value="hit")
-    out = run_lengths(df, ["zone_id"], "timestamp", "hit", "day").toPandas().sort_values(["zone_id", "timestamp"])
+    out = run_lengths(df, ["zone_id"], "timestamp", "hit", rows=40, fresh="fresh").toPandas().sort_values(["zone_id", "timestamp"])
     for z, fs in flags.items():
-        run, want = 0, []
-        for f in fs:
-            run = run + 1 if f else 0
-            want.append(run)
-        assert out[out.zone_id == z]["run_length"].tolist() == want
+        mine = out[out.zone_id == z]
+        assert mine["run_length"].tolist() == _runs(fs)
+        assert mine["fresh"].tolist() == [all(fs[:i + 1]) for i in range(len(fs))]
+
+
+def test_a_zone_with_most_rows_of_one_day_is_cut(spark):
+    """Nine rows in ten are one zone's, within a day, several of them at one moment."""
+    rng = random.Random(9)
+    rows = [(1, i // 3, int(rng.random() < 0.8)) for i in range(900)] + [(z, i, int(rng.random() < 0.8)) for z in (2, 3) for i in range(50)]
+    df = spark.createDataFrame(rows, "zone_id long, second int, hit int").withColumn(
+        "timestamp", F.lit("2024-01-01").cast("timestamp") + F.make_interval(secs=F.col("second"))).drop("second")
+    cut = ranged(df, ["zone_id", "timestamp"], 100)
+    sizes = {r["_range"]: r["count"] for r in cut.groupBy("_range").count().collect()}
+    assert len(sizes) == 10 and max(sizes.values()) < 250 and cut.filter("zone_id = 1").select("_range").distinct().count() >= 8
+    for rows_ in (100, 250_000):
+        out = run_lengths(df, ["zone_id"], "timestamp", "hit", rows=rows_).collect()
+        for z in (1, 2, 3):
+            mine = sorted((r["timestamp"], -r["hit"], r["run_length"]) for r in out if r["zone_id"] == z)
+            assert [m[2] for m in mine] == _runs([-m[1] for m in mine])
+    pos = numbered(df, ["zone_id"], "timestamp", ["hit"], rows=100)
+    assert {z: sorted(r["_pos"] for r in pos.filter(F.col("zone_id") == z).collect()) for z in (1, 2)} == {1: list(range(1, 901)), 2: list(range(1, 51))}

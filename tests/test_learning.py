@@ -6,6 +6,7 @@ from conftest import hours
 from pyspark.sql import functions as F
 
 from zonetide.learning import models as ML
+from zonetide.learning import neighbours as NN
 from zonetide.learning import sampling as SA
 from zonetide.learning import splits as SP
 
@@ -17,18 +18,45 @@ def _points(spark, n=240, seed=2):
     return spark.createDataFrame(rows, "id long, y int, a double, b double, c double"), x
 
 
-@pytest.mark.parametrize("chunk", [16, 4096])
-def test_neighbours_by_brute_force(spark, chunk):
+def _brute(x, k):
+    d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    return [row.argsort(kind="stable")[:k].tolist() for row in d]
+
+
+@pytest.mark.parametrize("centres,block", [(2048, 4096), (5, 16), (1, 7)])
+def test_neighbours_by_brute_force(spark, centres, block):
     df, x = _points(spark)
     got = {}
-    for r in SA.nearest_neighbours(df, "id", ["a", "b", "c"], 4, chunk_rows=chunk).collect():
+    for r in NN.nearest_neighbours(df, "id", ["a", "b", "c"], 4, centres, block).collect():
         got.setdefault(r["id"], {})[r["place"]] = r["neighbour"]
-    d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(2)
-    np.fill_diagonal(d, np.inf)
-    for i in range(len(x)):
-        assert [got[i][p] for p in (1, 2, 3, 4)] == d[i].argsort()[:4].tolist()
-    rough = SA.nearest_neighbours(df, "id", ["a", "b", "c"], 4, exact=False)
-    assert rough.count() == 4 * len(x)
+    assert [[got[i][p] for p in (1, 2, 3, 4)] for i in range(len(x))] == _brute(x, 4)
+
+
+def test_neighbours_in_many_dimensions_with_outlier_and_rows_at_one_spot(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(0, 1, (60, 32)), np.tile(rng.normal(0, 1, 32), (50, 1)), [[1e6] * 32], rng.normal(5, 1e-3, (60, 32))])
+    names = [f"x{i}" for i in range(32)]
+    bad = [(900, *[None] * 32), (901, *[float("nan")] * 32)]
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)] + bad, "id long, " + ", ".join(f"{n} double" for n in names))
+    got = {}
+    for r in NN.nearest_neighbours(df, "id", names, 3, block=16).collect():
+        got.setdefault(r["id"], {})[r["place"]] = r["neighbour"]
+    want = _brute(x, 3)
+    assert {i: [v[p] for p in (1, 2, 3)] for i, v in got.items()} == dict(enumerate(want))
+
+
+def test_blocks_of_a_dense_cluster_are_bounded(spark, monkeypatch):
+    """Nine rows in ten at nearly one spot, and one far away: no call sees more than a block of either side by much."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(0, 1e-6, (900, 4)), rng.normal(3, 2, (99, 4)), [[1e5] * 4]])
+    spots = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    balls = NN.Balls(x[:30])
+    assert sum(np.bincount(balls.distances(x).argmin(1), minlength=30) > 500) == 0
+    got = {r["id"]: r["neighbour"] for r in NN.neighbours_of_spots(spots, "id", 1, block=64).collect()}
+    assert got == {i: n[0] for i, n in enumerate(_brute(x, 1))}
+    assert NN.neighbours_of_spots(spots.limit(0), "id", 1).count() == 0 and NN.neighbours_of_spots(spots.filter("id < 1"), "id", 1).count() == 0
+    assert NN.neighbours_of_spots(spots.filter("id < 3"), "id", 5).count() == 6
 
 
 def test_smote_balances_and_stays_between(spark):
@@ -52,6 +80,18 @@ def test_tomek_links(spark):
     assert SA.without_tomek_links(df, "y", "id", ["a"]).count() == 5
 
 
+def test_smote_tomek_leaves_no_pair(spark):
+    df, _ = _points(spark)
+    names = ["a", "b", "c"]
+    both = SA.smote_tomek(df, "y", "id", names, k=3)
+    plain = SA.smote(df, "y", "id", names, k=3)
+    gone = plain.select("id", "copy").exceptAll(both.select("id", "copy"))
+    row = F.concat_ws("#", "id", "copy").alias("row")
+    links = SA.tomek_links(plain.withColumn("row", row), "y", "row", names)
+    assert gone.count() == links.count() > 0 and both.columns == plain.columns
+    assert {r["row"] for r in gone.select(row).collect()} == {r["row"] for r in links.collect()}
+
+
 def test_splits(spark):
     df = hours(spark, {1: list(range(10)), 2: list(range(5))})
     pos = SP.positional_split(df)
@@ -101,3 +141,39 @@ def test_one_hot_unseen_is_zero(spark):
 
     out = ML.one_hot(["t"]).fit(a).transform(b).select("t", vector_to_array("t_onehot").alias("v")).collect()
     assert {r["t"]: list(r["v"]) for r in out} == {"x": [1.0, 0.0], "new": [0.0, 0.0]}
+
+
+def test_search_rounds_stay_in_budget():
+    for n, k, budget in ((9, 5, 60.0), (9, 5, 10.0), (1, 3, 2.0), (2, 5, 1e9)):
+        rounds = ML.search_rounds(n, k, budget)
+        assert rounds[0][0] == n and rounds[-1][0] == 1 and sum(c * s for c, s in rounds) * k <= budget + 1e-9
+        assert all(a[1] < b[1] for a, b in zip(rounds, rounds[1:])) and rounds[-1][1] <= 1
+    assert ML.search_rounds(9, 5, 1e9)[-1][1] == 1.0
+
+
+def test_model_search_finds_what_full_cross_validation_finds(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(900, 3))
+    y = (np.sign(x[:, 0]) * np.sign(x[:, 1]) > 0).astype(int)  # no linear model can tell
+    df = spark.createDataFrame([(i, *map(float, v), int(t)) for i, (v, t) in enumerate(zip(x, y))], "id long, a double, b double, c double, y int")
+    some = [c for c in ML.families(trees=5) if c[0] in ("tree", "linear")]
+    board = ML.model_search(df, ["a", "b", "c"], "y", ["id"], k=3, budget=30.0, candidates=some).collect()
+    assert len(board) == len(some) and board[0]["rounds"] == 3 and board[0]["share"] > board[-1]["share"]
+    full = {}
+    for family, setting, model in some:
+        full[family, setting] = ML.cross_validated(df, ["a", "b", "c"], "y", ["id"], model, k=3).first()["mean_auc"]
+    best = max(full, key=full.get)
+    assert (board[0]["family"], board[0]["setting"]) == best == ("tree", "maxDepth=6")
+    assert abs(board[0]["mean_auc"] - full[best]) < 0.05
+
+
+def test_boosting_stops_when_the_validation_loss_does(spark):
+    df = spark.range(800).select("id", (F.pmod(F.col("id") * 37, 101) / 101.0).alias("a")).withColumn("noise", F.pmod(F.xxhash64("id"), F.lit(100)) / 100.0)
+    df = df.withColumn("is_train", F.col("id") % 4 != 0)
+    clear, blurred = df.withColumn("y", (F.col("a") > 0.5).cast("int")), df.withColumn("y", (F.col("noise") > 0.5).cast("int"))
+    trees = {}
+    for name, rows in (("clear", clear), ("blurred", blurred)):
+        model, held = ML.train(rows, ["a"], "y", estimator=ML.gradient_boosting(trees=40, depth=2, validation=ML.VALIDATION))
+        trees[name] = model.getNumTrees
+        assert ML.VALIDATION not in held.columns and held.count() == 200
+    assert trees["blurred"] < trees["clear"] <= 40

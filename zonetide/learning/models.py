@@ -20,12 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zonetide.functions.numeric import round_even
-from zonetide.learning.sampling import balanced_weights, oversample, smote, undersample
+from zonetide.learning.sampling import balanced_weights, oversample, smote, smote_tomek, undersample
 from zonetide.learning.splits import stratified_folds, uniform
 from zonetide.operators.metrics import evaluate
 from zonetide.session import written
 
 VECTOR = "features"
+VALIDATION = "is_validation"
 
 
 def assembled(df: DataFrame, columns: list[str], out: str = VECTOR) -> DataFrame:
@@ -51,10 +52,16 @@ def population_factor(n: int) -> float:
     return (n / (n - 1)) ** 0.5
 
 
-def gradient_boosting(label: str = "label", weight: str = "weight", trees: int = 40, depth: int = 5, **kw) -> GBTClassifier:
-    """Boosted trees on balanced weights, 80 % of the rows per tree."""
+def gradient_boosting(label: str = "label", weight: str = "weight", trees: int = 300, depth: int = 5, validation: str | None = None,
+                      tolerance: float = 0.001, **kw) -> GBTClassifier:
+    """Boosted trees on balanced weights, 80 % of the rows per tree.
+
+    ``validation`` names a column that is true for rows on which the loss is watched: no tree is added once it falls by less than
+    ``tolerance`` of itself, so the number of trees depends on the data.
+    """
+    watched = {"validationIndicatorCol": validation, "validationTol": tolerance} if validation else {}
     return GBTClassifier(labelCol=label, featuresCol=VECTOR, weightCol=weight, maxIter=trees, maxDepth=depth, stepSize=0.05,
-                         subsamplingRate=0.8, seed=42, **kw)
+                         subsamplingRate=0.8, seed=42, **watched, **kw)
 
 
 def decision_tree(label: str = "label", weight: str = "weight", depth: int = 6) -> DecisionTreeClassifier:
@@ -75,10 +82,15 @@ def scores(model, df: DataFrame, out: str = "p") -> DataFrame:
 
 
 def train(df: DataFrame, columns: list[str], label: str, is_train: str = "is_train", estimator=None):
-    """Fit on the training rows with balanced weights. Returns (model, scored holdout)."""
-    rows = assembled(df.withColumn("label", F.col(label).cast("double")), columns)
-    fitted = (estimator or gradient_boosting()).fit(balanced_weights(rows.filter(F.col(is_train)), "label"))
-    return fitted, scores(fitted, rows.filter(~F.col(is_train)))
+    """Fit on the training rows with balanced weights. Returns (model, scored holdout).
+
+    An estimator that watches a validation column also sees the holdout, to know when to stop; so does boosting by default.
+    """
+    rows = assembled(df.withColumns({"label": F.col(label).cast("double"), VALIDATION: ~F.col(is_train)}), columns)
+    model = estimator or gradient_boosting(validation=VALIDATION)
+    watches = model.hasParam("validationIndicatorCol") and model.isDefined(model.getParam("validationIndicatorCol"))
+    fitted = model.fit(balanced_weights(rows if watches else rows.filter(F.col(is_train)), "label"))
+    return fitted, scores(fitted, rows.filter(~F.col(is_train))).drop(VALIDATION)
 
 
 def importance(model, columns: list[str], spark) -> DataFrame:
@@ -119,17 +131,55 @@ def cross_validated(df: DataFrame, columns: list[str], label: str, keys: list[st
     return df.sparkSession.range(1).select(F.inline(F.array(*entries)))
 
 
-def model_search(df: DataFrame, columns: list[str], label: str, keys: list[str], k: int = 3, trees: int = 20) -> DataFrame:
-    """Mean AUC of several model families and settings, best first."""
-    found = None
-    gbt, forest, logit = gradient_boosting(trees=trees), random_forest(trees=trees), linear()
-    families = (("gbt", gbt, ParamGridBuilder().addGrid(gbt.maxDepth, [3, 5]).build()),
-                ("forest", forest, ParamGridBuilder().addGrid(forest.maxDepth, [5, 8]).build()),
-                ("linear", logit, ParamGridBuilder().addGrid(logit.regParam, [0.0, 0.1]).build()))
-    for name, est, grid in families:
-        part = cross_validated(df, columns, label, keys, est, grid, k).withColumn("family", F.lit(name))
-        found = part if found is None else found.unionByName(part)
-    return found.orderBy(F.col("mean_auc").desc(), "family", "setting")
+def families(trees: int = 20) -> list[tuple[str, str, object]]:
+    """Candidates of a model search: (family, setting, estimator), trees and linear models."""
+    out = [("tree", f"maxDepth={d}", decision_tree(depth=d)) for d in (3, 6)]
+    out += [("forest", f"maxDepth={d}", random_forest(trees=trees, depth=d)) for d in (5, 8)]
+    out += [("gbt", f"maxDepth={d}", gradient_boosting(trees=trees, depth=d)) for d in (3, 5)]
+    for r in (0.0, 0.01, 0.1):
+        model = linear()
+        out.append(("linear", f"regParam={r}", model.copy({model.regParam: r})))
+    return out
+
+
+def search_rounds(candidates: int, k: int, budget: float, keep: int = 3) -> list[tuple[int, float]]:
+    """(candidates, share of the rows) of each round of successive halving.
+
+    Every round keeps one in ``keep`` candidates and gives those ``keep`` times the rows, so all rounds cost about the same. ``budget``
+    is what all fits together may cost, in fits on all rows; the last round has all rows if the budget allows it.
+    """
+    sizes = [candidates]
+    while sizes[-1] > 1:
+        sizes.append(-(-sizes[-1] // keep))
+    weights = [float(keep) ** (i - len(sizes) + 1) for i in range(len(sizes))]  # 1 for the last round
+    cost = sum(n * w for n, w in zip(sizes, weights)) * k
+    return [(n, w * min(1.0, budget / cost)) for n, w in zip(sizes, weights)]
+
+
+def model_search(df: DataFrame, columns: list[str], label: str, keys: list[str], k: int = 5, budget: float = 60.0, candidates=None, keep: int = 3) -> DataFrame:
+    """Leaderboard of model families and settings by mean AUC over ``k`` folds, found by successive halving within a budget.
+
+    All candidates are compared on a share of the rows, the better ones again on more, the last on most. Rows are drawn and folded by
+    hashes of their keys, and a round's rows contain those of the round before. Columns: family, setting, rounds (survived), share (of the
+    rows in its last round), mean_auc and std_auc (there); best first.
+    """
+    spark = df.sparkSession
+    folded = stratified_folds(df.withColumn("label", F.col(label).cast("double")), "label", keys, k)
+    rows = written(balanced_weights(assembled(folded, columns), "label").select(VECTOR, "label", "weight", "fold", uniform(*keys, seed=11).alias("_u")), "folds")
+    left, board = list(candidates or families()), {}
+    rounds = search_rounds(len(left), k, budget, keep)
+    judge = BinaryClassificationEvaluator(labelCol="label")
+    for turn, (_, share) in enumerate(rounds, start=1):
+        used = rows.filter(F.col("_u") < F.lit(share))
+        for family, setting, model in left:
+            cv = CrossValidator(estimator=model, estimatorParamMaps=[{}], evaluator=judge, foldCol="fold", numFolds=k)
+            fitted = cv.fit(used)
+            board[family, setting] = (turn, share, fitted.avgMetrics[0], fitted.stdMetrics[0])
+        best = sorted(left, key=lambda c: (-board[c[:2]][2], c[:2]))
+        left = best[:rounds[turn][0]] if turn < len(rounds) else []
+    entries = F.array(*[F.struct(F.lit(f).alias("family"), F.lit(s).alias("setting"), F.lit(t).alias("rounds"), F.lit(float(h)).alias("share"),
+                                 F.lit(float(a)).alias("mean_auc"), F.lit(float(d)).alias("std_auc")) for (f, s), (t, h, a, d) in board.items()])
+    return spark.range(1).select(F.inline(entries)).orderBy(F.col("rounds").desc(), F.col("mean_auc").desc(), "family", "setting")
 
 
 def learning_curve(df: DataFrame, columns: list[str], label: str, keys: list[str], is_train: str = "is_train",
@@ -147,7 +197,7 @@ def learning_curve(df: DataFrame, columns: list[str], label: str, keys: list[str
 
 
 def compare_strategies(df: DataFrame, columns: list[str], label: str, key: str, is_train: str = "is_train", estimator=None) -> DataFrame:
-    """The same model on plain, weighted, over-, under-sampled and synthetic training rows, best F1 first."""
+    """The same model on plain, weighted, over-, under-sampled and synthetic training rows (with and without Tomek links), best F1 first."""
     rows = df.withColumn("label", F.col(label).cast("double"))
     fit_rows, held = rows.filter(F.col(is_train)), assembled(rows.filter(~F.col(is_train)), columns)
     plain = fit_rows.withColumn("weight", F.lit(1.0))
@@ -157,6 +207,7 @@ def compare_strategies(df: DataFrame, columns: list[str], label: str, key: str,
         "oversample": oversample(fit_rows, "label", [key]).withColumn("weight", F.lit(1.0)),
         "undersample": undersample(fit_rows, "label", [key]).withColumn("weight", F.lit(1.0)),
         "smote": smote(fit_rows, "label", key, columns).withColumn("weight", F.lit(1.0)),
+        "smote_tomek": smote_tomek(fit_rows, "label", key, columns).withColumn("weight", F.lit(1.0)),
     }
     parts = []
     for name, train_rows in sets.items():

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from zonetide.learning.neighbours import neighbours_of_spots, vector
 from zonetide.learning.splits import uniform
-from zonetide.operators.quantiles import running_totals
-from zonetide.operators.segments import chunked
+from zonetide.session import written
 
 
 def _ratio(df: DataFrame, label: str) -> Column:
@@ -36,92 +35,37 @@ def undersample(df: DataFrame, label: str, keys: list[str], seed: int = 0) -> Da
     return df.filter((F.col(label) == 1) | (uniform(*keys, seed=seed) < F.lit(1.0) / _ratio(df, label)))
 
 
-def _gap2(columns: list[str], a: str, b: str) -> Column:
-    total = F.lit(0.0)
-    for c in columns:
-        d = F.col(f"{a}.{c}") - F.col(f"{b}.{c}")
-        total = total + d * d
-    return total
-
-
-def nearest_neighbours(df: DataFrame, key: str, columns: list[str], k: int = 5, exact: bool = True,
-                       chunk_rows: int = 4096) -> DataFrame:
-    """The k nearest other rows of each row: (key, neighbour, distance2, place).
-
-    Rows are laid out along one direction. The k rows before and after each one bound how far its
-    k-th neighbour can be, because a distance is never smaller than its shadow on a line; only
-    rows inside that band are compared, through cells of the band's typical width. Rows at the
-    same spot should be merged by the caller. ``exact=False`` stops at the rows along the line.
-    """
-    weight = 1.0 / len(columns) ** 0.5
-    shadow = sum((F.col(c).cast("double") * F.lit(weight) for c in columns), F.lit(0.0))
-    pts = df.select(key, *[F.col(c).cast("double").alias(c) for c in columns], shadow.alias("_p")).withColumn("_one", F.lit(1))
-    placed = running_totals(pts, "_p", {"_pos": "_one"}, descending=False).drop("_one")
-    cut = chunked(placed, chunk_rows, back=k, ahead=k)
-    w = W.partitionBy("_chunk").orderBy("_pos", key)
-    me = F.struct(F.col(key).alias("id"), *columns)
-    around = cut.withColumn("_near", F.array_compact(F.array(*[f(me, i).over(w) for i in range(1, k + 1) for f in (F.lag, F.lead)]))).filter("_own")
-
-    def far(e: Column) -> Column:
-        total = F.lit(0.0)
-        for c in columns:
-            total = total + (F.col(c) - e[c]) * (F.col(c) - e[c])
-        return F.struct(total.alias("d2"), e["id"].alias("id"))
-
-    bounded = around.withColumn("_cand", F.array_sort(F.transform("_near", far)))
-    if not exact:
-        first = bounded.select(key, F.posexplode(F.slice("_cand", 1, k)).alias("i", "e"))
-        return first.select(key, F.col("e.id").alias("neighbour"), F.col("e.d2").alias("distance2"), (F.col("i") + 1).alias("place"))
-    reach = F.sqrt(F.get("_cand", F.least(F.lit(k), F.size("_cand")) - 1)["d2"])
-    asking = bounded.select(key, *columns, "_p", reach.alias("_reach"))
-    width = F.greatest(asking.agg(F.avg("_reach")).scalar(), F.lit(1e-12))
-    sized = asking.withColumn("_w", width)
-    # A hair of slack keeps rounding from losing a neighbour at the edge of the band.
-    low, high = (F.floor((F.col("_p") + s * F.col("_reach") * F.lit(1.000001)) / F.col("_w")) for s in (F.lit(-1.0), F.lit(1.0)))
-    a = sized.withColumn("_cell", F.explode(F.sequence(low, high))).alias("a")
-    b = pts.drop("_one").withColumn("_w", width).withColumn("_cell", F.floor(F.col("_p") / F.col("_w"))).alias("b")
-    close = (F.col("a._cell") == F.col("b._cell")) & (F.col(f"a.{key}") != F.col(f"b.{key}")) & (
-        F.abs(F.col("a._p") - F.col("b._p")) <= F.col("a._reach") * F.lit(1.000001))
-    pairs = a.join(b, close).select(F.col(f"a.{key}").alias(key), F.col(f"b.{key}").alias("neighbour"),
-                                    _gap2(columns, "a", "b").alias("distance2"), F.col("a._reach").alias("_reach"))
-    kept = pairs.filter(F.col("distance2") <= F.col("_reach") * F.col("_reach") * F.lit(1.000002) + F.lit(1e-300)).drop("_reach")
-    rank = W.partitionBy(key).orderBy("distance2", "neighbour")
-    return kept.withColumn("place", F.row_number().over(rank)).filter(F.col("place") <= k)
-
-
-def smote(df: DataFrame, label: str, key: str, columns: list[str], k: int = 5, seed: int = 0, exact: bool = True) -> DataFrame:
+def smote(df: DataFrame, label: str, key: str, columns: list[str], k: int = 5, seed: int = 0) -> DataFrame:
     """All rows plus synthetic positives between a positive and one of its k nearest positives.
 
-    Returns (key, label, columns..., synthetic). Each positive makes as many rows as balance needs;
-    neighbour and position are drawn from the row's key, so a rerun makes the same rows.
+    Returns (key, label, columns..., copy, synthetic); ``copy`` numbers the rows made from one row, 0 for the row itself. Each
+    positive makes as many rows as balance needs; neighbour and position are drawn from the row's key, so a rerun makes the same rows.
     """
     base = df.select(key, label, *[F.col(c).cast("double").alias(c) for c in columns])
-    minority = base.filter(F.col(label) == 1)
-    distinct = minority.groupBy(*columns).agg(F.min(key).alias(key))
-    near = nearest_neighbours(distinct, key, columns, k, exact)
-    spot = distinct.select(F.col(key).alias("neighbour"), *[F.col(c).alias(f"_n_{c}") for c in columns])
+    minority = base.filter(F.col(label) == 1).select(key, label, vector(columns).alias("v"))
+    distinct = minority.groupBy("v").agg(F.min(key).alias("_rep"))
+    near = neighbours_of_spots(distinct.select(F.col("_rep").alias(key), "v"), key, k)
+    spot = distinct.select(F.col("_rep").alias("neighbour"), "v")
     # At most k entries per positive spot.
     options = near.join(spot, "neighbour").groupBy(F.col(key).alias("_rep")).agg(
-        F.array_sort(F.collect_list(F.struct("place", *[f"_n_{c}" for c in columns]))).alias("_options"))
-    reps = distinct.withColumnRenamed(key, "_rep")
+        F.array_sort(F.collect_list(F.struct("place", "v"))).alias("_options"))
     extra = F.floor(_ratio(base, label) - F.lit(1.0) + uniform(key, seed=seed)).cast("int")
-    made = (minority.join(reps, columns).join(options, "_rep").withColumn("_extra", extra).filter(F.col("_extra") > 0)
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_extra")))))
-    pick = F.floor(uniform(key, "_copy", seed=seed + 1) * F.size("_options")).cast("int")
-    drawn = made.withColumns({"_o": F.get("_options", pick), "_t": uniform(key, "_copy", seed=seed + 2)})
-    between = [(F.col(c) + F.col("_t") * (F.col(f"_o._n_{c}") - F.col(c))).alias(c) for c in columns]
-    new = drawn.select(key, label, *between, F.lit(True).alias("synthetic"))
-    return base.withColumn("synthetic", F.lit(False)).unionByName(new)
+    made = (minority.join(distinct, "v").join(options, "_rep").withColumn("_extra", extra).filter(F.col("_extra") > 0)
+            .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_extra")))))
+    pick = F.floor(uniform(key, "copy", seed=seed + 1) * F.size("_options")).cast("int")
+    drawn = made.withColumns({"_o": F.get("_options", pick)["v"], "_t": uniform(key, "copy", seed=seed + 2)})
+    between = [(F.col("v")[i] + F.col("_t") * (F.col("_o")[i] - F.col("v")[i])).alias(c) for i, c in enumerate(columns)]
+    new = drawn.select(key, label, *between, "copy", F.lit(True).alias("synthetic"))
+    return base.withColumns({"copy": F.lit(0), "synthetic": F.lit(False)}).unionByName(new)
 
 
-def tomek_links(df: DataFrame, label: str, key: str, columns: list[str], exact: bool = True) -> DataFrame:
+def tomek_links(df: DataFrame, label: str, key: str, columns: list[str]) -> DataFrame:
     """Pairs of opposite class that are each other's nearest row: (key, neighbour).
 
     Rows of one class at the same spot have each other as nearest and so belong to no pair.
     """
-    base = df.select(key, label, *[F.col(c).cast("double").alias(c) for c in columns])
-    spots = base.groupBy(label, *columns).agg(F.min(key).alias(key), F.count(F.lit(1)).alias("_m"))
-    near = nearest_neighbours(spots, key, columns, 1, exact).select(key, "neighbour")
+    spots = df.groupBy(label, vector(columns).alias("v")).agg(F.min(key).alias(key), F.count(F.lit(1)).alias("_m"))
+    near = neighbours_of_spots(spots.select(key, "v"), key, 1).select(key, "neighbour")
     single = spots.filter(F.col("_m") == 1).select(key, label)
     a = near.join(single, key)
     other = single.select(F.col(key).alias("neighbour"), F.col(label).alias("_other"))
@@ -130,7 +74,13 @@ def tomek_links(df: DataFrame, label: str, key: str, columns: list[str], exact:
             .select(key, "neighbour"))
 
 
-def without_tomek_links(df: DataFrame, label: str, key: str, columns: list[str], exact: bool = True) -> DataFrame:
+def without_tomek_links(df: DataFrame, label: str, key: str, columns: list[str]) -> DataFrame:
     """Drop both ends of every pair."""
-    links = tomek_links(df, label, key, columns, exact).select(key)
+    links = tomek_links(df, label, key, columns).select(key)
     return df.join(links, key, "left_anti")
+
+
+def smote_tomek(df: DataFrame, label: str, key: str, columns: list[str], k: int = 5, seed: int = 0) -> DataFrame:
+    """Synthetic positives, then without the pairs of opposite class that are each other's nearest row, made rows included."""
+    made = written(smote(df, label, key, columns, k, seed), "smote").withColumn("_row", F.concat_ws("#", key, "copy"))
+    return without_tomek_links(made, label, "_row", columns).drop("_row")

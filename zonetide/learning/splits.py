@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from zonetide.operators.quantiles import exact_quantiles
+from zonetide.operators.quantiles import counted_quantiles, exact_quantiles
 
 
 def uniform(*keys: str, seed: int = 0) -> Column:
@@ -20,7 +20,7 @@ def time_split(df: DataFrame, ts: str = "timestamp", holdout: float = 0.2, out:
     hour = F.floor(F.unix_timestamp(F.col(ts)) / F.lit(3600))
     marked = df.withColumn("_hour", hour)
     # One value per hour of the calendar: a narrow domain.
-    cut = exact_quantiles(marked, "_hour", {"cut": 1.0 - holdout}, domain="narrow").select("cut").scalar()
+    cut = counted_quantiles(marked, "_hour", {"cut": 1.0 - holdout}).select("cut").scalar()
     return marked.withColumn(out, F.col("_hour") <= cut).drop("_hour")
 
 

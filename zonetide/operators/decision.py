@@ -28,24 +28,24 @@ MONEY = "decimal(12,4)"
 # --- persistence ------------------------------------------------------------
 
 def persistence_counts(df: DataFrame, over: Column, keys: tuple[str, ...] = ("zone_id",), ts: str = "timestamp",
-                       carried: DataFrame | None = None, period: str | None = None,
+                       carried: DataFrame | None = None, range_rows: int | None = None,
                        out: str = "persistence_count") -> DataFrame:
     """Consecutive rows with ``over`` true per zone, restarting at 0.
 
     ``carried`` (keys, carried_count) continues runs of an earlier job: it is added to rows before
-    a zone's first reset. ``period`` switches to the version for series too long for one task.
+    a zone's first reset. ``range_rows`` cuts series that are too long for one task, see
+    ``segments.run_lengths``. Of rows of one moment those over the threshold come first.
     """
     hit = F.coalesce(over, F.lit(False)).cast("int")
     flagged = df.withColumn("_hit", hit)
-    if period:
-        counted = run_lengths(flagged, list(keys), ts, "_hit", period, out)
-        first_reset = flagged.groupBy(*keys).agg(F.min(F.when(F.col("_hit") == 0, F.col(ts))).alias("_reset"))
-        counted = counted.join(first_reset, list(keys))
-        fresh = F.col("_reset").isNull() | (F.col(ts) < F.col("_reset"))
+    if range_rows:
+        counted = run_lengths(flagged.withColumnRenamed("_hit", "_over"), list(keys), ts, "_over", rows=range_rows, out=out, fresh="_fresh")
+        fresh = F.col("_fresh")
     else:
-        order = W.partitionBy(*keys).orderBy(ts).rowsBetween(W.unboundedPreceding, 0)
+        turn = [F.col(ts), F.col("_hit").desc()]
+        order = W.partitionBy(*keys).orderBy(*turn).rowsBetween(W.unboundedPreceding, 0)
         counted = flagged.withColumn("_island", F.sum(1 - F.col("_hit")).over(order))
-        inside = W.partitionBy(*keys, "_island").orderBy(ts).rowsBetween(W.unboundedPreceding, 0)
+        inside = W.partitionBy(*keys, "_island").orderBy(*turn).rowsBetween(W.unboundedPreceding, 0)
         counted = counted.withColumn(out, F.sum("_hit").over(inside))
         fresh = F.col("_island") == 0
     if carried is not None:

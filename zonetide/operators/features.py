@@ -10,7 +10,7 @@ from zonetide import settings as S
 from zonetide.functions import clock, scoring
 from zonetide.functions.numeric import clip, round_even
 from zonetide.operators.enrich import with_defaults
-from zonetide.operators.quantiles import exact_quantiles
+from zonetide.operators.quantiles import counted_quantiles
 from zonetide.operators.segments import chunked, numbered
 
 LAGS = {"taxi_lag_1h": 1, "taxi_lag_24h": 24, "taxi_lag_168h": 168}
@@ -80,7 +80,7 @@ def supply_series(df: DataFrame, more: bool = False, segment_rows: int | None =
             F.avg(COUNT).alias("_mean"), *[F.avg(n).alias(f"_mean_{n}") for n in lags])
         filled = raw.join(whole, "zone_id")
         for name, (source, p) in flags.items():
-            filled = filled.join(exact_quantiles(df, source, {name: p}, ["zone_id"], domain="narrow"), "zone_id")
+            filled = filled.join(counted_quantiles(df, source, {name: p}, ["zone_id"]), "zone_id")
     else:
         order = W.partitionBy("zone_id").orderBy("timestamp")
         zone = (order.rowsBetween(W.unboundedPreceding, -1) if trailing else W.partitionBy("zone_id"))

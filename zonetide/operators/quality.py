@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,7 +93,7 @@ def profile(df: DataFrame, columns: list[str]) -> DataFrame:
 def describe(df: DataFrame, column: str) -> DataFrame:
     """Count, mean, sample deviation, range and exact quartiles of one column."""
     names = ("p25", "p50", "p75")
-    # One subquery for all three, not one each.
+    # Two scans for all three.
     quartiles = exact_quantiles(df, column, dict(zip(names, (0.25, 0.5, 0.75)))).select(F.struct(*names)).scalar()
     c = F.col(column).cast("double")
     stats = df.agg(F.count(c).alias("n"), F.avg(c).alias("mean_value"), F.stddev_samp(c).alias("std_value"),
@@ -147,15 +149,14 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
 def mutual_information(df: DataFrame, label: str, features: list[str], bins: int = 10) -> DataFrame:
     """Binned mutual information of each feature with the label (natural log).
 
-    Equal-width bins over each feature's own range; one grouped contingency table for all features.
+    Bins are cut at exact quantiles of each feature, so they hold about equally many rows; one grouped contingency table for all
+    features. Equal values share a bin.
     """
     long = (df.select(F.col(label).alias("y"), *[F.col(f).cast("double").alias(f) for f in features])
             .unpivot(["y"], features, "feature", "v").filter("v is not null and y is not null"))
-    span = long.groupBy("feature").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
-    cell = (long.join(span, "feature")
-            .withColumn("bin", F.when(width > 0, F.least(F.floor((F.col("v") - F.col("lo")) / width),
-                                                         F.lit(bins - 1))).otherwise(F.lit(0)))
+    names = {f"_q{i}": i / bins for i in range(1, bins)}
+    cuts = exact_quantiles(long, "v", names, ["feature"])
+    cell = (long.join(cuts, "feature").withColumn("bin", sum(((F.col("v") > F.col(q)).cast("int") for q in names), F.lit(0)))
             .groupBy("feature", "bin", "y").agg(F.count(F.lit(1)).alias("n")))
     by_bin = cell.groupBy("feature", "bin").agg(F.sum("n").alias("nx"))
     by_label = cell.groupBy("feature", "y").agg(F.sum("n").alias("ny"))
@@ -189,17 +190,17 @@ def leakage_audit(df: DataFrame) -> DataFrame:
 
 def imputation_values(df: DataFrame, numeric: list[str], text: list[str]) -> DataFrame:
     """Medians of numeric columns and modes of text columns as rows (column_name, number, label)."""
-    out = None
-    for c in numeric:
-        row = exact_quantiles(df, c, {"number": 0.5}).select(
-            F.lit(c).alias("column_name"), "number", F.lit(None).cast("string").alias("label"))
-        out = row if out is None else out.unionByName(row)
-    for c in text:
-        counts = df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-        row = counts.agg(F.min_by(c, F.struct(-F.col("n"), F.col(c))).alias("label")).select(
-            F.lit(c).alias("column_name"), F.lit(None).cast("double").alias("number"), "label")
-        out = row if out is None else out.unionByName(row)
-    return out
+    found = []
+    if numeric:  # all columns at once: two scans, whatever their number
+        long = df.select(*[F.col(c).cast("double").alias(c) for c in numeric]).unpivot([], numeric, "column_name", "v")
+        found.append(exact_quantiles(long, "v", {"number": 0.5}, ["column_name"]).withColumn("label", F.lit(None).cast("string")))
+    if text:
+        long = df.select(*[F.col(c).cast("string").alias(c) for c in text]).unpivot([], text, "column_name", "v").filter("v IS NOT NULL")
+        counts = long.groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n"))
+        found.append(counts.groupBy("column_name").agg(F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("label"))
+                     .select("column_name", F.lit(None).cast("double").alias("number"), "label"))
+    names = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in [*numeric, *text]])).alias("column_name"))
+    return names.join(reduce(DataFrame.unionByName, found), "column_name", "left")  # also columns without a value
 
 
 def impute(df: DataFrame, train: DataFrame, numeric: list[str], text: list[str]) -> DataFrame:

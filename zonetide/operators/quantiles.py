@@ -1,12 +1,4 @@
-"""Exact quantiles and running totals that do not need one task to see every value.
-
-``percentile`` brings every distinct value of a group to a single task. That is fine for a
-narrow domain (counts, whole minutes, four-decimal scores, prices), above all when the values
-are counted first, and is used there. For wide domains the functions below narrow the search by
-bins, twice, so that only the distinct values sharing a bin with a wanted rank are ever sorted.
-Bins are cut at approximate quantiles of the values, so they hold about equally many however
-the values are spread.
-"""
+"""Exact quantiles and running totals that do not need one task to see every value."""
 
 from __future__ import annotations
 
@@ -16,71 +8,92 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BINS = 256
+from zonetide.operators.segments import RANGE_ROWS, ranged
+from zonetide.session import written
 
+#: Size of the sketch, and how far on either side of a wanted share of the values the second scan keeps them. A sketch of this
+#: size is off by less than half as much nearly always; when it is not, the search goes on with a wider band.
+SKETCH = 2048
+BAND = 0.005
 
-def _cuts(value: Column, bins: int) -> Column:
-    """``bins - 1`` values in order that cut the rows into runs of about equal number."""
-    return F.percentile_approx(value, [i / bins for i in range(1, bins)], 10_000)
 
+def running_totals(df: DataFrame, order: str, sums: dict[str, str], descending: bool = True,
+                   groups: list[str] | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Cumulative sums over an order within groups.
 
-def _bin(value: Column, cuts: Column, bins: int) -> Column:
-    """Number of cuts below the value. Every ``step``-th cut is looked at first, then those of one step."""
-    step = max(2, round(bins ** 0.5))
-    below = lambda a: F.coalesce(F.size(F.filter(a, lambda c: c < value)), F.lit(0))
-    coarse = [F.get(cuts, F.lit(i)) for i in range(step - 1, bins - 1, step)]
-    at = (below(F.array(*coarse)) if coarse else F.lit(0)) * F.lit(step)
-    return (at + below(F.slice(cuts, at + F.lit(1), F.lit(step)))).cast("long")
+    ``df`` holds one row per (group, order) value. The rows are stored in ranges of that order of about ``range_rows`` each. One
+    pass sums up every range, and a row's total is that of the ranges before plus the running total inside its own.
+    """
+    groups = groups or []
+    direction = F.col(order).desc() if descending else F.col(order).asc()
+    cut = ranged(df, [*groups, direction], range_rows)
+    totals = cut.groupBy(*groups, "_range").agg(*[F.sum(c).alias(f"_t_{out}") for out, c in sums.items()])
+    before = W.partitionBy(*groups).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # one row a range
+    offsets = totals.select(*[F.col(c).alias(f"_g_{c}") for c in groups], F.col("_range").alias("_before"), *[F.coalesce(F.sum(f"_t_{out}").over(before), F.lit(0)).alias(f"_b_{out}") for out in sums])
+    inside = W.partitionBy(*groups, "_range").orderBy(direction).rowsBetween(W.unboundedPreceding, 0)
+    local = cut.withColumns({f"_l_{out}": F.sum(c).over(inside) for out, c in sums.items()})
+    same = [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in groups] + [F.col("_range") == F.col("_before")]
+    joined = local.join(offsets, reduce(Column.__and__, same))
+    return joined.select(*df.columns, *[(F.col(f"_l_{out}") + F.col(f"_b_{out}")).alias(out) for out in sums])
+
+
+def counted_quantiles(df: DataFrame, value: str, probs: dict[str, float], groups: list[str] | None = None) -> DataFrame:
+    """Linear-interpolated quantiles of values of a small domain (hours, counts, whole minutes), which are counted first.
+
+    One row per group, one column per entry of ``probs``. The distinct values of a group meet in one task.
+    """
+    groups = groups or []
+    counts = (df.select(*groups, F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
+              .groupBy(*groups, "v").agg(F.count(F.lit(1)).alias("n")))
+    return counts.groupBy(*groups).agg(*[F.percentile("v", float(p), F.col("n")).alias(name) for name, p in probs.items()])
 
 
-def _narrow(cells: DataFrame, keys: list[str], wants: DataFrame, groups: list[str], name: str, bins: int) -> DataFrame:
-    """Cut every cell into bins and keep the bins that hold a wanted rank.
+def _cells(rows: DataFrame, probs: list[float], groups: list[str], band: float | None, sketch: int) -> DataFrame:
+    """The values near the wanted ranks with their counts, and one row for each gap between these bands.
 
-    ``cells`` has the key columns, ``base`` (how many values lie before the cell), ``v`` and ``n``;
-    the result has one more key, the bin. ``wants`` has the wanted ranks per group as an array.
+    ``v``: the value, or the greatest one of a gap; ``exact`` is null for gaps. Without ``band`` every value is kept.
     """
-    if keys:
-        span = cells.groupBy(*keys).agg(_cuts(F.col("v"), bins).alias("cuts"))
-        ranged = cells.join(span, keys)
-    else:
-        ranged = cells.withColumn("cuts", cells.agg(_cuts(F.col("v"), bins)).scalar())
-    binned = ranged.withColumn(name, _bin(F.col("v"), F.col("cuts"), bins)).drop("cuts")
-    totals = binned.groupBy(*keys, "base", name).agg(F.sum("n").alias("inside"))
-    # At most ``bins`` rows per cell reach this window.
-    earlier = W.partitionBy(*(keys or [F.lit(0)])).orderBy(name).rowsBetween(W.unboundedPreceding, -1)
-    placed = totals.withColumn("start", F.col("base") + F.coalesce(F.sum("inside").over(earlier), F.lit(0)))
-    asked = placed.join(wants.select(*groups, "ranks"), groups) if groups else placed.withColumn("ranks", wants.select("ranks").scalar())
-    holds = F.exists("ranks", lambda w: (w >= F.col("start")) & (w < F.col("start") + F.col("inside")))
-    kept = asked.filter(holds).select(*keys, name, F.col("start").alias("base"))
-    return binned.drop("base").join(kept, [*keys, name])
-
-
-def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float],
-                    groups: list[str] | None = None, bins: int = BINS, domain: str = "wide") -> DataFrame:
+    if band is None:
+        return rows.groupBy(*groups, "v").agg(F.count(F.lit(1)).alias("n")).withColumn("exact", F.col("v"))
+    drawn = rows.groupBy(*groups).agg(F.kll_sketch_agg_double("v", sketch).alias("s"))
+    at = lambda shares: F.when(F.kll_sketch_get_n_double("s") > 0, F.kll_sketch_get_quantile_double(
+        "s", F.array(*[F.lit(min(max(x, 0.0), 1.0)) for x in shares])))
+    bands = drawn.select(*groups, F.struct(at([p - band for p in probs]).alias("low"), at([p + band for p in probs]).alias("high")).alias("_b"))
+    tagged = rows.join(bands, groups) if groups else rows.withColumn("_b", bands.select("_b").scalar())
+    low, high = ([F.get(f"_b.{side}", F.lit(i)) for i in range(len(probs))] for side in ("low", "high"))
+    passed = sum(((F.col("v") >= x).cast("int") for x in low), F.lit(0))
+    near = reduce(Column.__or__, [F.col("v").between(a, b) for a, b in zip(low, high)])
+    # Between two bands the number of bands passed tells the gap; its values lie behind those of the bands passed.
+    return (tagged.select(*groups, "v", F.coalesce(passed, F.lit(-1)).alias("_gap"), F.when(near, F.col("v")).alias("exact"))
+            .groupBy(*groups, "_gap", "exact").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("v")).drop("_gap"))
+
+
+def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], groups: list[str] | None = None,
+                    band: float = BAND, sketch: int = SKETCH) -> DataFrame:
     """Linear-interpolated quantiles, one row per group, one column per entry of ``probs``.
 
-    ``domain='narrow'`` promises that the distinct values of a group fit in a task.
+    Two scans: the first draws a sketch of each group, the second counts the values between two of its quantiles around every
+    wanted rank, and how many lie in the gaps. The value at the rank is then read off running totals. If a rank falls into
+    a gap, because the sketch was too far off, the band is widened, in the end to all values, so the result is always exact.
     """
     groups = groups or []
-    counts = (df.select(*groups, F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
-              .groupBy(*groups, "v").agg(F.count(F.lit(1)).alias("n")))
-    if domain == "narrow":
-        return counts.groupBy(*groups).agg(*[F.percentile("v", float(p), F.col("n")).alias(name) for name, p in probs.items()])
+    rows = df.select(*groups, F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
 
     def rank(p: float, up: bool) -> Column:
         at = (F.col("total") - 1) * F.lit(float(p))
         return (F.ceil(at) if up else F.floor(at)).cast("long")
 
-    sizes = counts.groupBy(*groups).agg(F.sum("n").alias("total"))
-    wants = sizes.withColumn("ranks", F.array(*[rank(p, up) for p in probs.values() for up in (False, True)]))
-    cells = _narrow(counts.withColumn("base", F.lit(0).cast("long")), groups, wants, groups, "_b1", bins)
-    cells = _narrow(cells, [*groups, "_b1"], wants, groups, "_b2", bins)
-    run = W.partitionBy(*groups, "_b1", "_b2").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    ends = cells.withColumn("end", F.col("base") + F.sum("n").over(run))
-    known = ends.join(wants, groups) if groups else ends.withColumn("total", sizes.scalar())
-    here = lambda r: F.max(F.when((r >= F.col("end") - F.col("n")) & (r < F.col("end")), F.col("v")))
-    picked = known.groupBy(*groups).agg(F.max("total").alias("total"), *[
-        here(rank(p, up)).alias(f"{name}_{up}") for name, p in probs.items() for up in (False, True)])
+    sides = [(name, p, up) for name, p in probs.items() for up in (False, True)]
+    for width in (band, 20 * band, None):
+        ends = running_totals(_cells(rows, list(probs.values()), groups, width, sketch), "v", {"end": "n"}, descending=False, groups=groups)
+        whole = ends.groupBy(*groups).agg(F.sum("n").alias("total"))
+        known = ends.join(whole, groups) if groups else ends.withColumn("total", whole.scalar())
+        here = lambda r: F.max(F.when((r >= F.col("end") - F.col("n")) & (r < F.col("end")), F.col("exact")))
+        picked = written(known.groupBy(*groups).agg(F.max("total").alias("total"), *[
+            here(rank(p, up)).alias(f"{name}_{up}") for name, p, up in sides]), "quantiles")
+        missed = reduce(Column.__or__, [F.col(f"{name}_{up}").isNull() for name, _, up in sides])
+        if picked.filter(F.col("total").isNotNull() & missed).isEmpty():
+            break
 
     def between(name: str, p: float) -> Column:
         at = (F.col("total") - 1) * F.lit(float(p))
@@ -88,34 +101,3 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float],
         return (lo + (hi - lo) * (at - F.floor(at))).alias(name)
 
     return picked.select(*groups, *[between(n, p) for n, p in probs.items()])
-
-
-def running_totals(df: DataFrame, order: str, sums: dict[str, str], descending: bool = True,
-                   groups: list[str] | None = None, bins: int = BINS) -> DataFrame:
-    """Cumulative sums over a numeric order within groups, without a one-task sort.
-
-    ``df`` holds one row per (group, order) value. Rows are cut into bins of about equal number by the order
-    column; the running total is the total of earlier bins plus the running total inside the bin.
-    """
-    groups = groups or []
-    o = F.col(order).cast("double")
-    if groups:
-        span = df.groupBy(*groups).agg(_cuts(o, bins).alias("_cuts"))
-        ranged = df.join(span, groups)
-    else:
-        ranged = df.withColumn("_cuts", df.agg(_cuts(o, bins)).scalar())
-    binned = ranged.withColumn("_bin", _bin(o, F.col("_cuts"), bins)).drop("_cuts")
-    totals = binned.groupBy(*groups, "_bin").agg(*[F.sum(c).alias(f"_t_{out}") for out, c in sums.items()])
-    bin_order = F.col("_bin").desc() if descending else F.col("_bin").asc()
-    row_order = F.col(order).desc() if descending else F.col(order).asc()
-    # At most ``bins`` rows per group here.
-    before = (W.partitionBy(*groups) if groups else W.partitionBy(F.lit(0))).orderBy(bin_order) \
-        .rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(*groups, "_bin", *[
-        F.coalesce(F.sum(f"_t_{out}").over(before), F.lit(0)).alias(f"_b_{out}") for out in sums])
-    inside = W.partitionBy(*groups, "_bin").orderBy(row_order).rowsBetween(W.unboundedPreceding, 0)
-    local = binned.withColumns({f"_l_{out}": F.sum(c).over(inside) for out, c in sums.items()})
-    joined = local.join(offsets, [*groups, "_bin"])
-    full = joined.withColumns({out: F.col(f"_l_{out}") + F.col(f"_b_{out}") for out in sums})
-    scratch = reduce(lambda acc, out: acc + [f"_l_{out}", f"_b_{out}"], sums, ["_bin"])
-    return full.drop(*scratch)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from zonetide import settings as S
 from zonetide.functions.clock import hour_floor
 from zonetide.functions.numeric import round_even
-from zonetide.operators.quantiles import exact_quantiles
+from zonetide.operators.quantiles import counted_quantiles, exact_quantiles
 
 ZONE_KEYS = ("zone_id", "zone_name", "region", "zone_type")
 
@@ -77,9 +77,9 @@ def carpark_rollup(carparks: DataFrame, zones: DataFrame, extra_keys: tuple[str,
     return zero_filled(zones.select("zone_id", "zone_name"), cars, ["zone_id"], fill)
 
 
-def relative_to_median(df: DataFrame, value: str, out: str, floor: float = 1.0, domain: str = "wide") -> DataFrame:
+def relative_to_median(df: DataFrame, value: str, out: str, floor: float = 1.0, quantiles=exact_quantiles) -> DataFrame:
     """value / max(median over all rows, floor), four decimals."""
-    mid = exact_quantiles(df, value, {"mid": 0.5}, domain=domain).select("mid").scalar()
+    mid = quantiles(df, value, {"mid": 0.5}).select("mid").scalar()
     base = F.greatest(mid, F.lit(float(floor)))
     return df.withColumn(out, round_even(F.col(value).cast("double") / base))
 
@@ -88,7 +88,7 @@ def congestion_rollup(segments: DataFrame, zones: DataFrame) -> DataFrame:
     """Travel time per zone relative to the global median; zones without roads are neutral.
 
     Times are whole minutes, so their median needs few distinct values."""
-    per_zone = (relative_to_median(segments, "est_time", "ratio", domain="narrow").groupBy("zone_id")
+    per_zone = (relative_to_median(segments, "est_time", "ratio", quantiles=counted_quantiles).groupBy("zone_id")
                 .agg(round_even(F.avg("est_time")).alias("avg_est_time_min"),
                      round_even(F.avg("ratio")).alias("congestion_ratio")))
     return zero_filled(zones.select("zone_id", "zone_name"), per_zone, ["zone_id"],

@@ -1,19 +1,28 @@
 """Nearest-zone assignment.
 
-Planar distance on degrees, ties to the lower zone id. Pings are never paired with all zones
-as rows: a small zone table becomes one generated expression per ping, a large one is looked
-up through grid cells.
+Planar distance on degrees, ties to the lower zone id. The zones are filed in an index of quadtree cells: a cell lists the
+zones that are the nearest one for some spot inside it. A cell with more than a few candidates is cut into sixteen, so cells are
+small only where zones are dense. A point finds its cell by an equality join and compares the few candidates there;
+points are never paired with all zones, whatever their number.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from zonetide import settings as S
+from zonetide.session import written
 
-INLINE_ZONES = 128
-GRID_LEVELS = 12
+#: Candidates up to which a cell stays whole. Around a corner of several zones' areas, cells of any size have as many.
+LEAF = 16
+#: Cuts of the whole box at most; each divides both sides by four.
+DEPTH = 12
+#: Cuts down to the cells that tell a point which depths to look at: at most 4 ** (2 * COARSE) of them.
+COARSE = 3
 
 
 def in_box(df: DataFrame, lat: str = "lat", lon: str = "lon",
@@ -27,78 +36,95 @@ def _gap2(lat: str, lon: str, zlat: Column, zlon: Column) -> Column:
     return dy * dy + dx * dx
 
 
-def _inline(points: DataFrame, rows: list, attributes: list[str], types: dict, lat: str, lon: str) -> DataFrame:
-    """Distances to a handful of zones as plain generated arithmetic."""
-    names = [f"_d{i}" for i in range(len(rows))]
-    gaps = points.withColumns({n: _gap2(lat, lon, F.lit(float(r["_zlat"])), F.lit(float(r["_zlon"])))
-                               for n, r in zip(names, rows)})
-    best = F.least(*names) if len(names) > 1 else F.col(names[0])
-    at = None
-    for i, n in enumerate(names, start=1):
-        at = F.when(F.col(n) == F.col("_best"), i) if at is None else at.when(F.col(n) == F.col("_best"), i)
-    placed = gaps.withColumn("_best", best).withColumn("_at", F.when(~F.isnan("_best"), at))
-    looked_up = {a: F.get(F.array(*[F.lit(r[a]).cast(types[a]) for r in rows]), F.col("_at") - 1)
-                 for a in attributes}
-    return placed.withColumns(looked_up).drop(*names, "_best", "_at")
-
-
-def _by_grid(points: DataFrame, zones: DataFrame, attributes: list[str], lat: str, lon: str,
-             levels: int) -> DataFrame:
-    """Exact search on grids that double in cell size.
-
-    A zone is filed under the nine cells around it, so a point meets every zone within one
-    cell width by looking at its own cell only. A hit no further than the width is final;
-    the others move to the next, coarser grid. Points stay one row each throughout.
+def _known(lat: str, lon: str) -> Column:
+    """Both coordinates are there and finite."""
+    finite = lambda c: F.abs(F.col(c).cast("double")) < F.lit(float("inf"))  # noqa: E731  (NaN is above all)
+    return F.coalesce(finite(lat) & finite(lon), F.lit(False))
+
+
+def _cut(cells: DataFrame, depth: int, box: Column) -> DataFrame:
+    """Each cell's candidates for its sixteen children.
+
+    A zone stays if it is no further than the child's first choice, the zone nearest to its centre, from some corner of the child:
+    where the first choice is nearer is a half plane, and a half plane that holds all corners holds the child.
+    """
+    kids = (cells.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(15)))).withColumns({
+        "cy": F.col("cy") * 4 + F.floor(F.col("_k") / 4), "cx": F.col("cx") * 4 + F.col("_k") % 4, "_box": box})
+        .withColumn("_s", F.col("_box.side") / F.lit(4.0 ** depth))
+        .withColumns({"_y": F.col("_box.y") + F.col("cy") * F.col("_s"), "_x": F.col("_box.x") + F.col("cx") * F.col("_s")}))
+    half = F.col("_s") / 2
+    me = F.struct(_gap2("_y", "_x", F.col("_zlat") - half, F.col("_zlon") - half).alias("d2"), "_zlat", "_zlon")
+    first = kids.withColumn("_first", F.min(me).over(W.partitionBy("cy", "cx")))
+    # A hair of slack keeps rounding from losing a tie or a point at the cell's edge.
+    edges = [(F.col("_s") * F.lit(y), F.col("_s") * F.lit(x)) for y in (-1e-6, 1.000001) for x in (-1e-6, 1.000001)]
+    near = reduce(Column.__or__, [
+        _gap2("_y", "_x", F.col("_zlat") - y, F.col("_zlon") - x)
+        <= _gap2("_y", "_x", F.col("_first._zlat") - y, F.col("_first._zlon") - x) * F.lit(1.000000001) for y, x in edges])
+    return first.filter(near).select("cy", "cx", "_zlat", "_zlon", "z")
+
+
+def cell_index(zones: DataFrame, box: DataFrame, leaf: int = LEAF) -> DataFrame:
+    """(depth, cy, cx, near): the cells and their candidate zones as structs of _zlat, _zlon, z.
+
+    ``zones``: _zlat, _zlon and the zone ``z``, one row a spot. ``box``: one row (y, x, side). More than ``leaf`` candidates
+    are left only where that many zones are equally near to one spot, or closer together than the smallest cell.
     """
-    here = zones.agg(F.min("_zlat").alias("a"), F.max("_zlat").alias("b"), F.min("_zlon").alias("c"),
-                     F.max("_zlon").alias("d"), F.count(F.lit(1)).alias("n")).first()
-    extent = max(here["b"] - here["a"], here["d"] - here["c"], 1e-9)
-    width = extent / (4.0 * max(here["n"], 1) ** 0.5)
-    fields = [F.col(a) for a in attributes]
-    unique = (zones.groupBy("_zlat", "_zlon").agg(F.min(F.struct(*fields)).alias("z"))
-              .select("_zlat", "_zlon", "z"))
-    steps = F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y in (-1, 0, 1) for x in (-1, 0, 1)])
-    left, done = points, None
-    for step in range(levels):
-        g = width * 2.0 ** step
-        filed = (unique.withColumn("s", F.explode(steps))
-                 .select((F.floor(F.col("_zlat") / g) + F.col("s.y")).alias("_cy"),
-                         (F.floor(F.col("_zlon") / g) + F.col("s.x")).alias("_cx"),
-                         F.struct("_zlat", "_zlon", "z").alias("e"))
-                 .groupBy("_cy", "_cx").agg(F.collect_list("e").alias("_near")))
-        met = (left.withColumns({"_cy": F.floor(F.col(lat) / g), "_cx": F.floor(F.col(lon) / g)})
-               .join(filed, ["_cy", "_cx"], "left")
-               .withColumn("_hit", F.array_min(F.transform(
-                   "_near", lambda e: F.struct(_gap2(lat, lon, e["_zlat"], e["_zlon"]).alias("d2"),
-                                               e["z"].alias("z"))))))
-        sure = F.coalesce(F.col("_hit.d2") <= g * g, F.lit(False))
-        final = met.filter(sure).select(*points.columns, *[F.col(f"_hit.z.{a}").alias(a) for a in attributes])
-        done = final if done is None else done.unionByName(final)
-        left = met.filter(~sure).select(*points.columns)
-    # Whatever is further out than the widest grid is compared with every zone, folded per row.
-    everything = unique.agg(F.collect_list(F.struct("_zlat", "_zlon", "z"))).scalar()
-    known = F.col(lat).isNotNull() & F.col(lon).isNotNull() & ~F.isnan(lat) & ~F.isnan(lon)
-    rest = left.withColumn("_all", F.when(known, everything)).withColumn("_hit", F.array_min(F.transform(
-        "_all", lambda e: F.struct(_gap2(lat, lon, e["_zlat"], e["_zlon"]).alias("d2"), e["z"].alias("z")))))
-    return done.unionByName(rest.select(*points.columns, *[F.col(f"_hit.z.{a}").alias(a) for a in attributes]))
+    spot = box.select(F.struct("y", "x", "side")).scalar()
+    zero = F.lit(0).cast("long")
+    here = written(zones.select(zero.alias("cy"), zero.alias("cx"), "_zlat", "_zlon", "z"), "cells")
+    done = []
+    for depth in range(DEPTH + 1):
+        gathered = here.groupBy("cy", "cx").agg(F.count(F.lit(1)).alias("n"))
+        full = gathered.filter(F.col("n") > leaf).select("cy", "cx")
+        last = depth == DEPTH or full.isEmpty()
+        whole = here if last else here.join(full, ["cy", "cx"], "left_anti")
+        done.append(whole.groupBy("cy", "cx").agg(F.collect_list(F.struct("_zlat", "_zlon", "z")).alias("near"))
+                    .select(F.lit(depth).alias("depth"), "cy", "cx", "near"))
+        if last:
+            break
+        here = written(_cut(here.join(full, ["cy", "cx"], "left_semi"), depth + 1, spot), "cells")
+    return written(reduce(DataFrame.unionByName, done), "index")
+
+
+def _at_depth(place: Column, depth: Column | int) -> Column:
+    """A place counted in smallest cells, as one of ``depth``."""
+    return F.floor(place / F.pow(F.lit(4.0), F.lit(DEPTH) - depth)).cast("long")
 
 
 def nearest_zone(points: DataFrame, zones: DataFrame, lat: str = "lat", lon: str = "lon",
-                 attributes: list[str] | None = None, inline_limit: int = INLINE_ZONES,
-                 levels: int = GRID_LEVELS) -> DataFrame:
+                 attributes: list[str] | None = None, leaf: int = LEAF) -> DataFrame:
     """Add the nearest zone's attributes (``zone_id`` first) to every point.
 
-    The zone table's size is checked first: up to ``inline_limit`` rows are inlined into the
-    plan, more go through the grid. Rows without coordinates (null or NaN) get no zone.
+    Rows without finite coordinates get no zone; zones without are ignored. The points are read once for their box and
+    once for the join; whether they are shuffled is up to the measured size of the index.
     """
     attributes = attributes or [c for c in ("zone_id", "zone_name", "region", "zone_type") if c in zones.columns]
-    slim = zones.select(F.col("lat").cast("double").alias("_zlat"), F.col("lon").cast("double").alias("_zlon"),
-                        *attributes)
-    head = slim.limit(inline_limit + 1).collect()
-    if len(head) > inline_limit:
-        return _by_grid(points, slim, attributes, lat, lon, levels)
-    types = dict(slim.dtypes)
-    return _inline(points, sorted(head, key=lambda r: r[attributes[0]]), attributes, types, lat, lon)
+    spots = (zones.filter(_known("lat", "lon")).groupBy(F.col("lat").cast("double").alias("_zlat"), F.col("lon").cast("double").alias("_zlon"))
+             .agg(F.min(F.struct(*attributes)).alias("z")))
+    y, x = F.col(lat).cast("double"), F.col(lon).cast("double")
+    known = _known(lat, lon)
+    box = written(points.filter(known).agg(F.min(y).alias("y"), F.min(x).alias("x"), F.greatest(
+        F.max(y) - F.min(y), F.max(x) - F.min(x), F.lit(1e-9)).alias("side")), "box")
+    index = cell_index(spots, box, leaf)
+    # Which depths occur below each coarse cell: cells above are spread over the coarse ones they hold, cells below lie in one.
+    span = F.pow(F.lit(4.0), F.greatest(F.lit(COARSE) - F.col("depth"), F.lit(0))).cast("long")
+    up = F.pow(F.lit(4.0), F.greatest(F.col("depth") - F.lit(COARSE), F.lit(0)))
+    spread = lambda c: F.explode(F.sequence(F.floor(F.col(c) / up) * span, F.floor(F.col(c) / up) * span + span - 1))
+    depths = (index.select("depth", "cy", "cx").withColumn("_gy", spread("cy")).withColumn("_gx", spread("cx"))
+              .groupBy("_gy", "_gx").agg(F.collect_set("depth").alias("_depths")))
+    placed = points.withColumn("_box", box.select(F.struct("y", "x", "side")).scalar())
+    most = F.lit(4 ** DEPTH - 1).cast("double")
+    smallest = lambda v, edge: F.when(known, F.least(F.floor((v - F.col(f"_box.{edge}")) / F.col("_box.side") * F.lit(4.0 ** DEPTH)), most))
+    placed = placed.withColumns({"_py": smallest(y, "y"), "_px": smallest(x, "x")})
+    placed = placed.withColumns({"_gy": _at_depth(F.col("_py"), COARSE), "_gx": _at_depth(F.col("_px"), COARSE)})
+    asked = placed.join(depths, ["_gy", "_gx"], "left").withColumn("_depth", F.explode_outer("_depths"))
+    asked = asked.withColumns({"_cy": _at_depth(F.col("_py"), F.col("_depth")), "_cx": _at_depth(F.col("_px"), F.col("_depth"))})
+    # A point is in exactly one cell; of the depths below its coarse cell the others find nothing.
+    cells = index.toDF("_depth", "_cy", "_cx", "_near")
+    met = asked.join(cells, ["_depth", "_cy", "_cx"], "left").filter(F.col("_near").isNotNull() | F.col("_depth").isNull())
+    hit = F.array_min(F.transform("_near", lambda e: F.struct(_gap2(lat, lon, e["_zlat"], e["_zlon"]).alias("d2"), e["z"].alias("z"))))
+    found = met.withColumn("_hit", hit)
+    return found.select(*[F.col(c) for c in points.columns], *[F.col(f"_hit.z.{a}").alias(a) for a in attributes])
 
 
 def segments_to_zones(segments: DataFrame, places: DataFrame, zones: DataFrame, **kw) -> DataFrame:

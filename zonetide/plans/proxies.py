@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from zonetide.functions.numeric import clip, round_even
 from zonetide.operators import features as FT
 from zonetide.operators import scoring as SC
-from zonetide.operators.quantiles import exact_quantiles
+from zonetide.operators.quantiles import counted_quantiles
 from zonetide.operators.rollup import every_zone_hour
 from zonetide.session import use_utc
 from zonetide.sources.readers import table
@@ -78,7 +78,7 @@ def zone_hours(spark: SparkSession, folder: str, congestion: bool = False) -> Da
     filled = every_zone_hour(zone_dimension(spark), rolled, span, {"taxi_count": 0, "rainfall_mm": 0.0, "carpark_available_lots": 0})
     out = filled.withColumns({"is_raining": F.col("rainfall_mm") > 0.1, "train_disruption_flag": F.lit(0)})
     if congestion:
-        mid = exact_quantiles(e, "value", {"mid": 0.5}, domain="narrow").select("mid").scalar()
+        mid = counted_quantiles(e, "value", {"mid": 0.5}).select("mid").scalar()
         out = out.withColumn("congestion_ratio", F.coalesce(round_even(F.col("_mean_value") / mid), F.lit(1.0)))
     return out.drop("_mean_value")
 

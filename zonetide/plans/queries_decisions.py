@@ -33,7 +33,7 @@ def persistence_counter(spark, folder):
 
 @query("W-12", Q.with_(*Q.TO_SCORED, _RUN_SQL) + "SELECT zone_id, timestamp, persistence_count FROM counted")
 def persistence_counter_long_series(spark, folder):
-    return D.persistence_counts(P.scored(spark, folder), _over(), period="day").select(*KEY, "persistence_count")
+    return D.persistence_counts(P.scored(spark, folder), _over(), range_rows=500).select(*KEY, "persistence_count")
 
 
 @query("W-12", Q.with_(*Q.TO_SCORED, _RUN_SQL) + """SELECT zone_id, timestamp, CAST(persistence_count + CASE WHEN island = 0 THEN zone_id * 10 ELSE 0 END AS INTEGER) AS persistence_count FROM counted""")

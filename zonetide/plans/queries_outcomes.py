@@ -14,7 +14,9 @@ from zonetide.operators import scoring as SC
 from zonetide.plans import proxies as P
 from zonetide.plans import sql as Q
 from zonetide.plans.catalogue import query
-from zonetide.session import use_utc
+from zonetide.session import scratch_path, use_utc
+from zonetide.sources import readers as R
+from zonetide.sources import writers as WR
 from zonetide.sources.readers import table
 
 _DEC = "DECIMAL(18,6)"
@@ -158,8 +160,7 @@ def issued_records(spark, folder):
         (F.col("o_orderkey") % 40).cast("int").alias("supply_at_time"), (F.col("o_orderdate").cast("timestamp") + F.make_interval(mins=F.lit(30))).alias("check_after"))
 
 
-_NOW_SCORES = """cur AS (SELECT l_partkey AS zone_id, arg_max({'s': l_discount * 10, 'q': l_quantity}, {'d': l_shipdate, 'k': l_orderkey, 'n': l_linenumber}) AS c FROM lineitem
-  WHERE l_shipdate <= TIMESTAMP '1999-01-01' GROUP BY 1)"""
+_NOW_SCORES = """cur AS (SELECT l_partkey AS zone_id, arg_max({'s': l_discount * 10, 'q': l_quantity}, {'d': l_shipdate, 'k': l_orderkey, 'n': l_linenumber}) AS c FROM lineitem GROUP BY 1)"""
 
 
 @query("J-12 M-26", Q.with_(_NOW_SCORES) + f"""SELECT recommendation_id, zone_id, {Q.OUTCOME} AS outcome, score_after, supply_after_30m, supply_delta_30m FROM (
@@ -168,7 +169,7 @@ _NOW_SCORES = """cur AS (SELECT l_partkey AS zone_id, arg_max({'s': l_discount *
   WHERE o_orderdate + INTERVAL 30 MINUTE <= TIMESTAMP '1999-01-01')""")
 def resolve_outcomes(spark, folder):
     at = F.lit("1999-01-01").cast("timestamp")
-    li = table(spark, folder, "lineitem").filter(F.col("l_shipdate") <= F.lit("1999-01-01").cast("timestamp_ntz"))
+    li = table(spark, folder, "lineitem")
     current = li.select(F.col("l_partkey").alias("zone_id"), round_even(F.col("l_discount") * 10).alias("delay_risk_score"),
                         F.col("l_quantity").alias("taxi_count"), F.struct("l_shipdate", "l_orderkey", "l_linenumber").alias("timestamp"))
     return O.resolve(issued_records(spark, folder), current, at).select(
@@ -226,17 +227,20 @@ def psi_features(spark, folder):
     return rep.withColumns(two).select("feature", "psi", "drift_level", "drift_flag", *two, "alert_id")
 
 
-_DAY_SCORES = """ds AS (SELECT CAST(value / 500.0::DOUBLE AS DOUBLE) AS v, ts >= TIMESTAMP '2024-01-16' AND value > 40 AS cur, ts < TIMESTAMP '2024-01-16' AS ref FROM events)"""
+_SHIFTED = f"""tall AS (SELECT 'delay_risk_score' AS feature, l_discount * 10 AS v, false AS cur FROM lineitem UNION ALL SELECT 'delay_risk_score', l_tax * 10, true FROM lineitem),
+{_PSI_SQL[_PSI_SQL.index("span AS"):]}"""
 
 
-@query("A-23 S-15", Q.with_(_DAY_SCORES) + """SELECT 'DRIFT_ALERT' AS alert_id, 'high' AS severity FROM (SELECT count(*) FILTER (WHERE cur) AS n FROM ds) WHERE n > 0""")
+@query("A-23 S-15", Q.with_(_SHIFTED) + f"""SELECT CASE WHEN psi > 0.25 THEN 'DRIFT_ALERT' ELSE 'DRIFT_WARNING' END AS alert_id, CASE WHEN psi > 0.25 THEN 'high' ELSE 'medium' END AS severity,
+  CASE WHEN psi > 0.25 THEN 'Prediction drift detected — PSI=' || printf('%.3f', {Q.r('psi')}) ELSE 'Moderate drift detected — PSI=' || printf('%.3f', {Q.r('psi')}) || ', level=warning' END AS message FROM psi WHERE psi > 0.10""")
 def drift_alert_rows(spark, folder):
-    """A clearly shifted second half raises the alert."""
-    e = P.events(spark, folder)
-    mid = F.lit("2024-01-16").cast("timestamp")
-    ref = e.filter(F.col("ts") < mid).select((F.col("value") / 500.0).alias("delay_risk_score"))
-    cur = e.filter((F.col("ts") >= mid) & (F.col("value") > 40)).select((F.col("value") / 500.0).alias("delay_risk_score"))
-    return DR.drift_alerts(DR.score_drift(ref, cur), None, P.now()).select("alert_id", "severity")
+    """All discounts as the reference and all taxes as the current scores: what alert their distance raises, logged and read back."""
+    at = scratch_path(spark, "alerts")
+    li = table(use_utc(spark), folder, "lineitem")
+    scores = lambda c: li.select((F.col(c) * F.lit(10)).alias("delay_risk_score"))
+    alerts = DR.drift_alerts(DR.score_drift(scores("l_discount"), scores("l_tax")), None, P.now())
+    WR.append_log(alerts, at, now=P.now())
+    return R.read_json_lines(spark, at, "alert_id string, severity string, message string, logged_at string").select("alert_id", "severity", "message")
 
 
 @query("A-25", " UNION ALL ".join(f"""SELECT '{c}' AS feature, {Q.r(f'avg({c})', 2)} AS mean_value, {Q.r(f'stddev_samp({c})', 2)} AS std_value, CAST(count({c}) AS BIGINT) AS n FROM lineitem""" for c in _DRIFTED))

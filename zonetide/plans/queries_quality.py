@@ -146,8 +146,8 @@ def correlation_matrix(spark, folder):
 @query("A-38", Q.with_(Q.LABELLED) + f"""SELECT feature, {Q.r('sum(n / nt * ln(n * nt / (nx * ny)))')} AS mutual_information FROM (
   SELECT *, CAST(sum(n) OVER (PARTITION BY feature, bin) AS DOUBLE) AS nx, CAST(sum(n) OVER (PARTITION BY feature, y) AS DOUBLE) AS ny,
     CAST(sum(n) OVER (PARTITION BY feature) AS DOUBLE) AS nt
-  FROM (SELECT feature, y, CAST(least(floor((v - lo) / ((hi - lo) / 10.0::DOUBLE)), 9) AS INTEGER) AS bin, CAST(count(*) AS DOUBLE) AS n
-    FROM (SELECT *, min(v) OVER (PARTITION BY feature) AS lo, max(v) OVER (PARTITION BY feature) AS hi
+  FROM (SELECT feature, y, len(list_filter(cuts, lambda c: v > c)) AS bin, CAST(count(*) AS DOUBLE) AS n
+    FROM (SELECT *, quantile_cont(v, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) OVER (PARTITION BY feature) AS cuts
       FROM (SELECT 'n_chars' AS feature, y, CAST(n_chars AS DOUBLE) AS v FROM lab UNION ALL SELECT 'toxic', y, CAST(toxic AS DOUBLE) FROM lab)) GROUP BY 1, 2, 3))
   GROUP BY feature""")
 def mutual_information(spark, folder):

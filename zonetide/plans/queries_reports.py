@@ -16,7 +16,8 @@ from zonetide.plans import proxies as P
 from zonetide.plans import sql as Q
 from zonetide.plans.catalogue import query
 from zonetide.plans.queries_decisions import _TO_CARDS, card_rows
-from zonetide.session import use_utc
+from zonetide.session import scratch_path, use_utc, written
+from zonetide.sources import writers as WR
 from zonetide.sources.payloads import from_text
 from zonetide.sources.readers import table
 from zonetide.sources.writers import json_text
@@ -85,11 +86,14 @@ def zone_detail(spark, folder):
     return RP.zone_detail(_now_rows(spark, folder), card_rows(spark, folder), 3, "timestamp").select("zone_id", "delay_risk_score", "recommendation")
 
 
-@query("S-17", Q.with_(*Q.TO_SCORED, _LATEST) + """SELECT zone_id, zone_name, region, risk_level, printf('%.4f', delay_risk_score) AS delay_risk_score, taxi_count AS current_supply,
-  explanation_tag, '' AS recommendation FROM now_rows""")
+@query("S-17", Q.with_(*Q.TO_SCORED, _LATEST) + """SELECT zone_id, zone_name, region, risk_level, printf('%.4f', delay_risk_score) AS delay_risk_score, CAST(taxi_count AS VARCHAR) AS current_supply,
+  printf('%.4f', supply_vs_yesterday) AS supply_vs_yesterday, printf('%.4f', depletion_rate_1h) AS depletion_rate_1h, explanation_tag, 'say "wait", then go' AS recommendation FROM now_rows""")
 def export_view(spark, folder):
-    rows = _now_rows(spark, folder).withColumns({"current_supply": F.col("taxi_count"), "recommendation": F.lit(None).cast("string")})
-    return RP.export_view(rows).drop("supply_vs_yesterday", "depletion_rate_1h")
+    rows = _now_rows(spark, folder).withColumns({"current_supply": F.col("taxi_count"), "recommendation": F.lit('say "wait", then go')})
+    at = scratch_path(spark, "view")
+    WR.write_csv(RP.export_view(rows), at, quote_all=True)
+    back = spark.read.option("header", True).option("escape", '"').csv(at)
+    return back.withColumn("zone_id", F.col("zone_id").cast("long"))
 
 
 def history(spark, folder):
@@ -229,6 +233,23 @@ def version_lineage(spark, folder):
     return V.lineage(V.current_versions(P.version_events(spark, folder))).select("version_id", "status", "trained_at", "precision", "f1")
 
 
+@query("G-01", Q.with_(Q.VERSIONS) + """, new AS (SELECT 'v999912' AS version_id), steps(step) AS (VALUES (1), (2), (3))
+SELECT step, version_id, CASE WHEN status = 'active' AND step = 2 THEN 'previous' ELSE status END AS status FROM ver, steps
+UNION ALL SELECT step, version_id, CASE step WHEN 1 THEN 'candidate' WHEN 2 THEN 'active' ELSE 'rolled_back' END FROM new, steps""")
+def version_transitions(spark, folder):
+    """A new version is registered, promoted and rolled back: every version's status after each step."""
+    events, out = P.version_events(spark, folder), None
+    at = lambda day: F.lit(f"2031-01-0{day} 00:00:00").cast("timestamp")
+    for step in (1, 2, 3):
+        now = V.current_versions(events)
+        more = (V.register_event(spark, "v999912", "2031-01-01 00:00:00", {"f1": 0.9}) if step == 1 else
+                V.promote_events(now, "v999912", at(2)) if step == 2 else V.rollback_events(now, at(3)))
+        events = written(events.unionByName(more), "versions")
+        here = V.current_versions(events).select(F.lit(step).alias("step"), "version_id", "status")
+        out = here if out is None else out.unionByName(here)
+    return out
+
+
 @query("G-03 M-31", Q.with_(Q.VERSIONS) + "SELECT version_id, status FROM judged WHERE removable")
 def version_prunable(spark, folder):
     return V.prunable(V.current_versions(P.version_events(spark, folder)))

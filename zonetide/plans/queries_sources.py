@@ -6,16 +6,19 @@ from pyspark.sql import functions as F
 
 from zonetide import settings as S
 from zonetide.learning.splits import time_split
+from zonetide.operators import scoring as SC
 from zonetide.operators.enrich import zone_types
+from zonetide.operators.quality import REASON
 from zonetide.plans import proxies as P
 from zonetide.plans import sql as Q
 from zonetide.plans.catalogue import query
 from zonetide.plans.queries_features import SNAP, snapshots
-from zonetide.session import scratch_path, use_utc
+from zonetide.session import scratch_path, use_utc, written
 from zonetide.sources import payloads as PL
 from zonetide.sources import readers as R
 from zonetide.sources import schemas as SCH
 from zonetide.sources import writers as WR
+from zonetide.sources.folders import Folder
 
 _SOME_NAMES = ("Orchard", "Changi", "Tuas", "Bedok", "Bishan")
 
@@ -27,6 +30,18 @@ def zone_types_by_name(spark, folder):
     return zone_types(n.select(F.col("n_nationkey").alias("zone_id"), name.alias("zone_name"))).select("zone_id", "zone_type")
 
 
+@query("S-01", """SELECT n_nationkey AS zone_id, CASE n_nationkey % 5 WHEN 0 THEN 'CBD' WHEN 1 THEN 'transport_hub' WHEN 2 THEN 'industrial' WHEN 4 THEN 'transport_hub' ELSE 'mixed' END AS zone_type,
+  n_nationkey / 10.0::DOUBLE AS lat, CASE WHEN n_regionkey > 0 THEN CAST(n_regionkey AS DOUBLE) END AS lon FROM nation""")
+def zone_file_scan(spark, folder):
+    """Nations written as a zone CSV without types, some without a longitude that can be read."""
+    at = scratch_path(spark, "zones")
+    name = F.get(F.array(*[F.lit(x) for x in _SOME_NAMES]), F.col("n_nationkey") % 5)
+    lon = F.when(F.col("n_regionkey") > 0, F.col("n_regionkey").cast("string")).otherwise("east")
+    WR.write_csv(R.table(use_utc(spark), folder, "nation").select(
+        F.col("n_nationkey").alias("zone_id"), name.alias("zone_name"), (F.col("n_nationkey") / 10.0).alias("lat"), lon.alias("lon")), at)
+    return R.read_zones(spark, at).select(F.col("zone_id").cast("long").alias("zone_id"), "zone_type", "lat", "lon")
+
+
 @query("S-02 P-01", """SELECT CAST(count(*) AS BIGINT) AS pings, min(ts) AS first_ping FROM events WHERE 1.0::DOUBLE + value / 1000.0::DOUBLE BETWEEN 1.15::DOUBLE AND 1.48::DOUBLE
   AND 103.0::DOUBLE + (user_id % 20) / 10.0::DOUBLE BETWEEN 103.60::DOUBLE AND 104.10::DOUBLE""")
 def ping_file_scan(spark, folder):
@@ -56,7 +71,51 @@ def file_name_times(spark, folder):
     return o.select("o_orderkey", R.file_time(name).alias("snap_ts"))
 
 
-@query("S-06 S-15", "SELECT event_id AS run, value AS psi FROM events WHERE event_type <> 'error'")
+@query("S-05 J-06", Q.with_("z AS (SELECT user_id % 5 + 1 AS zone_id, date_trunc('day', ts) + INTERVAL 3 HOUR AS t, CAST(count(*) AS INTEGER) AS lots FROM events GROUP BY 1, 2)")
+       + "SELECT zone_id, t AS snap_ts, lots FROM z")
+def timed_file_scan(spark, folder):
+    """One file a day, named by its local time; a file with another name is passed over."""
+    at = scratch_path(spark, "timed")
+    e = P.events(spark, folder)
+    moment = F.date_trunc("day", "ts") + F.expr("INTERVAL 3 HOURS")
+    WR.write_timed_files(e.groupBy("zone_id", moment.alias("snap_ts")).agg(F.count(F.lit(1)).alias("lots")), at)
+    Folder(spark, at).put_text("notes.csv", "zone_id,lots\n1,1\n")
+    return R.read_timed_files(spark, at, schema="zone_id long, lots int").select("zone_id", "snap_ts", "lots")
+
+
+@query("S-15 S-06", Q.with_(Q.RUNS) + """SELECT run_id, rows_scored, drift_flag, n AS part FROM runs, (VALUES (1), (2)) t(n) WHERE (hour(timestamp) % 2 = 0) = (n = 1)""")
+def run_log_append(spark, folder):
+    """The run log in two appends, stamped, read back whole."""
+    at = scratch_path(spark, "runs")
+    runs = P.runs(spark, folder)
+    even = F.hour("timestamp") % 2 == 0
+    for part, rows in ((1, runs.filter(even)), (2, runs.filter(~even))):
+        WR.append_log(rows.select("run_id", "rows_scored", "drift_flag", F.lit(part).alias("part")), at, now=P.now())
+    log = R.read_json_lines(spark, at, "run_id string, rows_scored long, drift_flag boolean, part int, logged_at string")
+    return log.filter("logged_at IS NOT NULL").select("run_id", "rows_scored", "drift_flag", "part")
+
+
+@query("S-14 P-02 P-05", Q.with_(*Q.TO_SCORED) + """SELECT 'prediction' AS sink, zone_id, timestamp, delay_risk_score AS score FROM scored
+  UNION ALL SELECT 'flagged', zone_id, timestamp, delay_risk_score FROM scored WHERE delay_risk_score >= 0.4
+  UNION ALL SELECT 'failed', zone_id, timestamp, NULL FROM scored WHERE taxi_count > 8""")
+def run_sinks(spark, folder):
+    """Predictions, flagged zones and failed rows of a run, each written by its sink, twice, and read back once."""
+    at = scratch_path(spark, "sinks")
+    scored = written(P.scored(spark, folder), "scored")
+    iso = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp")
+    failed = scored.filter("taxi_count > 8").select("zone_id", iso, F.lit("taxi_count_out_of_range").alias(REASON))
+    for _ in range(2):  # a retried run replaces what it wrote
+        WR.write_predictions(scored, f"{at}/predictions", "r1")
+        WR.write_csv(SC.flagged(scored).select("zone_id", iso, "delay_risk_score"), f"{at}/flagged")
+        WR.write_failed_rows(failed, f"{at}/failed")
+    rows = lambda df, sink, score: df.select(F.lit(sink).alias("sink"), F.col("zone_id").cast("long").alias("zone_id"),
+                                             F.col("timestamp").cast("timestamp").alias("timestamp"), score.cast("double").alias("score"))
+    csv = lambda name: spark.read.option("header", True).csv(f"{at}/{name}")
+    return (rows(R.parquet(spark, f"{at}/predictions"), "prediction", F.col("delay_risk_score")).unionByName(rows(csv("flagged"), "flagged", F.col("delay_risk_score")))
+            .unionByName(rows(csv("failed").filter(F.col(REASON).isNotNull()), "failed", F.lit(None))))
+
+
+@query("S-06", "SELECT event_id AS run, value AS psi FROM events WHERE event_type <> 'error'")
 def tolerant_log_scan(spark, folder):
     """A JSON-lines log in which every error event left a broken line."""
     at = scratch_path(spark, "log")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from zonetide import settings as S
 from zonetide.operators.quality import REASON
+from zonetide.sources.folders import Folder
 
 FAILED_HEADER = ("zone_id", "timestamp", REASON)
 
@@ -27,6 +29,22 @@ def write_csv(df: DataFrame, path: str, quote_all: bool = False) -> None:
      .option("emptyValue", "").csv(path))
 
 
+def write_timed_files(df: DataFrame, path: str, stamp: str = "snap_ts", tz: str = S.LOCAL_TIMEZONE) -> None:
+    """One CSV file a snapshot, named by its local time like 2026-04-17_08-30.csv, as ``readers.read_timed_files`` expects.
+
+    Snapshots are written side by side; the driver only renames the files.
+    """
+    local = F.date_format(F.from_utc_timestamp(stamp, tz), "yyyy-MM-dd_HH-mm")
+    (df.withColumn("_name", local).drop(stamp).repartition("_name").write.mode("overwrite").option("header", True).option("escape", '"')
+     .partitionBy("_name").csv(path))
+    folder = Folder(df.sparkSession, path)
+    for below in folder.names():
+        if below.startswith("_name="):
+            (part,) = [n for n in folder.names(below) if n.startswith("part-")]  # one task wrote the snapshot
+            folder.rename(f"{below}/{part}", below.removeprefix("_name=") + ".csv")
+            folder.drop(below)
+
+
 def write_failed_rows(failed: DataFrame, path: str) -> None:
     """Failed rows; an empty result still leaves a readable table with its three columns."""
     keep = failed
