@@ -299,11 +299,12 @@ def allocate_budget(df: DataFrame, groups: list[str], order: list[str], zone: st
         rows = rows.join(opening.select(*groups, F.col("opening_budget").cast(MONEY).alias("_given")), groups, "left") \
             .withColumn("_open", F.coalesce("_given", full)).drop("_given")
     asked = rows.select(*keys, zone, "_turn", "_open", *choices)
+    near = None if in_run_cooldown else _first_candidates(asked, keys, zone, names, cfg)
     spends = None
     for tier in range(len(names), 0, -1):
         open_names = names[:tier]
         need = costs[open_names[-1]]
-        pool = asked
+        pool = asked if near is None else near.filter(F.col("_tier") == tier)
         if spends is None:
             pool = pool.withColumn("_left", F.col("_open"))
         else:
@@ -314,7 +315,9 @@ def allocate_budget(df: DataFrame, groups: list[str], order: list[str], zone: st
             pool = pool.filter((F.col("_left") < F.lit(costs[names[tier]]).cast(MONEY))
                                & (since.isNull() | (F.col("_turn") > since)))
         pool = pool.filter(F.col("_left") >= F.lit(need).cast(MONEY))
-        found = _spend_events(pool, keys, zone, open_names, spends, in_run_cooldown)
+        if near is None:
+            pool = _spend_events(pool, keys, zone, open_names, spends)
+        found = pool.select(*keys, zone, "_turn", "_took", "_left")
         priced = found.withColumn("_cost", _cost_of("_took", costs))
         first = W.partitionBy(*keys).orderBy("_turn")
         few = priced.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= cfg.most_spends)
@@ -324,7 +327,9 @@ def allocate_budget(df: DataFrame, groups: list[str], order: list[str], zone: st
         spends = bought if spends is None else spends.unionByName(bought)
     # At most most_spends entries per group and tier.
     ledger = spends.groupBy(*keys).agg(F.collect_list(F.struct("_turn", F.col(zone).alias("_zone"), "_took", "_cost")).alias("_ledger"))
-    joined = rows.join(ledger, keys, "left").withColumn(
+    # One budget for all: the ledger is a value, not a join on a key that every row has.
+    met = rows.join(ledger, keys, "left") if groups else rows.withColumn("_ledger", ledger.select("_ledger").scalar())
+    joined = met.withColumn(
         "_mine", F.filter("_ledger", lambda e: e["_turn"] < F.col("_turn")))
     spent = F.aggregate("_mine", F.lit(0).cast("decimal(22,4)"), lambda acc, e: (acc + e["_cost"]).cast("decimal(22,4)"))
     left = F.greatest(F.col("_open").cast("decimal(22,4)") - F.coalesce(spent, F.lit(0).cast("decimal(22,4)")),
@@ -363,12 +368,21 @@ def _take(open_names: list[str], used: Column | None) -> Column:
     return out
 
 
-def _spend_events(pool: DataFrame, keys: list[str], zone: str, open_names: list[str],
-                  spends: DataFrame | None, in_run_cooldown: bool) -> DataFrame:
-    """Rows that would spend in this tier."""
-    if not in_run_cooldown:
-        return (pool.withColumn("_took", F.col(_column_for(open_names))).filter(F.col("_took").isNotNull())
-                .select(*keys, zone, "_turn", "_took", "_left"))
+def _first_candidates(asked: DataFrame, keys: list[str], zone: str, names: list[str], cfg: DecisionSettings) -> DataFrame:
+    """Per group and tier the first rows that would spend: all that the search for spends has to look at, from one read of the rows.
+
+    A row that would spend with fewer incentives allowed would also spend with more. So of a tier's candidates before the last spend
+    of the tiers above it, every one has spent, and ``most_spends`` a tier is enough.
+    """
+    tiers = [F.when(F.col(_column_for(names[:t])).isNotNull(), F.struct(F.lit(t).alias("_tier"), F.col(_column_for(names[:t])).alias("_took")))
+             for t in range(len(names), 0, -1)]
+    listed = asked.select(*keys, zone, "_turn", "_open", F.inline(F.array_compact(F.array(*tiers))))
+    place = F.row_number().over(W.partitionBy(*keys, "_tier").orderBy("_turn"))
+    return written(listed.withColumn("_n", place).filter(F.col("_n") <= len(names) * cfg.most_spends).drop("_n"), "candidates")
+
+
+def _spend_events(pool: DataFrame, keys: list[str], zone: str, open_names: list[str], spends: DataFrame | None) -> DataFrame:
+    """Rows that would spend in this tier, where a zone takes each incentive once in a run."""
     if spends is None:
         state = pool.withColumn("_used", F.array().cast("array<string>"))
     else:

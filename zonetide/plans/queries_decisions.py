@@ -57,8 +57,8 @@ def cooldown_flags(spark, folder):
 
 
 def decision_rows(spark, folder):
-    """Every zone-hour with run length and neighbour surplus."""
-    counted = D.persistence_counts(P.scored(spark, folder), _over())
+    """Every zone-hour with run length and neighbour surplus. Stored in between, because the surplus reads the rows twice."""
+    counted = written(D.persistence_counts(P.scored(spark, folder), _over()), "counted")
     return D.with_neighbor_surplus(counted, P.ring(spark))
 
 

@@ -126,7 +126,7 @@ def late_batches(spark: SparkSession, folder: str, ts: str = "timestamp", wait:
         told = written(kept.agg(F.count(F.lit(1)).alias("rows"), F.count_if("late").alias("late"), F.max(ts).alias("latest")), "batch-counts")
         told_rows = told.select(F.lit(number).cast("long").alias("batch"), mark.alias("watermark"), "rows", "late")
         latest = told.select("latest").unionByName(before).agg(F.max("latest").alias("latest"))
-        run_together(lambda: rows.put(kept, number), lambda: counts.put(told_rows, number), lambda: state.replace(latest, number))
+        run_together(spark, lambda: rows.put(kept, number), lambda: counts.put(told_rows, number), lambda: state.replace(latest, number))
 
     return step
 

@@ -187,7 +187,7 @@ def decide_batches(spark, folder: str, edges: DataFrame, groups: list[str], cfg:
         actions = acted.unionByName(new_actions).groupBy("zone_id", "action").agg(F.max("acted_at").alias("acted_at"))
         # Each a small job of its own; none reads what another writes.
         run_together(
-            lambda: tables["decisions"].put(decided, number), lambda: tables["late"].put(real.filter(late), number),
+            spark, lambda: tables["decisions"].put(decided, number), lambda: tables["late"].put(real.filter(late), number),
             lambda: tables["waiting"].replace(open_.filter("NOT _ready").drop("_ready"), number), lambda: tables["mark"].replace(reached, number),
             lambda: tables["runs"].replace(_next_runs(runs, decided), number), lambda: tables["supply"].replace(_last_supply(supply, rows), number),
             lambda: tables["actions"].replace(actions, number), lambda: tables["spends"].replace(spends, number))

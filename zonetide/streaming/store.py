@@ -25,10 +25,10 @@ EVERY = 8
 FILE_ROWS = 5_000_000
 
 
-def run_together(*jobs: Callable[[], object]) -> None:
+def run_together(spark: SparkSession, *jobs: Callable[[], object]) -> None:
     """Start Spark jobs that do not depend on one another at the same time, and wait for all."""
     with ThreadPoolExecutor(len(jobs)) as pool:
-        for done in [pool.submit(inheritable_thread_target(job)) for job in jobs]:
+        for done in [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]:
             done.result()
 
 
