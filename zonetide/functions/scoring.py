@@ -155,6 +155,7 @@ def explanation_tag(have: set[str] | None = None) -> Column:
     count = field("taxi_count", 50).cast("double")
     raining = (F.coalesce(field("is_raining", False).cast("boolean"), F.lit(False))
                | (F.coalesce(field("rainfall_mm", 0.0), F.lit(0.0)) > 0))
+    # Wording and bands of the reasons.
     parts = [
         F.when(field("depletion_rate_1h", 0.0) > 0.30, "rapid depletion"),
         F.when(field("depletion_rate_3h", 0.0) > 0.25, "sustained depletion"),
@@ -196,11 +197,11 @@ def outcome_class(before, after) -> Column:
 
 
 def eta_bucket(minutes) -> Column:
-    m = col_of(minutes)
+    m = col_of(minutes)  # fixed values: bands and names
     return (F.when(m.isNull(), "unknown").when(m < 10, "under_10m").when(m < 20, "10_to_20m")
             .when(m < 45, "20_to_45m").otherwise("45m_plus"))
 
 
 def confidence_band(sample) -> Column:
-    n = col_of(sample)
+    n = col_of(sample)  # fixed values: bands and names
     return F.when(n >= 12, "high").when(n >= 6, "medium").otherwise("low")

@@ -35,6 +35,7 @@ def root_cause(tag, pressure, depletion) -> Column:
     t = F.lower(F.coalesce(col_of(tag), F.lit("")))
     p = F.coalesce(col_of(pressure).cast("double"), F.lit(0.0))
     d = F.coalesce(col_of(depletion).cast("double"), F.lit(0.0))
+    # Key words, bands and causes.
     return (F.when(t.contains("rain"), "weather").when(t.contains("peak"), "peak_pattern")
             .when(p >= 0.7, "demand_pressure").when(d > 0.3, "rapid_depletion").otherwise("structural_gap"))
 
@@ -85,6 +86,7 @@ def action_from_text(priority_label, recommendation) -> Column:
             hit = hit | t.contains(w)
         return hit
 
+    # Key words and action names.
     move, pay = says("rebalance"), says("incentive", "bonus")
     price, push = says("surge", "fare", "pricing"), says("push", "notification", "notify")
     return (F.when(says("ops team", "ops alert"), "ops_alert")
