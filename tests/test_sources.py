@@ -103,3 +103,13 @@ def test_sinks(spark, tmp_path):
     WR.write_table(df, str(tmp_path / "t"))
     assert R.parquet(spark, str(tmp_path / "t")).count() == 1
     assert WR.audit_event(spark, "rollback", "v2", None, "why", "r", "2024-01-01").first()["to_version"] is None
+
+
+def test_timed_files_come_back_and_other_names_are_passed_over(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "2024-01-01 00:30:00", 5), (2, "2024-01-01 00:30:00", 6), (1, "2024-01-02 04:45:00", 7)], "zone_id long, t string, lots int")
+    at = str(tmp_path / "timed")
+    WR.write_timed_files(rows.select("zone_id", F.col("t").cast("timestamp").alias("snap_ts"), "lots"), at)
+    (tmp_path / "timed" / "notes.csv").write_text("zone_id,lots\n9,9\n")
+    assert {p.name for p in (tmp_path / "timed").glob("2024*")} == {"2024-01-01_08-30.csv", "2024-01-02_12-45.csv"}
+    got = sorted((r["zone_id"], str(r["snap_ts"]), r["lots"]) for r in R.read_timed_files(spark, at, schema="zone_id long, lots int").collect())
+    assert got == [(1, "2024-01-01 00:00:00", 5), (1, "2024-01-02 04:00:00", 7), (2, "2024-01-01 00:00:00", 6)]
