@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -156,11 +158,11 @@ def search_rounds(candidates: int, k: int, budget: float, keep: int = 3) -> list
     return [(n, w * min(1.0, budget / cost)) for n, w in zip(sizes, weights)]
 
 
-def model_search(df: DataFrame, columns: list[str], label: str, keys: list[str], k: int = 5, budget: float = 60.0, candidates=None, keep: int = 3) -> DataFrame:
+def model_search(df: DataFrame, columns: list[str], label: str, keys: list[str], k: int = 5, budget: float = 60.0, candidates=None, keep: int = 3, together: int = 4) -> DataFrame:
     """Leaderboard of model families and settings by mean AUC over ``k`` folds, found by successive halving within a budget.
 
     All candidates are compared on a share of the rows, the better ones again on more, the last on most. Rows are drawn and folded by
-    hashes of their keys, and a round's rows contain those of the round before. Columns: family, setting, rounds (survived), share (of the
+    hashes of their keys, and a round's rows contain those of the round before. ``together`` candidates are fitted at a time. Columns: family, setting, rounds (survived), share (of the
     rows in its last round), mean_auc and std_auc (there); best first.
     """
     spark = df.sparkSession
@@ -171,10 +173,14 @@ def model_search(df: DataFrame, columns: list[str], label: str, keys: list[str],
     judge = BinaryClassificationEvaluator(labelCol="label")
     for turn, (_, share) in enumerate(rounds, start=1):
         used = rows.filter(F.col("_u") < F.lit(share))
-        for family, setting, model in left:
-            cv = CrossValidator(estimator=model, estimatorParamMaps=[{}], evaluator=judge, foldCol="fold", numFolds=k)
+
+        def tried(candidate, used=used, turn=turn, share=share):
+            cv = CrossValidator(estimator=candidate[2], estimatorParamMaps=[{}], evaluator=judge, foldCol="fold", numFolds=k)
             fitted = cv.fit(used)
-            board[family, setting] = (turn, share, fitted.avgMetrics[0], fitted.stdMetrics[0])
+            return candidate[:2], (turn, share, fitted.avgMetrics[0], fitted.stdMetrics[0])
+
+        with ThreadPoolExecutor(together) as pool:
+            board.update(pool.map(inheritable_thread_target(spark)(tried), left))
         best = sorted(left, key=lambda c: (-board[c[:2]][2], c[:2]))
         left = best[:rounds[turn][0]] if turn < len(rounds) else []
     entries = F.array(*[F.struct(F.lit(f).alias("family"), F.lit(s).alias("setting"), F.lit(t).alias("rounds"), F.lit(float(h)).alias("share"),
