@@ -1,14 +1,19 @@
 """Secret scans through nested encodings.
 
-A worklist holds layers of a text. Each layer is searched; then its URL escapes, its character escapes and its base64
-runs are decoded, each into a layer of its own that goes on the list. Decoded bytes that are a compressed stream are unfolded,
-all members and again what is compressed inside, in bounded chunks to the end. A layer that gets long is cut, only after
-characters that no secret and no encoding contains, so its pieces are searched one by one and nothing is missed. A layer
-whose text was seen before is not taken up again, so the work ends, also when a layer decodes to itself. Every
-character of a layer knows the range of the source it comes from, so a find is reported at its place in the document.
+A worklist holds layers of a text. Each layer is searched; then its URL escapes, its character escapes, its base64
+runs (from each of four places, as other characters of that alphabet may stand before one), its compressed streams and its
+UTF-16 runs are decoded, each into a layer of its own that goes on the list. A byte that is no UTF-8 stays in its layer as an
+escaped one, so nothing around it is lost and the bytes can be had back. A compressed stream (gzip, zlib, bzip2, xz, raw
+deflate) is unfolded, all members and again what is compressed inside, in bounded chunks to the end. A layer that gets long is
+cut, only after characters that no secret and no text encoding contains, so its pieces are searched one by one. A layer whose
+digest was seen before is not taken up again, so the work ends, also when a layer decodes to itself. Every character of
+a layer knows the range of the source it comes from, so a find is reported at its place in the document.
+
+A base64 run is decoded where the bytes are text, or hold a part of a secret, a further encoding or a stream; most long words
+are none of these. Raw deflate has no mark, so it is looked for at the start of decoded bytes only.
 
 Null or empty text: no spans. Repeated rows are scanned each for itself; columns besides ``doc_id`` and ``text`` are
-ignored; an empty table gives no rows. Undecodable runs stay as they are.
+ignored; an empty table gives no rows. Undecodable runs stay as they are. Spans of one start come in the order of ``KINDS``, then by end.
 """
 
 from __future__ import annotations
@@ -24,6 +29,7 @@ import re
 import urllib.parse
 import zlib
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +37,10 @@ from pyspark.sql import DataFrame
 
 #: Bytes unfolded at a time, and characters from which on a layer is cut into pieces.
 CHUNK, PIECE = 1 << 20, 4 << 20
-#: Streams inside one another, so that one that unfolds to ever larger ones comes to an end.
-NESTED = 64
+#: Streams in one another, each longer than the one around it, after which they count as made to grow for ever.
+GROWING = 64
 #: Characters that secrets and encodings are made of: a layer is cut only after another one.
-_JOINED = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-\"' :%\\{}&#;~"
+_JOINED = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-\"' :%\\{}&#;~\x00"
 KINDS = ("assign", "access", "hex")
 SCHEMA = "doc_id long, spans array<struct<kind: string, start: long, end: long, depth: int>>"
 
@@ -46,6 +52,13 @@ _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _URL_MIXED = re.compile(r"[A-Za-z0-9_.~/+-]*(?:%[0-9A-Fa-f]{2}[A-Za-z0-9_.~/+-]*)+")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{12,}={0,2}")
+_WIDE = re.compile("(?:[\t\n\r\x20-\x7e]\x00){5,}|(?:\x00[\t\n\r\x20-\x7e]){5,}")
+#: Starts of gzip, bzip2, xz and zlib streams in a layer, where bytes that are no UTF-8 stand as lone surrogates.
+_STREAM = re.compile("\x1f\udc8b\x08|BZh[1-9]1AY&SY|\udcfd7zXZ\x00|x[\x01^\udc9c\udcda]")
+_STREAM_BYTES = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00|x[\x01^\x9c\xda]")
+#: What makes bytes that are not all text worth a layer: a part of a secret, another encoding.
+_WORTH = re.compile(rb"passw|secret|token|api_?key|AKIA|[0-9a-f]{32}|%[0-9a-f]{2}%[0-9a-f]{2}|\\u[0-9a-f{]{4}|\\x[0-9a-f]{2}\\|&#x?[0-9a-f]{2,7};"
+                    rb"|[a-z0-9+/_-]{12}|(?:[\t\n\r\x20-\x7e]\x00){5}|(?:\x00[\t\n\r\x20-\x7e]){5}", re.I)
 
 
 def find(text: str) -> list[tuple[str, int, int]]:
@@ -68,14 +81,15 @@ class Layer:
         return (start, end) if self.low is None else (int(self.low[start:end].min()), int(self.high[start:end].max()))
 
 
-def _characters(data: bytes, low: np.ndarray, high: np.ndarray) -> tuple[str, np.ndarray, np.ndarray] | None:
-    """Decode UTF-8 and bring the ranges of bytes to ranges of characters; None if it isn't text."""
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    raw = np.frombuffer(data, np.uint8)
-    heads = np.flatnonzero((raw & 0xC0) != 0x80)
+def _characters(data: bytes, low: np.ndarray, high: np.ndarray) -> tuple[str, np.ndarray, np.ndarray]:
+    """Decode UTF-8, other bytes as escaped ones, and bring the ranges of bytes to ranges of characters."""
+    text = data.decode("utf-8", "surrogateescape")
+    if len(text) == len(data):
+        return text, low, high
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    escaped = (codes >= 0xDC80) & (codes <= 0xDCFF)
+    sizes = np.where((codes < 0x80) | escaped, 1, np.where(codes < 0x800, 2, np.where(codes < 0x10000, 3, 4)))
+    heads = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     return text, np.minimum.reduceat(low, heads), np.maximum.reduceat(high, heads)
 
 
@@ -95,12 +109,13 @@ def _head(source: Iterator[bytes], size: int = 6) -> tuple[bytes, Iterator[bytes
     return start[:size], itertools.chain([start] if start else [], source)
 
 
-def _members(source: Iterator[bytes], magic: bytes, make: Callable) -> Iterator[bytes]:
-    """The content of a stream and of the members that follow it, in chunks. A damaged first member raises; bytes after the last are ignored."""
+def _members(source: Iterator[bytes], magic: bytes, make: Callable, left: list[int]) -> Iterator[bytes]:
+    """The content of a stream and of the members that follow it, in chunks. A damaged first member raises; ``left`` gets the number of bytes after the last."""
     first = True
     while True:
         start, source = _head(source)
         if not start.startswith(magic):
+            left[:] = [sum(map(len, source))]
             return
         stream, rest = make(), b""
         try:
@@ -128,51 +143,91 @@ def _members(source: Iterator[bytes], magic: bytes, make: Callable) -> Iterator[
         first, source = False, itertools.chain([rest] if rest else [], source)
 
 
+def _raw(data: bytes) -> Iterator[bytes]:
+    """The content of a raw deflate stream that is all of ``data``; raises if it isn't one."""
+    stream = zlib.decompressobj(-15)
+    while not stream.eof:
+        out, data = stream.decompress(data, CHUNK), stream.unconsumed_tail
+        if out:
+            yield out
+        elif not data:
+            break
+    if not stream.eof or stream.unused_data:
+        raise zlib.error("not a whole raw stream")
+
+
 def _text(source: Bytes) -> Iterator[str]:
-    decoder = codecs.getincrementaldecoder("utf-8")()
+    decoder = codecs.getincrementaldecoder("utf-8")("surrogateescape")
     for chunk in source():
         if text := decoder.decode(chunk):
             yield text
-    decoder.decode(b"", True)
+    if text := decoder.decode(b"", True):
+        yield text
+
 
+def _opens(data: bytes) -> bool:
+    """Whether the start of ``data`` can be unfolded."""
+    for magic, make in _STREAMS:
+        if data.startswith(magic):
+            try:
+                stream = make()
+                return bool(stream.decompress(data[:512], 4096)) or not stream.eof
+            except _ERRORS:
+                return False
+    return False
 
-def _unfold(data: bytes) -> Bytes | None:
-    """The text inside a gzip, zlib, bzip2 or xz stream, or inside streams in one another; None if there is none."""
+
+def _unfold(data: bytes) -> tuple[Bytes, int] | None:
+    """The content of a stream, or of streams in one another, and the number of bytes after the outer one; None if there is none."""
     source: Bytes = lambda: iter([data])
     seen = {hashlib.sha256(data).digest()}
-    for _ in range(NESTED):
+    behind, before, grown = 0, len(data), 0
+    while grown < GROWING:
+        left = [0]
         try:
             start, _ = _head(source())
             known = [x for x in _STREAMS if start.startswith(x[0])]
-            inner = None
-            for magic, make in known:
-                inner = lambda s=source, m=magic, k=make: _members(s(), m, k)
-                content = hashlib.sha256()
-                for chunk in inner():
-                    content.update(chunk)
-            if inner is None or content.digest() in seen:
+            if not known:
                 break
-            seen.add(content.digest())
-            source = inner
+            magic, make = known[0]
+            inner: Bytes = lambda s=source, m=magic, k=make: _members(s(), m, k, [0])
+            content, held, size = hashlib.sha256(), [], 0
+            for chunk in _members(source(), magic, make, left):
+                content.update(chunk)
+                size += len(chunk)
+                held = [*held, chunk] if size <= CHUNK else []
         except _ERRORS:
             break  # this only looked like a stream
-    if len(seen) == 1:
-        return None
+        if not size or content.digest() in seen:
+            break
+        behind = left[0] if len(seen) == 1 else behind
+        seen.add(content.digest())
+        before, grown = size, grown + 1 if size > before else 0
+        source = (lambda whole=b"".join(held): iter([whole])) if size <= CHUNK else inner  # short ones are held, so nesting may be deep
+    if len(seen) > 1:
+        return source, behind
     try:
-        some = False
-        for text in _text(source):
-            if not _readable(text):
-                return None
-            some = True
+        if len(data) > 8 and any([_worth(chunk) for chunk in _raw(data)]):
+            return (lambda: _raw(data)), 0
     except _ERRORS:
-        return None
-    return source if some else None
+        pass
+    return None
 
 
-def _readable(text: str) -> bool:
+def _readable(data: bytes) -> bool:
+    try:
+        text = data.decode("utf-8")
+    except UnicodeDecodeError:
+        return False
     return bool(text) and text.replace("\t", "").replace("\n", "").replace("\r", "").isprintable()
 
 
+def _worth(data: bytes) -> bool:
+    """Whether bytes are text, or hold what a secret, an encoding or a stream may be made of."""
+    return (_readable(data) or _WORTH.search(data) is not None
+            or any(_opens(data[m.start():m.start() + 512]) for m in _STREAM_BYTES.finditer(data)))
+
+
 #: Start and end in the layer, and what comes instead: texts with the ranges of their characters.
 Chunks = Callable[[], Iterator[tuple[str, np.ndarray, np.ndarray]]]
 Part = tuple[int, int, Chunks]
@@ -183,9 +238,12 @@ def _one(start: int, end: int, got: tuple[str, np.ndarray, np.ndarray]) -> Part:
 
 
 def _unfolded(start: int, end: int, data: bytes) -> Part | None:
-    """A compressed stream as a part: each of its characters comes from the whole range."""
-    if (source := _unfold(data)) is None:
-        return None
+    """Bytes that are a compressed stream as a part: each of its characters comes from the whole range."""
+    got = _unfold(data)
+    return _spread(start, end, got[0]) if got is not None and not got[1] else None  # with bytes behind it: left to _streams
+
+
+def _spread(start: int, end: int, source: Bytes) -> Part:
     return start, end, lambda: ((text, np.full(len(text), start), np.full(len(text), end)) for text in _text(source))
 
 
@@ -203,8 +261,8 @@ def _url(text: str) -> Iterator[Part]:
             at = n.start() + 3 * np.arange(len(data))
             if (part := _unfolded(n.start(), n.end(), data)) is not None:
                 yield part
-            elif (got := _characters(data, at, at + 3)) is not None:
-                yield _one(n.start(), n.end(), got)
+            else:
+                yield _one(n.start(), n.end(), _characters(data, at, at + 3))
 
 
 def _escapes(text: str) -> Iterator[Part]:
@@ -232,23 +290,46 @@ def _escapes(text: str) -> Iterator[Part]:
     yield from flush()
 
 
-def _base64(text: str) -> Iterator[Part]:
+def _base64(text: str, skip: int = 0) -> Iterator[Part]:
+    """Runs decoded from their first character, or from one after ``skip`` others."""
     for m in _BASE64.finditer(text):
-        run = m[0].rstrip("=")
+        start, run = m.start() + skip, m[0].rstrip("=")[skip:]
         run = run[:len(run) - (len(run) % 4 == 1)]
         try:
             data = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4), validate=True)
         except (binascii.Error, ValueError):
             continue
-        if (part := _unfolded(m.start(), m.end(), data)) is not None:
+        if (part := _unfolded(start, m.end(), data)) is not None:
             yield part
-            continue
-        bits = 8 * np.arange(len(data))
-        low, high = m.start() + bits // 6, m.start() + (bits + 13) // 6
-        if low.size:
+        elif _worth(data):
+            bits = 8 * np.arange(len(data))
+            low, high = start + bits // 6, start + (bits + 13) // 6
             high[-1] = m.end()
-        if data and (got := _characters(data, low, high)) is not None and _readable(got[0]):
-            yield _one(m.start(), m.end(), got)
+            yield _one(start, m.end(), _characters(data, low, high))
+
+
+def _streams(text: str) -> Iterator[Part]:
+    """Compressed streams among other decoded bytes."""
+    at = 0
+    for m in _STREAM.finditer(text):
+        if m.start() < at or not _opens(text[m.start():m.start() + 512].encode("utf-8", "surrogateescape")):
+            continue
+        data = text[m.start():].encode("utf-8", "surrogateescape")
+        if (got := _unfold(data)) is not None:
+            at = m.start() + len(data[:len(data) - got[1]].decode("utf-8", "surrogateescape"))
+            yield _spread(m.start(), at, got[0])
+
+
+def _wide(text: str) -> Iterator[Part]:
+    """Runs of characters of one byte each in UTF-16."""
+    for m in _WIDE.finditer(text):
+        low = np.arange(m.start(), m.end(), 2)
+        yield _one(m.start(), m.end(), (m[0].replace("\x00", ""), low, low + 2))
+
+
+#: Characters without one of which a decoder finds nothing (none named: always tried), and the decoder.
+_DECODERS: tuple[tuple[str, Callable[[str], Iterator[Part]]], ...] = (
+    ("%", _url), ("\\&", _escapes), *(("", partial(_base64, skip=k)) for k in range(4)), ("\x1fBx\udcfd", _streams), ("\x00", _wide))
 
 
 def _children(layer: Layer, parts: list[Part]) -> Iterator[Layer]:
@@ -279,16 +360,20 @@ def _children(layer: Layer, parts: list[Part]) -> Iterator[Layer]:
     yield Layer("".join(x[0] for x in held), np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held]), layer.depth + 1)
 
 
-def _search(first: Layer, known: set[str], found: dict[tuple[str, int, int], int]) -> None:
+def _digest(text: str) -> bytes:
+    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
+
+
+def _search(first: Layer, known: set[bytes], found: dict[tuple[str, int, int], int]) -> None:
     """Put the spans of a layer and of all that is decoded from it in ``found``, each with its least depth."""
-    seen, work = known | {first.text}, [first]
+    seen, work = known | {_digest(first.text)}, [first]
     while work:
         layer = work.pop(0)
         for kind, start, end in find(layer.text):
             key = (kind, *layer.source(start, end))
             found[key] = min(found.get(key, layer.depth), layer.depth)
-        for hint, decode in (("%", _url), ("\\&", _escapes), ("", _base64)):
-            if hint and not any(c in layer.text for c in hint):
+        for hint, decode in _DECODERS:
+            if hint and not any(c in layer.text for c in hint) or decode is _streams and layer.depth == 0:
                 continue
             parts = list(decode(layer.text))
             if not parts:
@@ -296,12 +381,12 @@ def _search(first: Layer, known: set[str], found: dict[tuple[str, int, int], int
             children = _children(layer, parts)
             child, more = next(children), next(children, None)
             if more is None:
-                if child.text not in seen:
-                    seen.add(child.text)
+                if (digest := _digest(child.text)) not in seen:
+                    seen.add(digest)
                     work.append(child)
                 continue
             for piece in itertools.chain([child, more], children):  # not on the list, so only one is held
-                if piece.text not in seen:
+                if _digest(piece.text) not in seen:
                     _search(piece, seen, found)
 
 
