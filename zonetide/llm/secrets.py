@@ -9,8 +9,8 @@ cut, only after characters that no secret and no text encoding contains, so its
 digest was seen before is not taken up again, so the work ends, also when a layer decodes to itself. Every character of
 a layer knows the range of the source it comes from, so a find is reported at its place in the document.
 
-A base64 run is decoded where the bytes are text, or hold a part of a secret, a further encoding or a stream; most long words
-are none of these. Raw deflate has no mark, so it is looked for at the start of decoded bytes only.
+A base64 run is decoded where the bytes hold a part of a secret, a further encoding or a stream, or are text from its first
+character on; most long words are none of these. Raw deflate has no mark, so it is looked for at the start of decoded bytes only.
 
 Null or empty text: no spans. Repeated rows are scanned each for itself; columns besides ``doc_id`` and ``text`` are
 ignored; an empty table gives no rows. Undecodable runs stay as they are. Spans of one start come in the order of ``KINDS``, then by end.
@@ -29,7 +29,6 @@ import re
 import urllib.parse
 import zlib
 from collections.abc import Callable, Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -171,7 +170,8 @@ def _opens(data: bytes) -> bool:
         if data.startswith(magic):
             try:
                 stream = make()
-                return bool(stream.decompress(data[:512], 4096)) or not stream.eof
+                out = stream.decompress(data[:512], 4096)
+                return bool(out) and (stream.eof or len(out) >= 14) if magic == b"\x78" else True  # two bytes prove little; no secret is shorter
             except _ERRORS:
                 return False
     return False
@@ -223,8 +223,8 @@ def _readable(data: bytes) -> bool:
 
 
 def _worth(data: bytes) -> bool:
-    """Whether bytes are text, or hold what a secret, an encoding or a stream may be made of."""
-    return (_readable(data) or _WORTH.search(data) is not None
+    """Whether bytes hold what a secret, an encoding or a stream may be made of."""
+    return (_WORTH.search(data) is not None
             or any(_opens(data[m.start():m.start() + 512]) for m in _STREAM_BYTES.finditer(data)))
 
 
@@ -290,22 +290,22 @@ def _escapes(text: str) -> Iterator[Part]:
     yield from flush()
 
 
-def _base64(text: str, skip: int = 0) -> Iterator[Part]:
-    """Runs decoded from their first character, or from one after ``skip`` others."""
-    for m in _BASE64.finditer(text):
-        start, run = m.start() + skip, m[0].rstrip("=")[skip:]
+def _base64(text: str, runs: list[tuple[int, int]], skip: int) -> Iterator[Part]:
+    """Runs decoded from their first character, or from one after ``skip`` others; there, bytes that are text alone don't count."""
+    for first, end in runs:
+        start, run = first + skip, text[first + skip:end].rstrip("=")
         run = run[:len(run) - (len(run) % 4 == 1)]
         try:
             data = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4), validate=True)
         except (binascii.Error, ValueError):
             continue
-        if (part := _unfolded(start, m.end(), data)) is not None:
+        if (part := _unfolded(start, end, data)) is not None:
             yield part
-        elif _worth(data):
+        elif _worth(data) or not skip and _readable(data):
             bits = 8 * np.arange(len(data))
             low, high = start + bits // 6, start + (bits + 13) // 6
-            high[-1] = m.end()
-            yield _one(start, m.end(), _characters(data, low, high))
+            high[-1] = end
+            yield _one(start, end, _characters(data, low, high))
 
 
 def _streams(text: str) -> Iterator[Part]:
@@ -327,9 +327,16 @@ def _wide(text: str) -> Iterator[Part]:
         yield _one(m.start(), m.end(), (m[0].replace("\x00", ""), low, low + 2))
 
 
-#: Characters without one of which a decoder finds nothing (none named: always tried), and the decoder.
-_DECODERS: tuple[tuple[str, Callable[[str], Iterator[Part]]], ...] = (
-    ("%", _url), ("\\&", _escapes), *(("", partial(_base64, skip=k)) for k in range(4)), ("\x1fBx\udcfd", _streams), ("\x00", _wide))
+def _decoded(layer: Layer) -> Iterator[list[Part]]:
+    """What each decoding finds in a layer; nothing for those that find nothing."""
+    text = layer.text
+    for hint, decode in (("%", _url), ("\\&", _escapes), ("\x1fBx\udcfd" if layer.depth else "", _streams), ("\x00", _wide)):
+        if any(c in text for c in hint) and (parts := list(decode(text))):
+            yield parts
+    runs = [m.span() for m in _BASE64.finditer(text)]
+    for skip in range(4):
+        if parts := list(_base64(text, runs, skip)):
+            yield parts
 
 
 def _children(layer: Layer, parts: list[Part]) -> Iterator[Layer]:
@@ -372,12 +379,7 @@ def _search(first: Layer, known: set[bytes], found: dict[tuple[str, int, int], i
         for kind, start, end in find(layer.text):
             key = (kind, *layer.source(start, end))
             found[key] = min(found.get(key, layer.depth), layer.depth)
-        for hint, decode in _DECODERS:
-            if hint and not any(c in layer.text for c in hint) or decode is _streams and layer.depth == 0:
-                continue
-            parts = list(decode(layer.text))
-            if not parts:
-                continue
+        for parts in _decoded(layer):
             children = _children(layer, parts)
             child, more = next(children), next(children, None)
             if more is None:
