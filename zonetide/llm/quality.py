@@ -1,9 +1,9 @@
 """Quality rules: plain counts of a text, and a hashed n-gram log-likelihood ratio against a trusted target.
 
-Column expressions and aggregates only. The words of a text are hashed to ``BUCKETS`` numbers.
+Column expressions and aggregates only. The n-grams of a text, its words and its pairs of neighbours, are hashed to ``BUCKETS`` numbers.
 One multinomial is counted over the documents whose ``labels.quality`` is 1, one over all documents. A document's score
-is the mean, over its words, of ``log p(target) - log p(all)``; it is kept if the score reaches ``threshold``
-and the counts pass.
+is the mean, over its n-grams, of ``log p(target) - log p(all)``; it is kept if the score reaches ``threshold``
+(at a tie too) and the counts pass.
 
 Null or empty text: no words, so it fails the counts. Repeated rows are judged each for itself. Without trusted
 documents every score is 0 and only the counts decide. Further columns of ``docs`` stay where they are; a column that
@@ -13,7 +13,6 @@ has the name of an added one is replaced. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +21,7 @@ BUCKETS = 1 << 16
 THRESHOLD = -0.15
 #: Added to each bucket's count, as a share of a mean bucket.
 SMOOTHING = 0.05
-#: Trusted ids broadcast at a time; the words of all trusted documents are counted.
+#: Trusted ids up to which they are broadcast; more of them meet the documents in a shuffled join, with the same counts.
 TRUSTED = 1_000_000
 WINDOW = 8
 _BLANK = " \t\n\x0b\x0c\r"
@@ -54,28 +53,40 @@ def _covered(windows: Column) -> Column:
     return _let(F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), count)
 
 
-def repeated_words(hashes: Column) -> Column:
-    """Words inside 8-word windows found twice or more, from the words' hashes."""
-    n = F.size(hashes)
+def _joined(k: int) -> Callable[[Column], Column]:
+    """Each hash with the one ``k`` places behind it."""
+    return lambda h: F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + k)))
+
+
+def repeated_words(pairs: Column) -> Column:
+    """Words inside 8-word windows found twice or more, from the hashes of each word and the next."""
+    n = F.size(pairs)
     # Hashes of two, then four, then eight words; the last seven places have no window.
-    joined = lambda k: lambda h: F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + k)))
-    windows = F.slice(_let(_let(_let(hashes, joined(1)), joined(2)), joined(4)), F.lit(1), n - WINDOW + 1)
+    windows = F.slice(_let(_let(pairs, _joined(2)), _joined(4)), F.lit(1), n - WINDOW + 1)
     per_text = _let(windows, lambda w: F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0)).otherwise(_covered(w)))
     return F.when(n <= WINDOW, F.lit(0)).otherwise(per_text)
 
 
+def _whole(pairs: Column) -> Column:
+    """Pairs without that of the last word, which has no next one."""
+    return F.slice(pairs, F.lit(1), F.greatest(F.size(pairs) - 1, F.lit(0)))
+
+
 def _measures(text: Column, weights_: Column, buckets: int) -> Column:
     """All that needs the words, from one pass over them."""
 
-    def of_hashes(w: Column, h: Column) -> Column:
-        total = F.aggregate(h, F.lit(0.0), lambda acc, x: acc + F.get(w, F.pmod(x, F.lit(buckets)).cast("int")))
-        return F.struct(repeated_words(h).cast("long").alias("n_repeat_words"), F.try_divide(total, F.size(h)).alias("ratio"))
+    def of_hashes(w: Column, h: Column, pairs: Column) -> Column:
+        weight = lambda acc, x: acc + F.get(w, F.pmod(x, F.lit(buckets)).cast("int"))
+        total = F.aggregate(_whole(pairs), F.aggregate(h, F.lit(0.0), weight), weight)
+        return F.struct(repeated_words(pairs).cast("long").alias("n_repeat_words"), F.try_divide(total, 2 * F.size(h) - 1).alias("ratio"))
 
     def of_words(s: Column) -> Column:
         h = F.transform(s["x"], lambda x: F.xxhash64(x))
         return F.struct(F.size(s["x"]).cast("long").alias("n_words"),
                         F.length(F.array_join(s["x"], "")).cast("long").alias("word_chars"),
-                        _let(F.struct(s["w"].alias("w"), h.alias("h")), lambda p: of_hashes(p["w"], p["h"])).alias("of"))
+                        _let(F.struct(s["w"].alias("w"), h.alias("h")), lambda p: _let(
+                            F.struct(p["w"].alias("w"), p["h"].alias("h"), _joined(1)(p["h"]).alias("p")),
+                            lambda q: of_hashes(q["w"], q["h"], q["p"]))).alias("of"))
 
     return _let(F.struct(words(text).alias("x"), weights_.alias("w")), of_words)
 
@@ -84,17 +95,14 @@ def weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> DataF
     """One row with ``w``: log p(target) - log p(all) for each bucket. Its size depends on ``buckets`` alone."""
     spark = docs.sparkSession
     good = labels.filter(F.col("quality") == 1).select(F.col("doc_id").alias("_id")).distinct()
-    blocks = max(1, -(-good.count() // TRUSTED))  # each bounded, so it may be broadcast
-    hashed = F.transform(words(F.col("text")), lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)))
-
-    def counted(k: int) -> DataFrame:
-        """Words of block ``k`` of the trusted documents; in the first pass those of all documents too."""
-        block = good.filter(F.pmod(F.xxhash64("_id"), F.lit(blocks)) == k)
-        marked = docs.select("doc_id", "text").join(F.broadcast(block), F.col("doc_id") == F.col("_id"), "inner" if k else "left")
-        return (marked.select(F.col("_id").isNotNull().cast("long").alias("good"), F.explode(hashed).alias("b"))
-                .groupBy("b").agg(F.sum("good").alias("t"), (F.lit(0).cast("long") if k else F.count("*")).alias("r")))
-
-    seen = reduce(DataFrame.unionByName, [counted(k) for k in range(blocks)]).groupBy("b").agg(F.sum("t").alias("t"), F.sum("r").alias("r"))
+    few = good.limit(TRUSTED + 1).count() <= TRUSTED
+    hashes = F.transform(words(F.col("text")), lambda w: F.xxhash64(w))
+    hashed = F.transform(_let(hashes, lambda h: F.concat(h, _whole(_joined(1)(h)))), lambda x: F.pmod(x, F.lit(buckets)))
+    # A row without an id is no trusted one; in a shuffled join it goes where its text's hash puts it.
+    named = docs.select("text", F.col("doc_id").isNotNull().alias("_named"), F.coalesce("doc_id", F.xxhash64("text")).alias("_key"))
+    marked = named.join(F.broadcast(good) if few else good, F.col("_named") & (F.col("_key") == F.col("_id")), "left")
+    seen = (marked.select(F.col("_id").isNotNull().cast("long").alias("good"), F.explode(hashed).alias("b"))
+            .groupBy("b").agg(F.sum("good").alias("t"), F.count("*").alias("r")))
     every = spark.range(buckets).join(seen, F.col("id") == F.col("b"), "left").select("id", *[F.coalesce(c, F.lit(0)).alias(c) for c in "tr"])
     one = every.agg(F.sum("t").alias("ts"), F.sum("r").alias("rs"), F.array_sort(F.collect_list(F.struct("id", "t", "r"))).alias("all"))
     add = F.lit(SMOOTHING / buckets)
