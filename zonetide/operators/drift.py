@@ -46,7 +46,8 @@ def psi(reference: DataFrame, current: DataFrame, buckets: int = BUCKETS) -> Dat
     span = both.groupBy("feature").agg(
         F.min("value").alias("lo"), F.max("value").alias("hi"), times(0).alias("n_ref"),
         times(1).alias("n_cur")).filter("n_ref > 0 and n_cur > 0")
-    cells = (both.join(span.select("feature", "lo", "hi"), "feature").filter(F.col("hi") > F.col("lo"))
+    # One row per feature, sent to the values: a join by feature would bring all values of one into a task.
+    cells = (both.join(F.broadcast(span.select("feature", "lo", "hi")), "feature").filter(F.col("hi") > F.col("lo"))
              .groupBy("feature", _bin(F.col("value"), F.col("lo"), F.col("hi"), buckets).alias("bin"))
              .agg(times(0).alias("ref"), times(1).alias("cur")))
     part = lambda n, total: F.greatest(F.col(n) / F.col(total), F.lit(1e-6))
