@@ -44,7 +44,7 @@ def ranking_quality(df: DataFrame, label: str = "y", score: str = "p", groups: l
     tp, fp, pos, neg = (F.col(x).cast("double") for x in ("tp", "fp", "all_pos", "all_neg"))
     # Pairs ranked right: a negative is beaten by the positives above it, ties count half.
     won = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / F.lit(2.0)))
-    step = F.sum(F.col("pos") / pos * (tp / (tp + fp)))
+    step = F.sum(F.col("pos") / F.nullif(pos, F.lit(0.0)) * (tp / (tp + fp)))  # null without positives
     best = F.max(F.struct(_f1(tp, fp, pos).alias("f1"), (-F.col("s")).alias("minus")))
     one = c.groupBy(*groups).agg(
         (won / F.nullif(F.max(pos) * F.max(neg), F.lit(0.0))).alias("auc"), step.alias("ap"), best.alias("b"),
