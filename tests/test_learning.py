@@ -59,6 +59,21 @@ def test_blocks_of_a_dense_cluster_are_bounded(spark, monkeypatch):
     assert NN.neighbours_of_spots(spots.filter("id < 3"), "id", 5).count() == 6
 
 
+def test_a_row_is_sent_to_each_block_once(monkeypatch):
+    """In many dimensions all shells are within reach: a row goes to the few blocks they are in, not to each of 40 shells."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (800, 64))
+    ball = NN.Balls(x[:40]).distances(x).argmin(1)
+    gap = np.sqrt(((x - x[ball]) ** 2).sum(1))
+    n = np.bincount(ball, minlength=40)
+    shells = [(i * NN.SHELLS, i, gap[ball == i].min(), gap[ball == i].max(), int(n[i]), int(n[:i].sum())) for i in range(40)]
+    balls = NN.Balls(x[:40], shells, 50, 100)
+    bound = np.full(len(x), np.inf)
+    sent = [(int(r), block) for block, rows, _ in balls.reached(x, bound, 3) for r in rows]
+    assert balls.reaches(x, np.full(len(x), 20.0)).sum() == 800 * 40
+    assert len(sent) == len(set(sent)) <= 800 * 8 and {b for _, b in sent} == set(balls.blocks.tolist()) <= set(range(8))
+
+
 def test_smote_balances_and_stays_between(spark):
     df, x = _points(spark)
     out = SA.smote(df, "y", "id", ["a", "b", "c"], k=3)

@@ -2,12 +2,14 @@
 
 Every row belongs to the ball of its nearest centre, and inside the ball to a shell between two distances from the centre.
 By the triangle inequality no member of a shell is nearer to a row than what the row's distance from the centre leaves to
-the shell. A row first learns a bound for its k-th neighbour from the rows it shares a block with; then it is sent to
-those shells alone that reach inside the bound, and compared there. Centres and shells only decide what is skipped.
-
-Centres and shells are bounded in number and broadcast. Members and visitors of a shell meet in blocks of bounded size,
-however many there are of either, so a dense cluster is spread over many tasks and an outlier widens one shell only. The
-distances inside a block are worked out by NumPy on Arrow batches.
+the shell. A row first learns a bound for its k-th neighbour from the rows of its shell; then it is sent once to each block of
+shells of which one at least reaches inside the bound, and is compared there with the shells that still do. Centres and
+shells only decide what is skipped.
+
+Centres and shells are bounded in number and broadcast. Members and visitors meet in blocks of bounded size, however many
+there are of either, so a dense cluster is spread over many tasks and an outlier widens one shell only. In many dimensions
+nearly every shell is within reach of nearly every row: then a row is sent to all blocks, of which there are few, and not
+to each of the shells. The distances inside a block are worked out by NumPy on Arrow batches.
 """
 
 from __future__ import annotations
@@ -25,8 +27,12 @@ from zonetide.session import written
 #: Centres at most, and shells of a ball; what is broadcast is a row of numbers for each.
 CENTRES = 2048
 SHELLS = 32
-#: Rows of a shell, and of its visitors, that are compared by one call.
+#: Rows of a shell that are compared by one call for a first bound.
 BLOCK = 4096
+#: Rows of a block of members, and of a turn of its visitors, that are compared by one call: a share of all, up to a limit that
+#: memory sets (64 dimensions: 70 MB of each side).
+SPREAD = 8
+WIDEST = 131_072
 #: Rounding that a distance from sums of products may have, relative to the squares it comes from.
 _SLACK = 1e-9
 
@@ -52,32 +58,53 @@ def _chunks(rows: int, width: int, cells: int = 4_000_000) -> Iterator[slice]:
 
 
 class Balls:
-    """Centres, and the shells: ball, least and greatest distance from its centre, members."""
+    """Centres, and the shells: unit, ball, least and greatest distance from its centre, members, members of the units before.
+
+    Members are dealt out over blocks of ``width`` rows in the order of their units; of a unit of more than ``block`` rows, parts may
+    lie in several. ``unit_of`` and ``starts`` tell which units each of ``blocks`` has members of.
+    """
 
-    def __init__(self, centres: np.ndarray, shells: list[tuple[int, int, float, float, int]] = ()):
+    def __init__(self, centres: np.ndarray, shells: list[tuple[int, int, float, float, int, int]] = (), block: int = BLOCK, width: int = BLOCK):
         self.centres = centres
         self.unit = np.array([s[0] for s in shells], np.int64)
         self.ball = np.array([s[1] for s in shells], np.int64)
         self.low, self.high = (np.array([s[i] for s in shells], float) for i in (2, 3))
         self.members = np.array([s[4] for s in shells], np.int64)
+        pieces = [(i, (s[5] + part * s[4] // parts) // width) for i, s in enumerate(shells) for parts in (-(-s[4] // block),) for part in range(parts)]
+        self.unit_of = np.array([p[0] for p in pieces], np.int64)
+        self.blocks, self.starts = np.unique(np.array([p[1] for p in pieces], np.int64), return_index=True)
 
     def distances(self, rows: np.ndarray) -> np.ndarray:
-        gap = rows[:, None, :] - self.centres[None, :, :]
-        return np.sqrt((gap * gap).sum(2))
-
-    def reached(self, rows: np.ndarray, bound: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(row, shell, bound) for every shell that may hold one of a row's k nearest."""
-        for part in _chunks(len(rows), max(len(self.unit), self.centres.size)):
-            away = self.distances(rows[part])[:, self.ball]
+        return np.sqrt(_rough2(rows, self.centres)[0])
+
+    def away(self, rows: np.ndarray, shells: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        """Least and greatest distance that each row may have from the centre of each shell."""
+        balls, at = np.unique(self.ball[shells], return_inverse=True)
+        d, off = _rough2(rows, self.centres[balls])
+        return np.sqrt(np.maximum(d - off, 0))[:, at], np.sqrt(d + off)[:, at]
+
+    def reaches(self, rows: np.ndarray, bound: np.ndarray, shells: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Whether each shell may have a member within the bound of each row."""
+        near, far = self.away(rows, shells)
+        gap = np.maximum(near - self.high[shells], self.low[shells] - far)
+        return gap <= bound[:, None] + _SLACK * (far + self.high[shells] + bound[:, None])
+
+    def reached(self, rows: np.ndarray, bound: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(block, rows, bounds) for every block that may hold one of a row's k nearest."""
+        for part in _chunks(len(rows), max(len(self.unit_of), len(self.centres))):
             best = bound[part].copy()
-            for i in np.flatnonzero(np.isinf(best)):  # too few rows in its block: the nearest shells that hold enough
-                far = away[i] + self.high
-                order = np.argsort(far)
-                enough = np.searchsorted(np.cumsum(self.members[order]), k + 1)
-                best[i] = far[order[min(enough, len(order) - 1)]] if len(order) else np.inf
-            gap = np.maximum(away - self.high, self.low - away)
-            row, shell = np.nonzero(gap <= best[:, None] + _SLACK * (away + self.high + best[:, None]))
-            yield row + part.start, self.unit[shell], best[row]
+            short = np.flatnonzero(np.isinf(best))  # too few rows in its block: the nearest shells that hold enough
+            if len(short):
+                far = self.away(rows[part][short])[1] + self.high
+                for i, row in zip(short, far):
+                    order = np.argsort(row)
+                    enough = np.searchsorted(np.cumsum(self.members[order]), k + 1)
+                    best[i] = row[order[min(enough, len(order) - 1)]] * (1 + _SLACK)
+            hit = np.logical_or.reduceat(self.reaches(rows[part], best)[:, self.unit_of], self.starts, axis=1)
+            for i, block in enumerate(self.blocks):
+                row = np.flatnonzero(hit[:, i])
+                if len(row):
+                    yield int(block), row + part.start, best[row]
 
 
 def _fields(df: DataFrame, key: str, rest: str) -> str:
@@ -89,10 +116,11 @@ def _assigned(rows: DataFrame, key: str, balls) -> DataFrame:
         for batch in batches:
             v = _matrix(batch.column("v"))
             ball, gap = np.zeros(len(v), np.int32), np.zeros(len(v))
-            for part in _chunks(len(v), balls.value.centres.size):
-                d = balls.value.distances(v[part])
-                ball[part] = d.argmin(1)
-                gap[part] = d.min(1)
+            for part in _chunks(len(v), len(balls.value.centres)):
+                ball[part] = balls.value.distances(v[part]).argmin(1)
+            for part in _chunks(len(v), v.shape[1]):
+                off = v[part] - balls.value.centres[ball[part]]
+                gap[part] = np.sqrt((off * off).sum(1))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ball), pa.array(gap)], names=[*batch.schema.names, "ball", "gap"])
 
     return rows.mapInArrow(nearest, _fields(rows, key, "v array<double>, ball int, gap double"))
@@ -109,8 +137,19 @@ def _bounds(table: pa.Table, k: int) -> pa.Table:
     return table.append_column("bound", pa.array(bound))
 
 
-def _compare(visitors: pa.Table, members: pa.Table, key: str, k: int) -> pa.Table:
-    """The nearest members of each visitor, itself left out, within its bound."""
+def _bunches(unit: np.ndarray, least: int = 512) -> Iterator[np.ndarray]:
+    """Places of the members of one or more whole units, ``least`` at a time at least."""
+    order = np.argsort(unit, kind="stable")
+    ends = np.append(np.flatnonzero(np.diff(unit[order])) + 1, len(order))
+    start = 0
+    for end in ends:
+        if end - start >= least or end == len(order):
+            yield from (order[i:i + BLOCK] for i in range(start, end, BLOCK))
+            start = end
+
+
+def _compare(visitors: pa.Table, members: pa.Table, key: str, k: int, balls: Balls) -> pa.Table:
+    """The nearest members of each visitor, itself left out, within its bound, which falls as nearer ones are found."""
     schema = pa.schema([(key, visitors.schema.field(key).type), ("neighbour", members.schema.field(key).type), ("distance2", pa.float64())])
     members = members.sort_by(key).combine_chunks()  # equal distances go by key
     visitors = visitors.combine_chunks()
@@ -118,23 +157,44 @@ def _compare(visitors: pa.Table, members: pa.Table, key: str, k: int) -> pa.Tabl
         return schema.empty_table()
     a, b = (_matrix(t.column("v").chunk(0)) for t in (visitors, members))
     mine, theirs = visitors.column(key).to_numpy(zero_copy_only=False), members.column(key).to_numpy(zero_copy_only=False)
-    bound = visitors.column("bound").to_numpy()
-    found = []
-    for part in _chunks(len(a), len(b)):
-        d, slack = _rough2(a[part], b)
-        row, col = np.nonzero((d <= (bound[part] ** 2)[:, None] * (1 + _SLACK) + slack) & (mine[part][:, None] != theirs[None, :]))
-        exact = np.empty(len(row))
-        for some in _chunks(len(row), a.shape[1]):
-            gap = a[part][row[some]] - b[col[some]]
-            exact[some] = (gap * gap).sum(1)
-        order = np.lexsort((col, exact, row))
-        row, col, exact = row[order], col[order], exact[order]
-        starts = np.searchsorted(row, row)  # place of a row's first entry
-        best = np.arange(len(row)) - starts < k
-        found.append((row[best] + part.start, col[best], exact[best]))
-    row, col, exact = (np.concatenate([f[i] for f in found]) for i in range(3))
-    return pa.Table.from_arrays([visitors.column(key).combine_chunks().take(pa.array(row)), members.column(key).combine_chunks().take(pa.array(col)), pa.array(exact)],
-                                schema=schema)
+    limit = visitors.column("bound").to_numpy() ** 2 * (1 + _SLACK)
+    # From the middle of the members, one is near enough if a.b - (1 - slack) b.b / 2 >= ((1 - slack) a.a - limit) / 2: one product
+    # and one comparison, with the slack that single precision needs.
+    largest = max(np.abs(a).max(), np.abs(b).max())
+    kind, slack, least = (np.float32, max(1e-5, 1e-6 * a.shape[1]), 1e-35) if largest < 1e15 else (np.float64, _SLACK, 0.0)
+    half = (1 - slack) / 2
+    unit = np.searchsorted(balls.unit, members.column("unit").to_numpy())
+    bunches = []
+    for cols in _bunches(unit):
+        middle = b[cols].mean(0)
+        off = b[cols] - middle
+        bunches.append((cols, np.unique(unit[cols]), middle, np.ascontiguousarray(np.column_stack([off, half * (off * off).sum(1)]).T.astype(kind))))
+    near, who = np.full((len(a), k), np.inf), np.full((len(a), k), len(b), np.int64)
+    for part in (slice(i, i + 1024) for i in range(0, len(a), 1024)):
+        for cols, units, middle, against in bunches:
+            some = np.flatnonzero(balls.reaches(a[part], np.sqrt(limit[part]), units).any(1)) + part.start
+            off = a[some] - middle
+            lifted = np.column_stack([off, np.full(len(off), -1.0)]).astype(kind)
+            enough = half * (off * off).sum(1) - limit[some] / 2 - least
+            row, col = np.divmod(np.flatnonzero(lifted @ against >= enough.astype(kind)[:, None]), len(cols))
+            row, col = some[row], cols[col]
+            other = mine[row] != theirs[col]
+            row, col = row[other], col[other]
+            if not len(row):
+                continue
+            exact = np.empty(len(row))
+            for few in _chunks(len(row), a.shape[1]):
+                gap = a[row[few]] - b[col[few]]
+                exact[few] = (gap * gap).sum(1)
+            seen = np.unique(row)
+            row, col, exact = np.concatenate([row, np.repeat(seen, k)]), np.concatenate([col, who[seen].ravel()]), np.concatenate([exact, near[seen].ravel()])
+            order = np.lexsort((col, exact, row))
+            first = np.searchsorted(row[order], seen)[:, None] + np.arange(k)  # each has k entries at least
+            near[seen], who[seen] = exact[order][first], col[order][first]
+            limit[seen] = np.minimum(limit[seen], near[seen, -1] * (1 + _SLACK))
+    row, place = np.nonzero(np.isfinite(near))
+    return pa.Table.from_arrays([visitors.column(key).combine_chunks().take(pa.array(row)), members.column(key).combine_chunks().take(pa.array(who[row, place])),
+                                 pa.array(near[row, place])], schema=schema)
 
 
 def neighbours_of_spots(spots: DataFrame, key: str, k: int = 5, centres: int = CENTRES, block: int = BLOCK) -> DataFrame:
@@ -153,33 +213,33 @@ def _search(rows: DataFrame, key: str, k: int, centres: int, block: int) -> Data
     wide = placed.groupBy("ball").agg(F.count(F.lit(1)).alias("_n"), F.max("gap").alias("_r"))
     shells = F.least(F.lit(SHELLS), F.ceil(F.col("_n") / F.lit(float(block))))
     shell = F.when(F.col("_r") > 0, F.least(F.floor(F.col("gap") / F.col("_r") * shells), shells - 1)).otherwise(0)
-    shelled = placed.join(wide, "ball").select(key, "v", "ball", "gap", (F.col("ball") * SHELLS + shell).cast("long").alias("unit"))
-    sizes = written(shelled.groupBy("unit").agg(F.first("ball").alias("ball"), F.min("gap").alias("low"), F.max("gap").alias("high"),
-                                                F.count(F.lit(1)).alias("n")), "shells")
-    known = Balls(balls.value.centres, [tuple(r) for r in sizes.select("unit", "ball", "low", "high", "n").collect()])  # CENTRES * SHELLS at most
+    shelled = placed.join(F.broadcast(wide), "ball").select(key, "v", "ball", "gap", (F.col("ball") * SHELLS + shell).cast("long").alias("unit"))
+    sizes = shelled.groupBy("unit").agg(F.first("ball").alias("ball"), F.min("gap").alias("low"), F.max("gap").alias("high"), F.count(F.lit(1)).alias("n"))
+    before = W.partitionBy(F.lit(0)).orderBy("unit").rowsBetween(W.unboundedPreceding, -1)  # one row a shell, CENTRES * SHELLS at most
+    sizes = written(sizes.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))), "shells")
+    # Each block of members meets each turn of its visitors: a row is sent out about as often as there are blocks and turns.
+    width = min(WIDEST, max(block, -(-n // SPREAD)))
+    turns = max(1, -(-n // width))
+    known = Balls(balls.value.centres, [tuple(r) for r in sizes.orderBy("unit").select("unit", "ball", "low", "high", "n", "start").collect()], block, width)
     units = spark.sparkContext.broadcast(known)
-    blocks = F.ceil(F.col("_m") / F.lit(float(block))).cast("long")
-    dealt = lambda salt: F.pmod(F.xxhash64(key, F.lit(salt)), F.col("_blocks"))
-    members = (shelled.join(sizes.select("unit", F.col("n").alias("_m")), "unit").withColumn("_blocks", blocks)
-               .select(key, "v", "unit", dealt(0).alias("part"), "_blocks"))
+    dealt = lambda salt, into: F.pmod(F.xxhash64(key, F.lit(salt)), into)
+    members = (shelled.join(F.broadcast(sizes.select("unit", "n", "start")), "unit")
+               .withColumn("_parts", F.ceil(F.col("n") / F.lit(float(block))).cast("long")).withColumn("part", dealt(0, F.col("_parts")))
+               .select(key, "v", "unit", "part", F.expr(f"(start + (part * n) div _parts) div {width}").alias("block")))
     bounded = members.groupBy("unit", "part").applyInArrow(
         lambda t: _bounds(t.select([key, "v"]), k), _fields(rows, key, "v array<double>, bound double"))
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v, bound = _matrix(batch.column("v")), batch.column("bound").to_numpy()
-            for row, unit, best in units.value.reached(v, bound, k):
-                yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(row)), pa.array(unit), pa.array(best)], names=[key, "unit", "bound"])
-
-    asked = written(bounded.mapInArrow(visits, _fields(rows, key, "unit long, bound double")), "visits")
-    crowds = asked.groupBy("unit").agg(F.count(F.lit(1)).alias("_m")).withColumn("_blocks", blocks).select("unit", "_blocks")
-    # Every block of visitors of a shell meets every block of its members.
-    crowd = F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)
-    hosts = (members.select(key, "v", "unit", "part").join(crowds, "unit").withColumn("turn", F.explode(crowd)).drop("_blocks"))
-    parts = members.select("unit", "_blocks").distinct().withColumn("part", F.explode(crowd)).drop("_blocks")
-    guests = (asked.join(crowds, "unit").withColumn("turn", dealt(1)).drop("_blocks").join(parts, "unit").join(rows, key))
-    pairs = guests.groupBy("unit", "part", "turn").cogroup(hosts.groupBy("unit", "part", "turn")).applyInArrow(
-        lambda a, b: _compare(a.select([key, "v", "bound"]), b.select([key, "v"]), key, k),
+            for at, row, best in units.value.reached(v, bound, k):
+                some = batch.select([key, "v"]).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(best), pa.array(np.full(len(row), at))], names=[key, "v", "bound", "block"])
+
+    guests = bounded.mapInArrow(visits, _fields(rows, key, "v array<double>, bound double, block long")).withColumn("turn", dealt(1, F.lit(turns)))
+    hosts = members.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(turns - 1).cast("long"))))
+    pairs = guests.groupBy("block", "turn").cogroup(hosts.groupBy("block", "turn")).applyInArrow(
+        lambda a, b: _compare(a.select([key, "v", "bound"]), b.select([key, "v", "unit"]), key, k, units.value),
         _fields(rows, key, f"neighbour {rows.schema[key].dataType.simpleString()}, distance2 double"))
     place = F.row_number().over(W.partitionBy(key).orderBy("distance2", "neighbour"))
     return pairs.withColumn("place", place).filter(F.col("place") <= k)
