@@ -107,6 +107,15 @@ def test_smote_tomek_leaves_no_pair(spark):
     assert {r["row"] for r in gone.select(row).collect()} == {r["row"] for r in links.collect()}
 
 
+def test_smote_beside_a_row_without_a_spot(spark):
+    """A positive without coordinates makes no rows and does not keep the others from making theirs."""
+    df, x = _points(spark, 120)
+    names = ["a", "b", "c"]
+    bad = spark.createDataFrame([(900, 1, None, None, None)], df.schema)
+    made = SA.smote(df.unionByName(bad), "y", "id", names, k=3).filter("synthetic")
+    assert made.select("id").distinct().count() > 12 and made.filter("id >= 900").count() == 0
+
+
 def test_splits(spark):
     df = hours(spark, {1: list(range(10)), 2: list(range(5))})
     pos = SP.positional_split(df)

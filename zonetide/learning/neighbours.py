@@ -151,7 +151,9 @@ def _bunches(unit: np.ndarray, least: int = 512) -> Iterator[np.ndarray]:
 def _compare(visitors: pa.Table, members: pa.Table, key: str, k: int, balls: Balls) -> pa.Table:
     """The nearest members of each visitor, itself left out, within its bound, which falls as nearer ones are found."""
     schema = pa.schema([(key, visitors.schema.field(key).type), ("neighbour", members.schema.field(key).type), ("distance2", pa.float64())])
-    members = members.sort_by(key).combine_chunks()  # equal distances go by key
+    # The reach of a shell with a row without a spot is not known: it is not visited, whatever block it is in.
+    reach = balls.high[np.searchsorted(balls.unit, members.column("unit").to_numpy())]
+    members = members.filter(pa.array(~np.isnan(reach))).sort_by(key).combine_chunks()  # equal distances go by key
     visitors = visitors.combine_chunks()
     if not len(visitors) or not len(members):
         return schema.empty_table()
@@ -166,7 +168,8 @@ def _compare(visitors: pa.Table, members: pa.Table, key: str, k: int, balls: Bal
     unit = np.searchsorted(balls.unit, members.column("unit").to_numpy())
     bunches = []
     for cols in _bunches(unit):
-        middle = b[cols].mean(0)
+        finite = np.isfinite(b[cols]).all(1)
+        middle = b[cols][finite].mean(0) if finite.any() else np.zeros(b.shape[1])
         off = b[cols] - middle
         bunches.append((cols, np.unique(unit[cols]), middle, np.ascontiguousarray(np.column_stack([off, half * (off * off).sum(1)]).T.astype(kind))))
     near, who = np.full((len(a), k), np.inf), np.full((len(a), k), len(b), np.int64)
