@@ -59,6 +59,19 @@ def test_blocks_of_a_dense_cluster_are_bounded(spark, monkeypatch):
     assert NN.neighbours_of_spots(spots.filter("id < 3"), "id", 5).count() == 6
 
 
+def test_bunches_hold_every_member_once(spark):
+    """More members than one bunch holds: none is compared twice, nor listed twice among a row's neighbours."""
+    unit = np.repeat(np.arange(30), 50)
+    assert sorted(np.concatenate([*NN._bunches(unit)]).tolist()) == list(range(1500))
+    assert sorted(np.concatenate([*NN._bunches(np.zeros(9000, int))]).tolist()) == list(range(9000))
+    x = np.random.default_rng(4).normal(0, 1, (1500, 8))
+    spots = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    got = {}
+    for r in NN.neighbours_of_spots(spots, "id", 4, block=64).collect():
+        got.setdefault(r["id"], {})[r["place"]] = r["neighbour"]
+    assert [[got[i][p] for p in (1, 2, 3, 4)] for i in range(len(x))] == _brute(x, 4)
+
+
 def test_a_row_is_sent_to_each_block_once(monkeypatch):
     """In many dimensions all shells are within reach: a row goes to the few blocks they are in, not to each of 40 shells."""
     rng = np.random.default_rng(5)

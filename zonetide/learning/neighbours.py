@@ -144,7 +144,7 @@ def _bunches(unit: np.ndarray, least: int = 512) -> Iterator[np.ndarray]:
     start = 0
     for end in ends:
         if end - start >= least or end == len(order):
-            yield from (order[i:i + BLOCK] for i in range(start, end, BLOCK))
+            yield from (order[i:min(i + BLOCK, end)] for i in range(start, end, BLOCK))
             start = end
 
 
