@@ -108,6 +108,39 @@ def test_tomek_links(spark):
     assert SA.without_tomek_links(df, "y", "id", ["a"]).count() == 5
 
 
+@pytest.mark.parametrize("block", [4096, 16])
+def test_tomek_links_by_brute_force(spark, monkeypatch, block):
+    """Three classes, rows without one, rows at one spot and rows of one kin: the pairs are those of all rows compared with all."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 1, (700, 6))
+    x[500:] = x[rng.integers(0, 500, 200)] + rng.normal(0, 0.05, (200, 6))
+    y = rng.choice([0, 0, 0, 1, 2, None], 700)
+    x[10], y[10], x[12], y[12] = x[11], y[11], x[13], 1
+    df = spark.createDataFrame([(i, c, i % 90 if c else None, *map(float, v)) for i, (c, v) in enumerate(zip(y, x))],
+                               "id long, y int, kin long, " + ", ".join(f"x{i} double" for i in range(6)))
+    near = [n[0] for n in _brute(x, 1)]
+    want = {(i, j) for i, j in enumerate(near) if near[j] == i and None not in (y[i], y[j]) and y[i] != y[j] and {10, 11}.isdisjoint((i, j))}
+    monkeypatch.setattr(SA, "opposite_neighbours", lambda spots, key: NN.opposite_neighbours(spots, key, block=block))
+    for kin in (None, "kin"):
+        assert len(want) > 50 and {tuple(r) for r in SA.tomek_links(df, "y", "id", [f"x{i}" for i in range(6)], kin).collect()} == want
+
+
+def test_small_bounds_leave_out_balls_behind_a_plane():
+    """In 64 dimensions many balls are within reach of a small bound by their radius, few by the planes between centres, and none wrongly."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 0.125, (3000, 64))
+    ball = NN.Balls(x[:50]).distances(x).argmin(1)
+    gap = np.sqrt(((x - x[ball]) ** 2).sum(1))
+    shells = [(i * NN.SHELLS, i, 0.0, gap[ball == i].max(), int((ball == i).sum()), int((ball < i).sum())) for i in range(50)]
+    balls = NN.Balls(x[:50], shells)
+    near = x[:600] + rng.normal(0, 0.01, (600, 64))
+    home, bound = balls.distances(near).argmin(1), np.full(600, 0.15)
+    kept = balls.crosses(near, home, bound, np.arange(50))
+    assert balls.reaches(near, bound).mean() > 0.6 and kept.mean() < 0.4
+    row, col = np.nonzero(((near[:, None] - x[None]) ** 2).sum(2) <= 0.15 ** 2)
+    assert len(row) >= 600 and kept[row, ball[col]].all()
+
+
 def test_smote_tomek_leaves_no_pair(spark):
     df, _ = _points(spark)
     names = ["a", "b", "c"]

@@ -10,6 +10,10 @@ Centres and shells are bounded in number and broadcast. Members and visitors mee
 there are of either, so a dense cluster is spread over many tasks and an outlier widens one shell only. In many dimensions
 nearly every shell is within reach of nearly every row: then a row is sent to all blocks, of which there are few, and not
 to each of the shells. The distances inside a block are worked out by NumPy on Arrow batches.
+
+Members of a ball are nearer to its centre than to any other. So a row whose bound does not lead over the plane midway between
+its own centre and another one has no neighbour in the other's ball: with small bounds that leaves out most balls also where the
+triangle inequality leaves out none.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -89,6 +94,18 @@ class Balls:
         gap = np.maximum(near - self.high[shells], self.low[shells] - far)
         return gap <= bound[:, None] + _SLACK * (far + self.high[shells] + bound[:, None])
 
+    def crosses(self, rows: np.ndarray, home: np.ndarray, bound: np.ndarray, shells: np.ndarray) -> np.ndarray:
+        """Whether each row, of ball ``home``, may have a member of each shell's ball within its bound: behind the plane between the centres."""
+        balls, at = np.unique(self.ball[shells], return_inverse=True)
+        own, theirs = self.centres[home], self.centres[balls]
+        gap = rows - own
+        d, off = _rough2(rows, theirs)
+        apart, wrong = _rough2(own, theirs)
+        ahead = d - (gap * gap).sum(1)[:, None] - 2 * np.sqrt(apart + wrong) * np.minimum(bound, 1e150)[:, None] - 4 * (off + wrong)
+        # The balls were told apart by rounded distances too.
+        size = np.sqrt((theirs * theirs).sum(1))[at] + self.high[shells]
+        return ahead[:, at] <= 4 * _SLACK * (size * size)[None, :]
+
     def reached(self, rows: np.ndarray, bound: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(block, rows, bounds) for every block that may hold one of a row's k nearest."""
         for part in _chunks(len(rows), max(len(self.unit_of), len(self.centres))):
@@ -111,7 +128,11 @@ def _fields(df: DataFrame, key: str, rest: str) -> str:
     return f"`{key}` {df.schema[key].dataType.simpleString()}, {rest}"
 
 
-def _assigned(rows: DataFrame, key: str, balls) -> DataFrame:
+def _all_fields(df: DataFrame, rest: str) -> str:
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), rest])
+
+
+def _assigned(rows: DataFrame, balls) -> DataFrame:
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = _matrix(batch.column("v"))
@@ -123,7 +144,7 @@ def _assigned(rows: DataFrame, key: str, balls) -> DataFrame:
                 gap[part] = np.sqrt((off * off).sum(1))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ball), pa.array(gap)], names=[*batch.schema.names, "ball", "gap"])
 
-    return rows.mapInArrow(nearest, _fields(rows, key, "v array<double>, ball int, gap double"))
+    return rows.mapInArrow(nearest, _all_fields(rows, "ball int, gap double"))
 
 
 def _bounds(table: pa.Table, k: int) -> pa.Table:
@@ -149,7 +170,10 @@ def _bunches(unit: np.ndarray, least: int = 512) -> Iterator[np.ndarray]:
 
 
 def _compare(visitors: pa.Table, members: pa.Table, key: str, k: int, balls: Balls) -> pa.Table:
-    """The nearest members of each visitor, itself left out, within its bound, which falls as nearer ones are found."""
+    """The nearest members of each visitor, itself left out, within its bound, which falls as nearer ones are found.
+
+    Where members have bounds, a pair must be within both. ``unit`` is where a visitor is a member.
+    """
     schema = pa.schema([(key, visitors.schema.field(key).type), ("neighbour", members.schema.field(key).type), ("distance2", pa.float64())])
     # The reach of a shell with a row without a spot is not known: it is not visited, whatever block it is in.
     reach = balls.high[np.searchsorted(balls.unit, members.column("unit").to_numpy())]
@@ -160,6 +184,8 @@ def _compare(visitors: pa.Table, members: pa.Table, key: str, k: int, balls: Bal
     a, b = (_matrix(t.column("v").chunk(0)) for t in (visitors, members))
     mine, theirs = visitors.column(key).to_numpy(zero_copy_only=False), members.column(key).to_numpy(zero_copy_only=False)
     limit = visitors.column("bound").to_numpy() ** 2 * (1 + _SLACK)
+    theirs_limit = members.column("bound").to_numpy() ** 2 * (1 + _SLACK) if "bound" in members.column_names else None
+    home = visitors.column("unit").to_numpy() // SHELLS
     # From the middle of the members, one is near enough if a.b - (1 - slack) b.b / 2 >= ((1 - slack) a.a - limit) / 2: one product
     # and one comparison, with the slack that single precision needs.
     largest = max(np.abs(a).max(), np.abs(b).max())
@@ -175,7 +201,10 @@ def _compare(visitors: pa.Table, members: pa.Table, key: str, k: int, balls: Bal
     near, who = np.full((len(a), k), np.inf), np.full((len(a), k), len(b), np.int64)
     for part in (slice(i, i + 1024) for i in range(0, len(a), 1024)):
         for cols, units, middle, against in bunches:
-            some = np.flatnonzero(balls.reaches(a[part], np.sqrt(limit[part]), units).any(1)) + part.start
+            within = np.sqrt(limit[part])
+            some = np.flatnonzero((balls.reaches(a[part], within, units) & balls.crosses(a[part], home[part], within, units)).any(1)) + part.start
+            if not len(some):
+                continue
             off = a[some] - middle
             lifted = np.column_stack([off, np.full(len(off), -1.0)]).astype(kind)
             enough = half * (off * off).sum(1) - limit[some] / 2 - least
@@ -189,6 +218,9 @@ def _compare(visitors: pa.Table, members: pa.Table, key: str, k: int, balls: Bal
             for few in _chunks(len(row), a.shape[1]):
                 gap = a[row[few]] - b[col[few]]
                 exact[few] = (gap * gap).sum(1)
+            if theirs_limit is not None:
+                both = exact <= theirs_limit[col]
+                row, col, exact = row[both], col[both], exact[both]
             seen = np.unique(row)
             row, col, exact = np.concatenate([row, np.repeat(seen, k)]), np.concatenate([col, who[seen].ravel()]), np.concatenate([exact, near[seen].ravel()])
             order = np.lexsort((col, exact, row))
@@ -200,6 +232,74 @@ def _compare(visitors: pa.Table, members: pa.Table, key: str, k: int, balls: Bal
                                  pa.array(near[row, place])], schema=schema)
 
 
+def _opposite(visitors: pa.Table, members: pa.Table, key: str, balls: Balls) -> pa.Table:
+    """The nearest member of another side of each visitor, within the bounds of both."""
+    found = [_compare(visitors.slice(0, 0), members.slice(0, 0), key, 1, balls)]
+    for side in pc.unique(visitors.column("side")):
+        found.append(_compare(visitors.filter(pc.equal(visitors.column("side"), side)), members.filter(pc.not_equal(members.column("side"), side)), key, 1, balls))
+    return pa.concat_tables(found)
+
+
+class _Laid:
+    """Stored rows dealt out over units and blocks: what a search needs to know of its members.
+
+    ``members`` are the rows with unit, part, block and whether the reach of their unit is known (``seen``).
+    """
+
+    def __init__(self, rows: DataFrame, key: str, centres: int, block: int):
+        spark = rows.sparkSession
+        self.rows, self.key, n = rows, key, rows.count()
+        # Centres are rows, drawn by a hash of the key: dense places get many, so their balls are no fuller than others.
+        drawn = rows.orderBy(F.xxhash64(key), key).limit(min(centres, max(1, round(n ** 0.5)))).select("v").collect()
+        balls = spark.sparkContext.broadcast(Balls(np.array([r["v"] for r in drawn], float) if drawn else np.zeros((0, 1))))
+        placed = written(_assigned(rows, balls), "balls")
+        wide = placed.groupBy("ball").agg(F.count(F.lit(1)).alias("_n"), F.max("gap").alias("_r"))
+        shells = F.least(F.lit(SHELLS), F.ceil(F.col("_n") / F.lit(float(block))))
+        shell = F.when(F.col("_r") > 0, F.least(F.floor(F.col("gap") / F.col("_r") * shells), shells - 1)).otherwise(0)
+        shelled = placed.join(F.broadcast(wide), "ball").select(*rows.columns, "ball", "gap", (F.col("ball") * SHELLS + shell).cast("long").alias("unit"))
+        sizes = shelled.groupBy("unit").agg(F.first("ball").alias("ball"), F.min("gap").alias("low"), F.max("gap").alias("high"), F.count(F.lit(1)).alias("n"))
+        before = W.partitionBy(F.lit(0)).orderBy("unit").rowsBetween(W.unboundedPreceding, -1)  # one row a shell, CENTRES * SHELLS at most
+        sizes = written(sizes.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))), "shells")
+        # Each block of members meets each turn of its visitors: a row is sent out about as often as there are blocks and turns.
+        self.width = min(WIDEST, max(block, -(-n // SPREAD)))
+        self.turns = max(1, -(-n // self.width))
+        known = Balls(balls.value.centres, [tuple(r) for r in sizes.orderBy("unit").select("unit", "ball", "low", "high", "n", "start").collect()], block, self.width)
+        self.units = spark.sparkContext.broadcast(known)
+        self.members = (shelled.join(F.broadcast(sizes.select("unit", "n", "start", (~F.isnan("high")).alias("seen"))), "unit")
+                        .withColumn("_parts", F.ceil(F.col("n") / F.lit(float(block))).cast("long")).withColumn("part", self._dealt(0, F.col("_parts")))
+                        .select(*rows.columns, "unit", "seen", "part", F.expr(f"(start + (part * n) div _parts) div {self.width}").alias("block")))
+
+    def _dealt(self, salt: int, into: Column) -> Column:
+        return F.pmod(F.xxhash64(self.key, F.lit(salt)), into)
+
+    def bounded(self, k: int) -> DataFrame:
+        """The members with a bound for the distance of their k-th neighbour."""
+        return self.members.groupBy("unit", "part").applyInArrow(lambda t: _bounds(t, k), _all_fields(self.members, "bound double"))
+
+    def met(self, visitors: DataFrame, members: DataFrame, k: int, compare, turns: int) -> DataFrame:
+        """(key, neighbour, distance2) as ``compare`` finds them where visitors, with bounds, meet the members of the blocks they reach."""
+        key, units = self.key, self.units
+        sent = [c for c in visitors.columns if c in (key, "v", "side", "unit")]
+
+        def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                v, bound = _matrix(batch.column("v")), batch.column("bound").to_numpy()
+                for at, row, best in units.value.reached(v, bound, k):
+                    some = batch.select(sent).take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays([*some.columns, pa.array(best), pa.array(np.full(len(row), at))], names=[*sent, "bound", "block"])
+
+        guests = visitors.mapInArrow(visits, _all_fields(visitors.select(sent), "bound double, block long")).withColumn("turn", self._dealt(1, F.lit(turns)))
+        hosts = members.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(turns - 1).cast("long"))))
+        kind = self.rows.schema[key].dataType.simpleString()
+        return guests.groupBy("block", "turn").cogroup(hosts.groupBy("block", "turn")).applyInArrow(
+            lambda a, b: compare(a, b, key, units.value), _fields(self.rows, key, f"neighbour {kind}, distance2 double"))
+
+
+def _nearest(pairs: DataFrame, key: str, k: int, other: str = "neighbour") -> DataFrame:
+    place = F.row_number().over(W.partitionBy(key).orderBy("distance2", other))
+    return pairs.withColumn("place", place).filter(F.col("place") <= k)
+
+
 def neighbours_of_spots(spots: DataFrame, key: str, k: int = 5, centres: int = CENTRES, block: int = BLOCK) -> DataFrame:
     """(key, neighbour, distance2, place) for rows (key, v). Few rows should share one vector; see :func:`nearest_neighbours`."""
     return _search(written(spots.select(key, "v"), "spots"), key, k, centres, block)
@@ -207,45 +307,39 @@ def neighbours_of_spots(spots: DataFrame, key: str, k: int = 5, centres: int = C
 
 def _search(rows: DataFrame, key: str, k: int, centres: int, block: int) -> DataFrame:
     """The search itself, over stored rows."""
-    spark = rows.sparkSession
-    n = rows.count()
-    # Centres are rows, drawn by a hash of the key: dense places get many, so their balls are no fuller than others.
-    drawn = rows.orderBy(F.xxhash64(key), key).limit(min(centres, max(1, round(n ** 0.5)))).select("v").collect()
-    balls = spark.sparkContext.broadcast(Balls(np.array([r["v"] for r in drawn], float) if drawn else np.zeros((0, 1))))
-    placed = written(_assigned(rows, key, balls), "balls")
-    wide = placed.groupBy("ball").agg(F.count(F.lit(1)).alias("_n"), F.max("gap").alias("_r"))
-    shells = F.least(F.lit(SHELLS), F.ceil(F.col("_n") / F.lit(float(block))))
-    shell = F.when(F.col("_r") > 0, F.least(F.floor(F.col("gap") / F.col("_r") * shells), shells - 1)).otherwise(0)
-    shelled = placed.join(F.broadcast(wide), "ball").select(key, "v", "ball", "gap", (F.col("ball") * SHELLS + shell).cast("long").alias("unit"))
-    sizes = shelled.groupBy("unit").agg(F.first("ball").alias("ball"), F.min("gap").alias("low"), F.max("gap").alias("high"), F.count(F.lit(1)).alias("n"))
-    before = W.partitionBy(F.lit(0)).orderBy("unit").rowsBetween(W.unboundedPreceding, -1)  # one row a shell, CENTRES * SHELLS at most
-    sizes = written(sizes.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))), "shells")
-    # Each block of members meets each turn of its visitors: a row is sent out about as often as there are blocks and turns.
-    width = min(WIDEST, max(block, -(-n // SPREAD)))
-    turns = max(1, -(-n // width))
-    known = Balls(balls.value.centres, [tuple(r) for r in sizes.orderBy("unit").select("unit", "ball", "low", "high", "n", "start").collect()], block, width)
-    units = spark.sparkContext.broadcast(known)
-    dealt = lambda salt, into: F.pmod(F.xxhash64(key, F.lit(salt)), into)
-    members = (shelled.join(F.broadcast(sizes.select("unit", "n", "start")), "unit")
-               .withColumn("_parts", F.ceil(F.col("n") / F.lit(float(block))).cast("long")).withColumn("part", dealt(0, F.col("_parts")))
-               .select(key, "v", "unit", "part", F.expr(f"(start + (part * n) div _parts) div {width}").alias("block")))
-    bounded = members.groupBy("unit", "part").applyInArrow(
-        lambda t: _bounds(t.select([key, "v"]), k), _fields(rows, key, "v array<double>, bound double"))
-
-    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            v, bound = _matrix(batch.column("v")), batch.column("bound").to_numpy()
-            for at, row, best in units.value.reached(v, bound, k):
-                some = batch.select([key, "v"]).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(best), pa.array(np.full(len(row), at))], names=[key, "v", "bound", "block"])
-
-    guests = bounded.mapInArrow(visits, _fields(rows, key, "v array<double>, bound double, block long")).withColumn("turn", dealt(1, F.lit(turns)))
-    hosts = members.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(turns - 1).cast("long"))))
-    pairs = guests.groupBy("block", "turn").cogroup(hosts.groupBy("block", "turn")).applyInArrow(
-        lambda a, b: _compare(a.select([key, "v", "bound"]), b.select([key, "v", "unit"]), key, k, units.value),
-        _fields(rows, key, f"neighbour {rows.schema[key].dataType.simpleString()}, distance2 double"))
-    place = F.row_number().over(W.partitionBy(key).orderBy("distance2", "neighbour"))
-    return pairs.withColumn("place", place).filter(F.col("place") <= k)
+    laid = _Laid(rows, key, centres, block)
+    pairs = laid.met(laid.bounded(k), laid.members.select(key, "v", "unit", "block"), k, lambda a, b, key, units: _compare(a, b, key, k, units), laid.turns)
+    return _nearest(pairs, key, k)
+
+
+def opposite_neighbours(spots: DataFrame, key: str, centres: int = CENTRES, block: int = BLOCK) -> DataFrame:
+    """(key, neighbour) of all rows that may be the nearest row of a row of another side while that is theirs.
+
+    ``spots`` has key, v, side and kin. Rows without a side are in no such pair, but may be nearer than the other side. Rows of one kin
+    are likely to be near: the first of them gives the others a bound. Two rows that are each other's nearest are within the bounds of
+    both, and each is the other's nearest of another side. So first rows meet those of other sides alone, within both bounds; only
+    what is left of them, a pair a row at most, is then compared with all rows.
+    """
+    laid = _Laid(written(spots.select(key, "v", "side", "kin"), "spots"), key, centres, block)
+    sided = F.when(F.col("seen") & F.col(key).isNotNull(), F.col("side"))
+    rows = written(laid.bounded(1).withColumn("side", sided).drop("part", "seen"), "bounds")
+    first = rows.filter(F.col("kin").isNotNull() & F.col("side").isNotNull()).groupBy("kin").agg(F.min_by(F.struct(key, "v"), key).alias("_first"))
+    far = F.sqrt(F.aggregate(F.zip_with("v", "_first.v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b))
+    lower = F.when(F.col("side").isNotNull() & (F.col(key) != F.col(f"_first.{key}")) & (far < F.col("bound")), far).otherwise(F.col("bound"))
+    kin = rows.filter(F.col("kin").isNotNull()).join(first, "kin", "left").withColumn("bound", lower)
+    known = written(rows.filter(F.col("kin").isNull()).unionByName(kin.select(rows.columns)).drop("kin"), "known")
+    # The rows of the side with the widest bounds stay where they are; the others visit them.
+    sides = known.filter(F.col("side").isNotNull()).groupBy("side").agg(F.sum("bound").alias("_reach"))
+    widest, n = sides.agg(F.max_by("side", F.struct("_reach", "side")), F.count(F.lit(1))).first()
+    hosts = known.filter(F.col("side") == F.lit(widest) if n < 3 else F.col("side").isNotNull())
+    pairs = laid.met(known.filter(F.col("side") != F.lit(widest)), hosts, 1, _opposite, laid.turns)
+    left = written(_nearest(_nearest(pairs, key, 1), "neighbour", 1, key).select(key, "neighbour", "distance2"), "opposite")
+    ends = left.select(key, "distance2").unionByName(left.select(F.col("neighbour").alias(key), "distance2")).groupBy(key).agg(F.min("distance2").alias("_d"))
+    asked = known.join(ends, key).withColumn("bound", F.least("bound", F.sqrt("_d") * F.lit(1 + _SLACK))).drop("_d")
+    n = 2 * left.count()
+    turns = max(1, min(4, -(-n // BLOCK)), -(-n // laid.width))
+    pairs = laid.met(asked, known.select(key, "v", "unit", "block"), 1, lambda a, b, key, units: _compare(a, b, key, 1, units), turns)
+    return written(_nearest(pairs, key, 1).select(key, "neighbour"), "near")
 
 
 def nearest_neighbours(df: DataFrame, key: str, columns: list[str], k: int = 5, centres: int = CENTRES, block: int = BLOCK) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from zonetide.learning.neighbours import neighbours_of_spots, vector
+from zonetide.learning.neighbours import neighbours_of_spots, opposite_neighbours, vector
 from zonetide.learning.splits import uniform
 from zonetide.session import written
 
@@ -59,13 +59,16 @@ def smote(df: DataFrame, label: str, key: str, columns: list[str], k: int = 5, s
     return base.withColumns({"copy": F.lit(0), "synthetic": F.lit(False)}).unionByName(new)
 
 
-def tomek_links(df: DataFrame, label: str, key: str, columns: list[str]) -> DataFrame:
+def tomek_links(df: DataFrame, label: str, key: str, columns: list[str], kin: str | None = None) -> DataFrame:
     """Pairs of opposite class that are each other's nearest row: (key, neighbour).
 
-    Rows of one class at the same spot have each other as nearest and so belong to no pair.
+    Rows of one class at the same spot have each other as nearest and so belong to no pair. ``kin`` names a column whose equal values
+    tell rows that are likely to be near each other; it saves work and changes no pair.
     """
-    spots = df.groupBy(label, vector(columns).alias("v")).agg(F.min(key).alias(key), F.count(F.lit(1)).alias("_m"))
-    near = neighbours_of_spots(spots.select(key, "v"), key, 1).select(key, "neighbour")
+    spots = written(df.groupBy(label, vector(columns).alias("v")).agg(
+        F.min(key).alias(key), F.count(F.lit(1)).alias("_m"), (F.min(kin) if kin else F.lit(None).cast("string")).alias("kin")), "classes")
+    side = F.when(F.col("_m") == 1, F.col(label).cast("string")).alias("side")
+    near = opposite_neighbours(spots.select(key, "v", side, "kin"), key)
     single = spots.filter(F.col("_m") == 1).select(key, label)
     a = near.join(single, key)
     other = single.select(F.col(key).alias("neighbour"), F.col(label).alias("_other"))
@@ -74,13 +77,15 @@ def tomek_links(df: DataFrame, label: str, key: str, columns: list[str]) -> Data
             .select(key, "neighbour"))
 
 
-def without_tomek_links(df: DataFrame, label: str, key: str, columns: list[str]) -> DataFrame:
+def without_tomek_links(df: DataFrame, label: str, key: str, columns: list[str], kin: str | None = None) -> DataFrame:
     """Drop both ends of every pair."""
-    links = tomek_links(df, label, key, columns).select(key)
+    links = tomek_links(df, label, key, columns, kin).select(key)
     return df.join(links, key, "left_anti")
 
 
 def smote_tomek(df: DataFrame, label: str, key: str, columns: list[str], k: int = 5, seed: int = 0) -> DataFrame:
     """Synthetic positives, then without the pairs of opposite class that are each other's nearest row, made rows included."""
     made = written(smote(df, label, key, columns, k, seed), "smote").withColumn("_row", F.concat_ws("#", key, "copy"))
-    return without_tomek_links(made, label, "_row", columns).drop("_row")
+    # Made rows lie on lines from the row that they are made from.
+    kin = made.withColumn("_kin", F.when(F.col(label) == 1, F.col(key)))
+    return without_tomek_links(kin, label, "_row", columns, "_kin").drop("_row", "_kin")
